@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewloom.functions.constants import STOPWORDS, WHITESPACE
+from reviewloom.functions.constants import STOPWORDS, WHITESPACE, WHITESPACE_CODE_POINTS
 
 WORD = r"[\p{L}\p{N}_]+"
-KEYWORD = "^[a-z]{4,}$"
+KEYWORD = r"(?<![\p{L}\p{N}_])[a-z]{4,}+(?![\p{L}\p{N}_])"
 
 
 def strip(text: Column) -> Column:
@@ -17,8 +17,13 @@ def strip(text: Column) -> Column:
 
 
 def longer_than(text: Column, chars: int) -> Column:
-    """True where the text has more than `chars` code points."""
-    return F.length(text) > chars
+    """True where the stripped text has more than `chars` code points.
+
+    The match ends at the first character that proves it, so a long text is
+    neither stripped nor counted to be kept.
+    """
+    blank = "".join(f"\\x{{{p}}}" for p in WHITESPACE_CODE_POINTS.split())
+    return text.rlike(f"(?s)^[{blank}]*+[^{blank}].{{{chars - 1},}}?[^{blank}]")
 
 
 def is_blank(text: Column) -> Column:
@@ -31,10 +36,33 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def word_counts(text: Column) -> Column:
+    """Each distinct word with its number of occurrences, as array<struct<word, tf>>.
+
+    Counted inside the row: equal words are neighbours once sorted, so a word's
+    count is the distance between the starts of two runs.
+    """
+
+    def runs(ordered: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(ordered))
+        starts = F.filter(at, lambda i: (i == 1) | (F.element_at(ordered, i) != F.get(ordered, i - 2)))
+        return F.element_at(F.transform(F.array(starts), lambda begun: counted(ordered, begun)), 1)
+
+    def counted(ordered: Column, starts: Column) -> Column:
+        def entry(start: Column, position: Column) -> Column:
+            end = F.coalesce(F.get(starts, position + 1), F.size(ordered) + 1)
+            return F.struct(F.element_at(ordered, start).alias("word"), (end - start).alias("tf"))
+
+        return F.transform(starts, entry)
+
+    filled = F.filter(F.array(F.sort_array(words(text))), lambda ordered: F.size(ordered) > 0)
+    return F.get(F.transform(filled, runs), F.lit(0))
+
+
 def keyword_words(text: Column) -> Column:
     """Words of four or more ASCII letters that are not stopwords."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(words(text), lambda w: w.rlike(KEYWORD) & ~F.array_contains(stop, w))
+    found = F.regexp_extract_all(F.lower(text), F.lit(KEYWORD), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(STOPWORDS))
 
 
 def query_terms(query: Column) -> Column:

@@ -27,9 +27,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(squares)
 
 
-def unit(a: Column) -> Column:
-    """Scale to length one as array<float>; a zero vector stays zero."""
-    length = norm(a)
-    return F.when(length == 0, a.cast("array<float>")).otherwise(
-        F.transform(a, lambda x: (x.cast("double") / length).cast("float"))
+def unit(a: Column, to: str = "float") -> Column:
+    """Scale to length one as an array of `to`; a zero vector stays zero."""
+    # The length is bound as a lambda variable, or it would be computed per element.
+    scaled = F.transform(
+        F.array(norm(a)),
+        lambda length: F.transform(
+            a, lambda x: F.when(length == 0, x).otherwise(x.cast("double") / length).cast(to)
+        ),
     )
+    return F.element_at(scaled, 1)

@@ -119,16 +119,24 @@ def _key_values(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
+def _with_values(rows, scores):
+    """Rows that have a vector; dropped here, so that vectors are computed once."""
+    known = pc.is_valid(rows.column(scores.values))
+    return rows if pc.all(known).as_py() else rows.filter(known)
+
+
 class _Keeper:
     """Best rows seen so far, for every query of a loaded query set."""
 
     def __init__(self, queries: pa.Table, scores, k: int, positive: bool):
-        self.query_ids = _key_values(_one_chunk(queries, "query_id"))
-        self.chunks = scores.load(queries)
+        queries = _with_values(queries, scores)
+        self.query_ids = _key_values(_one_chunk(queries, "query_id")) if queries.num_rows else np.array([])
+        self.chunks = scores.load(queries) if queries.num_rows else []
         self.scores, self.k, self.positive = scores, k, positive
         self.best: list = [None] * len(self.chunks)
 
     def add(self, rows: pa.RecordBatch) -> None:
+        rows = _with_values(rows, self.scores)
         ids = _key_values(rows.column("review_id"))
         for i, chunk in enumerate(self.chunks):
             for start, matrix in self.scores.score(chunk, rows):

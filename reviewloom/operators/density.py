@@ -22,7 +22,7 @@ from reviewloom.functions.constants import MIN_TOPIC_SIZE, SCORE_DIGITS
 from reviewloom.operators.batch import vector_matrix
 from reviewloom.operators.ranking import join_counted
 from reviewloom.operators.themes import assign_topics
-from reviewloom.session import ensure_checkpoint_dir
+from reviewloom.session import stored
 
 TILE_ROWS = 2_048
 MAX_ROUNDS = 60
@@ -157,14 +157,13 @@ def connected_components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     Alternates two steps until nothing changes: all larger neighbours of a node
     are linked to its smallest neighbour, then all smaller ones are. This ends
     in one star per component after a number of rounds that grows with the
-    logarithm of its size. Each round is cut off by a checkpoint in the shared
-    folder; popular nodes are spread by `join_counted`.
+    logarithm of its size. Each step is written to the shared folder,
+    which cuts off the plan of the loop; popular nodes are spread by `join_counted`.
     """
-    ensure_checkpoint_dir(links.sparkSession)
-    edges = _ordered(links.select("a", "b")).checkpoint()
+    edges = stored(_ordered(links.select("a", "b")))
     state = _fingerprint(edges)
     for _ in range(max_rounds):
-        edges = _small_star(_large_star(edges)).checkpoint()
+        edges = stored(_small_star(stored(_large_star(edges))))
         new = _fingerprint(edges)
         if new == state:
             break
@@ -189,7 +188,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def _least_neighbour(edges: DataFrame) -> tuple[DataFrame, object]:
     least = edges.groupBy("a").agg(
-        F.least(F.col("a"), F.min("b")).alias("m"), F.count_if(F.col("b").isNotNull()).alias("degree")
+        F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree")
     )
     return least, least.agg(F.sum("degree")).scalar()
 
@@ -223,16 +222,12 @@ def density_themes(
     joins the theme of its nearest core row within the threshold, ties to the
     smaller id. The rest, and themes under the minimum size, are outliers.
     """
-    ensure_checkpoint_dir(vectors.sparkSession)
-    points = fold_copies(vectors.select("review_id", "embedding")).checkpoint()
+    points = stored(fold_copies(vectors.select("review_id", "embedding")))
     n_tiles = math.ceil(points.count() / tile_rows) or 1
     counts = neighbour_counts(points, threshold, n_tiles)
-    marked = (
-        points.join(counts, "point")
-        .select("point", "embedding", (F.col("neighbours") >= min_neighbours).alias("is_core"))
-        .checkpoint()
-    )
-    links = core_links(marked, threshold, n_tiles).checkpoint()
+    is_core = (F.col("neighbours") >= min_neighbours).alias("is_core")
+    marked = stored(points.join(counts, "point").select("point", "embedding", is_core))
+    links = stored(core_links(marked, threshold, n_tiles))
     components = connected_components(links.filter(F.col("score").isNull()))
     cores = marked.filter("is_core").select(F.col("point").alias("node"))
     component = cores.join(components, "node", "left").select(
@@ -242,8 +237,8 @@ def density_themes(
         F.min(F.struct((-F.col("score")).alias("far"), F.col("b").alias("core"))).alias("best"),
     )
     # Border points choose one core point each; a core may be chosen by many.
-    chosen = offers.select(F.col("a").alias("point"), F.col("best.core").alias("node"))
-    popular = chosen.groupBy("node").agg(F.count_if(F.col("point").isNotNull()).alias("degree"))
+    chosen = stored(offers.select(F.col("a").alias("point"), F.col("best.core").alias("node")))
+    popular = chosen.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     border = join_counted(
         chosen,
         component.join(popular, "node"),
@@ -253,7 +248,7 @@ def density_themes(
         spread="point",
     ).select("point", "component")
     placed = component.select(F.col("node").alias("point"), "component").unionByName(border)
-    clustered = points.join(placed, "point", "left")
+    clustered = stored(points.join(placed, "point", "left"))
     rows = join_counted(
         vectors.select("review_id", "embedding"),
         clustered.select("embedding", "component", "weight"),

@@ -55,10 +55,12 @@ def embed_with_model(corpus: DataFrame, make_predict: Callable, batch_size: int
 
 
 def build_index(corpus: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Unit vectors of the corpus reviews, matched by key.
+    """Unit vectors of the corpus reviews, for vectors that are stored apart.
 
     Only keys of the corpus are read, so no text takes part in the shuffle, and
-    a search on the index needs no further check against the corpus.
+    a search on the index needs no further check against the corpus. Vectors
+    made from the corpus itself (`embed_hashed`, `embed_with_model`) are an
+    index as they are.
     """
     return (
         vectors.join(corpus.select("review_id"), "review_id", "left_semi")

@@ -9,6 +9,7 @@ from reviewloom.functions.constants import SUMMARY_KEYWORDS
 from reviewloom.functions.display import summary_sentence
 from reviewloom.functions.text import keyword_words
 from reviewloom.operators.ranking import rank_within, top_k
+from reviewloom.session import stored
 
 
 def keyword_counts(texts: DataFrame, order: str, groups: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -38,8 +39,10 @@ def summarise(queries: DataFrame, hits: DataFrame, n_keywords: int = SUMMARY_KEY
 
     `queries` holds (query_id, query), `hits` ranked search hits with texts. A
     query holds at most `k` hits and `n_keywords` words, so the lists stay small.
-    A query without hits gets the fallback sentence and no evidence.
+    A query without hits gets the fallback sentence and no evidence. The hits
+    feed both parts and are stored, so that the search behind them runs once.
     """
+    hits = stored(hits)
     counts = keyword_counts(hits, order="rank", groups=["query_id"], text="review")
     ranked = top_keywords_within(counts, ["query_id"], n_keywords)
     keywords = ranked.groupBy("query_id").agg(
@@ -51,9 +54,6 @@ def summarise(queries: DataFrame, hits: DataFrame, n_keywords: int = SUMMARY_KEY
         ).alias("supporting_reviews")
     )
     joined = queries.join(keywords, "query_id", "left").join(evidence, "query_id", "left")
-    words = F.col("keywords.word")
-    return joined.select(
-        "query_id",
-        summary_sentence(F.coalesce(F.col("query"), F.lit("")), F.coalesce(words, F.array().cast("array<string>"))).alias("summary"),
-        "supporting_reviews",
-    )
+    words = F.coalesce(F.col("keywords.word"), F.array().cast("array<string>"))
+    sentence = summary_sentence(F.coalesce(F.col("query"), F.lit("")), words)
+    return joined.select("query_id", sentence.alias("summary"), "supporting_reviews")

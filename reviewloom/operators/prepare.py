@@ -23,15 +23,22 @@ def keep_existing(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
+def drop_missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Drop rows with a missing value; written so that it reaches the scan."""
+    for column in columns:
+        df = df.filter(F.col(column).isNotNull())
+    return df
+
+
 def score_to_label(score: Column) -> Column:
     """1 and 2 are negative (0), 4 and 5 positive (1); anything else has no label."""
     return F.when(score.isin(1, 2), 0).when(score.isin(4, 5), 1)
 
 
 def stripped_texts(df: DataFrame, min_chars: int) -> DataFrame:
-    """Drop missing texts, strip the rest and keep those longer than `min_chars`."""
-    body = strip(F.col("text").cast("string"))
-    return df.na.drop(subset=["text"]).withColumn("text", body).filter(longer_than(F.col("text"), min_chars))
+    """Strip texts and keep those longer than `min_chars`; missing ones are dropped."""
+    text = F.col("text").cast("string")
+    return df.filter(longer_than(text, min_chars)).withColumn("text", strip(text))
 
 
 def clean_reviews(
@@ -45,12 +52,10 @@ def clean_reviews(
     `key` names a unique column of the raw table. Neutral and unrated reviews
     and short texts are dropped before the optional sample is taken.
     """
-    kept = keep_existing(raw, [key, *RAW_COLUMNS]).na.drop(subset=["Text", "Score"])
-    labelled = (
-        kept.withColumn("label", score_to_label(F.col("Score")).cast("int"))
-        .na.drop(subset=["label"])
-        .withColumnsRenamed({key: "review_id", "Text": "text", "Summary": "summary"})
-    )
+    kept = drop_missing(keep_existing(raw, [key, *RAW_COLUMNS]), ["Text", "Score"])
+    labelled = drop_missing(
+        kept.withColumn("label", score_to_label(F.col("Score")).cast("int")), ["label"]
+    ).withColumnsRenamed({key: "review_id", "Text": "text", "Summary": "summary"})
     return sample_exact(stripped_texts(labelled, CLEAN_MIN_CHARS), sample_size, seed=seed)
 
 

@@ -22,6 +22,7 @@ from reviewloom.operators.batch import DenseScores, batch_top_k, vector_matrix
 from reviewloom.operators.embedding import embed_query
 from reviewloom.operators.ranking import best_first, check_k, rank_within, top_k
 from reviewloom.operators.sampling import sample_exact
+from reviewloom.session import stored
 
 HIT_SCHEMA = "rank int, score double, review_id bigint, summary string, review string, rating int"
 MAX_COLLECTED_HITS = 1_000
@@ -47,7 +48,9 @@ def score_vectors(index: DataFrame, query_vector: Sequence[float]) -> DataFrame:
 
 def nearest(index: DataFrame, query_vector: Sequence[float], k: int = 5) -> DataFrame:
     """The `k` best (review_id, score) rows, best first, ties by the smaller id."""
-    return top_k(score_vectors(index, query_vector), k, *best_first())
+    best = top_k(score_vectors(index, query_vector), k, *best_first())
+    # Rows without a vector sort last; dropped here, the scores are computed once.
+    return best.filter(F.col("score").isNotNull())
 
 
 def fetch_hits(best: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -93,15 +96,16 @@ def search_reviews(
 
 def nearest_batch(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The `k` best reviews for each (query_id, embedding) row, with ranks."""
-    known = F.col("embedding").isNotNull()
-    return batch_top_k(index.filter(known), queries.filter(known), DenseScores(), k)
+    return batch_top_k(index, queries, DenseScores(), k)
 
 
 def with_texts(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
     """Add the display columns to (query_id, rank, score, review_id) rows.
 
     The hit reviews are looked up once each, however many queries found them.
+    The ranks are few and read twice, so they are stored.
     """
+    ranked = stored(ranked)
     found = ranked.select("review_id").distinct()
     texts = corpus.join(found, "review_id", "left_semi").select("review_id", *hit_columns(corpus))
     return ranked.join(texts, "review_id")
@@ -116,8 +120,10 @@ def fit_cells(index: DataFrame, n_cells: int = 256, seed: int = 42) -> list[list
     The centres only decide how well a search can skip cells, never its result,
     so a fixed-size sample is enough to place them.
     """
-    sample = sample_exact(index, FIT_ROWS, seed=seed).select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(sample)
+    known = index.filter(F.col("embedding").isNotNull()).select("review_id", "embedding")
+    sample = stored(sample_exact(known, FIT_ROWS, seed=seed))
+    features = sample.select(array_to_vector("embedding").alias("features"))
+    model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(features)
     centres = [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
     return [list(c / (np.linalg.norm(c) or 1.0)) for c in centres]
 

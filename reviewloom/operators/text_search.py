@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.text import words
+from reviewloom.functions.text import word_counts
 from reviewloom.operators.batch import SparseScores, batch_top_k
 from reviewloom.operators.ranking import join_counted
+from reviewloom.session import stored
 
 
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
-    """(key, word, tf) for every word of every text."""
-    exploded = texts.select(key, F.explode(words(F.col("text"))).alias("word"))
-    return exploded.groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, word, tf) for every word of every text; needs no shuffle."""
+    return texts.select(key, F.inline_outer(word_counts(F.col("text")))).filter(F.col("word").isNotNull())
 
 
-def document_counts(counts: DataFrame) -> DataFrame:
-    """(word, df): number of texts holding each word."""
-    # Written over tf, not as a row count, so that this branch needs the same
-    # columns as the weights do and Spark shuffles the term counts only once.
-    return counts.groupBy("word").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
-
-
-def weighted_terms(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(review_id, word, weight) rows of the corpus and its (word, idf) table."""
-    counts = term_counts(corpus, "review_id")
-    df = document_counts(counts)
-    n = corpus.agg(F.count(F.lit(1))).scalar()
-    total = df.agg(F.sum("df")).scalar()
-    idf = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)))
-    joined = join_counted(counts, idf, "word", "df", total, spread="review_id")
-    return joined.select("review_id", "word", (F.col("tf") * F.col("idf")).alias("weight")), idf
+def word_weights(counts: DataFrame, n_texts: Column) -> DataFrame:
+    """(word, df, idf): number of texts holding each word, and its rarity."""
+    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return df.withColumn("idf", F.log((n_texts + 1) / (F.col("df") + 1)))
 
 
 def unit_terms(weighted: DataFrame, key: str) -> DataFrame:
@@ -48,9 +36,16 @@ def unit_terms(weighted: DataFrame, key: str) -> DataFrame:
 
 
 def text_index(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sparse unit vectors of all reviews, and the word weights for queries."""
-    weighted, idf = weighted_terms(corpus)
-    return unit_terms(weighted, "review_id"), idf.select("word", "idf")
+    """Sparse unit vectors of all reviews, and the word weights for queries.
+
+    The term counts and the weights are read several times and are stored.
+    """
+    counts = stored(term_counts(corpus, "review_id"))
+    weights = stored(word_weights(counts, corpus.agg(F.count(F.lit(1))).scalar()))
+    total = weights.agg(F.sum("df")).scalar()
+    joined = join_counted(counts, weights, "word", "df", total, spread="review_id")
+    weighted = joined.select("review_id", "word", (F.col("tf") * F.col("idf")).alias("weight"))
+    return unit_terms(weighted, "review_id"), weights.select("word", "idf")
 
 
 def query_vectors(queries: DataFrame, idf: DataFrame) -> DataFrame:

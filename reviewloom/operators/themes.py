@@ -14,6 +14,7 @@ from reviewloom.functions.text import words
 from reviewloom.functions.vectors import dot, unit
 from reviewloom.operators.embedding import filled
 from reviewloom.operators.ranking import join_counted, rank_within
+from reviewloom.session import stored
 
 NAME_WORDS = 4
 
@@ -37,7 +38,7 @@ def topic_numbers(assigned: DataFrame, cluster: str = "cluster", min_size: int =
 
 def assign_topics(assigned: DataFrame, cluster: str = "cluster", min_size: int = MIN_TOPIC_SIZE) -> DataFrame:
     """Replace the cluster column by the final `topic` number."""
-    numbers = topic_numbers(assigned, cluster, min_size)
+    numbers = stored(topic_numbers(assigned, cluster, min_size))
     total = numbers.agg(F.sum("rows")).scalar()
     joined = join_counted(assigned, numbers, cluster, "rows", total, spread="review_id", how="left")
     return joined.withColumn("topic", F.coalesce("topic", F.lit(OUTLIER_TOPIC))).drop(cluster, "rows")
@@ -55,15 +56,15 @@ def topic_words(topics: DataFrame, n: int = NAME_WORDS) -> DataFrame:
     the mean number of words per topic and f the word's total.
     """
     tokens = F.filter(words(F.col("text")), lambda w: F.length(w) >= 2)
-    counts = (
-        topics.select("topic", F.explode(tokens).alias("word"))
+    counts = stored(
+        topics.select("topic", F.explode_outer(tokens).alias("word"))
+        .filter(F.col("word").isNotNull())
         .groupBy("topic", "word")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    # Counted over tf, so that both tables share the shuffle of the counts.
-    held = F.count_if(F.col("tf") > 0)
-    per_topic = counts.groupBy("topic").agg(F.sum("tf").alias("topic_total"), held.alias("topic_rows"))
-    per_word = counts.groupBy("word").agg(F.sum("tf").alias("word_total"), held.alias("word_rows"))
+    held = F.count(F.lit(1))
+    per_topic = stored(counts.groupBy("topic").agg(F.sum("tf").alias("topic_total"), held.alias("topic_rows")))
+    per_word = stored(counts.groupBy("word").agg(F.sum("tf").alias("word_total"), held.alias("word_rows")))
     mean = per_topic.agg(F.floor(F.avg("topic_total"))).scalar()
     pairs = per_topic.agg(F.sum("topic_rows")).scalar()
     by_word = join_counted(counts, per_word, "word", "word_rows", pairs, spread="topic")

@@ -8,10 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.display import class_id, class_name, safe_int
-from reviewloom.functions.text import query_terms, words
-from reviewloom.functions.vectors import norm
-from reviewloom.operators import density, embedding, keywords, prepare, reports, sampling, search, sentiment, text_search, themes
-from reviewloom.operators.ranking import rank_within
+from reviewloom.functions.text import query_terms
+from reviewloom.functions.vectors import unit
+from reviewloom.operators import (
+    density,
+    embedding,
+    keywords,
+    prepare,
+    reports,
+    sampling,
+    search,
+    sentiment,
+    text_search,
+    themes,
+)
+from reviewloom.session import stored
 from reviewloom.sources import tables
 from reviewloom.sources.testdata import labelled_texts, raw_reviews, stored_vectors, table
 
@@ -38,8 +49,7 @@ def _mean_vector(spark: SparkSession, sf: str) -> list[float]:
     means = parts.groupBy("pos").agg(F.avg(F.col("col").cast("double")).alias("mean"))
     vector = means.agg(F.sort_array(F.collect_list(F.struct("pos", "mean"))).alias("v"))
     mean = vector.select(F.col("v.mean").alias("mean"))
-    scaled = mean.select(F.transform("mean", lambda x: x / norm(F.col("mean"))).alias("unit"))
-    return list(scaled.first()["unit"])
+    return list(mean.select(unit(F.col("mean"), "double").alias("unit")).first()["unit"])
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +69,7 @@ def _source_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Negative reviews with their source as the given cluster."""
     sources = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "source")
     negatives = prepare.negative_reviews(_clean(spark, sf)).select("review_id", "text")
-    return themes.assign_topics(negatives.join(sources, "review_id"), "source")
+    return stored(themes.assign_topics(negatives.join(sources, "review_id"), "source"))
 
 
 def _topic_info(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,10 +149,10 @@ def search_snippets(spark, sf):
 
 
 def search_free_text(spark, sf):
-    """The example queries of a search box, over hashed vectors of all reviews."""
+    """Free-text queries over hashed vectors of all reviews."""
     corpus = _corpus(spark, sf)
     embedder = embedding.fit_hashed_embedder(corpus)
-    index = embedding.build_index(corpus, embedding.embed_hashed(corpus, embedder))
+    index = embedding.embed_hashed(corpus, embedder)
     asked = _queries(spark, sf).withColumnRenamed("query_id", "review_id")
     vectors = embedding.embed_hashed(asked, embedder).withColumnRenamed("review_id", "query_id")
     return search.nearest_batch(index, vectors, K)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.functions.constants import CLUSTER_SAMPLE, MIN_TOPIC_SIZE
-from reviewloom.operators.embedding import build_index, embed_hashed, fit_hashed_embedder
+from reviewloom.operators.embedding import embed_hashed, fit_hashed_embedder
 from reviewloom.operators.prepare import clean_reviews, cluster_input, negative_reviews, search_corpus
 from reviewloom.operators.reports import dashboard_stats
 from reviewloom.operators.sentiment import train_sentiment
@@ -58,7 +58,7 @@ def run_all(
 
     save_model(fit_hashed_embedder(corpus, embedding_dims), paths["embedder"])
     embedder = load_model(spark, paths["embedder"])
-    write_keyed(build_index(corpus, embed_hashed(corpus, embedder)), paths["index"])
+    write_keyed(embed_hashed(corpus, embedder), paths["index"])
 
     negatives = read_dataset(spark, paths["negative"], "negative reviews")
     themed = cluster_input(negatives, cluster_sample)

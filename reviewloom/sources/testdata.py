@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.sources.tables import spread_small
+
 SCORES = """
 CASE WHEN l.quality = 0 AND l.toxic = 1 THEN 1
      WHEN l.quality = 0 THEN 2
@@ -19,7 +21,7 @@ END"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
