@@ -137,6 +137,8 @@ class _Keeper:
 
     def add(self, rows: pa.RecordBatch) -> None:
         rows = _with_values(rows, self.scores)
+        if not rows.num_rows:
+            return
         ids = _key_values(rows.column("review_id"))
         for i, chunk in enumerate(self.chunks):
             for start, matrix in self.scores.score(chunk, rows):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
@@ -50,8 +51,19 @@ def embed_with_model(corpus: DataFrame, make_predict: Callable, batch_size: int
 
     `make_predict()` returns a function from an array of texts to a 2-D array.
     """
-    encode = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return filled(corpus).select("review_id", unit(encode("text")).alias("embedding"))
+
+    def make_unit_predict() -> Callable:
+        predict = make_predict()
+
+        def run(texts: np.ndarray) -> np.ndarray:
+            rows = np.asarray(predict(texts), dtype=np.float64)
+            length = np.linalg.norm(rows, axis=1, keepdims=True)
+            return (rows / np.where(length == 0, 1.0, length)).astype(np.float32)
+
+        return run
+
+    encode = predict_batch_udf(make_unit_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return filled(corpus).select("review_id", encode("text").alias("embedding"))
 
 
 def build_index(corpus: DataFrame, vectors: DataFrame) -> DataFrame:

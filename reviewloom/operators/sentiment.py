@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -81,7 +83,7 @@ def predict_labels(scores: DataFrame, column: str = "scores") -> DataFrame:
 def train_sentiment(
     labelled: DataFrame,
     candidates: list[dict] | None = None,
-    dims: int = 1 << 16,
+    dims: int = 1 << 14,
     max_iter: int = 20,
     seed: int = SEED,
 ) -> SentimentModel:
@@ -90,6 +92,7 @@ def train_sentiment(
     Rows are split by their text, so copies of a text stay on one side. The
     word weights are fitted once, on `train`, and shared by all candidates.
     """
+    spark = labelled.sparkSession
     split = with_split(labelled.select("text", "label"), key="text", seed=seed).persist()
     try:
         train = split.filter(F.col("split") == "train")
@@ -99,13 +102,16 @@ def train_sentiment(
         try:
             fit_rows = ready.filter(F.col("split") == "train")
             held = ready.filter(F.col("split") == "validation")
-            best, scores = None, []
-            for params in candidates or CANDIDATES:
+
+            def fit(params: dict) -> tuple[LogisticRegressionModel, dict, float]:
                 model = LogisticRegression(weightCol="weight", maxIter=max_iter, **params).fit(fit_rows)
-                f1 = binary_metrics(model.transform(held)).first()["f1"]
-                scores.append((params, f1))
-                if best is None or f1 > best[2]:
-                    best = (model, params, f1)
+                return model, params, binary_metrics(model.transform(held)).first()["f1"]
+
+            # The fits are independent jobs on the same cached rows.
+            candidates = candidates or CANDIDATES
+            with ThreadPool(len(candidates)) as pool:
+                fitted = pool.map(inheritable_thread_target(spark)(fit), candidates)
+            best = max(fitted, key=lambda f: f[2])
             chosen = PipelineModel(stages=[*features.stages, best[0]])
             held_out = best[0].transform(ready.filter(F.col("split") != "train"))
             rows = binary_metrics(held_out, ["split"]).collect()
@@ -113,11 +119,11 @@ def train_sentiment(
             ready.unpersist()
     finally:
         split.unpersist()
-    metrics = labelled.sparkSession.createDataFrame(
+    metrics = spark.createDataFrame(
         [tuple(r) for r in sorted(rows)],
         "split string, n_rows bigint, accuracy double, f1 double, majority_rate double",
     )
-    return SentimentModel(chosen, best[1], metrics, scores)
+    return SentimentModel(chosen, best[1], metrics, [(params, f1) for _, params, f1 in fitted])
 
 
 def score_reviews(texts: DataFrame, model: PipelineModel) -> DataFrame:
