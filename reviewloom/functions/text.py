@@ -36,26 +36,30 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def word_counts(text: Column) -> Column:
-    """Each distinct word with its number of occurrences, as array<struct<word, tf>>.
+def word_counts(found: Column) -> Column:
+    """Distinct words of an array with count and first position, as array<struct<word, tf, pos>>.
 
     Counted inside the row: equal words are neighbours once sorted, so a word's
     count is the distance between the starts of two runs.
     """
+    placed = F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
 
     def runs(ordered: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(ordered))
-        starts = F.filter(at, lambda i: (i == 1) | (F.element_at(ordered, i) != F.get(ordered, i - 2)))
+        def begins(i: Column) -> Column:
+            return (i == 1) | (F.element_at(ordered, i)["word"] != F.get(ordered, i - 2)["word"])
+
+        starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), begins)
         return F.element_at(F.transform(F.array(starts), lambda begun: counted(ordered, begun)), 1)
 
     def counted(ordered: Column, starts: Column) -> Column:
         def entry(start: Column, position: Column) -> Column:
+            first = F.element_at(ordered, start)
             end = F.coalesce(F.get(starts, position + 1), F.size(ordered) + 1)
-            return F.struct(F.element_at(ordered, start).alias("word"), (end - start).alias("tf"))
+            return F.struct(first["word"].alias("word"), (end - start).alias("tf"), first["pos"].alias("pos"))
 
         return F.transform(starts, entry)
 
-    filled = F.filter(F.array(F.sort_array(words(text))), lambda ordered: F.size(ordered) > 0)
+    filled = F.filter(F.array(F.sort_array(placed)), lambda ordered: F.size(ordered) > 0)
     return F.get(F.transform(filled, runs), F.lit(0))
 
 

@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import SUMMARY_KEYWORDS
 from reviewloom.functions.display import summary_sentence
-from reviewloom.functions.text import keyword_words
+from reviewloom.functions.text import keyword_words, word_counts
 from reviewloom.operators.ranking import rank_within, top_k
 from reviewloom.session import stored
 
 
 def keyword_counts(texts: DataFrame, order: str, groups: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Keyword, how often it occurs, and where it first occurs, per group.
+    """(word, count, first_at, first_pos): how often a keyword occurs and where first, per group.
 
-    `order` is the column that puts the texts of a group in sequence.
+    `order` is the column that puts the texts of a group in sequence; it must
+    be unique within the group. Words are counted inside each text before they
+    are grouped, and all aggregates are plain numbers, so that Spark combines
+    them in hash tables before the shuffle.
     """
     groups = groups or []
-    exploded = texts.select(*groups, F.col(order).alias("_at"), F.posexplode(keyword_words(F.col(text))))
-    return exploded.groupBy(*groups, F.col("col").alias("word")).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min(F.struct(F.col("_at").alias("at"), F.col("pos").alias("pos"))).alias("first_seen"),
+    counted = word_counts(keyword_words(F.col(text)))
+    exploded = texts.select(*groups, F.col(order).alias("_at"), F.inline_outer(counted))
+    return (
+        exploded.filter(F.col("word").isNotNull())
+        .groupBy(*groups, "word")
+        .agg(
+            F.sum("tf").alias("count"),
+            F.min("_at").alias("first_at"),
+            F.min_by("pos", "_at").alias("first_pos"),
+        )
     )
 
 
+def by_frequency() -> list[Column]:
+    """Most frequent first, ties by first occurrence."""
+    return [F.desc("count"), F.asc("first_at"), F.asc("first_pos")]
+
+
 def top_keywords(counts: DataFrame, n: int) -> DataFrame:
-    """Most frequent keywords, ties by first occurrence."""
-    return top_k(counts, n, F.desc("count"), F.asc("first_seen"))
+    return top_k(counts, n, *by_frequency())
 
 
 def top_keywords_within(counts: DataFrame, groups: list[str], n: int) -> DataFrame:
-    return rank_within(counts, groups, [F.desc("count"), F.asc("first_seen")], n)
+    return rank_within(counts, groups, by_frequency(), n)
 
 
 def summarise(queries: DataFrame, hits: DataFrame, n_keywords: int = SUMMARY_KEYWORDS) -> DataFrame:

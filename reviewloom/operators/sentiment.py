@@ -93,32 +93,28 @@ def train_sentiment(
     word weights are fitted once, on `train`, and shared by all candidates.
     """
     spark = labelled.sparkSession
-    split = with_split(labelled.select("text", "label"), key="text", seed=seed).persist()
+    split = with_split(labelled.select("text", "label"), key="text", seed=seed)
+    features = Pipeline(stages=feature_stages(dims)).fit(split.filter(F.col("split") == "train"))
+    ready = features.transform(split).select("label", "split", "features").persist()
     try:
-        train = split.filter(F.col("split") == "train")
-        features = Pipeline(stages=feature_stages(dims)).fit(train)
-        weighted = features.transform(split).withColumn("weight", balance_weight(train))
-        ready = weighted.select("label", "split", "weight", "features").persist()
-        try:
-            fit_rows = ready.filter(F.col("split") == "train")
-            held = ready.filter(F.col("split") == "validation")
-
-            def fit(params: dict) -> tuple[LogisticRegressionModel, dict, float]:
-                model = LogisticRegression(weightCol="weight", maxIter=max_iter, **params).fit(fit_rows)
-                return model, params, binary_metrics(model.transform(held)).first()["f1"]
-
-            # The fits are independent jobs on the same cached rows.
-            candidates = candidates or CANDIDATES
-            with ThreadPool(len(candidates)) as pool:
-                fitted = pool.map(inheritable_thread_target(spark)(fit), candidates)
-            best = max(fitted, key=lambda f: f[2])
-            chosen = PipelineModel(stages=[*features.stages, best[0]])
-            held_out = best[0].transform(ready.filter(F.col("split") != "train"))
-            rows = binary_metrics(held_out, ["split"]).collect()
-        finally:
-            ready.unpersist()
+        train = ready.filter(F.col("split") == "train")
+        fit_rows = train.withColumn("weight", balance_weight(train))
+        held = ready.filter(F.col("split") == "validation")
+
+        def fit(params: dict) -> tuple[LogisticRegressionModel, dict, float]:
+            model = LogisticRegression(weightCol="weight", maxIter=max_iter, **params).fit(fit_rows)
+            return model, params, binary_metrics(model.transform(held)).first()["f1"]
+
+        # The fits are independent jobs on the same cached rows.
+        candidates = candidates or CANDIDATES
+        with ThreadPool(len(candidates)) as pool:
+            fitted = pool.map(inheritable_thread_target(spark)(fit), candidates)
+        best = max(fitted, key=lambda f: f[2])
+        chosen = PipelineModel(stages=[*features.stages, best[0]])
+        held_out = best[0].transform(ready.filter(F.col("split") != "train"))
+        rows = binary_metrics(held_out, ["split"]).collect()
     finally:
-        split.unpersist()
+        ready.unpersist()
     metrics = spark.createDataFrame(
         [tuple(r) for r in sorted(rows)],
         "split string, n_rows bigint, accuracy double, f1 double, majority_rate double",

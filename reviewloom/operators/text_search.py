@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.text import word_counts
+from reviewloom.functions.text import word_counts, words
 from reviewloom.operators.batch import SparseScores, batch_top_k
 from reviewloom.operators.ranking import join_counted
 from reviewloom.session import stored
@@ -13,7 +13,8 @@ from reviewloom.session import stored
 
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
     """(key, word, tf) for every word of every text; needs no shuffle."""
-    return texts.select(key, F.inline_outer(word_counts(F.col("text")))).filter(F.col("word").isNotNull())
+    counted = texts.select(key, F.inline_outer(word_counts(words(F.col("text")))))
+    return counted.filter(F.col("word").isNotNull()).select(key, "word", "tf")
 
 
 def word_weights(counts: DataFrame, n_texts: Column) -> DataFrame:

@@ -165,7 +165,7 @@ def query_terms_table(spark, sf):
 
 def keyword_counts(spark, sf):
     counts = keywords.keyword_counts(_corpus(spark, sf), order="review_id")
-    return counts.select("word", "count", F.col("first_seen.at").alias("first_review"), F.col("first_seen.pos").alias("first_pos"))
+    return counts.withColumnRenamed("first_at", "first_review")
 
 
 def keywords_topn(spark, sf):
