@@ -43,6 +43,7 @@ def join_counted(
     total: Column,
     spread: str,
     how: str = "inner",
+    sizes: DataFrame | None = None,
     slices: int = 64,
 ) -> DataFrame:
     """Join `left` with `right`, which is unique in `key`, safe for hot keys.
@@ -52,10 +53,11 @@ def join_counted(
     than MAX_HOT_KEYS of them: their list is broadcast, their left rows are
     spread over `slices` by a hash of `spread`, and only their right rows are
     repeated. All other keys are small and are joined as they are. Left rows
-    without a key match nothing and are spread as well.
+    without a key match nothing and are spread as well. `sizes` may give `key`
+    and `rows` from a cheaper table than `right`.
     """
     is_hot = F.col(rows) * MAX_HOT_KEYS > total
-    hot = right.filter(is_hot).select(key, F.lit(True).alias("_hot"))
+    hot = (right if sizes is None else sizes).filter(is_hot).select(key, F.lit(True).alias("_hot"))
     slot = F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int")
     salt = F.when(F.col("_hot") | F.col(key).isNull(), slot).otherwise(0)
     salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")

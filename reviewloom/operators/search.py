@@ -20,7 +20,7 @@ from reviewloom.functions.text import escape_html, highlight, shorten
 from reviewloom.functions.vectors import dot, literal_vector
 from reviewloom.operators.batch import DenseScores, batch_top_k, vector_matrix
 from reviewloom.operators.embedding import embed_query
-from reviewloom.operators.ranking import best_first, check_k, rank_within, top_k
+from reviewloom.operators.ranking import best_first, check_k, join_counted, rank_within, top_k
 from reviewloom.operators.sampling import sample_exact
 from reviewloom.session import stored
 
@@ -106,9 +106,11 @@ def with_texts(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
     The ranks are few and read twice, so they are stored.
     """
     ranked = stored(ranked)
-    found = ranked.select("review_id").distinct()
-    texts = corpus.join(found, "review_id", "left_semi").select("review_id", *hit_columns(corpus))
-    return ranked.join(texts, "review_id")
+    found = ranked.groupBy("review_id").agg(F.count(F.lit(1)).alias("_hits"))
+    texts = corpus.join(found, "review_id").select("review_id", "_hits", *hit_columns(corpus))
+    total = ranked.agg(F.count(F.lit(1))).scalar()
+    joined = join_counted(ranked, texts, "review_id", "_hits", total, spread="query_id", sizes=found)
+    return joined.drop("_hits")
 
 
 # -- through cells --------------------------------------------------------
