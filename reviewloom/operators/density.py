@@ -163,7 +163,8 @@ def connected_components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     edges = stored(_ordered(links.select("a", "b")))
     state = _fingerprint(edges)
     for _ in range(max_rounds):
-        edges = stored(_small_star(stored(_large_star(edges))))
+        stars = stored(_large_star(edges, 2 * state[0]))
+        edges = stored(_small_star(stars, stars.count()))
         new = _fingerprint(edges)
         if new == state:
             break
@@ -186,24 +187,20 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(digest)).first())
 
 
-def _least_neighbour(edges: DataFrame) -> tuple[DataFrame, object]:
-    least = edges.groupBy("a").agg(
-        F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree")
-    )
-    return least, least.agg(F.sum("degree")).scalar()
+def _least_neighbour(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n_both: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least, total = _least_neighbour(both)
     larger = both.filter("b > a")
-    moved = join_counted(larger, least, "a", "degree", total, spread="b")
+    moved = join_counted(larger, _least_neighbour(both), "a", "degree", n_both, spread="b")
     return _ordered(moved.select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least, total = _least_neighbour(edges)
-    joined = join_counted(edges, least, "a", "degree", total, spread="b")
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
+    least = _least_neighbour(edges)
+    joined = join_counted(edges, least, "a", "degree", n_edges, spread="b")
     moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _ordered(moved.unionByName(least.select("a", F.col("m").alias("b"))))
 
@@ -244,7 +241,7 @@ def density_themes(
         component.join(popular, "node"),
         "node",
         "degree",
-        popular.agg(F.sum("degree")).scalar(),
+        chosen.count(),
         spread="point",
     ).select("point", "component")
     placed = component.select(F.col("node").alias("point"), "component").unionByName(border)
@@ -254,7 +251,7 @@ def density_themes(
         clustered.select("embedding", "component", "weight"),
         "embedding",
         "weight",
-        points.agg(F.sum("weight")).scalar(),
+        points.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0],
         spread="review_id",
     ).select("review_id", F.col("component").alias("cluster"))
     return assign_topics(rows, "cluster", min_topic_size)

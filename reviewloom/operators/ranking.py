@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
+MIN_HOT_ROWS = 50_000
 
 
 def best_first() -> list[Column]:
@@ -40,7 +41,7 @@ def join_counted(
     right: DataFrame,
     key: str,
     rows: str,
-    total: Column,
+    total: int,
     spread: str,
     how: str = "inner",
     sizes: DataFrame | None = None,
@@ -49,14 +50,17 @@ def join_counted(
     """Join `left` with `right`, which is unique in `key`, safe for hot keys.
 
     `right[rows]` is the number of left rows per key and `total` their sum. Keys
-    holding more than 1 / MAX_HOT_KEYS of all rows are hot, so there are fewer
-    than MAX_HOT_KEYS of them: their list is broadcast, their left rows are
-    spread over `slices` by a hash of `spread`, and only their right rows are
-    repeated. All other keys are small and are joined as they are. Left rows
-    without a key match nothing and are spread as well. `sizes` may give `key`
-    and `rows` from a cheaper table than `right`.
+    holding more than 1 / MAX_HOT_KEYS of all rows, and more than a task handles
+    easily, are hot, so there are fewer than MAX_HOT_KEYS of them: their list is
+    broadcast, their left rows are spread over `slices` by a hash of `spread`,
+    and only their right rows are repeated. All other keys are small and are
+    joined as they are. Left rows without a key match nothing and are spread as
+    well. `sizes` may give `key` and `rows` from a cheaper table than `right`.
     """
-    is_hot = F.col(rows) * MAX_HOT_KEYS > total
+    bound = max(total // MAX_HOT_KEYS, MIN_HOT_ROWS)
+    if total <= bound:
+        return left.join(right, key, how)
+    is_hot = F.col(rows) > bound
     hot = (right if sizes is None else sizes).filter(is_hot).select(key, F.lit(True).alias("_hot"))
     slot = F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int")
     salt = F.when(F.col("_hot") | F.col(key).isNull(), slot).otherwise(0)

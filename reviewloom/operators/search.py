@@ -108,8 +108,7 @@ def with_texts(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
     ranked = stored(ranked)
     found = ranked.groupBy("review_id").agg(F.count(F.lit(1)).alias("_hits"))
     texts = corpus.join(found, "review_id").select("review_id", "_hits", *hit_columns(corpus))
-    total = ranked.agg(F.count(F.lit(1))).scalar()
-    joined = join_counted(ranked, texts, "review_id", "_hits", total, spread="query_id", sizes=found)
+    joined = join_counted(ranked, texts, "review_id", "_hits", ranked.count(), spread="query_id", sizes=found)
     return joined.drop("_hits")
 
 

@@ -43,8 +43,7 @@ def text_index(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     counts = stored(term_counts(corpus, "review_id"))
     weights = stored(word_weights(counts, corpus.agg(F.count(F.lit(1))).scalar()))
-    total = weights.agg(F.sum("df")).scalar()
-    joined = join_counted(counts, weights, "word", "df", total, spread="review_id")
+    joined = join_counted(counts, weights, "word", "df", counts.count(), spread="review_id")
     weighted = joined.select("review_id", "word", (F.col("tf") * F.col("idf")).alias("weight"))
     return unit_terms(weighted, "review_id"), weights.select("word", "idf")
 

@@ -39,7 +39,7 @@ def topic_numbers(assigned: DataFrame, cluster: str = "cluster", min_size: int =
 def assign_topics(assigned: DataFrame, cluster: str = "cluster", min_size: int = MIN_TOPIC_SIZE) -> DataFrame:
     """Replace the cluster column by the final `topic` number."""
     numbers = stored(topic_numbers(assigned, cluster, min_size))
-    total = numbers.agg(F.sum("rows")).scalar()
+    total = numbers.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     joined = join_counted(assigned, numbers, cluster, "rows", total, spread="review_id", how="left")
     return joined.withColumn("topic", F.coalesce("topic", F.lit(OUTLIER_TOPIC))).drop(cluster, "rows")
 
@@ -66,7 +66,7 @@ def topic_words(topics: DataFrame, n: int = NAME_WORDS) -> DataFrame:
     per_topic = stored(counts.groupBy("topic").agg(F.sum("tf").alias("topic_total"), held.alias("topic_rows")))
     per_word = stored(counts.groupBy("word").agg(F.sum("tf").alias("word_total"), held.alias("word_rows")))
     mean = per_topic.agg(F.floor(F.avg("topic_total"))).scalar()
-    pairs = per_topic.agg(F.sum("topic_rows")).scalar()
+    pairs = counts.count()
     by_word = join_counted(counts, per_word, "word", "word_rows", pairs, spread="topic")
     weighed = join_counted(by_word, per_topic, "topic", "topic_rows", pairs, spread="word")
     weight = F.col("tf") / F.col("topic_total") * F.log(F.lit(1.0) + mean / F.col("word_total"))

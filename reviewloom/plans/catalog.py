@@ -127,9 +127,9 @@ def search_relevance(spark, sf):
 
 
 def search_pruned(spark, sf):
-    index = _index(spark, sf)
+    index = stored(_index(spark, sf))
     centres = search.fit_cells(index, n_cells=16)
-    cells = search.with_cells(index, centres)
+    cells = stored(search.with_cells(index, centres))
     bounds = [tuple(r) for r in search.cell_bounds(cells).collect()]
     return search.nearest_in_cells(cells, centres, bounds, _mean_vector(spark, sf), 10)
 

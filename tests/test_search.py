@@ -210,12 +210,14 @@ def test_summary_and_fallback(spark):
 
 def test_join_counted_with_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(ranking, "MAX_HOT_KEYS", 3)
+    monkeypatch.setattr(ranking, "MIN_HOT_ROWS", 10)
     left = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 < 2 THEN 0 WHEN id % 7 = 0 THEN NULL ELSE id END AS k")
     right = left.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")).filter("k < 2000")
-    total = F.lit(3000)
+    total = 3000
     joined = ranking.join_counted(left, right, "k", "n", total, spread="id", how="left")
     plain = left.join(right, "k", "left").select("k", "id", "n")
     assert joined.count() == 3000
+    assert "_salt" in joined._jdf.queryExecution().analyzed().toString()
     assert joined.select("k", "id", "n").exceptAll(plain).count() == 0
     inner = ranking.join_counted(left, right, "k", "n", total, spread="id")
     assert inner.select("k", "id", "n").exceptAll(left.join(right, "k").select("k", "id", "n")).count() == 0

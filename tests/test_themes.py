@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.operators import density, embedding, reports, themes
+from reviewloom.operators import density, embedding, ranking, reports, themes
 
 
 def test_topic_numbers_by_size_then_first_member(spark):
@@ -21,7 +21,8 @@ def test_topic_numbers_by_size_then_first_member(spark):
     assert sizes == {0: 5, 1: 3, 2: 3, -1: 2}
 
 
-def test_one_topic_may_hold_most_rows(spark):
+def test_one_topic_may_hold_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MIN_HOT_ROWS", 10)
     given = spark.range(9000).selectExpr("id AS review_id", "CASE WHEN id % 3 > 0 THEN 7 WHEN id % 9 = 0 THEN NULL ELSE id END AS cluster")
     got = themes.topic_sizes(themes.assign_topics(given, min_size=20))
     assert {r.topic: r["count"] for r in got.collect()} == {0: 6000, -1: 3000}
@@ -87,7 +88,10 @@ def brute_density(matrix, threshold, m, min_size):
 
 
 @pytest.mark.parametrize("tile_rows", [40, 5000])
-def test_density_themes_match_brute_force(spark, tile_rows):
+def test_density_themes_match_brute_force(spark, monkeypatch, tile_rows):
+    if tile_rows == 40:  # take the path for hot keys as well
+        monkeypatch.setattr(ranking, "MAX_HOT_KEYS", 20)
+        monkeypatch.setattr(ranking, "MIN_HOT_ROWS", 1)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(4, 10))
     m = np.concatenate([c + s * rng.normal(size=(n, 10)) for c, s, n in zip(centres, (0.3, 0.5, 0.7, 0.3), (60, 40, 50, 8))])
