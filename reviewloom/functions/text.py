@@ -36,30 +36,35 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def word_counts(found: Column) -> Column:
-    """Distinct words of an array with count and first position, as array<struct<word, tf, pos>>.
+def word_counts(found: Column, positions: bool = False) -> Column:
+    """Distinct words of an array as array<struct<word, tf>>, on request with the first position.
 
     Counted inside the row: equal words are neighbours once sorted, so a word's
     count is the distance between the starts of two runs.
     """
-    placed = F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+    if positions:
+        found = F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+
+    def word(item: Column) -> Column:
+        return item["word"] if positions else item
 
     def runs(ordered: Column) -> Column:
         def begins(i: Column) -> Column:
-            return (i == 1) | (F.element_at(ordered, i)["word"] != F.get(ordered, i - 2)["word"])
+            return (i == 1) | (word(F.element_at(ordered, i)) != word(F.get(ordered, i - 2)))
 
         starts = F.filter(F.sequence(F.lit(1), F.size(ordered)), begins)
         return F.element_at(F.transform(F.array(starts), lambda begun: counted(ordered, begun)), 1)
 
     def counted(ordered: Column, starts: Column) -> Column:
-        def entry(start: Column, position: Column) -> Column:
+        def entry(start: Column, at: Column) -> Column:
             first = F.element_at(ordered, start)
-            end = F.coalesce(F.get(starts, position + 1), F.size(ordered) + 1)
-            return F.struct(first["word"].alias("word"), (end - start).alias("tf"), first["pos"].alias("pos"))
+            end = F.coalesce(F.get(starts, at + 1), F.size(ordered) + 1)
+            fields = [word(first).alias("word"), (end - start).alias("tf")]
+            return F.struct(*fields, first["pos"].alias("pos")) if positions else F.struct(*fields)
 
         return F.transform(starts, entry)
 
-    filled = F.filter(F.array(F.sort_array(placed)), lambda ordered: F.size(ordered) > 0)
+    filled = F.filter(F.array(F.sort_array(found)), lambda ordered: F.size(ordered) > 0)
     return F.get(F.transform(filled, runs), F.lit(0))
 
 

@@ -21,7 +21,7 @@ def keyword_counts(texts: DataFrame, order: str, groups: list[str] | None = None
     them in hash tables before the shuffle.
     """
     groups = groups or []
-    counted = word_counts(keyword_words(F.col(text)))
+    counted = word_counts(keyword_words(F.col(text)), positions=True)
     exploded = texts.select(*groups, F.col(order).alias("_at"), F.inline_outer(counted))
     return (
         exploded.filter(F.col("word").isNotNull())

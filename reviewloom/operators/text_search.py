@@ -14,7 +14,7 @@ from reviewloom.session import stored
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
     """(key, word, tf) for every word of every text; needs no shuffle."""
     counted = texts.select(key, F.inline_outer(word_counts(words(F.col("text")))))
-    return counted.filter(F.col("word").isNotNull()).select(key, "word", "tf")
+    return counted.filter(F.col("word").isNotNull())
 
 
 def word_weights(counts: DataFrame, n_texts: Column) -> DataFrame:
@@ -26,7 +26,7 @@ def word_weights(counts: DataFrame, n_texts: Column) -> DataFrame:
 def unit_terms(weighted: DataFrame, key: str) -> DataFrame:
     """(key, terms, weights): one sparse unit vector per text."""
     vectors = weighted.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("word", "weight"))).alias("_terms"),
+        F.collect_list(F.struct("word", "weight")).alias("_terms"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
     )
     return vectors.filter(F.col("_norm") > 0).select(

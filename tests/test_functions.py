@@ -79,7 +79,10 @@ def test_keyword_words_match_the_regular_expression(spark):
 
 
 def test_word_counts(spark):
-    got = column(spark, ["b a b", "", None, "x"], lambda c: text.word_counts(text.words(c)))
+    values = ["b a b", "", None, "x"]
+    got = column(spark, values, lambda c: text.word_counts(text.words(c)))
+    assert [g and [tuple(r) for r in g] for g in got] == [[("a", 1), ("b", 2)], None, None, [("x", 1)]]
+    got = column(spark, values, lambda c: text.word_counts(text.words(c), positions=True))
     assert [g and [tuple(r) for r in g] for g in got] == [[("a", 1, 1), ("b", 2, 0)], None, None, [("x", 1, 0)]]
 
 
