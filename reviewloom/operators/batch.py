@@ -23,6 +23,7 @@ from reviewloom.operators.ranking import best_first, check_k, rank_within
 
 MAX_BROADCAST_QUERIES = 10_000
 MAX_BROADCAST_VALUES = 8_000_000
+MAX_KEPT_ROWS = 5_000_000
 BLOCK_ROWS = 50_000
 ARROW_TYPES = {
     T.LongType(): pa.int64(),
@@ -227,14 +228,15 @@ def batch_top_k(index: DataFrame, queries: DataFrame, scores, k: int, positive:
     index = index.select("review_id", *scores.columns)
     queries = queries.select("query_id", *scores.columns)
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(scores.values)).alias("values")).first()
+    # A task holds the queries of a block and `k` rows for each of them.
+    at_most = max(1, min(MAX_BROADCAST_QUERIES, MAX_KEPT_ROWS // max(k, 1)))
+    values = (size["values"] or 0) / MAX_BROADCAST_VALUES
+    query_blocks = max(1, math.ceil(size["n"] / at_most), math.ceil(values))
     if not size["n"] or not k:
         best = index.sparkSession.createDataFrame([], _schemas(index, queries)[0])
-    elif size["n"] <= MAX_BROADCAST_QUERIES and size["values"] <= MAX_BROADCAST_VALUES:
+    elif query_blocks == 1:
         best = _with_broadcast(index, queries, scores, k, positive)
     else:
         index_blocks = math.ceil(index.count() / BLOCK_ROWS) or 1
-        query_blocks = math.ceil(
-            max(size["n"] / MAX_BROADCAST_QUERIES, size["values"] / MAX_BROADCAST_VALUES)
-        )
         best = _with_blocks(index, queries, scores, k, positive, index_blocks, query_blocks)
     return rank_within(best, ["query_id"], best_first(), k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from reviewloom.functions.constants import SUMMARY_KEYWORDS
 from reviewloom.functions.display import summary_sentence
 from reviewloom.functions.text import keyword_words, word_counts
 from reviewloom.operators.ranking import rank_within, top_k
+from reviewloom.operators.search import search_reviews
 from reviewloom.session import stored
 
 
@@ -70,3 +72,12 @@ def summarise(queries: DataFrame, hits: DataFrame, n_keywords: int = SUMMARY_KEY
     words = F.coalesce(F.col("keywords.word"), F.array().cast("array<string>"))
     sentence = summary_sentence(F.coalesce(F.col("query"), F.lit("")), words)
     return joined.select("query_id", sentence.alias("summary"), "supporting_reviews")
+
+
+def summarise_query(
+    query: str | None, embedder: PipelineModel, index: DataFrame, corpus: DataFrame, k: int = 5
+) -> DataFrame:
+    """One row (query_id, summary, supporting_reviews) for a single free-text query."""
+    asked = corpus.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+    hits = search_reviews(query, embedder, index, corpus, k).withColumn("query_id", F.lit(0))
+    return summarise(asked, hits)

@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 
 from reviewloom.functions.constants import HIT_CHARS, SCORE_DIGITS
 from reviewloom.functions.display import result_label
-from reviewloom.functions.text import escape_html, highlight, shorten
+from reviewloom.functions.text import escape_html, highlight, is_blank, shorten
 from reviewloom.functions.vectors import dot, literal_vector
 from reviewloom.operators.batch import DenseScores, batch_top_k, vector_matrix
-from reviewloom.operators.embedding import embed_query
+from reviewloom.operators.embedding import embed_hashed, embed_query
 from reviewloom.operators.ranking import best_first, check_k, join_counted, rank_within, top_k
 from reviewloom.operators.sampling import sample_exact
 from reviewloom.session import stored
@@ -99,6 +99,15 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     return batch_top_k(index, queries, DenseScores(), k)
 
 
+def search_reviews_batch(
+    queries: DataFrame, embedder: PipelineModel, index: DataFrame, k: int = 5
+) -> DataFrame:
+    """Ranked reviews for each (query_id, text) row; blank queries find nothing."""
+    asked = queries.filter(~is_blank(F.col("text"))).select(F.col("query_id").alias("review_id"), "text")
+    vectors = embed_hashed(asked, embedder).withColumnRenamed("review_id", "query_id")
+    return nearest_batch(index, vectors, k)
+
+
 def with_texts(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
     """Add the display columns to (query_id, rank, score, review_id) rows.
 
@@ -121,7 +130,8 @@ def fit_cells(index: DataFrame, n_cells: int = 256, seed: int = 42) -> list[list
     The centres only decide how well a search can skip cells, never its result,
     so a fixed-size sample is enough to place them.
     """
-    known = index.filter(F.col("embedding").isNotNull()).select("review_id", "embedding")
+    # A zero vector has no direction; such rows take no part in placing the centres.
+    known = index.filter(F.exists("embedding", lambda x: x != 0)).select("review_id", "embedding")
     sample = stored(sample_exact(known, FIT_ROWS, seed=seed))
     features = sample.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(features)

@@ -91,7 +91,7 @@ def topic_info(topics: DataFrame, n: int = NAME_WORDS) -> DataFrame:
 def fit_themes(vectors: DataFrame, ks: list[int], seed: int = SEED) -> KMeansModel:
     """Spherical k-means for each `k`; the one with the best silhouette is kept.
 
-    `vectors` holds unit vectors in `vector`; persist it, it is read many times.
+    `vectors` holds unit vectors in `vector`; it is read many times.
     """
     evaluator = ClusteringEvaluator(featuresCol="vector", distanceMeasure="cosine")
     best = None
@@ -115,24 +115,24 @@ def kmeans_themes(
     max_distance: float = 0.9,
     seed: int = SEED,
 ) -> tuple[DataFrame, KMeansModel]:
-    """(review_id, text, topic) and the fitted model.
+    """(review_id, topic) and the fitted model.
 
-    Rows further than `max_distance` in cosine from their centre, and clusters
-    under the minimum size, become outliers.
+    Rows further than `max_distance` in cosine from their centre, clusters under
+    the minimum size, and texts without a weighted word become outliers.
     """
-    vectors = embedder.transform(filled(texts)).select("review_id", "text", "vector").persist()
-    try:
-        model = fit_themes(vectors, ks, seed)
-    finally:
-        vectors.unpersist()
+    embedded = embedder.transform(filled(texts)).select("review_id", "vector")
+    # The cosine of a zero vector is undefined, so such rows are kept apart.
+    known = F.exists(vector_to_array("vector"), lambda x: x != 0)
+    vectors = stored(embedded.withColumn("known", known))
+    model = fit_themes(vectors.filter("known"), ks, seed)
     centres = texts.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "cluster int, centre array<double>",
     )
     # One centre per cluster: as small as the fitted model itself.
-    near = model.transform(vectors).withColumnRenamed("prediction", "cluster")
-    near = near.join(F.broadcast(centres.withColumn("centre", unit(F.col("centre")))), "cluster")
+    near = model.transform(vectors.filter("known")).withColumnRenamed("prediction", "cluster")
+    near = near.join(F.broadcast(centres.withColumn("centre", unit(F.col("centre"), "double"))), "cluster")
     distance = 1 - dot(vector_to_array("vector"), F.col("centre"))
-    kept = F.when(distance <= max_distance, F.col("cluster"))
-    clustered = near.select("review_id", "text", kept.alias("cluster"))
-    return assign_topics(clustered, "cluster", min_topic_size), model
+    clustered = near.select("review_id", F.when(distance <= max_distance, F.col("cluster")).alias("cluster"))
+    loose = vectors.filter(~F.col("known")).select("review_id", F.lit(None).cast("int").alias("cluster"))
+    return assign_topics(clustered.unionByName(loose), "cluster", min_topic_size), model

@@ -153,9 +153,7 @@ def search_free_text(spark, sf):
     corpus = _corpus(spark, sf)
     embedder = embedding.fit_hashed_embedder(corpus)
     index = embedding.embed_hashed(corpus, embedder)
-    asked = _queries(spark, sf).withColumnRenamed("query_id", "review_id")
-    vectors = embedding.embed_hashed(asked, embedder).withColumnRenamed("review_id", "query_id")
-    return search.nearest_batch(index, vectors, K)
+    return search.search_reviews_batch(_queries(spark, sf), embedder, index, K)
 
 
 def query_terms_table(spark, sf):
@@ -209,7 +207,7 @@ def themes_kmeans(spark, sf):
     texts = prepare.cluster_input(prepare.negative_reviews(_clean(spark, sf)), None)
     embedder = embedding.fit_hashed_embedder(texts, dims=256)
     topics, _ = themes.kmeans_themes(texts, embedder, [4, 8])
-    return topics.select("review_id", "topic")
+    return topics
 
 
 def split_80_10_10(spark, sf):

@@ -63,7 +63,7 @@ def run_all(
     negatives = read_dataset(spark, paths["negative"], "negative reviews")
     themed = cluster_input(negatives, cluster_sample)
     topics, _ = kmeans_themes(themed, embedder, list(topic_counts), min_topic_size)
-    write_dataset(themed.join(topics.select("review_id", "topic"), "review_id"), paths["assigned"])
+    write_dataset(themed.join(topics, "review_id"), paths["assigned"])
     write_dataset(topic_info(read_dataset(spark, paths["assigned"], "topic assignments")), paths["topics"])
     return paths
 

@@ -81,6 +81,7 @@ def test_nearest_batch_edge_cases(spark):
 @pytest.mark.parametrize("clustered", [False, True])
 def test_cells_give_the_exact_result(spark, tmp_path, clustered):
     m = unit_rows(300, 6, copies=100)
+    m[17] = 0
     if clustered:
         centres = unit_rows(5, 6)
         m = centres[np.arange(300) % 5] + 0.05 * unit_rows(300, 6)
@@ -134,6 +135,36 @@ def test_search_reviews_by_text(spark, corpus):
         assert empty.count() == 0 and empty.columns == ["rank", "score", "review_id", "summary", "review", "rating"]
 
 
+def test_many_queries_by_text(spark, corpus):
+    embedder = embedding.fit_hashed_embedder(corpus, dims=256)
+    index = embedding.embed_hashed(corpus, embedder)
+    asked = spark.createDataFrame([(1, "broken bottle"), (2, "  "), (3, None), (4, "great tea")], "query_id int, text string")
+    got = search.search_reviews_batch(asked, embedder, index, 2).orderBy("query_id", "rank")
+    assert [(r.query_id, r.review_id) for r in got.collect()][:3] == [(1, 3), (1, 5), (4, 2)]
+    assert {r.query_id for r in got.collect()} == {1, 4}
+    one = search.search_reviews("great tea", embedder, index, corpus, 2).collect()
+    assert [(r.review_id, r.score) for r in one] == [(r.review_id, r.score) for r in got.collect() if r.query_id == 4]
+    popular = search.with_texts(got, corpus).orderBy("query_id", "rank").collect()
+    assert [r.review for r in popular[:2]] == ["Broken box, broken bottle, leaking everywhere"] * 2
+
+
+def test_summary_of_a_single_query(spark, corpus):
+    embedder = embedding.fit_hashed_embedder(corpus, dims=256)
+    index = embedding.embed_hashed(corpus, embedder)
+    row = keywords.summarise_query("broken bottle", embedder, index, corpus, 2).first()
+    assert [e.review_id for e in row.supporting_reviews] == [3, 5]
+    assert "'broken bottle' suggest recurring issues around: broken, bottle, leaking, everywhere." in row.summary
+    blank = keywords.summarise_query(" ", embedder, index, corpus, 2).first()
+    assert "no dominant keywords found" in blank.summary and blank.supporting_reviews is None
+
+
+def test_plans_cut_before_the_shuffle(spark):
+    index = frame(spark, unit_rows(9))
+    assert "TakeOrderedAndProject" in search.nearest(index, [1.0] * 8, 3)._jdf.queryExecution().executedPlan().toString()
+    plan = search.nearest_batch(index, frame(spark, unit_rows(2), "query_id"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1 and "NestedLoop" not in plan
+
+
 def test_index_holds_corpus_reviews_only(spark, corpus):
     vectors = frame(spark, [[3.0, 4.0]] * 9)
     rows = embedding.build_index(corpus, vectors).collect()

@@ -133,13 +133,14 @@ def test_connected_components(spark, shape):
 
 def test_kmeans_themes(spark):
     topics = {"stale old chips bag": 30, "broken box bottle leaking": 25, "late slow shipping order": 22}
-    rows = [(f"{t} number{i}",) for t, n in topics.items() for i in range(n)] + [("zzz unrelated words entirely",)]
+    rows = [(f"{t} number{i}",) for t, n in topics.items() for i in range(n)] + [("zzz unrelated words entirely",), ("!!! ... ???",)]
     texts = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "review_id bigint, text string")
     embedder = embedding.fit_hashed_embedder(texts, dims=512)
     got, model = themes.kmeans_themes(texts, embedder, [2, 3, 4], min_topic_size=20)
-    info = {r.topic: (r["count"], r.name) for r in themes.topic_info(got).collect()}
+    named = themes.topic_info(got.join(texts, "review_id"))
+    info = {r.topic: (r["count"], r.name) for r in named.collect()}
     assert len(model.clusterCenters()) >= 3
     assert got.count() == len(rows) and {t for t in info if t >= 0} == {0, 1, 2}
     assert {c for t, (c, _) in info.items() if t >= 0} == {30, 25, 22}
     assert info[0][1].startswith("0_") and len(info[0][1].split("_")) == 5
-    assert got.filter(F.col("topic") == -1).count() == 1
+    assert got.filter(F.col("topic") == -1).count() == 2
