@@ -20,8 +20,9 @@ def sample_exact(df: DataFrame, n: int | None, key: str = "review_id", seed: int
     The rows with the `n` smallest key hashes are kept. A count per hash prefix
     (at most 16**4 rows) tells which prefixes can hold them, so only about `n`
     hashes meet in one task; the rows themselves are filtered in place by the
-    largest hash kept, without a join. `key` must be unique. The input is read
-    three times: persist or write it first if it is costly.
+    largest hash kept, without a join. `key` must be unique. Two small jobs run
+    at once to find that hash; the input is read three times in all, so write
+    it first if it is costly to make.
     """
     if n is None:
         return df
@@ -31,10 +32,10 @@ def sample_exact(df: DataFrame, n: int | None, key: str = "review_id", seed: int
     prefix = F.substring("h", 1, HASH_PREFIX)
     counts = hashed.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("rows"))
     running = counts.select("prefix", F.sum("rows").over(Window.orderBy("prefix")).alias("running"))
-    enough = running.filter(F.col("running") >= n).agg(F.coalesce(F.min("prefix"), F.lit("f" * HASH_PREFIX)))
-    smallest = hashed.filter(prefix <= enough.scalar()).orderBy("h").limit(n)
-    cut = smallest.agg(F.max("h"))
-    return df.filter(key_hash(F.col(key), seed) <= cut.scalar())
+    enough = running.filter(F.col("running") >= n).agg(F.min("prefix")).first()[0]
+    within = hashed if enough is None else hashed.filter(prefix <= enough)
+    largest = within.orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.filter(F.lit(False) if largest is None else key_hash(F.col(key), seed) <= largest)
 
 
 def hash_split(key: Column, seed: int = SEED) -> Column:

@@ -268,7 +268,7 @@ def sentiment_distribution(spark, sf):
 
 
 def dashboard_stats(spark, sf):
-    return reports.dashboard_counts(_corpus(spark, sf), _topic_info(spark, sf))
+    return reports.dashboard_counts(_corpus(spark, sf), themes.topic_sizes(_source_topics(spark, sf)))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
