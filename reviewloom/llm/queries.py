@@ -4,11 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import simhash, suffix_arrays
-from reviewloom.llm.rows import read_table
+from reviewloom.llm import class_lm, language_id, quality, simhash, suffix_arrays, token_counts
+from reviewloom.llm.rows import bytes_of, read_table
+
+
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return quality.judge(docs).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
+
+
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    marked = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.identify(marked, model).drop("text")
+
+
+def op5_brown_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    model, counts = class_lm.train(docs.filter(~class_lm.held_out()).select(bytes_of("text").alias("text")))
+    marked = docs.select("doc_id", class_lm.held_out().alias("held_out"), "text")
+    scored = class_lm.score_texts(marked, model, counts)
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))
+
+
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
 def op9_simhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,8 +49,11 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_neardup, op10_decontamination)}
+    listed = [
+        op2_quality_rules, op4_language_id, op5_brown_lm, op6_token_counts, op9_simhash_neardup, op10_decontamination,
+    ]
+    return {f.__name__: f for f in listed}
 
 
 def registered_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality.SQL}
