@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import class_lm, language_id, quality, simhash, suffix_arrays, token_counts
+from reviewloom.llm import class_lm, language_id, mixing, pii, quality, simhash, suffix_arrays, token_counts
 from reviewloom.llm.rows import bytes_of, read_table
 
 
+def op1_private_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     return quality.judge(docs).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
@@ -37,6 +41,11 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op8_entropy_mix(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op9_simhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf, "documents").select("doc_id", "text"))
     shown = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
@@ -50,7 +59,8 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
-        op2_quality_rules, op4_language_id, op5_brown_lm, op6_token_counts, op9_simhash_neardup, op10_decontamination,
+        op1_private_data, op2_quality_rules, op4_language_id, op5_brown_lm, op6_token_counts, op8_entropy_mix,
+        op9_simhash_neardup, op10_decontamination,
     ]
     return {f.__name__: f for f in listed}
 
