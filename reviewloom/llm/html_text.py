@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into runs of text, each under its path of tags from the root. For
-every path the length of text and the punctuation of all its runs are summed and put
-in relation to the number of nodes. The two ratios are smoothed along the order of
-paths in the page, fused by multiplication, and paths above a share of the page's
+A page is read into runs of text, each under its path of block tags from the root
+(links, emphasis and the like belong to their block). For every path the length of
+text, without that of links, and the punctuation of all its runs are summed and put in
+relation to the number of nodes. The two ratios are smoothed along the order of paths
+in the page and fused by multiplication; paths that reach a share of the page's
 spread are content. Paths through boilerplate (menus, page headers and footers,
-sidebars, notices, adverts, forms, comments) weigh nothing; paths below an article
-or main element belong to it, so its short paragraphs and headings stay.
+sidebars, notices, adverts, forms, comments) get no score. Where a page has an article
+or main element, paths outside get none either, and paths inside are lifted over the
+threshold, so that its short paragraphs and headings stay.
 
 Pages are independent of each other; each is read once, in time that grows with its length.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +54,7 @@ CUES = frozenset(
 )
 #: An opening tag that ends open ones: tag -> (tags it ends, tags it cannot look past).
 P_ENDERS = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend"}
+NO_P = BLOCKS - {"p"}
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -67,15 +71,16 @@ THRESHOLD = 0.5
 class Node:
     """An open element: its path, and what its ancestors make of its text."""
 
-    __slots__ = ("tag", "path", "hidden", "boiler", "inside", "heading")
+    __slots__ = ("tag", "path", "hidden", "boiler", "inside", "link")
 
-    def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
+    def __init__(self, tag: str, attributes: str, parent: Node | None, numbers: dict[tuple, int]) -> None:
         self.tag = tag
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        above = parent.path if parent else -1
+        self.path = numbers.setdefault((above, tag), len(numbers)) if tag in BLOCKS else above
+        self.link = bool(parent and parent.link) or tag == "a"
         named = _boilerplate_name(attributes) if tag not in ("html", "body") else False
         self.inside = bool(parent and parent.inside) or tag in CONTAINERS
         self.hidden = bool(parent and parent.hidden) or tag in HIDDEN or _is_hidden(attributes)
-        self.heading = bool(parent and parent.heading) or (tag in HEADINGS and self.inside)
         page_header = tag == "header"
         self.boiler = bool(parent and parent.boiler) or tag in BOILER or named or page_header
         if self.boiler and tag in HEADINGS and parent and parent.boiler == "header" and self.inside and not named:
@@ -148,7 +153,9 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 def _runs(page: str) -> Iterator[tuple[Node, str, bool]]:
     """(node, text, new block) for each visible run of text, in page order."""
-    stack = [Node("html", "", None)]
+    numbers: dict[tuple, int] = {}
+    stack = [Node("html", "", None, numbers)]
+    open_tags: Counter = Counter()  # so that an end tag without a start costs nothing
     fresh = True
     for kind, value, attributes in _tokens(page):
         top = stack[-1]
@@ -169,19 +176,21 @@ def _runs(page: str) -> Iterator[tuple[Node, str, bool]]:
             if value == "html":
                 continue
             if value in P_ENDERS:
-                _close(stack, {"p"}, BLOCKS - {"p"})
+                _close(stack, open_tags, {"p"}, NO_P)
             elif value in SIBLINGS:
-                _close(stack, *SIBLINGS[value])
-            stack.append(Node(value, attributes, stack[-1]))
-            if attributes.endswith("/") and value not in BLOCKS and value not in RAW:
-                stack.pop()
-        elif value not in ("html", "body"):
-            _close(stack, {value}, set())
+                _close(stack, open_tags, *SIBLINGS[value])
+            if not (attributes.endswith("/") and value not in BLOCKS and value not in RAW):
+                stack.append(Node(value, attributes, stack[-1], numbers))
+                open_tags[value] += 1
+        elif value not in ("html", "body") and open_tags[value]:
+            _close(stack, open_tags, {value}, set())
 
 
-def _close(stack: list[Node], tags: set[str], barriers: set[str]) -> None:
+def _close(stack: list[Node], open_tags: Counter, tags: set[str], barriers: set[str]) -> None:
+    """End the innermost open element of `tags`, and what it holds, unless a barrier is nearer."""
     for at in range(len(stack) - 1, 0, -1):
         if stack[at].tag in tags:
+            open_tags.subtract(n.tag for n in stack[at:])
             del stack[at:]
             return
         if stack[at].tag in barriers:
@@ -199,22 +208,18 @@ class _Path:
 
 
 def _content_paths(paths: dict[tuple, _Path]) -> set[tuple]:
-    """Paths whose smoothed and fused ratios are above the threshold."""
-    listed = sorted(paths.items(), key=lambda x: x[1].order)
-    free = [(k, p) for k, p in listed if not p.boiler]
-    if any(p.inside for _, p in free):
-        # The article bounds the content: its paths carry it, whatever their ratios.
-        free = [(k, p) for k, p in free if p.inside]
-        lift = 1.0
-    else:
-        lift = 0.0
+    """Paths whose smoothed and fused ratios reach the threshold."""
+    free = sorted(((k, p) for k, p in paths.items() if not p.boiler), key=lambda x: x[1].order)
+    article = any(p.inside for _, p in free)
+    free = [(k, p) for k, p in free if p.inside or not article]
     if not free:
         return set()
-    length = np.array([p.length * (1 - p.linked / max(p.length, 1)) / max(p.nodes, 1) for _, p in free])
+    length = np.array([(p.length - p.linked) / max(p.nodes, 1) for _, p in free])
     marks = np.array([p.marks / max(p.nodes, 1) for _, p in free])
     fused = _smoothed(length) * (1 + _smoothed(marks))
-    bound = THRESHOLD * fused.std()
-    return {k for (k, p), score in zip(free, fused) if lift or score >= min(bound, fused.max())}
+    bound = min(THRESHOLD * fused.std(), fused.max())
+    lift = np.array([bound * p.inside for _, p in free])
+    return {k for (k, _), score in zip(free, fused + lift) if score >= bound}
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -224,7 +229,7 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
 
 def main_text(page: str) -> str:
     """Blocks of the main text, joined by line feeds; empty if there is none."""
-    blocks: list[tuple[list[tuple[tuple, str]]]] = []
+    blocks: list[list[tuple[tuple, str]]] = []
     paths: dict[tuple, _Path] = {}
     current: list[tuple[tuple, str]] = []
     for node, raw, fresh in _runs(page):
@@ -242,8 +247,7 @@ def main_text(page: str) -> str:
             path.nodes += 1
             path.length += bare
             path.marks += len(MARKS.findall(text))
-            if "/a" in node.path and (node.path.endswith("/a") or "/a/" in node.path):
-                path.linked += bare
+            path.linked += bare * node.link
     blocks.append(current)
     content = _content_paths({k: p for k, p in paths.items() if p.length})
     out = []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import class_lm, language_id, mixing, pii, quality, simhash, suffix_arrays, token_counts
+from reviewloom.llm import class_lm, html_text, language_id, mixing, pii, quality, secrets, simhash, suffix_arrays, token_counts
 from reviewloom.llm.rows import bytes_of, read_table
 
 
@@ -21,6 +21,11 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
+def op3_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     model = language_id.train(docs.filter(~language_id.held_out()))
@@ -41,6 +46,10 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op8_entropy_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -59,8 +68,8 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
-        op1_private_data, op2_quality_rules, op4_language_id, op5_brown_lm, op6_token_counts, op8_entropy_mix,
-        op9_simhash_neardup, op10_decontamination,
+        op1_private_data, op2_quality_rules, op3_main_text, op4_language_id, op5_brown_lm,
+        op6_token_counts, op7_secret_scan, op8_entropy_mix, op9_simhash_neardup, op10_decontamination,
     ]
     return {f.__name__: f for f in listed}
 
