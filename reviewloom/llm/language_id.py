@@ -77,6 +77,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
+            if not counts:
+                continue
             words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
             grams = Grams(words)
             totals = np.zeros(len(ORDERS) * SLOTS)
