@@ -9,13 +9,13 @@ WHITESPACE_CODE_POINTS = (
 WHITESPACE = "".join(chr(int(p, 16)) for p in WHITESPACE_CODE_POINTS.split())
 
 # Words never reported as keywords.
-STOPWORDS = (
-    "the and for that this with was were are but "
-    "had have has too very not you your our all "
-    "from they them their would could should there "
-    "about into just been also than when what which "
-    "because while after before then food product"
-).split()
+STOPWORDS = [
+    "the", "and", "for", "that", "this", "with", "was", "were", "are", "but",
+    "had", "have", "has", "too", "very", "not", "you", "your", "our", "all",
+    "from", "they", "them", "their", "would", "could", "should", "there",
+    "about", "into", "just", "been", "also", "than", "when", "what", "which",
+    "because", "while", "after", "before", "then", "food", "product",
+]
 
 # Cells a CSV reader takes as missing.
 MISSING_WORDS = (
@@ -23,15 +23,23 @@ MISSING_WORDS = (
     "N/A|NA|NULL|NaN|None|n/a|nan|null"
 ).split("|")
 
-# Class ids and names of the sentiment model.
-CLASS_NAMES = {0: "NEGATIVE", 1: "POSITIVE"}
+# Columns of raw reviews and their names in the review sets.
+REVIEW_FIELDS = {
+    "Text": "text",
+    "Summary": "summary",
+    "Score": "Score",
+    "HelpfulnessNumerator": "HelpfulnessNumerator",
+    "HelpfulnessDenominator": "HelpfulnessDenominator",
+}
+
+# Classes of the sentiment model with their ids, and the scores that belong to them.
+CLASS_IDS = {"NEGATIVE": 0, "POSITIVE": 1}
+CLASS_OF_SCORE = {1: "NEGATIVE", 2: "NEGATIVE", 4: "POSITIVE", 5: "POSITIVE"}
 
 # Lengths, sizes and seeds of the stages.
 SEED = 42
 CLEAN_MIN_CHARS = 20
 SEARCH_MIN_CHARS = 30
-CLEAN_SAMPLE = 50_000
-CLUSTER_SAMPLE = 3_000
 MIN_TOPIC_SIZE = 20
 SUMMARY_KEYWORDS = 6
 MAX_TOKENS = 512
@@ -40,9 +48,10 @@ EVIDENCE_CHARS = 450
 OUTLIER_TOPIC = -1
 
 # Text of the summary sentence.
-SUMMARY_HEAD = "Top retrieved reviews for '"
-SUMMARY_MIDDLE = "' suggest recurring issues around: "
-SUMMARY_TAIL = ". Below are representative supporting reviews."
+SUMMARY_SENTENCE = (
+    "Top retrieved reviews for '{query}' suggest recurring issues around: {keywords}. "
+    "Below are representative supporting reviews."
+)
 NO_KEYWORDS = "no dominant keywords found"
 
 # Scores are ranked and reported at this many decimals, so that the order in

@@ -6,11 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import (
-    CLASS_NAMES,
+    CLASS_IDS,
+    CLASS_OF_SCORE,
     NO_KEYWORDS,
-    SUMMARY_HEAD,
-    SUMMARY_MIDDLE,
-    SUMMARY_TAIL,
+    SUMMARY_SENTENCE,
 )
 
 
@@ -25,17 +24,22 @@ def confidence_percent(score: Column) -> Column:
 
 
 def display_label(label: Column) -> Column:
-    return F.when(label == CLASS_NAMES[1], "Positive Review").otherwise("Negative Review")
+    return F.when(label == "POSITIVE", "Positive Review").otherwise("Negative Review")
 
 
 def class_name(label: Column) -> Column:
     """Class id to class name."""
-    return F.when(label == 0, CLASS_NAMES[0]).when(label == 1, CLASS_NAMES[1])
+    return F.coalesce(*[F.when(label == number, F.lit(name)) for name, number in CLASS_IDS.items()])
 
 
 def class_id(name: Column) -> Column:
     """Class name to class id."""
-    return F.when(name == CLASS_NAMES[0], 0).when(name == CLASS_NAMES[1], 1)
+    return F.coalesce(*[F.when(name == own, F.lit(number)) for own, number in CLASS_IDS.items()])
+
+
+def class_of_score(score: Column) -> Column:
+    """Class id of a star rating; ratings between the classes have none."""
+    return F.coalesce(*[F.when(score == s, F.lit(CLASS_IDS[name])) for s, name in CLASS_OF_SCORE.items()])
 
 
 def argmax(scores: Column) -> Column:
@@ -60,4 +64,6 @@ def result_label(rank: Column) -> Column:
 def summary_sentence(query: Column, keywords: Column) -> Column:
     """Sentence naming the keywords found for a query."""
     listed = F.when(F.size(keywords) > 0, F.array_join(keywords, ", ")).otherwise(F.lit(NO_KEYWORDS))
-    return F.concat(F.lit(SUMMARY_HEAD), query, F.lit(SUMMARY_MIDDLE), listed, F.lit(SUMMARY_TAIL))
+    before, _, rest = SUMMARY_SENTENCE.partition("{query}")
+    between, _, behind = rest.partition("{keywords}")
+    return F.concat(F.lit(before), query, F.lit(between), listed, F.lit(behind))

@@ -217,8 +217,11 @@ def density_themes(
     Rows with `min_neighbours` others within the cosine threshold are core;
     core rows within the threshold of each other share a theme. Another row
     joins the theme of its nearest core row within the threshold, ties to the
-    smaller id. The rest, and themes under the minimum size, are outliers.
+    smaller id. The rest, rows without a vector and themes under the minimum size
+    are outliers.
     """
+    missing = vectors.filter("embedding IS NULL").select("review_id", F.lit(None).cast("bigint").alias("cluster"))
+    vectors = vectors.filter("embedding IS NOT NULL")
     points = stored(fold_copies(vectors.select("review_id", "embedding")))
     n_tiles = math.ceil(points.count() / tile_rows) or 1
     counts = neighbour_counts(points, threshold, n_tiles)
@@ -254,4 +257,4 @@ def density_themes(
         points.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0],
         spread="review_id",
     ).select("review_id", F.col("component").alias("cluster"))
-    return assign_topics(rows, "cluster", min_topic_size)
+    return assign_topics(rows.unionByName(missing), "cluster", min_topic_size)

@@ -6,11 +6,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.constants import SUMMARY_KEYWORDS
+from reviewloom.functions.constants import EVIDENCE_CHARS, SUMMARY_KEYWORDS
 from reviewloom.functions.display import summary_sentence
 from reviewloom.functions.text import keyword_words, word_counts
 from reviewloom.operators.ranking import rank_within, top_k
-from reviewloom.operators.search import search_reviews
+from reviewloom.operators.search import search_reviews, snippets
 from reviewloom.session import stored
 
 
@@ -53,7 +53,8 @@ def summarise(queries: DataFrame, hits: DataFrame, n_keywords: int = SUMMARY_KEY
     """One row per query: the summary sentence and the reviews it rests on.
 
     `queries` holds (query_id, query), `hits` ranked search hits with texts. A
-    query holds at most `k` hits and `n_keywords` words, so the lists stay small.
+    query holds at most `k` hits and `n_keywords` words, so the lists stay small. The
+    evidence has the whole review and a shortened, highlighted snippet of it.
     A query without hits gets the fallback sentence and no evidence. The hits
     feed both parts and are stored, so that the search behind them runs once.
     """
@@ -63,9 +64,10 @@ def summarise(queries: DataFrame, hits: DataFrame, n_keywords: int = SUMMARY_KEY
     keywords = ranked.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("keywords")
     )
-    evidence = hits.groupBy("query_id").agg(
+    shown = snippets(hits.join(queries, "query_id"), "query", EVIDENCE_CHARS)
+    evidence = shown.groupBy("query_id").agg(
         F.sort_array(
-            F.collect_list(F.struct("rank", "score", "review_id", "summary", "review", "rating"))
+            F.collect_list(F.struct("rank", "score", "review_id", "summary", "review", "rating", "snippet"))
         ).alias("supporting_reviews")
     )
     joined = queries.join(keywords, "query_id", "left").join(evidence, "query_id", "left")

@@ -2,37 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.constants import (
-    CLEAN_MIN_CHARS,
-    CLUSTER_SAMPLE,
-    SEARCH_MIN_CHARS,
-    SEED,
-)
+from reviewloom.functions.constants import CLASS_OF_SCORE, CLEAN_MIN_CHARS, REVIEW_FIELDS, SEARCH_MIN_CHARS, SEED
+from reviewloom.functions.display import class_of_score
 from reviewloom.functions.text import longer_than, strip
 from reviewloom.operators.sampling import sample_exact
-from reviewloom.sources.tables import RAW_COLUMNS
-
-REVIEW_COLUMNS = ["text", "summary", "Score", "HelpfulnessNumerator", "HelpfulnessDenominator", "label"]
-
-
-def keep_existing(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Project the wanted columns that exist, in the order asked for."""
-    return df.select(*[c for c in wanted if c in df.columns])
-
-
-def drop_missing(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Drop rows with a missing value; written so that it reaches the scan."""
-    for column in columns:
-        df = df.filter(F.col(column).isNotNull())
-    return df
-
-
-def score_to_label(score: Column) -> Column:
-    """1 and 2 are negative (0), 4 and 5 positive (1); anything else has no label."""
-    return F.when(score.isin(1, 2), 0).when(score.isin(4, 5), 1)
 
 
 def stripped_texts(df: DataFrame, min_chars: int) -> DataFrame:
@@ -46,16 +22,18 @@ def clean_reviews(
     sample_size: int | None = None,
     key: str = "Id",
     seed: int = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Raw reviews to labelled reviews keyed by `review_id`.
 
-    `key` names a unique column of the raw table. Neutral and unrated reviews
-    and short texts are dropped before the optional sample is taken.
+    `key` names a unique column of the raw table; columns named in `carry` are taken
+    along. Neutral and unrated reviews and short texts are dropped before the optional
+    sample is taken; the filters are written so that they reach the scan.
     """
-    kept = drop_missing(keep_existing(raw, [key, *RAW_COLUMNS]), ["Text", "Score"])
-    labelled = drop_missing(
-        kept.withColumn("label", score_to_label(F.col("Score")).cast("int")), ["label"]
-    ).withColumnsRenamed({key: "review_id", "Text": "text", "Summary": "summary"})
+    present = {old: new for old, new in REVIEW_FIELDS.items() if old in raw.columns}
+    rated = raw.filter(F.col("Text").isNotNull() & F.col("Score").isNotNull() & F.col("Score").isin(*CLASS_OF_SCORE))
+    named = rated.select(F.col(key).alias("review_id"), *[F.col(old).alias(new) for old, new in present.items()], *carry)
+    labelled = named.withColumn("label", class_of_score(F.col("Score")))
     return sample_exact(stripped_texts(labelled, CLEAN_MIN_CHARS), sample_size, seed=seed)
 
 
@@ -65,13 +43,12 @@ def negative_reviews(clean: DataFrame) -> DataFrame:
 
 def search_corpus(clean: DataFrame) -> DataFrame:
     """Reviews long enough to be searched."""
-    return stripped_texts(keep_existing(clean, ["review_id", *REVIEW_COLUMNS]), SEARCH_MIN_CHARS)
+    own = [c for c in ("review_id", *REVIEW_FIELDS.values(), "label") if c in clean.columns]
+    return stripped_texts(clean.select(*own), SEARCH_MIN_CHARS)
 
 
-def cluster_input(
-    negatives: DataFrame, sample_size: int | None = CLUSTER_SAMPLE, seed: int = SEED
-) -> DataFrame:
-    """Negative reviews to be grouped into themes."""
+def cluster_input(negatives: DataFrame, sample_size: int | None = None, seed: int = SEED) -> DataFrame:
+    """Negative reviews to be grouped into themes: all, or an exact sample of them."""
     return sample_exact(stripped_texts(negatives, CLEAN_MIN_CHARS), sample_size, seed=seed)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import SEED
+from reviewloom.session import stored
 
 HASH_PREFIX = 4
 
@@ -17,25 +18,29 @@ def key_hash(key: Column, seed: int = SEED) -> Column:
 def sample_exact(df: DataFrame, n: int | None, key: str = "review_id", seed: int = SEED) -> DataFrame:
     """Exactly `min(n, rows)` rows, the same ones at any partitioning.
 
-    The rows with the `n` smallest key hashes are kept. A count per hash prefix
-    (at most 16**4 rows) tells which prefixes can hold them, so only about `n`
-    hashes meet in one task; the rows themselves are filtered in place by the
-    largest hash kept, without a join. `key` must be unique. Two small jobs run
-    at once to find that hash; the input is read three times in all, so write
-    it first if it is costly to make.
+    The rows with the `n` smallest key hashes are kept. Hashes are made once and stored;
+    counts per hash prefix tell which prefixes are taken whole and which one is
+    taken in part. Only the hashes of that one are ranked, whatever `n` is, and the
+    rows are then filtered in place by the largest hash kept, without a join.
+    `key` must be unique; the input is read twice.
     """
     if n is None:
         return df
     if n < 0:
         raise ValueError("n must not be negative")
-    hashed = df.select(key_hash(F.col(key), seed).alias("h"))
+    hashed = stored(df.select(key_hash(F.col(key), seed).alias("h")))
     prefix = F.substring("h", 1, HASH_PREFIX)
     counts = hashed.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("rows"))
-    running = counts.select("prefix", F.sum("rows").over(Window.orderBy("prefix")).alias("running"))
-    enough = running.filter(F.col("running") >= n).agg(F.min("prefix")).first()[0]
-    within = hashed if enough is None else hashed.filter(prefix <= enough)
-    largest = within.orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return df.filter(F.lit(False) if largest is None else key_hash(F.col(key), seed) <= largest)
+    running = counts.withColumn("running", F.sum("rows").over(Window.orderBy("prefix")))
+    edge = running.filter(F.col("running") >= n).orderBy("prefix").limit(1).first()
+    if edge is None:
+        return df
+    need = n - (edge["running"] - edge["rows"])
+    inside = hashed.filter(prefix == edge["prefix"]).orderBy("h").limit(need)
+    largest = inside.agg(F.max("h")).first()[0]
+    # Without a hash of the edge itself, the whole prefixes before it are the sample.
+    keep = key_hash(F.col(key), seed) <= largest if need else key_hash(F.col(key), seed) < edge["prefix"]
+    return df.filter(keep)
 
 
 def hash_split(key: Column, seed: int = SEED) -> Column:

@@ -21,12 +21,9 @@ from reviewloom.functions.vectors import dot, literal_vector
 from reviewloom.operators.batch import DenseScores, batch_top_k, vector_matrix
 from reviewloom.operators.embedding import embed_hashed, embed_query
 from reviewloom.operators.ranking import best_first, check_k, join_counted, rank_within, top_k
-from reviewloom.operators.sampling import sample_exact
 from reviewloom.session import stored
 
 HIT_SCHEMA = "rank int, score double, review_id bigint, summary string, review string, rating int"
-MAX_COLLECTED_HITS = 1_000
-FIT_ROWS = 100_000
 
 
 def hit_columns(corpus: DataFrame) -> list:
@@ -43,7 +40,7 @@ def hit_columns(corpus: DataFrame) -> list:
 def score_vectors(index: DataFrame, query_vector: Sequence[float]) -> DataFrame:
     """(review_id, score) of every indexed review for one query."""
     score = F.round(dot(F.col("embedding"), literal_vector(query_vector)), SCORE_DIGITS)
-    return index.select("review_id", score.alias("score"))
+    return index.select("review_id", F.nanvl(score, F.lit(None)).alias("score"))
 
 
 def nearest(index: DataFrame, query_vector: Sequence[float], k: int = 5) -> DataFrame:
@@ -56,23 +53,10 @@ def nearest(index: DataFrame, query_vector: Sequence[float], k: int = 5) -> Data
 def fetch_hits(best: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Ranked hits with their texts, for one query's `best` rows.
 
-    Up to MAX_COLLECTED_HITS keys are fetched first and pushed into the corpus
-    scan, which then skips every row group without one of them.
+    The `k` ranked keys are as few as the caller asked for; the texts are looked up by key.
     """
-    spark = corpus.sparkSession
-    if check_k(k) <= MAX_COLLECTED_HITS:
-        rows = best.collect()
-        ids = [r["review_id"] for r in rows]
-        ranked = [(i, r["review_id"], r["score"]) for i, r in enumerate(rows, start=1)]
-        schema = T.StructType(
-            [T.StructField("rank", T.IntegerType()), best.schema["review_id"], best.schema["score"]]
-        )
-        small = F.broadcast(spark.createDataFrame(ranked, schema))
-        texts = corpus.filter(F.col("review_id").isin(ids))
-    else:
-        small = rank_within(best.withColumn("_q", F.lit(0)), ["_q"], best_first(), k).drop("_q")
-        texts = corpus
-    hits = texts.select("review_id", *hit_columns(corpus)).join(small, "review_id")
+    ranked = rank_within(best.withColumn("_q", F.lit(0)), ["_q"], best_first(), check_k(k)).drop("_q")
+    hits = corpus.select("review_id", *hit_columns(corpus)).join(ranked, "review_id")
     return hits.select("rank", "score", "review_id", "summary", "review", "rating").orderBy("rank")
 
 
@@ -125,22 +109,23 @@ def with_texts(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def fit_cells(index: DataFrame, n_cells: int = 256, seed: int = 42) -> list[list[float]]:
-    """Unit centres of a spherical k-means over at most FIT_ROWS vectors.
+    """Unit centres of a spherical k-means over all vectors.
 
-    The centres only decide how well a search can skip cells, never its result,
-    so a fixed-size sample is enough to place them.
+    The centres only decide how well a search can skip cells, never its result.
     """
     # A zero vector has no direction; such rows take no part in placing the centres.
     known = index.filter(F.exists("embedding", lambda x: x != 0)).select("review_id", "embedding")
-    sample = stored(sample_exact(known, FIT_ROWS, seed=seed))
-    features = sample.select(array_to_vector("embedding").alias("features"))
+    features = stored(known).select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(features)
     centres = [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
     return [list(c / (np.linalg.norm(c) or 1.0)) for c in centres]
 
 
 def with_cells(index: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """Add each vector's nearest centre as `cell` and its cosine as `closeness`."""
+    """Add each vector's nearest centre as `cell` and its cosine as `closeness`.
+
+    Rows without a vector can be no hit and are dropped.
+    """
     matrix = np.array(centres)
     shared = index.sparkSession.sparkContext.broadcast(matrix)
     schema = T.StructType(
@@ -160,7 +145,7 @@ def with_cells(index: DataFrame, centres: list[list[float]]) -> DataFrame:
                 names=["review_id", "embedding", "cell", "closeness"],
             )
 
-    return index.select("review_id", "embedding").mapInArrow(run, schema)
+    return index.select("review_id", "embedding").filter("embedding IS NOT NULL").mapInArrow(run, schema)
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
@@ -190,7 +175,7 @@ def nearest_in_cells(
     query = np.asarray(query_vector, dtype=np.float64)
     to_centre = np.arccos(np.clip(np.array(centres) @ query, -1.0, 1.0))
     reach = {}
-    for cell, rows, furthest in bounds:
+    for cell, rows, furthest in bounds:  # one row per centre at most
         radius = math.acos(max(-1.0, min(1.0, furthest)))
         reach[cell] = (math.cos(max(0.0, to_centre[cell] - radius)), rows)
     ordered = sorted(reach, key=lambda c: -reach[c][0])
@@ -202,12 +187,13 @@ def nearest_in_cells(
         held += reach[cell][1]
     if not first:
         return nearest(cells, query_vector, k)
-    seen = nearest(cells.filter(F.col("cell").isin(first)), query_vector, k)
+    seen = stored(nearest(cells.filter(F.col("cell").isin(first)), query_vector, k))
     worst = seen.agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).first()
     floor = worst["score"] if worst["n"] >= k else -2.0
     # Stored vectors are single precision, so their length differs slightly from one.
-    matter = [c for c in ordered if reach[c][0] >= floor - 1e-5]
-    return nearest(cells.filter(F.col("cell").isin(matter)), query_vector, k)
+    matter = [c for c in ordered if c not in first and reach[c][0] >= floor - 1e-5]
+    rest = nearest(cells.filter(F.col("cell").isin(matter)), query_vector, k) if matter else seen.limit(0)
+    return top_k(seen.unionByName(rest), k, *best_first())
 
 
 # -- result tables --------------------------------------------------------

@@ -43,6 +43,18 @@ def token_window(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     )
 
 
+def token_windows(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """All tokens of each text as numbered windows of the length a model accepts.
+
+    A text without tokens has one empty window.
+    """
+    tokens = words(F.coalesce(F.col("text"), F.lit("")))
+    count = F.greatest(F.ceil(F.size("_all") / max_tokens), F.lit(1)).cast("int")
+    numbered = texts.withColumn("_all", tokens).withColumn("window", F.explode(F.sequence(F.lit(0), count - 1)))
+    cut = F.slice("_all", F.col("window") * max_tokens + 1, F.lit(max_tokens))
+    return numbered.select(*texts.columns, "window", cut.alias("tokens"))
+
+
 def feature_stages(dims: int) -> list:
     """Hashed word weights over the whole text."""
     return [

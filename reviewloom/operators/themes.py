@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import MIN_TOPIC_SIZE, OUTLIER_TOPIC, SEED
@@ -17,14 +17,16 @@ from reviewloom.operators.ranking import join_counted, rank_within
 from reviewloom.session import stored
 
 NAME_WORDS = 4
+MAX_DISTANCE = 0.9
 
 
 def topic_numbers(assigned: DataFrame, cluster: str = "cluster", min_size: int = MIN_TOPIC_SIZE) -> DataFrame:
     """(cluster, topic, rows): topics numbered by size, small clusters are outliers.
 
     Ties go to the cluster with the smallest member. Rows without a cluster are
-    outliers already. There is one row per cluster that is large enough, so the
-    numbering is one small sort.
+    outliers already. A number is the count of larger clusters plus the place among
+    those of equal size, so the clusters themselves are never sorted in one task:
+    only the distinct sizes are, and there are few of them (their sum is the number of rows).
     """
     sizes = (
         assigned.filter(F.col(cluster).isNotNull())
@@ -32,8 +34,11 @@ def topic_numbers(assigned: DataFrame, cluster: str = "cluster", min_size: int =
         .agg(F.count(F.lit(1)).alias("rows"), F.min("review_id").alias("first_member"))
         .filter(F.col("rows") >= min_size)
     )
-    order = Window.orderBy(F.desc("rows"), F.asc("first_member"))
-    return sizes.select(cluster, (F.row_number().over(order) - 1).alias("topic"), "rows")
+    alike = sizes.groupBy("rows").agg(F.count(F.lit(1)).alias("_alike"))
+    larger = F.sum("_alike").over(Window.orderBy(F.desc("rows"))) - F.col("_alike")
+    place = F.row_number().over(Window.partitionBy("rows").orderBy("first_member")) - 1
+    numbered = sizes.withColumn("_place", place).join(alike.select("rows", larger.alias("_larger")), "rows")
+    return numbered.select(cluster, (F.col("_larger") + F.col("_place")).cast("int").alias("topic"), "rows")
 
 
 def assign_topics(assigned: DataFrame, cluster: str = "cluster", min_size: int = MIN_TOPIC_SIZE) -> DataFrame:
@@ -107,12 +112,45 @@ def fit_themes(vectors: DataFrame, ks: list[int], seed: int = SEED) -> KMeansMod
     return best[1]
 
 
+def in_reach(vectors: DataFrame, centres: DataFrame, max_distance: float = MAX_DISTANCE) -> DataFrame:
+    """(review_id, cluster): the centre with the largest cosine, if it is near enough.
+
+    `vectors` holds (review_id, embedding), `centres` (cluster, centre), one row per
+    cluster. Ties go to the smaller cluster. Rows without a vector, or with a zero
+    vector, have no cluster.
+    """
+    known = F.exists("embedding", lambda x: x != 0)
+    # One centre per cluster: as small as the fitted model itself.
+    listed = centres.agg(F.sort_array(F.collect_list(F.struct("cluster", unit(F.col("centre"), "double").alias("centre")))).alias("_c"))
+    near = vectors.select("review_id", unit(F.col("embedding"), "double").alias("_v"), known.alias("_known"))
+    scored = F.transform("_c", lambda c: F.struct((-F.round(dot(F.col("_v"), c["centre"]), 9)).alias("far"), c["cluster"].alias("cluster")))
+    best = near.crossJoin(F.broadcast(listed)).select("review_id", "_known", F.array_min(scored).alias("_best"))
+    reached = F.col("_known") & (1 + F.col("_best.far") <= max_distance)
+    return best.select("review_id", F.when(reached, F.col("_best.cluster")).alias("cluster"))
+
+
+def _vectors(texts: DataFrame, embedder: PipelineModel) -> DataFrame:
+    embedded = embedder.transform(filled(texts))
+    return embedded.select("review_id", "vector", vector_to_array("vector").alias("embedding"))
+
+
+def _centres(spark: SparkSession, model: KMeansModel) -> DataFrame:
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows, "cluster int, centre array<double>")
+
+
+def _fit(texts: DataFrame, embedder: PipelineModel, ks: list[int], seed: int) -> tuple[DataFrame, KMeansModel]:
+    vectors = stored(_vectors(texts, embedder))
+    # The cosine of a zero vector is undefined, so such rows place no centre.
+    return vectors, fit_themes(vectors.filter(F.exists("embedding", lambda x: x != 0)), ks, seed)
+
+
 def kmeans_themes(
     texts: DataFrame,
     embedder: PipelineModel,
     ks: list[int],
     min_topic_size: int = MIN_TOPIC_SIZE,
-    max_distance: float = 0.9,
+    max_distance: float = MAX_DISTANCE,
     seed: int = SEED,
 ) -> tuple[DataFrame, KMeansModel]:
     """(review_id, topic) and the fitted model.
@@ -120,19 +158,34 @@ def kmeans_themes(
     Rows further than `max_distance` in cosine from their centre, clusters under
     the minimum size, and texts without a weighted word become outliers.
     """
-    embedded = embedder.transform(filled(texts)).select("review_id", "vector")
-    # The cosine of a zero vector is undefined, so such rows are kept apart.
-    known = F.exists(vector_to_array("vector"), lambda x: x != 0)
-    vectors = stored(embedded.withColumn("known", known))
-    model = fit_themes(vectors.filter("known"), ks, seed)
-    centres = texts.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cluster int, centre array<double>",
-    )
-    # One centre per cluster: as small as the fitted model itself.
-    near = model.transform(vectors.filter("known")).withColumnRenamed("prediction", "cluster")
-    near = near.join(F.broadcast(centres.withColumn("centre", unit(F.col("centre"), "double"))), "cluster")
-    distance = 1 - dot(vector_to_array("vector"), F.col("centre"))
-    clustered = near.select("review_id", F.when(distance <= max_distance, F.col("cluster")).alias("cluster"))
-    loose = vectors.filter(~F.col("known")).select("review_id", F.lit(None).cast("int").alias("cluster"))
-    return assign_topics(clustered.unionByName(loose), "cluster", min_topic_size), model
+    vectors, model = _fit(texts, embedder, ks, seed)
+    clustered = in_reach(vectors, _centres(texts.sparkSession, model), max_distance)
+    return assign_topics(clustered, "cluster", min_topic_size), model
+
+
+def fit_theme_table(
+    texts: DataFrame,
+    embedder: PipelineModel,
+    ks: list[int],
+    min_topic_size: int = MIN_TOPIC_SIZE,
+    max_distance: float = MAX_DISTANCE,
+    seed: int = SEED,
+) -> DataFrame:
+    """(cluster, centre, topic): the fitted themes as a small table to be saved.
+
+    Clusters under the minimum size keep their centre and have the outlier topic.
+    """
+    vectors, model = _fit(texts, embedder, ks, seed)
+    centres = _centres(texts.sparkSession, model)
+    numbers = topic_numbers(stored(in_reach(vectors, centres, max_distance)), "cluster", min_topic_size)
+    topic = F.coalesce("topic", F.lit(OUTLIER_TOPIC)).alias("topic")
+    return centres.join(numbers, "cluster", "left").select("cluster", "centre", topic)
+
+
+def assign_themes(
+    texts: DataFrame, embedder: PipelineModel, themes: DataFrame, max_distance: float = MAX_DISTANCE
+) -> DataFrame:
+    """(review_id, topic) of texts, old or new, under themes that were fitted and saved before."""
+    clustered = in_reach(_vectors(texts, embedder), themes.select("cluster", "centre"), max_distance)
+    named = clustered.join(F.broadcast(themes.select("cluster", "topic")), "cluster", "left")
+    return named.select("review_id", F.coalesce("topic", F.lit(OUTLIER_TOPIC)).alias("topic"))

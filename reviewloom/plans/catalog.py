@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.display import class_id, class_name, safe_int
-from reviewloom.functions.text import query_terms
+from reviewloom.functions.text import is_blank, query_terms
 from reviewloom.functions.vectors import unit
 from reviewloom.operators import (
     density,
     embedding,
     keywords,
+    naive_bayes,
     prepare,
     reports,
     sampling,
     search,
     sentiment,
+    slots,
     text_search,
     themes,
 )
-from reviewloom.session import stored
+from reviewloom.session import ensure_checkpoint_dir, stored
 from reviewloom.sources import tables
 from reviewloom.sources.testdata import labelled_texts, raw_reviews, stored_vectors, table
 
 K = 5
 SAMPLE_ROWS = 300
+CLUSTER_ROWS = 100
 TOPIC_ROWS = 50
+SLOTS = 256
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,10 +52,8 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mean_vector(spark: SparkSession, sf: str) -> list[float]:
     """Unit mean of all stored vectors, the query of the single searches."""
-    parts = stored_vectors(spark, sf).select(F.posexplode("embedding"))
-    means = parts.groupBy("pos").agg(F.avg(F.col("col").cast("double")).alias("mean"))
-    vector = means.agg(F.sort_array(F.collect_list(F.struct("pos", "mean"))).alias("v"))
-    mean = vector.select(F.col("v.mean").alias("mean"))
+    vectors = stored_vectors(spark, sf).select(array_to_vector("embedding").alias("v"))
+    mean = vectors.select(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"))
     return list(mean.select(unit(F.col("mean"), "double").alias("unit")).first()["unit"])
 
 
@@ -66,10 +71,9 @@ def _text_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _source_topics(spark: SparkSession, sf: str) -> DataFrame:
-    """Negative reviews with their source as the given cluster."""
-    sources = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "source")
-    negatives = prepare.negative_reviews(_clean(spark, sf)).select("review_id", "text")
-    return stored(themes.assign_topics(negatives.join(sources, "review_id"), "source"))
+    """All clean reviews with their source as the given cluster."""
+    clean = prepare.clean_reviews(raw_reviews(spark, sf), carry=("source",))
+    return themes.assign_topics(clean.select("review_id", "text", "source"), "source")
 
 
 def _topic_info(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,6 +112,10 @@ def cluster_input(spark, sf):
     return prepare.cluster_input(prepare.negative_reviews(_clean(spark, sf)))
 
 
+def cluster_input_sample(spark, sf):
+    return prepare.cluster_input(prepare.negative_reviews(_clean(spark, sf)), CLUSTER_ROWS)
+
+
 def index_build(spark, sf):
     cells = _index(spark, sf).select("review_id", F.posexplode("embedding"))
     return cells.select("review_id", F.col("pos").alias("dim"), F.round(F.col("col").cast("double"), 6).alias("value"))
@@ -127,9 +135,12 @@ def search_relevance(spark, sf):
 
 
 def search_pruned(spark, sf):
+    """Search on the index as it is laid out for it: one folder per cell."""
     index = stored(_index(spark, sf))
     centres = search.fit_cells(index, n_cells=16)
-    cells = stored(search.with_cells(index, centres))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    search.write_cells(search.with_cells(index, centres), path)
+    cells = spark.read.parquet(path)
     bounds = [tuple(r) for r in search.cell_bounds(cells).collect()]
     return search.nearest_in_cells(cells, centres, bounds, _mean_vector(spark, sf), 10)
 
@@ -149,11 +160,13 @@ def search_snippets(spark, sf):
 
 
 def search_free_text(spark, sf):
-    """Free-text queries over hashed vectors of all reviews."""
+    """Free-text queries, a blank and a missing one among them, over vectors of hashed words."""
     corpus = _corpus(spark, sf)
-    embedder = embedding.fit_hashed_embedder(corpus)
-    index = embedding.embed_hashed(corpus, embedder)
-    return search.search_reviews_batch(_queries(spark, sf), embedder, index, K)
+    weights = stored(slots.fit_slots(corpus, dims=SLOTS))
+    index = slots.embed_slots(corpus, weights, dims=SLOTS)
+    blank = spark.createDataFrame([(-1, "   "), (-2, None)], "query_id bigint, text string")
+    asked = _queries(spark, sf).unionByName(blank).filter(~is_blank(F.col("text")))
+    return search.nearest_batch(index, slots.embed_slots(asked, weights, key="query_id", dims=SLOTS), K)
 
 
 def query_terms_table(spark, sf):
@@ -204,12 +217,20 @@ def themes_density(spark, sf):
 
 
 def themes_kmeans(spark, sf):
-    texts = prepare.cluster_input(prepare.negative_reviews(_clean(spark, sf)), None)
+    texts = prepare.cluster_input(prepare.negative_reviews(_clean(spark, sf)))
     embedder = embedding.fit_hashed_embedder(texts, dims=256)
     topics, _ = themes.kmeans_themes(texts, embedder, [4, 8])
     return topics
 
 
+def themes_assigned(spark, sf):
+    """Themes under given centres, the mean vectors of the labels: reach, size and numbering."""
+    given = table(spark, sf, "embeddings").select("label", array_to_vector("embedding").alias("v"))
+    centres = given.groupBy(F.col("label").cast("int").alias("cluster")).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centre"))
+    clustered = themes.in_reach(stored_vectors(spark, sf), stored(centres), max_distance=0.8)
+    return themes.assign_topics(stored(clustered), "cluster", TOPIC_ROWS)
+
+
 def split_80_10_10(spark, sf):
     return sampling.with_split(_clean(spark, sf).select("review_id", "label"))
 
@@ -249,18 +270,22 @@ def prediction_display(spark, sf):
     )
 
 
+def _word_model(spark: SparkSession, sf: str) -> naive_bayes.WordModel:
+    return naive_bayes.train_words(labelled_texts(spark, sf))
+
+
 def sentiment_train_eval(spark, sf):
-    return sentiment.train_sentiment(labelled_texts(spark, sf)).metrics
+    metrics = _word_model(spark, sf).metrics
+    return metrics.select("split", "n_rows", *[F.round(c, 9).alias(c) for c in ("accuracy", "f1", "majority_rate")])
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    model = sentiment.train_sentiment(labelled_texts(spark, sf)).pipeline
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
-    return sentiment.score_reviews(texts, model)
+    return naive_bayes.score_words(texts, _word_model(spark, sf))
 
 
 def sentiment_score(spark, sf):
-    return sentiment.prediction_display(_scored(spark, sf)).drop("text")
+    return sentiment.prediction_display(_scored(spark, sf))
 
 
 def sentiment_distribution(spark, sf):
@@ -268,7 +293,28 @@ def sentiment_distribution(spark, sf):
 
 
 def dashboard_stats(spark, sf):
-    return reports.dashboard_counts(_corpus(spark, sf), themes.topic_sizes(_source_topics(spark, sf)))
+    sources = _source_topics(spark, sf).select("review_id", "topic")
+    return reports.dashboard_counts(_corpus(spark, sf), themes.topic_sizes(sources))
+
+
+def reviews_csv_round_trip(spark, sf):
+    """Raw reviews written as CSV and read back with their types."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    tables.export_csv(raw_reviews(spark, sf).drop("source"), path)
+    return tables.read_reviews_csv(spark, path)
+
+
+def evidence_snippets(spark, sf):
+    """The snippets that back each summary."""
+    asked = _queries(spark, sf).withColumnRenamed("text", "query")
+    rows = keywords.summarise(asked, _text_hits(spark, sf))
+    shown = rows.select("query_id", F.explode("supporting_reviews").alias("e"))
+    return shown.select("query_id", "e.rank", "e.review_id", "e.snippet")
+
+
+def token_windows(spark, sf):
+    cut = sentiment.token_windows(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "window", F.size("tokens").alias("n_kept"), F.md5(F.array_join("tokens", " ")).alias("kept_md5"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -278,6 +324,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         search_batch_topk, search_text_tfidf, search_snippets, search_free_text, keyword_counts, keywords_topn,
         summary_with_evidence, topic_sizes, topic_names, topic_words, topic_table, topic_chart, themes_density,
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
-        sentiment_score, sentiment_distribution, dashboard_stats,
+        sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
+        reviews_csv_round_trip, evidence_snippets, token_windows,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

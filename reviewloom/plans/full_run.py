@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.functions.constants import CLUSTER_SAMPLE, MIN_TOPIC_SIZE
+from reviewloom.functions.constants import MIN_TOPIC_SIZE
 from reviewloom.operators.embedding import embed_hashed, fit_hashed_embedder
 from reviewloom.operators.prepare import clean_reviews, cluster_input, negative_reviews, search_corpus
 from reviewloom.operators.reports import dashboard_stats
 from reviewloom.operators.sentiment import train_sentiment
-from reviewloom.operators.themes import kmeans_themes, topic_info
+from reviewloom.operators.themes import assign_themes, fit_theme_table, topic_info
 from reviewloom.sources.tables import load_model, read_dataset, save_model, write_dataset, write_keyed
 
 OUTPUTS = {
@@ -22,6 +22,7 @@ OUTPUTS = {
     "metrics": "sentiment_metrics",
     "assigned": "negative_reviews_with_topics",
     "topics": "topic_info",
+    "themes": "models/themes",
 }
 
 
@@ -34,7 +35,7 @@ def run_all(
     raw: DataFrame,
     out: str,
     sample_size: int | None = None,
-    cluster_sample: int | None = CLUSTER_SAMPLE,
+    cluster_sample: int | None = None,
     min_topic_size: int = MIN_TOPIC_SIZE,
     topic_counts: tuple[int, ...] = (5, 10, 20),
     embedding_dims: int = 512,
@@ -62,8 +63,9 @@ def run_all(
 
     negatives = read_dataset(spark, paths["negative"], "negative reviews")
     themed = cluster_input(negatives, cluster_sample)
-    topics, _ = kmeans_themes(themed, embedder, list(topic_counts), min_topic_size)
-    write_dataset(themed.join(topics, "review_id"), paths["assigned"])
+    write_dataset(fit_theme_table(themed, embedder, list(topic_counts), min_topic_size), paths["themes"])
+    fitted = read_dataset(spark, paths["themes"], "theme model")
+    write_dataset(themed.join(assign_themes(themed, embedder, fitted), "review_id"), paths["assigned"])
     write_dataset(topic_info(read_dataset(spark, paths["assigned"], "topic assignments")), paths["topics"])
     return paths
 

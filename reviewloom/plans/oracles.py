@@ -5,12 +5,11 @@ from __future__ import annotations
 from reviewloom.functions.constants import (
     NO_KEYWORDS,
     STOPWORDS,
-    SUMMARY_HEAD,
-    SUMMARY_MIDDLE,
-    SUMMARY_TAIL,
+    SUMMARY_SENTENCE,
     WHITESPACE_CODE_POINTS,
 )
-from reviewloom.plans.catalog import K, SAMPLE_ROWS, TOPIC_ROWS
+from reviewloom.operators.naive_bayes import SMOOTHING
+from reviewloom.plans.catalog import CLUSTER_ROWS, K, SAMPLE_ROWS, SLOTS, TOPIC_ROWS
 from reviewloom.sources.testdata import SCORES
 
 WS = "(" + " || ".join(f"chr({int(p, 16)})" for p in WHITESPACE_CODE_POINTS.split()) + ")"
@@ -45,7 +44,7 @@ CLEAN = f"""{RAW}, clean AS (
   SELECT * FROM (
     SELECT Id AS review_id, trim(Text, {WS}) AS text, Summary AS summary, Score,
            HelpfulnessNumerator, HelpfulnessDenominator,
-           CASE WHEN Score IN (1, 2) THEN 0 WHEN Score IN (4, 5) THEN 1 END AS label
+           CASE WHEN Score IN (1, 2) THEN 0 WHEN Score IN (4, 5) THEN 1 END AS label, source
     FROM raw WHERE Text IS NOT NULL AND Score IS NOT NULL)
   WHERE label IS NOT NULL AND length(text) > 20)"""
 CORPUS = f"""{CLEAN}, corpus AS (
@@ -90,11 +89,11 @@ HIT_WORDS = f"""{HITS}, tokens AS (
   SELECT query_id, word, count(*) AS count,
          row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(rank * 1000000 + pos))::INTEGER AS rank
   FROM tokens GROUP BY query_id, word)"""
-TOPICS = f"""{CLEAN}, negatives AS (
-  SELECT c.review_id, c.text, d.source FROM clean c JOIN documents d ON d.doc_id = c.review_id WHERE label = 0), sizes AS (
-  SELECT source, count(*) AS rows, min(review_id) AS first FROM negatives GROUP BY source HAVING count(*) >= 20), numbers AS (
+TOPICS = f"""{CLEAN}, given AS (
+  SELECT review_id, text, source FROM clean), sizes AS (
+  SELECT source, count(*) AS rows, min(review_id) AS first FROM given GROUP BY source HAVING count(*) >= 20), numbers AS (
   SELECT source, row_number() OVER (ORDER BY rows DESC, first)::INTEGER - 1 AS topic FROM sizes), topics AS (
-  SELECT review_id, text, coalesce(topic, -1)::INTEGER AS topic FROM negatives LEFT JOIN numbers USING (source)), counts AS (
+  SELECT review_id, text, coalesce(topic, -1)::INTEGER AS topic FROM given LEFT JOIN numbers USING (source)), counts AS (
   SELECT topic, word, count(*) AS tf
   FROM (SELECT topic, unnest(list_filter({words('text')}, lambda w: length(w) >= 2)) AS word FROM topics)
   GROUP BY ALL), per_topic AS (
@@ -158,14 +157,66 @@ def _mark(text: str) -> str:
 
 
 SHORT = f"trim(review, {WS})"
-SHORTENED = f"CASE WHEN length({SHORT}) <= 500 THEN {SHORT} ELSE concat(rtrim(substr({SHORT}, 1, 497), {WS}), '...') END"
-SNIPPETS = f"""WITH {HITS}, {QUERY_TERMS}, short AS (
-  SELECT query_id, rank, review_id, terms, summary, {SHORTENED} AS body FROM hits JOIN terms USING (query_id))
-SELECT query_id, rank, review_id,
+
+
+def snippets(columns: str, limit: int) -> str:
+    short = f"CASE WHEN length({SHORT}) <= {limit} THEN {SHORT} ELSE concat(rtrim(substr({SHORT}, 1, {limit - 3}), {WS}), '...') END"
+    return f"""WITH {HITS}, {QUERY_TERMS}, short AS (
+  SELECT query_id, rank, review_id, terms, summary, {short} AS body FROM hits JOIN terms USING (query_id)), shown AS (
+  SELECT query_id, rank, review_id,
        replace(replace({escape(f"CASE WHEN len(terms) = 0 THEN body ELSE {_mark(_mark('body'))} END")},
                {MARK_1}, '<mark>'), {MARK_2}, '</mark>') AS snippet,
        {escape("coalesce(summary, '')")} AS summary_html
-FROM short"""
+  FROM short)
+SELECT {columns} FROM shown"""
+
+
+def free_text() -> str:
+    slot = f"(('0x' || substr(md5(word), 1, 8))::BIGINT % {SLOTS})"
+    def side(name: str, key: str, source: str) -> str:
+        return f"""{name}_tf AS (
+  SELECT {key}, {slot} AS slot, count(*) AS tf
+  FROM (SELECT {key}, unnest({words('text')}) AS word FROM {source}) GROUP BY ALL)"""
+    def unit(name: str, key: str) -> str:
+        return f"""{name}_w AS (
+  SELECT {key}, slot, tf * idf AS w FROM {name}_tf JOIN weights USING (slot)), {name}_n AS (
+  SELECT {key}, sqrt(sum(w * w)) AS n FROM {name}_w GROUP BY {key}), {name}_u AS (
+  SELECT {key}, slot, w / n AS u FROM {name}_w JOIN {name}_n USING ({key}) WHERE n > 0)"""
+    return f"""WITH {CORPUS}, asked AS (SELECT item_id AS query_id, text FROM benchmark), {side('d', 'review_id', 'corpus')}, weights AS (
+  SELECT slot, ln(((SELECT count(*) FROM corpus) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM d_tf GROUP BY slot),
+{side('q', 'query_id', 'asked')}, {unit('d', 'review_id')}, {unit('q', 'query_id')}, sums AS (
+  SELECT query_id, review_id, sum(d_u.u * q_u.u) AS s FROM d_u JOIN q_u USING (slot) GROUP BY ALL), scored AS (
+  SELECT a.query_id, c.review_id, round(coalesce(s, 0), 9) AS score
+  FROM asked a CROSS JOIN corpus c LEFT JOIN sums s ON s.query_id = a.query_id AND s.review_id = c.review_id)
+SELECT * FROM (SELECT query_id, review_id, score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id)::INTEGER AS rank FROM scored) WHERE rank <= {K}"""
+
+
+def naive_bayes(tail: str) -> str:
+    ratio = "ln((positive + a) / (n1 + a * v)) - ln((negative + a) / (n0 + a * v))"
+    smoothing = ", ".join(f"({a}::DOUBLE)" for a in SMOOTHING)
+    return f"""WITH labelled AS (SELECT doc_id, text, quality AS label, md5(concat('42:', text)) AS h
+  FROM documents JOIN labels USING (doc_id)), parts AS (
+  SELECT *, {SPLIT} AS split FROM labelled), train AS (SELECT * FROM parts WHERE split = 'train'), words AS (
+  SELECT word, count(*) FILTER (label = 0) AS negative, count(*) FILTER (label = 1) AS positive
+  FROM (SELECT label, unnest({words('text')}) AS word FROM train) GROUP BY word), sums AS (
+  SELECT sum(negative)::DOUBLE AS n0, sum(positive)::DOUBLE AS n1, count(*)::DOUBLE AS v FROM words), prior AS (
+  SELECT ln(sum(label)::DOUBLE / (count(*) - sum(label))::DOUBLE) AS p FROM train), smoothings(a) AS (VALUES {smoothing}), evidence AS (
+  SELECT a, word, {ratio} AS e FROM words, sums, smoothings), tf AS (
+  SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({words('text')}) AS word FROM documents) GROUP BY ALL), added AS (
+  SELECT doc_id, a, sum(tf * e) AS m FROM tf JOIN evidence USING (word) GROUP BY ALL), margins AS (
+  SELECT d.doc_id, d.text, s.a, round(coalesce(m, 0.0) + p, 6) AS margin
+  FROM documents d CROSS JOIN smoothings s CROSS JOIN prior LEFT JOIN added USING (doc_id, a)), tried AS (
+  SELECT a, split, label, (margin > 0)::INTEGER AS prediction FROM parts JOIN margins USING (doc_id) WHERE split <> 'train'), measured AS (
+  SELECT a, split, count(*) AS n_rows, round(avg((prediction = label)::INTEGER), 9) AS accuracy,
+  round(CASE WHEN sum(prediction) + sum(label) = 0 THEN 0.0
+        ELSE 2.0::DOUBLE * sum(prediction * label) / (sum(prediction) + sum(label)) END, 9) AS f1,
+  round(greatest(avg(label), 1.0::DOUBLE - avg(label)), 9) AS majority_rate FROM tried GROUP BY a, split), chosen AS (
+  SELECT coalesce((SELECT a FROM measured WHERE split = 'validation' ORDER BY f1 DESC, a LIMIT 1), {SMOOTHING[0]}) AS a), scored AS (
+  SELECT doc_id AS review_id, CASE WHEN margin > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label_name,
+  round(1 / (1 + exp(-abs(margin))), 6) AS confidence FROM margins
+  WHERE a = (SELECT a FROM chosen) AND text IS NOT NULL AND length(trim(text, {WS})) > 0)
+{tail}"""
 
 
 def registered_sql() -> dict[str, str]:
@@ -181,8 +232,9 @@ def registered_sql() -> dict[str, str]:
   ORDER BY md5(concat('42:', review_id)) LIMIT {SAMPLE_ROWS}""",
         "negative_reviews": f"WITH {CLEAN} SELECT {CLEAN_COLUMNS} FROM clean WHERE label = 0",
         "search_corpus": f"WITH {CORPUS} SELECT * FROM corpus",
-        "cluster_input": f"""WITH {CLEAN} SELECT {CLEAN_COLUMNS} FROM clean WHERE label = 0
-  ORDER BY md5(concat('42:', review_id)) LIMIT 3000""",
+        "cluster_input": f"WITH {CLEAN} SELECT {CLEAN_COLUMNS} FROM clean WHERE label = 0",
+        "cluster_input_sample": f"""WITH {CLEAN} SELECT {CLEAN_COLUMNS} FROM clean WHERE label = 0
+  ORDER BY md5(concat('42:', review_id)) LIMIT {CLUSTER_ROWS}""",
         "index_build": f"""WITH {INDEX} SELECT review_id, unnest(generate_series(0, len(embedding) - 1))::INTEGER AS dim,
   round(unnest(embedding)::DOUBLE, 6) AS value FROM idx""",
         "index_shape": f"""WITH {INDEX} SELECT count(*) AS n_rows, min(len(embedding))::INTEGER AS min_dim,
@@ -197,7 +249,36 @@ def registered_sql() -> dict[str, str]:
 SELECT * FROM (SELECT query_id, review_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id)::INTEGER AS rank FROM scored) WHERE rank <= 10""",
         "search_text_tfidf": f"WITH {TFIDF} SELECT query_id, review_id, score, rank FROM ranked WHERE rank <= 10",
-        "search_snippets": SNIPPETS,
+        "search_snippets": snippets("query_id, rank, review_id, snippet, summary_html", 500),
+        "evidence_snippets": snippets("query_id, rank, review_id, snippet", 450),
+        "search_free_text": free_text(),
+        "sentiment_train_eval": naive_bayes("""SELECT split, n_rows, accuracy, f1, majority_rate
+FROM measured WHERE a = (SELECT a FROM chosen)"""),
+        "sentiment_score": naive_bayes("""SELECT review_id, label_name, confidence,
+  CASE label_name WHEN 'POSITIVE' THEN 'Positive Review' ELSE 'Negative Review' END AS display,
+  printf('%.4f', confidence) AS confidence_text, round_even(confidence * 100, 0)::INTEGER AS percent FROM scored"""),
+        "sentiment_distribution": naive_bayes("""SELECT label_name, count(*) AS count FROM scored
+GROUP BY 1 ORDER BY count DESC, label_name"""),
+        "reviews_csv_round_trip": f"""WITH {RAW} SELECT Id, Text, Summary, Score, HelpfulnessNumerator, HelpfulnessDenominator
+  FROM raw""",
+        "token_windows": f"""SELECT doc_id, w::INTEGER AS window, len(toks[w * 512 + 1:w * 512 + 512])::INTEGER AS n_kept,
+  md5(array_to_string(toks[w * 512 + 1:w * 512 + 512], ' ')) AS kept_md5
+FROM (SELECT doc_id, {words("coalesce(text, '')")} AS toks FROM documents),
+  unnest(range(0, greatest(1, (len(toks) + 511) // 512))) u(w)""",
+        "themes_assigned": f"""WITH cells AS (
+  SELECT label, unnest(generate_series(1, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), means AS (
+  SELECT label, pos, avg(x) AS m FROM cells GROUP BY ALL), lengths AS (
+  SELECT label, sqrt(sum(m * m)) AS n FROM means GROUP BY label), centres AS (
+  SELECT label AS cluster, list(m / n ORDER BY pos) AS centre FROM means JOIN lengths USING (label) GROUP BY label), units AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE
+    / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), best AS (
+  SELECT vec_id, cluster, {dot('v', 'centre')} AS score,
+         row_number() OVER (PARTITION BY vec_id ORDER BY {dot('v', 'centre')} DESC, cluster) AS n FROM units, centres), placed AS (
+  SELECT vec_id, CASE WHEN 1 - score <= 0.8 THEN cluster END AS cluster FROM best WHERE n = 1), sizes AS (
+  SELECT cluster, count(*) AS rows, min(vec_id) AS first FROM placed WHERE cluster IS NOT NULL GROUP BY cluster
+  HAVING count(*) >= {TOPIC_ROWS}), numbers AS (
+  SELECT cluster, row_number() OVER (ORDER BY rows DESC, first)::INTEGER - 1 AS topic FROM sizes)
+SELECT vec_id AS review_id, coalesce(topic, -1)::INTEGER AS topic FROM placed LEFT JOIN numbers USING (cluster)""",
         "query_terms": f"""WITH {QUERY_TERMS} SELECT query_id, unnest(generate_series(0, len(terms) - 1))::INTEGER AS position,
   unnest(terms) AS term FROM terms""",
         "keyword_counts": f"""WITH {CORPUS}, tokens AS (
@@ -210,8 +291,8 @@ SELECT word, count(*) AS count, min(review_id) AS first_review,
         "summary_with_evidence": f"""WITH {HIT_WORDS}, listed AS (
   SELECT query_id, string_agg(word, ', ' ORDER BY rank) AS listed FROM kw WHERE rank <= 6 GROUP BY query_id)
 SELECT b.item_id AS query_id,
-       concat('{SUMMARY_HEAD.replace("'", "''")}', b.text, '{SUMMARY_MIDDLE.replace("'", "''")}',
-              coalesce(listed, '{NO_KEYWORDS}'), '{SUMMARY_TAIL}') AS sentence,
+       replace(replace('{SUMMARY_SENTENCE.replace("'", "''")}', '{{keywords}}', coalesce(listed, '{NO_KEYWORDS}')),
+               '{{query}}', b.text) AS sentence,
        h.rank, h.score, h.review_id, h.summary, h.rating
 FROM benchmark b LEFT JOIN listed ON listed.query_id = b.item_id LEFT JOIN hits h ON h.query_id = b.item_id""",
         "topic_sizes": f"""WITH sizes AS (

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import MISSING_WORDS
 
-RAW_COLUMNS = ["Text", "Summary", "Score", "HelpfulnessNumerator", "HelpfulnessDenominator"]
 NUMBER_TYPES = {"Id": "bigint", "HelpfulnessNumerator": "int", "HelpfulnessDenominator": "int"}
 CSV_OPTIONS = {
     "header": "true",
@@ -80,17 +79,6 @@ def model_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a small table out to all cores; a large one is left as it is.
-
-    A file with one row group is read by one task, whatever its size in rows.
-    Only a table with fewer scan tasks than cores is shuffled, so at most one
-    scan split per core is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_dataset(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.sources.tables import spread_small
-
+#: Labelled documents are rated by their labels, the others by a hash of the text, so
+#: that neither length nor key plays a part; one hash in 256 gives no rating.
 SCORES = """
 CASE WHEN l.quality = 0 AND l.toxic = 1 THEN 1
      WHEN l.quality = 0 THEN 2
      WHEN l.quality = 1 AND l.toxic = 1 THEN 4
      WHEN l.quality = 1 THEN 5
-     WHEN d.n_chars < 400 THEN 1
-     WHEN d.n_chars < 800 THEN 2
-     WHEN d.n_chars < 1200 THEN 3
-     WHEN d.n_chars < 2400 THEN 4
-     WHEN d.n_chars < 12000 THEN 5
+     WHEN substr(md5(d.text), 1, 2) = '00' THEN NULL
+     WHEN substr(md5(d.text), 1, 1) < '3' THEN 1
+     WHEN substr(md5(d.text), 1, 1) < '6' THEN 2
+     WHEN substr(md5(d.text), 1, 1) < '8' THEN 3
+     WHEN substr(md5(d.text), 1, 1) < 'c' THEN 4
+     WHEN d.text IS NOT NULL THEN 5
 END"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a raw review; unlabelled ones are rated by length.
+    """Every document as a raw review, with its whole text.
 
-    The longest unlabelled documents have no rating, documents from one source
-    have no summary. No row is left out here.
+    Documents from one source have no summary. No row is left out here.
     """
     docs = table(spark, sf_dir, "documents").alias("d")
     labels = table(spark, sf_dir, "labels").alias("l")

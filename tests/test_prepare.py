@@ -5,7 +5,8 @@ import hashlib
 import pytest
 
 from reviewloom.operators import prepare, sampling
-from reviewloom.sources.testdata import raw_reviews
+from reviewloom.functions.constants import REVIEW_FIELDS
+from reviewloom.sources.testdata import raw_reviews, table
 
 LONG = "a review that is long enough to keep"
 
@@ -20,7 +21,7 @@ def test_clean_reviews_labels_and_drops(spark):
     rows = [(i, LONG, None, s, 1, 2, "x") for i, s in enumerate([1, 2, 3, 4, 5, 0, None])]
     rows += [(10, None, "s", 5, 1, 2, "x"), (11, "  " + "x" * 20 + " ", "s", 5, 1, 2, "x"), (12, " " + "x" * 21, "s", 5, 1, 2, "x")]
     got = prepare.clean_reviews(raw(spark, rows)).orderBy("review_id")
-    assert got.columns == ["review_id", "text", "summary", "Score", "HelpfulnessNumerator", "HelpfulnessDenominator", "label"]
+    assert got.columns == ["review_id", *REVIEW_FIELDS.values(), "label"]
     assert [(r.review_id, r.label) for r in got.collect()] == [(0, 0), (1, 0), (3, 1), (4, 1), (12, 1)]
     assert got.filter("review_id = 12").first().text == "x" * 21
     assert got.filter("review_id = 0").first().summary is None
@@ -30,6 +31,21 @@ def test_optional_columns_may_be_absent(spark):
     df = spark.createDataFrame([(1, LONG, 5)], "Id bigint, Text string, Score int")
     assert prepare.clean_reviews(df).columns == ["review_id", "text", "Score", "label"]
     assert prepare.search_corpus(prepare.clean_reviews(df)).columns == ["review_id", "text", "Score", "label"]
+    carried = prepare.clean_reviews(df.selectExpr("*", "'s' AS shop"), carry=("shop",))
+    assert carried.first().shop == "s"
+
+
+def test_longest_texts_reach_every_set(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    long = docs.join(labels, "doc_id", "left_anti").filter("n_chars >= 12000").withColumnRenamed("doc_id", "Id")
+    rated = raw_reviews(spark, sf).join(long.select("Id"), "Id").filter("Score IN (1, 2, 4, 5)")
+    wanted = {r.Id: len(r.Text.strip()) for r in rated.collect()}
+    assert wanted
+    clean = prepare.clean_reviews(raw_reviews(spark, sf))
+    for reviews in (clean, prepare.search_corpus(clean)):
+        found = {r.review_id: len(r.text) for r in reviews.collect()}
+        assert {i: found.get(i) for i in wanted} == wanted
 
 
 def test_length_limits(spark):

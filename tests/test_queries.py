@@ -3,12 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from reviewloom.plans import catalog, oracles
 from tests.oracle_check import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-NO_SQL = {
-    "search_free_text", "themes_kmeans", "sentiment_train_eval", "sentiment_score", "sentiment_distribution"
-}
+QUERIES, SQL = catalog.registered(), oracles.registered_sql()
+NO_SQL = {"themes_kmeans"}
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +27,7 @@ def test_runs(spark, sf, name):
 
 def test_all_queries_are_covered():
     assert set(QUERIES) == set(SQL) | NO_SQL
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

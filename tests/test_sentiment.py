@@ -65,8 +65,8 @@ def test_scores_survive_save_and_load(spark, labelled, trained, tmp_path):
 def test_example_texts_and_blanks(spark, trained):
     texts = spark.createDataFrame(
         [
-            (1, "This product tastes amazing and lovely, I will buy it again."),
-            (2, "The package arrived broken and the food was stale."),
+            (1, "An amazing fresh tea, lovely and wonderful to drink."),
+            (2, "Two of the jars came broken, and what was left smelled stale."),
             (3, "   "),
             (4, None),
         ],
@@ -90,6 +90,17 @@ def test_token_window(spark):
     assert [(r.n_tokens, r.tokens) for r in got] == [(4, ["a", "b", "c"]), (0, [])]
 
 
+def test_token_windows_leave_nothing_out(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "a b c")], "id int, text string")
+    got = sentiment.token_windows(df, 3).orderBy("id", "window").collect()
+    assert [(r.id, r.window, r.tokens) for r in got] == [
+        (1, 0, ["a", "b", "c"]),
+        (1, 1, ["d", "e"]),
+        (2, 0, []),
+        (3, 0, ["a", "b", "c"]),
+    ]
+
+
 def test_stream_scores_each_review_once(spark, trained, tmp_path):
     folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     rows = [(1, "amazing fresh tea, wonderful"), (2, "short"), (3, None), (4, " stale and broken, awful ")]

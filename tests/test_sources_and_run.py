@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from reviewloom.operators import themes
 from reviewloom.plans import full_run
 from reviewloom.session import ensure_checkpoint_dir, stored
 from reviewloom.sources import tables
@@ -67,12 +68,6 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
     assert kept.count() == 4 and kept.inputFiles()[0].replace("file://", "").startswith(folder)
 
 
-def test_spread_small(spark, sf):
-    few = spark.range(10).coalesce(1)
-    assert tables.spread_small(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert tables.spread_small(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
-
-
 def test_full_run(spark, sf, tmp_path):
     out = str(tmp_path / "run")
     before = full_run.run_stats(spark, out).first()
@@ -91,3 +86,9 @@ def test_full_run(spark, sf, tmp_path):
     stats = full_run.run_stats(spark, out).first()
     assert stats.review_count == corpus.count() and stats.topic_count == info.filter("topic <> -1").count()
     assert stats.model_ready and stats.search_ready and stats.topics_ready
+    # Saved themes give the same topics to the same texts, and topics to new ones.
+    embedder, fitted = tables.load_model(spark, paths["embedder"]), tables.read_dataset(spark, paths["themes"])
+    again = themes.assign_themes(assigned.select("review_id", "text"), embedder, fitted)
+    assert again.exceptAll(assigned.select("review_id", "topic")).count() == 0
+    new = spark.createDataFrame([(1, "the and of"), (2, None)], "review_id bigint, text string")
+    assert themes.assign_themes(new, embedder, fitted).count() == 2
