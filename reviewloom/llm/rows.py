@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,12 @@ def structs(names: Iterable[str], columns: Iterable[pa.Array | np.ndarray | list
     return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], list(names))
 
 
+def values(column: pa.Array, at_once: int = 256) -> Iterator:
+    """Python values of an Arrow column, a few rows at a time, so that no batch is held twice."""
+    for start in range(0, len(column), at_once):
+        yield from column.slice(start, at_once).to_pylist()
+
+
 def with_fields(df: DataFrame, result: Column, names: Iterable[str], carrier: str = "_llm") -> DataFrame:
     """Add the fields of a struct result as columns; a column of the same name is replaced."""
     return df.withColumn(carrier, result).withColumns({n: F.col(f"{carrier}.{n}") for n in names}).drop(carrier)
