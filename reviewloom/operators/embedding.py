@@ -66,6 +66,12 @@ def embed_with_model(corpus: DataFrame, make_predict: Callable, batch_size: int
     return filled(corpus).select("review_id", encode("text").alias("embedding"))
 
 
+def without_vector(corpus: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Keys of corpus reviews that an index from stored vectors cannot hold."""
+    known = vectors.filter(F.col("embedding").isNotNull()).select("review_id")
+    return corpus.select("review_id").join(known, "review_id", "left_anti")
+
+
 def build_index(corpus: DataFrame, vectors: DataFrame) -> DataFrame:
     """Unit vectors of the corpus reviews, for vectors that are stored apart.
 

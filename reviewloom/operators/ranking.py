@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 50_000
+MAX_TASK_ROWS = 5_000_000
+SLICE_ROWS = 1_000_000
+#: Rows without a key are dealt over this many slices.
+NULL_SLICES = 1_024
 
 
 def best_first() -> list[Column]:
@@ -45,26 +49,27 @@ def join_counted(
     spread: str,
     how: str = "inner",
     sizes: DataFrame | None = None,
-    slices: int = 64,
 ) -> DataFrame:
     """Join `left` with `right`, which is unique in `key`, safe for hot keys.
 
     `right[rows]` is the number of left rows per key and `total` their sum. Keys
-    holding more than 1 / MAX_HOT_KEYS of all rows, and more than a task handles
-    easily, are hot, so there are fewer than MAX_HOT_KEYS of them: their list is
-    broadcast, their left rows are spread over `slices` by a hash of `spread`,
-    and only their right rows are repeated. All other keys are small and are
-    joined as they are. Left rows without a key match nothing and are spread as
-    well. `sizes` may give `key` and `rows` from a cheaper table than `right`.
+    holding more rows than a task handles easily are hot: at most one key per
+    MIN_HOT_ROWS rows, and never more than MAX_HOT_KEYS unless a key would then keep
+    over MAX_TASK_ROWS. Their list is broadcast, their left rows are dealt by a hash of
+    `spread` over as many slices as they hold SLICE_ROWS rows, and only their right
+    rows are repeated. All other keys are small and are joined as they are. Left rows
+    without a key match nothing and are spread as well. `sizes` may give `key` and
+    `rows` from a cheaper table than `right`.
     """
-    bound = max(total // MAX_HOT_KEYS, MIN_HOT_ROWS)
+    bound = max(min(total // MAX_HOT_KEYS, MAX_TASK_ROWS), MIN_HOT_ROWS)
     if total <= bound:
         return left.join(right, key, how)
+    slices = F.greatest(F.ceil(F.col(rows) / min(SLICE_ROWS, bound)), F.lit(1)).cast("int")
     is_hot = F.col(rows) > bound
-    hot = (right if sizes is None else sizes).filter(is_hot).select(key, F.lit(True).alias("_hot"))
-    slot = F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int")
-    salt = F.when(F.col("_hot") | F.col(key).isNull(), slot).otherwise(0)
-    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    hot = (right if sizes is None else sizes).filter(is_hot).select(key, slices.alias("_slices"))
+    many = F.when(F.col(key).isNull(), F.lit(NULL_SLICES)).otherwise(F.coalesce("_slices", F.lit(1)))
+    salt = F.pmod(F.xxhash64(spread), many).cast("int")
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_slices")
+    copies = F.when(is_hot, F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.lit(0)))
     spread_right = right.withColumn("_salt", F.explode(copies))
     return salted.join(spread_right, [key, "_salt"], how).drop("_salt")

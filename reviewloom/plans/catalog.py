@@ -121,6 +121,11 @@ def index_build(spark, sf):
     return cells.select("review_id", F.col("pos").alias("dim"), F.round(F.col("col").cast("double"), 6).alias("value"))
 
 
+def index_missing(spark, sf):
+    """Corpus reviews that have no stored vector and would be found by no search."""
+    return embedding.without_vector(_corpus(spark, sf), stored_vectors(spark, sf))
+
+
 def index_shape(spark, sf):
     return tables.vector_shape(_index(spark, sf))
 
@@ -325,6 +330,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         summary_with_evidence, topic_sizes, topic_names, topic_words, topic_table, topic_chart, themes_density,
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
-        reviews_csv_round_trip, evidence_snippets, token_windows,
+        reviews_csv_round_trip, evidence_snippets, token_windows, index_missing,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

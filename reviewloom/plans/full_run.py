@@ -10,6 +10,7 @@ from reviewloom.operators.prepare import clean_reviews, cluster_input, negative_
 from reviewloom.operators.reports import dashboard_stats
 from reviewloom.operators.sentiment import train_sentiment
 from reviewloom.operators.themes import assign_themes, fit_theme_table, topic_info
+from reviewloom.session import count_stored, discard_stored
 from reviewloom.sources.tables import load_model, read_dataset, save_model, write_dataset, write_keyed
 
 OUTPUTS = {
@@ -43,9 +44,10 @@ def run_all(
     """Run all stages; each writes its output and later ones read it back.
 
     Returns the output paths. A run that was cut short can be started again: a
-    stage overwrites only its own output.
+    stage overwrites only its own output. The intermediate tables of the run are
+    deleted at its end.
     """
-    paths = output_paths(out)
+    paths, keep = output_paths(out), count_stored(spark)
     write_dataset(clean_reviews(raw, sample_size), paths["clean"])
     clean = read_dataset(spark, paths["clean"], "clean reviews")
 
@@ -67,6 +69,7 @@ def run_all(
     fitted = read_dataset(spark, paths["themes"], "theme model")
     write_dataset(themed.join(assign_themes(themed, embedder, fitted), "review_id"), paths["assigned"])
     write_dataset(topic_info(read_dataset(spark, paths["assigned"], "topic assignments")), paths["topics"])
+    discard_stored(spark, keep)
     return paths
 
 

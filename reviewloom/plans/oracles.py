@@ -237,6 +237,8 @@ def registered_sql() -> dict[str, str]:
   ORDER BY md5(concat('42:', review_id)) LIMIT {CLUSTER_ROWS}""",
         "index_build": f"""WITH {INDEX} SELECT review_id, unnest(generate_series(0, len(embedding) - 1))::INTEGER AS dim,
   round(unnest(embedding)::DOUBLE, 6) AS value FROM idx""",
+        "index_missing": f"""WITH {CORPUS} SELECT review_id FROM corpus
+  WHERE review_id NOT IN (SELECT vec_id FROM embeddings)""",
         "index_shape": f"""WITH {INDEX} SELECT count(*) AS n_rows, min(len(embedding))::INTEGER AS min_dim,
   max(len(embedding))::INTEGER AS max_dim FROM idx""",
         "search_topk": f"""{top} SELECT rank, score, review_id, summary, text AS review, Score::INTEGER AS rating

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written by `stored`, by application.
+_written: dict[str, list[str]] = {}
+
+
 def local_session(cores: str = "*", app: str = "reviewloom") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own settings."""
     partitions = "8" if cores == "*" else str(cores)
@@ -56,4 +60,25 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviewloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def count_stored(spark: SparkSession) -> int:
+    """Tables that `stored` has written in this application."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def discard_stored(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the tables that `stored` wrote after the first `keep`; returns how many.
+
+    For the end of a run, when all results that rest on these tables are written;
+    `keep` is count_stored() at its start, so that other work keeps its tables.
+    """
+    written = _written.get(spark.sparkContext.applicationId, [])
+    paths = written[keep:]
+    del written[keep:]
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import themes
 from reviewloom.plans import full_run
-from reviewloom.session import ensure_checkpoint_dir, stored
+from reviewloom.session import count_stored, discard_stored, ensure_checkpoint_dir, stored
 from reviewloom.sources import tables
 from reviewloom.sources.testdata import raw_reviews
 
@@ -68,6 +68,14 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
     assert kept.count() == 4 and kept.inputFiles()[0].replace("file://", "").startswith(folder)
 
 
+def test_stored_tables_can_be_discarded(spark):
+    first = stored(spark.range(3))
+    keep = count_stored(spark)
+    path = stored(spark.range(4)).inputFiles()[0].rpartition("/")[0]
+    assert discard_stored(spark, keep) == 1 and discard_stored(spark, keep) == 0
+    assert not tables.dataset_exists(spark, path) and first.count() == 3
+
+
 def test_full_run(spark, sf, tmp_path):
     out = str(tmp_path / "run")
     before = full_run.run_stats(spark, out).first()
