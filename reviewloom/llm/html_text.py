@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.rows import struct_udf, text_of
+from reviewloom.llm.rows import struct_udf, text_of, values
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -259,7 +259,7 @@ def main_text(page: str) -> str:
 
 
 def _extract(pages: pa.Array) -> pa.Array:
-    return pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
+    return pa.array([main_text(p) for p in values(pages)], pa.string())
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:

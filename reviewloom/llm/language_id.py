@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.rows import remainder_of_id, struct_udf, structs, text_of, with_fields
+from reviewloom.llm.rows import loaded, remainder_of_id, share, struct_udf, structs, text_of, values, with_fields
 from reviewloom.session import stored
 
 KNOWN_WORDS = 65_536
@@ -98,7 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, text in zip(values(batch.column(0)), values(batch.column(1))):
             held[lang].update(words_of(text))
         if sum(map(len, held.values())) > FLUSH_WORDS:
             yield from flush()
@@ -177,10 +177,10 @@ class _Numbers(dict):
 
 def _predictor(shared):
     def run(texts: pa.Array) -> pa.Array:
-        model: LanguageModel = shared.value
+        model: LanguageModel = loaded(shared)
         numbers = _Numbers()
         flat, many, letters = [], [], []
-        for text in texts.to_pylist():
+        for text in values(texts):
             words = words_of(text)
             flat.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
             many.append(len(words))
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     text if the model has learned nothing. Equal scores go to the smaller name.
     Columns of these names are replaced.
     """
-    predict = _predictor(docs.sparkSession.sparkContext.broadcast(model))
+    predict = _predictor(share(docs.sparkSession, model))
     return with_fields(docs, predict(text_of(text)), ("lang_pred", "score"))
 
 

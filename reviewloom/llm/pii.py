@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.rows import struct_udf, structs, text_of, with_fields
+from reviewloom.llm.rows import struct_udf, structs, text_of, values, with_fields
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "account", "ssn", "login", "address")
@@ -208,7 +208,7 @@ COLUMNS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 def _finder(texts: pa.Array) -> pa.Array:
     counts: list[list[int]] = [[] for _ in BASE]
     digests, spans = [], []
-    for text in texts.to_pylist():
+    for text in values(texts):
         found = find_spans(text)
         base = [x for x in found if x[2] in BASE]
         for kind, column in zip(BASE, counts):
@@ -220,7 +220,7 @@ def _finder(texts: pa.Array) -> pa.Array:
 
 
 def _redactor(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else redacted(t) for t in texts.to_pylist()], pa.string())
+    return pa.array([None if t is None else redacted(t) for t in values(texts)], pa.string())
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:

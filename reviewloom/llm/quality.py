@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from reviewloom.llm.rows import bytes_of, struct_udf, structs, with_fields
+from reviewloom.llm.rows import bytes_of, struct_udf, structs, values, with_fields
 from reviewloom.session import stored
 
 MIN_WORDS = 20
@@ -75,7 +75,7 @@ def text_counts(text: bytes) -> tuple[int, ...]:
 
 
 def _counter(texts: pa.Array) -> pa.Array:
-    rows = np.array([text_counts(t) for t in texts.to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
+    rows = np.array([text_counts(t) for t in values(texts)], dtype=np.int64).reshape(-1, len(COUNTS))
     return structs(COUNTS, [pa.array(c) for c in rows.T.copy()])
 
 
@@ -148,22 +148,17 @@ def _limits(measured: DataFrame, bounds: DataFrame, lang: str, source: str) -> t
     """`measured` joined with its groups' thresholds, and the verdict."""
     names = [c for c in bounds.columns if c.startswith(("low_", "high_"))]
     out = measured
-    for level in (0, 1, 2):
+    for level in (0, 1):
         own = bounds.filter(F.col("level") == level).select(
             F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*names).alias(f"_limits{level}")
         )
-        same = []
-        if level < 2:
-            same.append(F.col(lang).cast("string").eqNullSafe(F.col("_lang")))
-        if level < 1:
-            same.append(F.col(source).cast("string").eqNullSafe(F.col("_source")))
-        if same:
-            on = same[0] if len(same) == 1 else same[0] & same[1]
-            out = out.join(own, on, "left").drop("_lang", "_source")
-        else:  # one row at most, for everything
-            limits = own.agg(F.first(f"_limits{level}").alias(f"_limits{level}"))
-            out = out.crossJoin(F.broadcast(limits))
-    limit = F.coalesce("_limits0", "_limits1", "_limits2")
+        same = F.col(lang).cast("string").eqNullSafe(F.col("_lang"))
+        if level == 0:
+            same = same & F.col(source).cast("string").eqNullSafe(F.col("_source"))
+        out = out.join(own, same, "left").drop("_lang", "_source")
+    overall = bounds.filter(F.col("level") == 2).first()  # one row at most, for everything
+    widest = F.struct(*[F.lit(overall[n] if overall else None).cast("bigint").alias(n) for n in names])
+    limit = F.coalesce("_limits0", "_limits1", widest)
     fails = F.lit(False)
     for m in FLOORS:
         fails = fails | F.coalesce(F.col(m) > limit[f"high_{m}"], F.lit(False))
@@ -183,7 +178,7 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     measured = stored(with_counts(docs, text).drop(text))
     bounds = stored(thresholds(sketches(measured, lang, source)))
     joined, kept = _limits(measured, bounds, lang, source)
-    return joined.withColumn("kept", kept).drop("_limits0", "_limits1", "_limits2")
+    return joined.withColumn("kept", kept).drop("_limits0", "_limits1")
 
 
 def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:

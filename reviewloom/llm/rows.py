@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
@@ -38,6 +40,19 @@ def structs(names: Iterable[str], columns: Iterable[pa.Array | np.ndarray | list
     return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], list(names))
 
 
+def share(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcast an object by value: workers need no copy of its class. Bound its size."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def loaded(shared: Broadcast) -> object:
+    """The object behind share(), built once in each worker."""
+    if not hasattr(shared, "_loaded"):
+        shared._loaded = pickle.loads(shared.value)
+        vars(shared).pop("_value", None)  # the bytes are no longer needed
+    return shared._loaded
+
+
 def values(column: pa.Array, at_once: int = 256) -> Iterator:
     """Python values of an Arrow column, a few rows at a time, so that no batch is held twice."""
     for start in range(0, len(column), at_once):

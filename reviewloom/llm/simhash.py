@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.rows import bytes_of, struct_udf
+from reviewloom.llm.rows import bytes_of, struct_udf, values
 from reviewloom.operators.density import connected_components
 from reviewloom.session import stored
 
@@ -50,7 +50,7 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    prints = np.array([fingerprint(t or b"") for t in texts.to_pylist()], dtype=np.uint64)
+    prints = np.array([fingerprint(t or b"") for t in values(texts)], dtype=np.uint64)
     return pa.array(prints.view(np.int64))
 
 

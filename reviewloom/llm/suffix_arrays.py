@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.rows import bytes_of, struct_udf, structs
+from reviewloom.llm.rows import bytes_of, loaded, share, struct_udf, structs, values
 from reviewloom.session import stored
 
 WINDOW = 13
@@ -134,15 +134,17 @@ def _matcher(shared, more: bool):
     """UDF over texts, and over the matches of earlier blocks if there are `more`."""
 
     def run(texts: pa.Array, *before: pa.Array) -> pa.Array:
-        block: Block = shared.value
+        block: Block = loaded(shared)
         get = block.numbers.get
-        split = [words_of(t or b"") for t in texts.to_pylist()]
-        lengths = np.array([len(w) for w in split], dtype=np.int64)
+        # The zero behind the words of a text closes it off.
+        numbered = []
+        for text in values(texts):
+            words = words_of(text or b"")
+            numbered.append(np.fromiter(chain(map(get, words, repeat(0)), (0,)), np.int32, len(words) + 1))
+        lengths = np.array([len(n) - 1 for n in numbered], dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(lengths + 1)])
-        ids = np.zeros(int(first[-1]), dtype=np.int64)
-        for at, words in zip(first.tolist(), split):
-            ids[at : at + len(words)] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-        del split
+        ids = np.concatenate(numbered).astype(np.int64) if numbered else np.zeros(0, dtype=np.int64)
+        del numbered
         if more:
             spans, items = (before[0].field(f).to_pylist() for f in (1, 2))
         else:
@@ -206,13 +208,12 @@ def with_matches(
     id matches but is not named; repeated ids are named once. A column called
     `name` is replaced, all others stay; empty tables give no rows or no matches.
     """
-    sc = docs.sparkSession.sparkContext
     out = docs
     for i, block in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
         if i:
             out = stored(out)
         before: list[Column] = [F.col(name)] if i else []
-        out = out.withColumn(name, _matcher(sc.broadcast(block), bool(i))(bytes_of(text), *before))
+        out = out.withColumn(name, _matcher(share(docs.sparkSession, block), bool(i))(bytes_of(text), *before))
     return out
 
 

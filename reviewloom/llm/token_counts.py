@@ -15,6 +15,7 @@ leftmost occurrence only. The result is therefore the library's in every case.
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.rows import struct_udf, text_of
+from reviewloom.llm.rows import loaded, share, struct_udf, text_of, values
 
 LIMIT = 4096
 SPACE = "▁"
@@ -160,7 +161,7 @@ class _Numbers(dict):
         return self[word]
 
 
-def _pre_tokens(texts: list[str]) -> tuple[list[str], array, list[int], list[int]]:
+def _pre_tokens(texts: Iterable[str]) -> tuple[list[str], array, list[int], list[int]]:
     """Distinct pre-tokens, their numbers in reading order, and per text how many and its newlines.
 
     A pre-token is a run of spaces with the word behind it, or a word that begins a
@@ -193,8 +194,8 @@ def _pre_tokens(texts: list[str]) -> tuple[list[str], array, list[int], list[int
 
 def _counter(shared):
     def run(texts: pa.Array) -> pa.Array:
-        table: MergeTable = shared.value
-        words, numbers, many, lines = _pre_tokens(texts.to_pylist())
+        table: MergeTable = loaded(shared)
+        words, numbers, many, lines = _pre_tokens(values(texts))
         reach = np.append(0, np.cumsum(table.count(words)[numbers]))
         ends = np.cumsum(many, dtype=np.int64)
         counts = reach[ends] - reach[ends - np.array(many, dtype=np.int64)]
@@ -213,7 +214,7 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", limit: in
     """
     with open(model_path, "rb") as file:
         table = MergeTable(file.read())
-    count = _counter(docs.sparkSession.sparkContext.broadcast(table))
+    count = _counter(share(docs.sparkSession, table))
     out = docs.withColumn("n_bytes", F.octet_length(text_of(text)).cast("bigint"))
     out = out.withColumn("n_tokens", count(text_of(text)))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
