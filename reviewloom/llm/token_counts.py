@@ -28,7 +28,7 @@ from reviewloom.llm.rows import loaded, share, struct_udf, text_of, values
 LIMIT = 4096
 SPACE = "▁"
 NO_PAIR = np.iinfo(np.int32).max
-CHUNK_SYMBOLS = 4_000_000
+CHUNK_SYMBOLS = 500_000
 
 
 class MergeTable:
