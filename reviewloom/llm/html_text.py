@@ -5,8 +5,10 @@ A page is read into runs of text, each under its path of block tags from the roo
 text, without that of links, and the punctuation of all its runs are summed and put in
 relation to the number of nodes. The two ratios are smoothed along the order of paths
 in the page and fused by multiplication; paths that reach a share of the page's
-spread are content. Paths through boilerplate (menus, page headers and footers,
-sidebars, notices, adverts, forms, comments) get no score. Where a page has an article
+spread are content. Paths through boilerplate tags (menus, page headers and footers,
+sidebars, forms) get no score. Class, id and role names that hint at boilerplate lower
+the ratios of the paths through them; those of articles, main elements and elements with
+more than half of the page's text do not count. Where a page has an article
 or main element, paths outside get none either, and paths inside are lifted over the
 threshold, so that its short paragraphs and headings stay.
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from reviewloom.llm.rows import struct_udf, text_of, values
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-CUE = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CUE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 MARKS = re.compile(r"[.,;:!?…。，！？；：]")
 
@@ -45,7 +48,9 @@ BLOCKS = frozenset(
 BOILER = frozenset("nav footer aside form menu dialog button select option textarea fieldset datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset(("article", "main"))
-#: Parts of class, id and role names that mark boilerplate.
+#: Elements whose own names say nothing about their text.
+UNNAMED = CONTAINERS | {"html", "body"}
+#: Class, id and role names that hint at boilerplate; a name made of several has nothing but these parts.
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies discussion disqus footer gdpr login masthead menu menubar nav navbar navigation newsletter notice notices "
@@ -66,43 +71,86 @@ SIBLINGS = {
 }
 SMOOTH = np.array([0.25, 0.5, 0.25])
 THRESHOLD = 0.5
+#: What is left of the ratios of a path through an element with such a name.
+NAMED_WEIGHT = 0.1
 
 
 class Node:
     """An open element: its path, and what its ancestors make of its text."""
 
-    __slots__ = ("tag", "path", "hidden", "boiler", "inside", "link")
+    __slots__ = ("tag", "path", "hidden", "boiler", "inside", "link", "named")
 
-    def __init__(self, tag: str, attributes: str, parent: Node | None, numbers: dict[tuple, int]) -> None:
+    def __init__(
+        self, tag: str, attributes: str, parent: Node | None, numbers: dict[tuple, int], outer_names: list[int]
+    ) -> None:
+        """`outer_names` gets an entry for each element with a hint: the number of the one around it, or -1."""
         self.tag = tag
         above = parent.path if parent else -1
         self.path = numbers.setdefault((above, tag), len(numbers)) if tag in BLOCKS else above
         self.link = bool(parent and parent.link) or tag == "a"
-        named = _boilerplate_name(attributes) if tag not in ("html", "body") else False
+        hinted, hidden = _hints(attributes)
+        self.named = parent.named if parent else -1
+        if hinted and tag not in UNNAMED:
+            outer_names.append(self.named)
+            self.named = len(outer_names) - 1
         self.inside = bool(parent and parent.inside) or tag in CONTAINERS
-        self.hidden = bool(parent and parent.hidden) or tag in HIDDEN or _is_hidden(attributes)
+        self.hidden = bool(parent and parent.hidden) or tag in HIDDEN or hidden
         page_header = tag == "header"
-        self.boiler = bool(parent and parent.boiler) or tag in BOILER or named or page_header
-        if self.boiler and tag in HEADINGS and parent and parent.boiler == "header" and self.inside and not named:
+        self.boiler = bool(parent and parent.boiler) or tag in BOILER or page_header
+        if self.boiler and tag in HEADINGS and parent and parent.boiler == "header" and self.inside:
             self.boiler = False  # the headline in an article's own header
-        elif page_header and self.inside and not named and not (parent and parent.boiler):
+        elif page_header and self.inside and not (parent and parent.boiler):
             self.boiler = "header"
-        elif parent and parent.boiler == "header" and tag not in BOILER and not named:
+        elif parent and parent.boiler == "header" and tag not in BOILER:
             self.boiler = "header"
 
 
-def _boilerplate_name(attributes: str) -> bool:
+def _hints(attributes: str) -> tuple[bool, bool]:
+    """Whether the element has a name of boilerplate, and whether it is hidden."""
+    named = hidden = False
     if not attributes:
-        return False
-    for found in NAMED.finditer(attributes):
-        value = next((g for g in found.groups() if g is not None), "")
-        if any(cue.lower() in CUES for cue in CUE.findall(value)):
-            return True
-    return False
-
-
-def _is_hidden(attributes: str) -> bool:
-    return bool(attributes) and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attributes, re.I))
+        return named, hidden
+    for found in ATTRIBUTE.finditer(attributes):
+        name = found[1].lower()
+        value = found[2] or found[3] or found[4] or ""
+        if name in ("class", "id", "role"):
+            named = named or any(_is_cue(token) for token in value.split())
+        elif name == "style":
+            hidden = hidden or bool(NO_DISPLAY.search(value))
+        elif name == "hidden":
+            hidden = True
+    return named, hidden
+
+
+def _is_cue(token: str) -> bool:
+    """Whether a whole class token, or each of its parts but numbers, hints at boilerplate."""
+    if token.lower() in CUES:
+        return True
+    parts = [x.lower() for x in CUE.findall(token) if not x.isdigit()]
+    return bool(parts) and all(x in CUES for x in parts)
+
+
+def _named(runs: list[tuple[Node, str, bool]], outer_names: list[int]) -> list[bool]:
+    """For each element with a hint, whether it or one around it is small enough for the hint to count."""
+    size = [0] * len(outer_names)
+    total = 0
+    for node, text, _ in runs:
+        if not node.boiler:
+            n = _bare(text)
+            total += n
+            if node.named >= 0:
+                size[node.named] += n
+    for i in range(len(size) - 1, -1, -1):  # inner elements have greater numbers
+        if outer_names[i] >= 0:
+            size[outer_names[i]] += size[i]
+    named: list[bool] = []
+    for i, outer in enumerate(outer_names):
+        named.append(2 * size[i] <= total or (outer >= 0 and named[outer]))
+    return named
+
+
+def _bare(text: str) -> int:
+    return len(text) - text.count(" ") - text.count("\n")
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -151,10 +199,10 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = low + 1
 
 
-def _runs(page: str) -> Iterator[tuple[Node, str, bool]]:
-    """(node, text, new block) for each visible run of text, in page order."""
+def _runs(page: str, outer_names: list[int]) -> Iterator[tuple[Node, str, bool]]:
+    """(node, text, new block) for each visible run of text, in page order; `outer_names` as in Node."""
     numbers: dict[tuple, int] = {}
-    stack = [Node("html", "", None, numbers)]
+    stack = [Node("html", "", None, numbers, outer_names)]
     open_tags: Counter = Counter()  # so that an end tag without a start costs nothing
     fresh = True
     for kind, value, attributes in _tokens(page):
@@ -180,7 +228,7 @@ def _runs(page: str) -> Iterator[tuple[Node, str, bool]]:
             elif value in SIBLINGS:
                 _close(stack, open_tags, *SIBLINGS[value])
             if not (attributes.endswith("/") and value not in BLOCKS and value not in RAW):
-                stack.append(Node(value, attributes, stack[-1], numbers))
+                stack.append(Node(value, attributes, stack[-1], numbers, outer_names))
                 open_tags[value] += 1
         elif value not in ("html", "body") and open_tags[value]:
             _close(stack, open_tags, {value}, set())
@@ -200,11 +248,12 @@ def _close(stack: list[Node], open_tags: Counter, tags: set[str], barriers: set[
 class _Path:
     """Sums over all nodes of one root-to-leaf path."""
 
-    __slots__ = ("order", "nodes", "length", "marks", "linked", "boiler", "inside")
+    __slots__ = ("order", "nodes", "length", "marks", "linked", "boiler", "inside", "weight")
 
-    def __init__(self, order: int, node: Node) -> None:
+    def __init__(self, order: int, node: Node, named: bool) -> None:
         self.order, self.nodes, self.length, self.marks, self.linked = order, 0, 0, 0, 0
         self.boiler, self.inside = bool(node.boiler), node.inside
+        self.weight = NAMED_WEIGHT if named else 1.0
 
 
 def _content_paths(paths: dict[tuple, _Path]) -> set[tuple]:
@@ -214,11 +263,13 @@ def _content_paths(paths: dict[tuple, _Path]) -> set[tuple]:
     free = [(k, p) for k, p in free if p.inside or not article]
     if not free:
         return set()
-    length = np.array([(p.length - p.linked) / max(p.nodes, 1) for _, p in free])
-    marks = np.array([p.marks / max(p.nodes, 1) for _, p in free])
-    fused = _smoothed(length) * (1 + _smoothed(marks))
+    # Names weigh down what a path gives to its neighbours and what it gets from them.
+    weight = np.array([p.weight for _, p in free])
+    length = weight * np.array([(p.length - p.linked) / max(p.nodes, 1) for _, p in free])
+    marks = weight * np.array([p.marks / max(p.nodes, 1) for _, p in free])
+    fused = weight * _smoothed(length) * (1 + _smoothed(marks))
     bound = min(THRESHOLD * fused.std(), fused.max())
-    lift = np.array([bound * p.inside for _, p in free])
+    lift = np.array([bound * p.inside * (p.weight == 1) for _, p in free])
     return {k for (k, _), score in zip(free, fused + lift) if score >= bound}
 
 
@@ -232,17 +283,21 @@ def main_text(page: str) -> str:
     blocks: list[list[tuple[tuple, str]]] = []
     paths: dict[tuple, _Path] = {}
     current: list[tuple[tuple, str]] = []
-    for node, raw, fresh in _runs(page):
+    outer_names: list[int] = []
+    runs = list(_runs(page, outer_names))
+    named = _named(runs, outer_names)
+    for node, raw, fresh in runs:
         if fresh and current:
             blocks.append(current)
             current = []
         text = html.unescape(raw)
-        key = (node.path, bool(node.boiler), node.inside)
+        by_name = node.named >= 0 and named[node.named]
+        key = (node.path, bool(node.boiler), node.inside, by_name)
         path = paths.get(key)
         if path is None:
-            path = paths[key] = _Path(len(paths), node)
+            path = paths[key] = _Path(len(paths), node, by_name)
         current.append((key, text))
-        bare = len(text) - text.count(" ") - text.count("\n")
+        bare = _bare(text)
         if bare:
             path.nodes += 1
             path.length += bare

@@ -110,6 +110,25 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<article class="post hentry category-social tag-menu">',
+        '<article class="comment">',
+        '<div class="content has-sidebar">',
+        '<div class="single-post comments-open">',
+        '<div class="story share-enabled">',
+        '<div class="elementor-widget-theme-post-content">',
+        '<div id="widget">',
+        '<div class="hidden md:block" title="the hidden city" data-x="display:none">',
+    ],
+)
+def test_names_of_wrappers_lose_no_text(wrapper):
+    body = "<p>The first, rather long paragraph of a story.</p><p>And here, at last, the second one.</p>"
+    page = f"<body>{wrapper}{body}</{wrapper[1:].split()[0]}><div class='social-share'>Tell your friends, now.</div></body>"
+    assert html_text.main_text(page) == "The first, rather long paragraph of a story.\nAnd here, at last, the second one."
+
+
 def test_pages_of_hard_rows(spark):
     pages = spark.createDataFrame(
         [(1, None, "u", 5), (2, "", None, None), (2, "", None, None), (None, PAGE, "u", 1)],
