@@ -8,9 +8,10 @@ in the page and fused by multiplication; paths that reach a share of the page's
 spread are content. Paths through boilerplate tags (menus, page headers and footers,
 sidebars, forms) get no score. Class, id and role names that hint at boilerplate lower
 the ratios of the paths through them; those of articles, main elements and elements with
-more than half of the page's text do not count. Where a page has an article
-or main element, paths outside get none either, and paths inside are lifted over the
-threshold, so that its short paragraphs and headings stay.
+more than half of the page's text, if it is not beside an article, do not count. Links lower them by their share of the
+text, and an article or main element doubles them. Headings, paragraphs and other
+elements made for text are also content if a path beside them scores twice the bound,
+so that short ones stay; all others take nothing from their neighbours.
 
 Pages are independent of each other; each is read once, in time that grows with its length.
 """
@@ -47,6 +48,7 @@ BLOCKS = frozenset(
 )
 BOILER = frozenset("nav footer aside form menu dialog button select option textarea fieldset datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+TEXTUAL = HEADINGS | frozenset("p li dt dd blockquote pre figcaption caption td th".split())
 CONTAINERS = frozenset(("article", "main"))
 #: Elements whose own names say nothing about their text.
 UNNAMED = CONTAINERS | {"html", "body"}
@@ -73,12 +75,16 @@ SMOOTH = np.array([0.25, 0.5, 0.25])
 THRESHOLD = 0.5
 #: What is left of the ratios of a path through an element with such a name.
 NAMED_WEIGHT = 0.1
+#: What an article or main element makes of the scores inside.
+INSIDE_WEIGHT = 2.0
+#: What a path made for text gets of the score of the one before or behind it.
+NEIGHBOUR_SHARE = 0.5
 
 
 class Node:
     """An open element: its path, and what its ancestors make of its text."""
 
-    __slots__ = ("tag", "path", "hidden", "boiler", "inside", "link", "named")
+    __slots__ = ("tag", "path", "hidden", "boiler", "inside", "textual", "link", "named")
 
     def __init__(
         self, tag: str, attributes: str, parent: Node | None, numbers: dict[tuple, int], outer_names: list[int]
@@ -87,6 +93,7 @@ class Node:
         self.tag = tag
         above = parent.path if parent else -1
         self.path = numbers.setdefault((above, tag), len(numbers)) if tag in BLOCKS else above
+        self.textual = tag in TEXTUAL if tag in BLOCKS else bool(parent and parent.textual)
         self.link = bool(parent and parent.link) or tag == "a"
         hinted, hidden = _hints(attributes)
         self.named = parent.named if parent else -1
@@ -132,20 +139,24 @@ def _is_cue(token: str) -> bool:
 
 def _named(runs: list[tuple[Node, str, bool]], outer_names: list[int]) -> list[bool]:
     """For each element with a hint, whether it or one around it is small enough for the hint to count."""
-    size = [0] * len(outer_names)
-    total = 0
+    size, within = [0] * len(outer_names), [0] * len(outer_names)
+    total = article = 0
     for node, text, _ in runs:
         if not node.boiler:
             n = _bare(text)
             total += n
+            article += n * node.inside
             if node.named >= 0:
                 size[node.named] += n
+                within[node.named] += n * node.inside
     for i in range(len(size) - 1, -1, -1):  # inner elements have greater numbers
         if outer_names[i] >= 0:
             size[outer_names[i]] += size[i]
+            within[outer_names[i]] += within[i]
     named: list[bool] = []
     for i, outer in enumerate(outer_names):
-        named.append(2 * size[i] <= total or (outer >= 0 and named[outer]))
+        beside_article = article > 0 and not within[i]
+        named.append(2 * size[i] <= total or beside_article or (outer >= 0 and named[outer]))
     return named
 
 
@@ -248,29 +259,33 @@ def _close(stack: list[Node], open_tags: Counter, tags: set[str], barriers: set[
 class _Path:
     """Sums over all nodes of one root-to-leaf path."""
 
-    __slots__ = ("order", "nodes", "length", "marks", "linked", "boiler", "inside", "weight")
+    __slots__ = ("order", "nodes", "length", "marks", "linked", "boiler", "textual", "inside", "weight")
 
     def __init__(self, order: int, node: Node, named: bool) -> None:
         self.order, self.nodes, self.length, self.marks, self.linked = order, 0, 0, 0, 0
-        self.boiler, self.inside = bool(node.boiler), node.inside
+        self.boiler, self.inside, self.textual = bool(node.boiler), node.inside, node.textual
         self.weight = NAMED_WEIGHT if named else 1.0
 
 
 def _content_paths(paths: dict[tuple, _Path]) -> set[tuple]:
     """Paths whose smoothed and fused ratios reach the threshold."""
     free = sorted(((k, p) for k, p in paths.items() if not p.boiler), key=lambda x: x[1].order)
-    article = any(p.inside for _, p in free)
-    free = [(k, p) for k, p in free if p.inside or not article]
     if not free:
         return set()
     # Names weigh down what a path gives to its neighbours and what it gets from them.
     weight = np.array([p.weight for _, p in free])
     length = weight * np.array([(p.length - p.linked) / max(p.nodes, 1) for _, p in free])
     marks = weight * np.array([p.marks / max(p.nodes, 1) for _, p in free])
-    fused = weight * _smoothed(length) * (1 + _smoothed(marks))
-    bound = min(THRESHOLD * fused.std(), fused.max())
-    lift = np.array([bound * p.inside * (p.weight == 1) for _, p in free])
-    return {k for (k, _), score in zip(free, fused + lift) if score >= bound}
+    unlinked = np.array([1 - p.linked / p.length for _, p in free])
+    inside = np.array([INSIDE_WEIGHT if p.inside else 1.0 for _, p in free])
+    own = weight * unlinked * inside
+    textual = np.array([p.textual for _, p in free])
+    score = own * _smoothed(length) * (1 + _smoothed(marks))
+    score = np.where(textual, score, np.minimum(score, own * length * (1 + marks)))
+    bound = min(THRESHOLD * score.std(), score.max())
+    beside = np.maximum(np.append(0, score[:-1]), np.append(score[1:], 0))
+    score = np.maximum(score, NEIGHBOUR_SHARE * textual * weight * unlinked * beside)
+    return {k for (k, _), s in zip(free, score) if s >= bound}
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:

@@ -129,6 +129,24 @@ def test_names_of_wrappers_lose_no_text(wrapper):
     assert html_text.main_text(page) == "The first, rather long paragraph of a story.\nAnd here, at last, the second one."
 
 
+STORY = "<p>The first, rather long paragraph of a story.</p><p>And here, at last, the second one.</p>"
+STORY_TEXT = "The first, rather long paragraph of a story.\nAnd here, at last, the second one."
+LINKS = "<div><ul>" + "<li><a href=x>Another story</a></li>" * 5 + "</ul></div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h2>Head</h2>{STORY}{LINKS}</article>", f"Head\n{STORY_TEXT}"),
+        (f"<main>{STORY}<div>Buy now</div></main>", STORY_TEXT),
+        (f"<body><article><p>Teaser</p></article><div><section>{STORY * 5}</section></div></body>", "\n".join([STORY_TEXT] * 5)),
+    ],
+)
+def test_ratios_decide_inside_and_outside_of_articles(page, text):
+    found = html_text.main_text(page)
+    assert found == text or found == f"Teaser\n{text}"
+
+
 def test_pages_of_hard_rows(spark):
     pages = spark.createDataFrame(
         [(1, None, "u", 5), (2, "", None, None), (2, "", None, None), (None, PAGE, "u", 1)],
