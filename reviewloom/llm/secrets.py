@@ -1,12 +1,13 @@
 """Secret scan: wide candidates, and a random forest that removes false positives.
 
-Candidates are runs of at least 16 key characters with a digit, or of capitals. The
+Candidates are runs of at least 16 key characters, and values of any length and
+characters behind a secret's name and an assignment sign. The
 forest sees what they look like and where they stand: length, shares of character
 classes, transitions between classes, how much of them a dictionary covers, whether they
 are part of a path or address, and the words before and behind. It learns from labelled
 findings; `weak_labels` makes such labels where no reviewed ones exist, from formats
-that are certain either way (issued key formats, values assigned to a secret's name; card
-numbers, plain numbers, shouted words). The forest does not see those formats, so
+that are certain either way (issued key formats, values assigned to a secret's name; and,
+not behind such a name, plain numbers, words, UUIDs, git hashes, data URIs). The forest does not see those formats, so
 it carries over to findings without a label.
 
 Everything runs as DataFrame and SQL functions and in the forest of Spark's own ML
@@ -25,8 +26,16 @@ from pyspark.sql import functions as F
 from reviewloom.llm.rows import text_of
 from reviewloom.session import stored
 
+SECRET_WORDS = (
+    r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+)
+#: A value behind a secret's name and a sign, whole to its closing quote, or to a blank but for closing marks.
+NAMED_BEFORE = (
+    r"(?<=[=:>]\s{0,2}[\"'(`]?)(?<=(?i:" + SECRET_WORDS + r"s?)[\"']?\s{0,2}(?::=|=>|=|:)\s{0,2}[\"'(`]?)"
+)
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9]|[A-Z]{16})[A-Za-z0-9+/_\-]{16,}+={0,2}(?![A-Za-z0-9])"
+    r"(?=[^\s\"'`(=>:])" + NAMED_BEFORE + r"(?:(?<=[\"'`])[^\"'`\n]++(?=[\"'`])|(?<![\"'`])[^\s\"'`]*[^\s\"'`.,;:)\]}])"
+    r"|(?<![A-Za-z0-9+/_\-])(?=[+/_\-]*+[A-Za-z0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}(?![A-Za-z0-9])"
 )
 NEAR = 64
 SAMPLE_ROWS = 20_000
@@ -39,7 +48,11 @@ CUT = 0.5
 SECRET_NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
 ASSIGNED = SECRET_NAME + r"[\"']?\s*(:=|=>|=|:|\s)\s*[\"'(]?$"
 ISSUED = r"^(AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})$"
-PLAIN = r"^([0-9/_+\-]+=*|[A-Z]+[A-Z/_+\-]*)$"
+PLAIN = r"^([0-9/_+\-]+=*|[A-Z]+[A-Z/_+\-]*|[A-Za-z]?[a-z]+([/_\-]+[A-Za-z]?[a-z]+)*)$"
+UUID = r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
+GIT_HASH = r"^([0-9a-f]{40}|[0-9a-f]{64})$"
+GIT_BEFORE = r"(?i)\b(commit|revision|rev|merge|tree|blob|parent|index|sha-?1|sha-?256|checksum|digest)[\"']?\s*[:=]?\s*[\"'(]?$"
+DATA_URI = r"(?i)\bdata:[\w.+/;=\-]*base64,\s*$"
 
 FEATURES = (
     "length", "digit_share", "upper_share", "lower_share", "other_share", "class_changes", "vowel_changes",
@@ -93,7 +106,9 @@ def weak_labels(found: DataFrame) -> DataFrame:
     value, before = F.col("value"), F.col("before")
     varied = (F.regexp_count(value, F.lit("[0-9]")) >= 4) & (F.regexp_count(value, F.lit("[A-Za-z]")) >= 4)
     secret = value.rlike(ISSUED) | (before.rlike(ASSIGNED) & varied)
-    return found.withColumn("label", F.when(secret, 1.0).when(value.rlike(PLAIN), 0.0))
+    blob = value.rlike(UUID) | (value.rlike(GIT_HASH) & before.rlike(GIT_BEFORE)) | before.rlike(DATA_URI)
+    plain = (blob | value.rlike(PLAIN)) & ~before.rlike(ASSIGNED)
+    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0))
 
 
 def dictionary(found: DataFrame) -> list[str]:

@@ -244,6 +244,22 @@ def test_secret_scan(spark):
     assert not any(r["secret"] for r in rows if r["value"].isdigit())
 
 
+def test_secret_candidates_of_any_length_and_alphabet(spark):
+    letters = "abcdEFGHijklMNOPqrstUVWXyzabCDEFghijKLmn"
+    texts = ["password = 'hunter2!Xy9'", "pwd=Tr0ub4dor&3zz", f"api_key: {letters}.", f"so {letters} is", 'my token: "a b$c" end', "a short word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["value"] for r in secrets.candidates(docs).collect()}
+    assert found == {0: "hunter2!Xy9", 1: "Tr0ub4dor&3zz", 2: letters, 3: letters, 4: "a b$c"}
+
+
+def test_hashes_and_blobs_teach_as_no_secrets(spark):
+    blob = "0123456789abcdef0123456789abcdef01234567"
+    texts = [f"commit {blob}", "id 123e4567-e89b-12d3-a456-426614174000", f"src=data:image/png;base64,{blob}A+", f"token = {blob}", f"x {blob}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["label"] for r in secrets.weak_labels(secrets.candidates(docs)).collect()}
+    assert found == {0: 0.0, 1: 0.0, 2: 0.0, 3: 1.0, 4: None}
+
+
 def test_secrets_of_hard_rows(spark):
     assert secrets.scan(no_docs(spark)).count() == 0
     assert secrets.scan(hard_docs(spark)).count() == 0
