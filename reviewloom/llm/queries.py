@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import class_lm, html_text, language_id, mixing, pii, quality, secrets, simhash, suffix_arrays, token_counts
+from reviewloom.llm import (
+    class_lm,
+    html_text,
+    language_id,
+    mixing,
+    pii,
+    prefix_trie,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+    suffix_arrays,
+    token_counts,
+)
 from reviewloom.llm.rows import bytes_of, read_table
 
 
@@ -66,13 +79,27 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_arrays.contamination(docs, read_table(spark, sf, "benchmark")).drop("text")
 
 
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    found = spelling.spelling_variants(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf, "conversations"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
         op1_private_data, op2_quality_rules, op3_main_text, op4_language_id, op5_brown_lm,
         op6_token_counts, op7_secret_scan, op8_entropy_mix, op9_simhash_neardup, op10_decontamination,
+        op12_spelling_variants, op13_prefix_trie,
     ]
     return {f.__name__: f for f in listed}
 
 
 def registered_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL}
+    return {
+        "op2_quality_rules": quality.SQL,
+        "op12_spelling_variants": spelling.sql(prefix_trie.CRC32),
+        "op13_prefix_trie": prefix_trie.SQL,
+    }
