@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm import (
+    bwt_dedup,
     class_lm,
     html_text,
     language_id,
@@ -79,6 +80,10 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_arrays.contamination(docs, read_table(spark, sf, "benchmark")).drop("text")
 
 
+def op11_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return bwt_dedup.repeated_bytes(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     found = spelling.spelling_variants(read_table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -92,7 +97,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
         op1_private_data, op2_quality_rules, op3_main_text, op4_language_id, op5_brown_lm,
         op6_token_counts, op7_secret_scan, op8_entropy_mix, op9_simhash_neardup, op10_decontamination,
-        op12_spelling_variants, op13_prefix_trie,
+        op11_repeated_bytes, op12_spelling_variants, op13_prefix_trie,
     ]
     return {f.__name__: f for f in listed}
 
@@ -100,6 +105,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def registered_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.SQL,
+        "op11_repeated_bytes": bwt_dedup.SQL,
         "op12_spelling_variants": spelling.sql(prefix_trie.CRC32),
         "op13_prefix_trie": prefix_trie.SQL,
     }
