@@ -16,6 +16,7 @@ from reviewloom.functions.vectors import unit
 from reviewloom.operators import (
     density,
     embedding,
+    hierarchy,
     keywords,
     naive_bayes,
     prepare,
@@ -221,6 +222,23 @@ def themes_density(spark, sf):
     return density.density_themes(stored_vectors(spark, sf), threshold=0.3, min_neighbours=5)
 
 
+#: Cosine distances at which the hierarchy of all vectors is shown.
+HEIGHTS = [0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
+
+
+def themes_hierarchy(spark, sf):
+    """Components of the density hierarchy at given heights, over all vectors."""
+    points, tree = hierarchy.mutual_tree(stored_vectors(spark, sf))
+    placed = hierarchy.components_at(points, tree, HEIGHTS).select("level", "point", "component")
+    rows = stored_vectors(spark, sf).join(points.select("point", "embedding"), "embedding")
+    return placed.join(rows.select("review_id", "point"), "point").select("review_id", "level", "component")
+
+
+def themes_selected(spark, sf):
+    """Themes chosen from the hierarchy by their stability: no number of themes, no threshold."""
+    return hierarchy.hierarchy_themes(stored_vectors(spark, sf))
+
+
 def themes_kmeans(spark, sf):
     texts = prepare.cluster_input(prepare.negative_reviews(_clean(spark, sf)))
     embedder = embedding.fit_hashed_embedder(texts, dims=256)
@@ -330,6 +348,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         summary_with_evidence, topic_sizes, topic_names, topic_words, topic_table, topic_chart, themes_density,
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
-        reviews_csv_round_trip, evidence_snippets, token_windows, index_missing,
+        reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

@@ -8,8 +8,9 @@ from reviewloom.functions.constants import (
     SUMMARY_SENTENCE,
     WHITESPACE_CODE_POINTS,
 )
+from reviewloom.operators.hierarchy import MIN_SAMPLES
 from reviewloom.operators.naive_bayes import SMOOTHING
-from reviewloom.plans.catalog import CLUSTER_ROWS, K, SAMPLE_ROWS, SLOTS, TOPIC_ROWS
+from reviewloom.plans.catalog import CLUSTER_ROWS, HEIGHTS, K, SAMPLE_ROWS, SLOTS, TOPIC_ROWS
 from reviewloom.sources.testdata import SCORES
 
 WS = "(" + " || ".join(f"chr({int(p, 16)})" for p in WHITESPACE_CODE_POINTS.split()) + ")"
@@ -136,6 +137,18 @@ DENSITY = f"""WITH RECURSIVE near AS (
 SELECT vec_id AS review_id, coalesce(topic, -1)::INTEGER AS topic
 FROM embeddings LEFT JOIN placed ON placed.node = vec_id LEFT JOIN numbers USING (root)"""
 
+HIERARCHY = f"""WITH RECURSIVE far AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.embedding = b.embedding THEN 0
+         ELSE round(1 - {dot('a.embedding', 'b.embedding')}, 9) END AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), cores AS (
+  SELECT a AS id, d AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS n FROM far) WHERE n = {MIN_SAMPLES}), reach AS (
+  SELECT a, b, greatest(d, x.core, y.core) AS d FROM far JOIN cores x ON x.id = a JOIN cores y ON y.id = b), heights AS (
+  SELECT unnest(range({len(HEIGHTS)}))::INTEGER AS level, unnest({HEIGHTS}) AS h), seen AS (
+  SELECT level, h, id AS node, id AS seen FROM heights JOIN cores ON core <= h
+  UNION
+  SELECT s.level, s.h, s.node, r.b FROM seen s JOIN reach r ON r.a = s.seen AND r.d <= s.h)
+SELECT node AS review_id, level, min(seen) AS component FROM seen GROUP BY node, level"""
+
 # Whole-word matches share their delimiters, so marking takes two passes.
 TERMS = f"""list_transform(list_sort(list_transform(
     list_filter(list_distinct_ordered, lambda w: length(w) >= 2), lambda w, i: [lpad((100000 - length(w))::VARCHAR, 6, '0'), lpad(i::VARCHAR, 6, '0'), w])),
@@ -312,6 +325,7 @@ SELECT topic, replace(regexp_replace(name, '^\\d+_', ''), '_', ' ') AS theme, co
             ELSE round(count::DOUBLE / (SELECT max(count) FROM shown) * 100, 1) END AS width_pct
 FROM shown ORDER BY topic DESC""",
         "themes_density": DENSITY,
+        "themes_hierarchy": HIERARCHY,
         "split_80_10_10": f"""WITH {CLEAN} SELECT review_id, label, {SPLIT} AS split
   FROM (SELECT review_id, label, md5(concat('42:', review_id)) AS h FROM clean)""",
         "token_window": f"""SELECT doc_id, len(toks)::INTEGER AS n_tokens, least(len(toks), 512)::INTEGER AS n_kept,
