@@ -62,40 +62,6 @@ class DenseScores:
         yield 0, chunk @ vector_matrix(rows.column("embedding"), chunk.shape[1]).T
 
 
-class SparseScores:
-    """Dot products of sparse vectors given as `terms` and `weights` columns."""
-
-    columns = ["terms", "weights"]
-    values = "terms"
-    query_chunk = 64
-    cells = 4_000_000
-
-    def load(self, queries: pa.Table):
-        chunks = []
-        for at in range(0, queries.num_rows, self.query_chunk):
-            part = queries.slice(at, self.query_chunk)
-            terms, weights = _one_chunk(part, "terms"), _one_chunk(part, "weights")
-            vocabulary = pc.unique(terms.flatten())
-            chunks.append((vocabulary, self._matrix(terms, weights, vocabulary)))
-        return chunks
-
-    def _matrix(self, terms: pa.Array, weights: pa.Array, vocabulary: pa.Array) -> np.ndarray:
-        out = np.zeros((len(terms), len(vocabulary)))
-        found = pc.index_in(terms.flatten(), value_set=vocabulary)
-        known = pc.is_valid(found).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-        column = found.fill_null(-1).to_numpy(zero_copy_only=False)
-        out[row[known], column[known]] = weights.flatten().to_numpy(zero_copy_only=False)[known]
-        return out
-
-    def score(self, chunk, rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        vocabulary, matrix = chunk
-        step = max(1, self.cells // max(1, len(vocabulary)))
-        for at in range(0, rows.num_rows, step):
-            part = rows.slice(at, step)
-            yield at, matrix @ self._matrix(part.column("terms"), part.column("weights"), vocabulary).T
-
-
 def best_per_query(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     """Rows of the `k` best scores per query, ties by the smaller id."""
     order = np.lexsort((ids, -scores, query))

@@ -63,8 +63,7 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _text_ranks(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
-    vectors, idf = text_search.text_index(_corpus(spark, sf))
-    return text_search.search_texts(vectors, idf, _queries(spark, sf), k)
+    return text_search.search_texts(text_search.text_index(_corpus(spark, sf)), _queries(spark, sf), k)
 
 
 def _text_hits(spark: SparkSession, sf: str) -> DataFrame:

@@ -206,18 +206,54 @@ def tfidf_brute(corpus, query):
     return [(i, s) for i, s in sorted(scores.items(), key=lambda p: (-p[1], p[0])) if s > 0]
 
 
-@pytest.mark.parametrize("blocks", [False, True])
-def test_text_search(spark, corpus, monkeypatch, blocks):
-    if blocks:
-        monkeypatch.setattr(batch, "MAX_BROADCAST_QUERIES", 1)
-        monkeypatch.setattr(batch, "BLOCK_ROWS", 2)
-    queries = ["broken box", "great great tea", "unknown words", "the chips", "at all"]
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_text_search(spark, corpus, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(text_search, "MAX_BROADCAST_ROWS", -1)
+    queries = ["broken box", "great great tea", "unknown words", "the chips", "at all", None, "  "]
     asked = spark.createDataFrame(list(enumerate(queries)), "query_id bigint, text string")
-    vectors, idf = text_search.text_index(corpus)
-    rows = text_search.search_texts(vectors, idf, asked, 3).collect()
+    rows = text_search.search_texts(text_search.text_index(corpus), asked, 3).collect()
     for i, query in enumerate(queries):
         got = sorted((r["rank"], r.review_id, r.score) for r in rows if r.query_id == i)
-        assert [(d, s) for _, d, s in got] == tfidf_brute(corpus, query)[:3]
+        assert [(d, s) for _, d, s in got] == tfidf_brute(corpus, query or "")[:3]
+
+
+@pytest.mark.parametrize("slice_postings", [200_000, 40])
+def test_text_search_skips_blocks_and_keeps_the_hits(spark, monkeypatch, slice_postings):
+    """Common words everywhere, rare ones in few texts, copies that tie: bounds skip most postings."""
+    monkeypatch.setattr(text_search, "SLICE_POSTINGS", slice_postings)
+    rng = np.random.default_rng(3)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(150)]
+    texts = [" ".join([*rng.choice(common, rng.integers(5, 40)), *rng.choice(rare, rng.integers(0, 4))]) for _ in range(400)]
+    texts += [texts[5]] * 6 + ["", "r1", "c0"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "review_id bigint, text string")
+    queries = ["r1 r2 c0 c1 c2 c3", "r7 c0 c0 c0", "c1 c2", texts[5], "r140"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id bigint, text string")
+    index = text_search.text_index(corpus)
+    rows = text_search.search_texts(index, asked, 4).collect()
+    for i, query in enumerate(queries):
+        got = sorted((r["rank"], r.review_id, r.score) for r in rows if r.query_id == i)
+        assert [(d, s) for _, d, s in got] == tfidf_brute(corpus, query)[:4]
+    choice = text_search.block_choice(index, text_search.stored(text_search.query_vectors(asked, index.idf)), 4)
+    counted = {r["kept"]: r["postings"] for r in choice.groupBy("kept").agg(F.sum("n").alias("postings")).collect()}
+    assert counted[False] > counted[True]
+    if slice_postings == 40:  # a hot word's postings lie in several slices
+        assert index.postings.filter("word = 'c0'").select("slice").distinct().count() > 2
+
+
+def test_text_search_of_no_texts_or_queries(spark, corpus):
+    none = spark.createDataFrame([], "review_id bigint, text string")
+    asked = spark.createDataFrame([(1, "box")], "query_id bigint, text string")
+    assert text_search.search_texts(text_search.text_index(none), asked, 3).collect() == []
+    index = text_search.text_index(corpus)
+    assert text_search.search_texts(index, asked.limit(0), 3).collect() == []
+    assert text_search.search_texts(index, asked, 0).collect() == []
+
+
+def test_text_search_plan_has_no_python(spark, corpus):
+    asked = spark.createDataFrame([(1, "box")], "query_id bigint, text string")
+    plan = text_search.search_texts(text_search.text_index(corpus), asked, 3)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_keywords_ties_by_first_occurrence(spark):
