@@ -1,17 +1,15 @@
 """Complaint themes by density: rows with enough near neighbours, linked up.
 
-Vectors are compared tile by tile as matrix products. A tile pair gives counts
-and a spanning set of links, never the pairs themselves, and copies of a vector
-are folded into one point first, so a crowd of equal or near rows stays small.
-The comparison is exact, hence quadratic in the number of distinct vectors:
-meant for the sample of complaints that themes are built from; `kmeans_themes`
-is the linear way.
+Vectors are compared block by block as matrix products, and only blocks that can hold a
+near pair are compared (`metric_join`). A pair of blocks gives counts and a spanning set of
+links, never the pairs themselves, and copies of a vector are folded into one point
+first, so a crowd of equal or near rows stays small. The result is exact. Vectors
+without structure leave no blocks to skip, and the work is then quadratic in the
+distinct vectors; `kmeans_themes` is the linear way.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import MIN_TOPIC_SIZE, SCORE_DIGITS
 from reviewloom.operators.batch import vector_matrix
+from reviewloom.operators.metric_join import Blocks
 from reviewloom.operators.ranking import join_counted
 from reviewloom.operators.themes import assign_topics
 from reviewloom.session import stored
@@ -73,7 +72,7 @@ def _cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
     return np.round(a @ b.T, SCORE_DIGITS)
 
 
-def neighbour_counts(points: DataFrame, threshold: float, n_tiles: int) -> DataFrame:
+def neighbour_counts(points: DataFrame, threshold: float, blocks: Blocks) -> DataFrame:
     """(point, neighbours): rows within the threshold, the row itself not counted."""
     schema = "point bigint, neighbours bigint"
     arrow = pa.schema([("point", pa.int64()), ("neighbours", pa.int64())])
@@ -87,7 +86,7 @@ def neighbour_counts(points: DataFrame, threshold: float, n_tiles: int) -> DataF
             counts.append(_column(left, "weight") @ near)
         return pa.table([np.concatenate(ids), np.concatenate(counts)], schema=arrow)
 
-    counted = _tile_pairs(points, n_tiles).applyInArrow(run, schema)
+    counted = blocks.paired(points).applyInArrow(run, schema)
     return counted.groupBy("point").agg((F.sum("neighbours") - 1).alias("neighbours"))
 
 
@@ -106,7 +105,7 @@ def _spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def core_links(points: DataFrame, threshold: float, n_tiles: int) -> DataFrame:
+def core_links(points: DataFrame, threshold: float, blocks: Blocks) -> DataFrame:
     """Links between points that have an `is_core` column.
 
     Rows with a NULL score link two core points; other rows offer a core point
@@ -148,7 +147,7 @@ def core_links(points: DataFrame, threshold: float, n_tiles: int) -> DataFrame:
         a, b, score = (np.concatenate(c) for c in zip(*parts))
         return pa.table([a, b, pa.array(score, from_pandas=True)], schema=arrow)
 
-    return _tile_pairs(points, n_tiles).applyInArrow(run, schema)
+    return blocks.paired(points).applyInArrow(run, schema)
 
 
 def connected_components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -223,11 +222,11 @@ def density_themes(
     missing = vectors.filter("embedding IS NULL").select("review_id", F.lit(None).cast("bigint").alias("cluster"))
     vectors = vectors.filter("embedding IS NOT NULL")
     points = stored(fold_copies(vectors.select("review_id", "embedding")))
-    n_tiles = math.ceil(points.count() / tile_rows) or 1
-    counts = neighbour_counts(points, threshold, n_tiles)
+    blocks = Blocks(points, threshold, tile_rows)
+    counts = neighbour_counts(points, threshold, blocks)
     is_core = (F.col("neighbours") >= min_neighbours).alias("is_core")
     marked = stored(points.join(counts, "point").select("point", "embedding", is_core))
-    links = stored(core_links(marked, threshold, n_tiles))
+    links = stored(core_links(marked, threshold, blocks))
     components = connected_components(links.filter(F.col("score").isNull()))
     cores = marked.filter("is_core").select(F.col("point").alias("node"))
     component = cores.join(components, "node", "left").select(

@@ -39,7 +39,7 @@ class TextIndex(NamedTuple):
     idf: DataFrame  # word, idf
 
 
-def term_counts(texts: DataFrame, key: str) -> DataFrame:
+def listed_terms(texts: DataFrame, key: str) -> DataFrame:
     """(key, pos, word, tf) for every word of every text; needs no shuffle.
 
     A text without words has one row without a word; `pos` is 0 or NULL once for each text.
@@ -47,6 +47,11 @@ def term_counts(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.posexplode_outer(word_counts(words(F.col("text"))))).select(key, "pos", "col.word", "col.tf")
 
 
+def term_counts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, word, tf) for every word of every text."""
+    return listed_terms(texts, key).filter(F.col("word").isNotNull()).drop("pos")
+
+
 def word_weights(counts: DataFrame, n_texts: Column) -> DataFrame:
     """(word, df, idf): number of texts holding each word, and its rarity."""
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -55,7 +60,7 @@ def word_weights(counts: DataFrame, n_texts: Column) -> DataFrame:
 
 def text_index(corpus: DataFrame) -> TextIndex:
     """The inverted index of (review_id, text) rows. The texts are read once."""
-    listed = stored(term_counts(corpus, "review_id"))
+    listed = stored(listed_terms(corpus, "review_id"))
     n_texts = listed.agg(F.count_if(F.coalesce("pos", F.lit(0)) == 0)).scalar()
     counts = listed.filter(F.col("word").isNotNull())
     weights = stored(word_weights(counts, n_texts))
@@ -83,7 +88,7 @@ def text_index(corpus: DataFrame) -> TextIndex:
 
 def query_vectors(queries: DataFrame, idf: DataFrame) -> DataFrame:
     """(query_id, word, wq): sparse unit vectors of (query_id, text) rows; unknown words weigh nothing."""
-    counts = term_counts(queries, "query_id").filter(F.col("word").isNotNull())
+    counts = term_counts(queries, "query_id")
     weighted = counts.join(idf, "word").select("query_id", "word", (F.col("tf") * F.col("idf")).alias("weight"))
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("query_id")))
     return weighted.filter("weight > 0").select("query_id", "word", (F.col("weight") / length).alias("wq"))
