@@ -21,6 +21,7 @@ from reviewloom.operators import (
     naive_bayes,
     prepare,
     reports,
+    routed,
     sampling,
     search,
     sentiment,
@@ -155,6 +156,16 @@ def search_batch_topk(spark, sf):
     return search.nearest_batch(_index(spark, sf), asked, 10)
 
 
+def search_batch_routed(spark, sf):
+    """The batch search through cells: every stored vector as a query, over the indexed reviews."""
+    index = stored(_index(spark, sf))
+    centres = search.fit_cells(index, n_cells=16)
+    cells = stored(search.with_cells(index, centres))
+    bounds = [tuple(r) for r in search.cell_bounds(cells).collect()]
+    asked = stored_vectors(spark, sf).withColumnRenamed("review_id", "query_id")
+    return routed.nearest_batch_in_cells(cells, centres, bounds, asked, 10)
+
+
 def search_text_tfidf(spark, sf):
     return _text_ranks(spark, sf, 10)
 
@@ -347,6 +358,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         summary_with_evidence, topic_sizes, topic_names, topic_words, topic_table, topic_chart, themes_density,
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
-        reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected,
+        reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected, search_batch_routed,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

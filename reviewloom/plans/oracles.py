@@ -109,6 +109,10 @@ TOPICS = f"""{CLEAN}, given AS (
   FROM (SELECT topic, count(*) AS count FROM topics GROUP BY topic) t
   LEFT JOIN (SELECT topic, string_agg(word, '_' ORDER BY rank) AS name FROM top_words WHERE rank <= 4 GROUP BY topic) n
   USING (topic))"""
+BATCH = f"""WITH {INDEX}, scored AS (
+  SELECT e.vec_id AS query_id, review_id, {dot('idx.embedding', 'e.embedding')} AS score FROM idx, embeddings e)
+SELECT * FROM (SELECT query_id, review_id, score,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id)::INTEGER AS rank FROM scored) WHERE rank <= 10"""
 RULE = """rule AS (
   SELECT doc_id, quality AS label, 0.4::DOUBLE + toxic * 0.3::DOUBLE AS s0, n_chars / 2000.0::DOUBLE AS s1, n_chars, lang,
          CASE WHEN n_chars / 2000.0::DOUBLE > 0.4::DOUBLE + toxic * 0.3::DOUBLE THEN 1 ELSE 0 END AS prediction,
@@ -259,10 +263,8 @@ def registered_sql() -> dict[str, str]:
   WHERE rank <= {K} ORDER BY rank""".replace("Score::INTEGER AS rating", "rating_value::INTEGER AS rating"),
         "search_relevance": f"{top} SELECT concat('Result ', rank) AS label, score FROM best WHERE rank <= {K} ORDER BY rank DESC",
         "search_pruned": f"{top} SELECT review_id, score FROM best WHERE rank <= 10",
-        "search_batch_topk": f"""WITH {INDEX}, scored AS (
-  SELECT e.vec_id AS query_id, review_id, {dot('idx.embedding', 'e.embedding')} AS score FROM idx, embeddings e)
-SELECT * FROM (SELECT query_id, review_id, score,
-  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id)::INTEGER AS rank FROM scored) WHERE rank <= 10""",
+        "search_batch_topk": BATCH,
+        "search_batch_routed": BATCH,
         "search_text_tfidf": f"WITH {TFIDF} SELECT query_id, review_id, score, rank FROM ranked WHERE rank <= 10",
         "search_snippets": snippets("query_id, rank, review_id, snippet, summary_html", 500),
         "evidence_snippets": snippets("query_id, rank, review_id, snippet", 450),

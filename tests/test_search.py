@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.operators import batch, embedding, keywords, ranking, search, text_search
+from reviewloom.operators import batch, embedding, keywords, ranking, routed, search, text_search
 
 RNG = np.random.default_rng(7)
 
@@ -99,6 +99,42 @@ def test_cells_give_the_exact_result(spark, tmp_path, clustered):
     assert ("PartitionFilters: [cell" in plan.replace("isnotnull(cell", "cell")) == (not clustered)
 
 
+@pytest.mark.parametrize("parts", [50_000, 7])
+def test_routed_batch_gives_the_exact_result(spark, monkeypatch, parts):
+    """Clusters, copies and a zero vector; slices of rows and groups of queries."""
+    monkeypatch.setattr(routed, "CELL_ROWS", parts)
+    monkeypatch.setattr(routed, "CELL_QUERIES", parts)
+    centre = np.repeat(unit_rows(12, 6), 25, axis=0)
+    m = centre + RNG.normal(size=centre.shape).astype(np.float32) * 0.03
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    m[40:60], m[5] = m[40], 0
+    index = frame(spark, m)
+    centres = search.fit_cells(index, n_cells=12)
+    cells = search.stored(search.with_cells(index, centres))
+    bounds = [tuple(r) for r in search.cell_bounds(cells).collect()]
+    q = np.concatenate([m[::20], unit_rows(4, 6)])
+    asked = frame(spark, q, "query_id")
+    check_batch(routed.nearest_batch_in_cells(cells, centres, bounds, asked, 6), m, q, 6)
+    sizes = {c: n for c, n, _ in bounds}
+    first = routed.route(asked, centres, bounds, 6).collect()
+    worst = [(i, [float(x) for x in v], float(brute(m, v, 6)[-1][1])) for i, v in enumerate(q)]
+    floors = spark.createDataFrame(worst, "query_id bigint, embedding array<float>, floor double")
+    then = routed.route(floors, centres, bounds, 6, floors=True).collect()
+    compared = sum(sizes[r["cell"]] for r in first + then)
+    assert compared < len(q) * len(m) / 2  # rows compared, of all pairs
+
+
+def test_routed_batch_of_nothing(spark):
+    index = frame(spark, unit_rows(10))
+    centres = search.fit_cells(index, n_cells=2)
+    cells = search.with_cells(index, centres)
+    bounds = [tuple(r) for r in search.cell_bounds(cells).collect()]
+    none = spark.createDataFrame([(1, None)], "query_id bigint, embedding array<float>")
+    assert routed.nearest_batch_in_cells(cells, centres, bounds, none, 3).collect() == []
+    assert routed.nearest_batch_in_cells(cells, centres, bounds, frame(spark, unit_rows(2), "query_id"), 0).collect() == []
+    assert len(routed.nearest_batch_in_cells(cells, centres, bounds, frame(spark, unit_rows(2), "query_id"), 30).collect()) == 20
+
+
 def test_rows_without_a_vector_are_no_hits(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 0.0]), (4, [0.6, 0.8])]
     index = spark.createDataFrame(rows, "review_id bigint, embedding array<float>")
