@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.display import class_name
@@ -18,6 +18,7 @@ from reviewloom.operators.sampling import with_split
 from reviewloom.operators.sentiment import binary_metrics
 from reviewloom.operators.text_search import term_counts
 from reviewloom.session import stored
+from reviewloom.sources.tables import read_dataset, write_dataset
 
 SMOOTHING = (0.1, 1.0, 10.0)
 
@@ -87,3 +88,20 @@ def score_words(texts: DataFrame, model: WordModel, key: str = "review_id") -> D
     confidence = 1 / (1 + F.exp(-F.abs("margin")))
     label = class_name((F.col("margin") > 0).cast("int"))
     return margins.select(key, label.alias("label_name"), F.round(confidence, 6).alias("confidence"))
+
+
+def save_words(model: WordModel, path: str) -> None:
+    """Write a model: its word counts, its numbers and its metrics."""
+    spark = model.words.sparkSession
+    write_dataset(model.words, f"{path}/words")
+    write_dataset(model.metrics, f"{path}/metrics")
+    numbers = [(*model.totals, model.distinct, model.prior, model.smoothing)]
+    schema = "negative double, positive double, distinct bigint, prior double, smoothing double"
+    write_dataset(spark.createDataFrame(numbers, schema), f"{path}/numbers")  # last: a model with numbers is whole
+
+
+def load_words(spark: SparkSession, path: str) -> WordModel:
+    """A model that save_words wrote."""
+    n = read_dataset(spark, f"{path}/numbers", "word model").first()
+    words, metrics = read_dataset(spark, f"{path}/words", "word model"), read_dataset(spark, f"{path}/metrics", "word model")
+    return WordModel(words, (n["negative"], n["positive"]), n["distinct"], n["prior"], n["smoothing"], metrics)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -29,9 +30,11 @@ from reviewloom.operators import (
     text_search,
     themes,
 )
+from reviewloom.plans import full_run
 from reviewloom.session import ensure_checkpoint_dir, stored
 from reviewloom.sources import tables
 from reviewloom.sources.testdata import labelled_texts, raw_reviews, stored_vectors, table
+from reviewloom.streaming import distribution, scoring
 
 K = 5
 SAMPLE_ROWS = 300
@@ -325,6 +328,46 @@ def sentiment_distribution(spark, sf):
     return sentiment.sentiment_distribution(_scored(spark, sf))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared place."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _saved_model(spark: SparkSession, sf: str) -> naive_bayes.WordModel:
+    """The word model after it was saved and loaded again."""
+    path = _folder(spark, "words")
+    naive_bayes.save_words(_word_model(spark, sf), path)
+    return naive_bayes.load_words(spark, path)
+
+
+def sentiment_saved(spark, sf):
+    """Scores by a model that was written, read back and used."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    return sentiment.prediction_display(naive_bayes.score_words(texts, _saved_model(spark, sf)))
+
+
+def stream_distribution(spark, sf):
+    """Label counts of all documents, arriving in two lots with repeats and a restart in between."""
+    model, inbox, out, state = _saved_model(spark, sf), *(_folder(spark, n) for n in ("inbox", "counts", "state"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").cast("bigint").alias("review_id"), "text")
+    early = F.pmod(F.xxhash64("review_id"), F.lit(2)) == 0
+    for lot in (texts.filter(early), texts):  # the second lot holds the first one again
+        lot.write.mode("append").parquet(inbox)
+        arriving = scoring.read_review_stream(spark, inbox)
+        distribution.start_counting(arriving, lambda b: naive_bayes.score_words(b, model), out, state, True).awaitTermination()
+    return distribution.distribution(spark, out)
+
+
+def run_stage_counts(spark, sf):
+    """Rows that each stage of the full run has written."""
+    paths = full_run.run_all(spark, raw_reviews(spark, sf), _folder(spark, "run"), topic_counts=(4,), embedding_dims=64)
+    counts = [
+        tables.read_dataset(spark, paths[name], name).agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n_rows"))
+        for name in ("clean", "negative", "corpus", "index", "assigned")
+    ]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
 def dashboard_stats(spark, sf):
     sources = _source_topics(spark, sf).select("review_id", "topic")
     return reports.dashboard_counts(_corpus(spark, sf), themes.topic_sizes(sources))
@@ -359,5 +402,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
         reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected, search_batch_routed,
+        sentiment_saved, stream_distribution, run_stage_counts,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

@@ -237,6 +237,11 @@ def naive_bayes(tail: str) -> str:
 
 
 def registered_sql() -> dict[str, str]:
+    scores = naive_bayes("""SELECT review_id, label_name, confidence,
+  CASE label_name WHEN 'POSITIVE' THEN 'Positive Review' ELSE 'Negative Review' END AS display,
+  printf('%.4f', confidence) AS confidence_text, round_even(confidence * 100, 0)::INTEGER AS percent FROM scored""")
+    counted = naive_bayes("""SELECT label_name, count(*) AS count FROM scored
+GROUP BY 1 ORDER BY count DESC, label_name""")
     top = f"""WITH {MEAN}, best AS (
   SELECT review_id, score, row_number() OVER (ORDER BY score DESC, review_id)::INTEGER AS rank FROM scored)"""
     return {
@@ -271,11 +276,14 @@ def registered_sql() -> dict[str, str]:
         "search_free_text": free_text(),
         "sentiment_train_eval": naive_bayes("""SELECT split, n_rows, accuracy, f1, majority_rate
 FROM measured WHERE a = (SELECT a FROM chosen)"""),
-        "sentiment_score": naive_bayes("""SELECT review_id, label_name, confidence,
-  CASE label_name WHEN 'POSITIVE' THEN 'Positive Review' ELSE 'Negative Review' END AS display,
-  printf('%.4f', confidence) AS confidence_text, round_even(confidence * 100, 0)::INTEGER AS percent FROM scored"""),
-        "sentiment_distribution": naive_bayes("""SELECT label_name, count(*) AS count FROM scored
-GROUP BY 1 ORDER BY count DESC, label_name"""),
+        "sentiment_score": scores,
+        "sentiment_saved": scores,
+        "sentiment_distribution": counted,
+        "stream_distribution": counted,
+        "run_stage_counts": f"""WITH {CORPUS}, kept AS (SELECT count(*) AS n FROM corpus), bad AS (
+  SELECT count(*) AS n FROM clean WHERE label = 0)
+SELECT 'clean' AS stage, count(*) AS n_rows FROM clean UNION ALL SELECT 'negative', n FROM bad
+UNION ALL SELECT 'assigned', n FROM bad UNION ALL SELECT 'corpus', n FROM kept UNION ALL SELECT 'index', n FROM kept""",
         "reviews_csv_round_trip": f"""WITH {RAW} SELECT Id, Text, Summary, Score, HelpfulnessNumerator, HelpfulnessDenominator
   FROM raw""",
         "token_windows": f"""SELECT doc_id, w::INTEGER AS window, len(toks[w * 512 + 1:w * 512 + 512])::INTEGER AS n_kept,
