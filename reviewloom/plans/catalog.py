@@ -29,6 +29,7 @@ from reviewloom.operators import (
     slots,
     text_search,
     themes,
+    word_vectors,
 )
 from reviewloom.plans import full_run
 from reviewloom.session import ensure_checkpoint_dir, stored
@@ -239,6 +240,19 @@ def themes_density(spark, sf):
 HEIGHTS = [0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 
 
+def word_pmi(spark, sf):
+    """Weights of the word pairs of the whole corpus that the word vectors are made of."""
+    corpus = _corpus(spark, sf)
+    return word_vectors.positive_pmi(word_vectors.pair_counts(corpus, stored(word_vectors.vocabulary(corpus))))
+
+
+def words_alike(spark, sf):
+    """For every word of the benchmark queries, the words with the most similar learned vectors."""
+    vectors = word_vectors.learn_words(_corpus(spark, sf), dims=16, rounds=6)
+    asked = text_search.term_counts(_queries(spark, sf), "query_id").select("word")
+    return word_vectors.words_alike(vectors, asked, K)
+
+
 def themes_hierarchy(spark, sf):
     """Components of the density hierarchy at given heights, over all vectors."""
     points, tree = hierarchy.mutual_tree(stored_vectors(spark, sf))
@@ -402,6 +416,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
         reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected, search_batch_routed,
-        sentiment_saved, stream_distribution, run_stage_counts,
+        sentiment_saved, stream_distribution, run_stage_counts, word_pmi, words_alike,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

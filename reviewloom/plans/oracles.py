@@ -10,6 +10,7 @@ from reviewloom.functions.constants import (
 )
 from reviewloom.operators.hierarchy import MIN_SAMPLES
 from reviewloom.operators.naive_bayes import SMOOTHING
+from reviewloom.operators.word_vectors import MIN_COUNT, WINDOW
 from reviewloom.plans.catalog import CLUSTER_ROWS, HEIGHTS, K, SAMPLE_ROWS, SLOTS, TOPIC_ROWS
 from reviewloom.sources.testdata import SCORES
 
@@ -153,6 +154,18 @@ HIERARCHY = f"""WITH RECURSIVE far AS (
   SELECT s.level, s.h, s.node, r.b FROM seen s JOIN reach r ON r.a = s.seen AND r.d <= s.h)
 SELECT node AS review_id, level, min(seen) AS component FROM seen GROUP BY node, level"""
 
+PMI = f"""WITH {CORPUS}, listed AS (SELECT review_id, {words('text')} AS ws FROM corpus), toks AS (
+  SELECT review_id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS pos FROM listed), vocab AS (
+  SELECT w FROM toks GROUP BY w HAVING count(*) >= {MIN_COUNT}), next_to AS (
+  SELECT review_id, w AS a, unnest([{", ".join(f"lead(w, {d}) OVER t" for d in range(1, WINDOW + 1))}]) AS b
+  FROM toks WINDOW t AS (PARTITION BY review_id ORDER BY pos)), met AS (
+  SELECT a, b, count(*) AS n FROM next_to WHERE b IS NOT NULL AND a IN (FROM vocab) AND b IN (FROM vocab) GROUP BY ALL), pairs AS (
+  SELECT word, context, sum(n)::BIGINT AS n FROM (
+    SELECT a AS word, b AS context, n FROM met UNION ALL SELECT b, a, n FROM met WHERE a <> b) GROUP BY ALL), sums AS (
+  SELECT word, sum(n)::DOUBLE AS s FROM pairs GROUP BY word)
+SELECT * FROM (SELECT p.word, p.context, p.n, round(ln(p.n * (SELECT sum(s) FROM sums) / (x.s * y.s)), 9) AS pmi
+  FROM pairs p JOIN sums x ON x.word = p.word JOIN sums y ON y.word = p.context) WHERE pmi > 0"""
+
 # Whole-word matches share their delimiters, so marking takes two passes.
 TERMS = f"""list_transform(list_sort(list_transform(
     list_filter(list_distinct_ordered, lambda w: length(w) >= 2), lambda w, i: [lpad((100000 - length(w))::VARCHAR, 6, '0'), lpad(i::VARCHAR, 6, '0'), w])),
@@ -336,6 +349,7 @@ SELECT topic, replace(regexp_replace(name, '^\\d+_', ''), '_', ' ') AS theme, co
 FROM shown ORDER BY topic DESC""",
         "themes_density": DENSITY,
         "themes_hierarchy": HIERARCHY,
+        "word_pmi": PMI,
         "split_80_10_10": f"""WITH {CLEAN} SELECT review_id, label, {SPLIT} AS split
   FROM (SELECT review_id, label, md5(concat('42:', review_id)) AS h FROM clean)""",
         "token_window": f"""SELECT doc_id, len(toks)::INTEGER AS n_tokens, least(len(toks), 512)::INTEGER AS n_kept,
