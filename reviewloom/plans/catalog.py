@@ -31,7 +31,7 @@ from reviewloom.operators import (
     themes,
     word_vectors,
 )
-from reviewloom.plans import full_run
+from reviewloom.plans import full_run, incremental
 from reviewloom.session import ensure_checkpoint_dir, stored
 from reviewloom.sources import tables
 from reviewloom.sources.testdata import labelled_texts, raw_reviews, stored_vectors, table
@@ -372,6 +372,15 @@ def stream_distribution(spark, sf):
     return distribution.distribution(spark, out)
 
 
+def incremental_labels(spark, sf):
+    """Label counts after a first load and a run with the new and changed reviews."""
+    out, raw = _folder(spark, "increment"), raw_reviews(spark, sf).drop("source")
+    late, old = F.pmod(F.xxhash64("Id"), F.lit(100)) == 0, F.pmod(F.xxhash64("Id"), F.lit(100)) == 1
+    incremental.add_reviews(spark, raw.filter(~late).withColumn("Score", F.when(old, 6 - F.col("Score")).otherwise(F.col("Score"))), out)
+    incremental.add_reviews(spark, raw, out)
+    return incremental.current_labels(spark, out)
+
+
 def run_stage_counts(spark, sf):
     """Rows that each stage of the full run has written."""
     paths = full_run.run_all(spark, raw_reviews(spark, sf), _folder(spark, "run"), topic_counts=(4,), embedding_dims=64)
@@ -416,6 +425,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
         reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected, search_batch_routed,
-        sentiment_saved, stream_distribution, run_stage_counts, word_pmi, words_alike,
+        sentiment_saved, stream_distribution, run_stage_counts, word_pmi, words_alike, incremental_labels,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

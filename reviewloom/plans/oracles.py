@@ -263,6 +263,7 @@ GROUP BY 1 ORDER BY count DESC, label_name""")
         "source_preview": f"WITH {RAW} SELECT * FROM raw ORDER BY Id LIMIT 5",
         "clean_reviews": f"WITH {CLEAN} SELECT {CLEAN_COLUMNS} FROM clean",
         "label_distribution": f"WITH {CLEAN} SELECT label, count(*) AS count FROM clean GROUP BY label ORDER BY count DESC, label",
+        "incremental_labels": f"WITH {CLEAN} SELECT label, count(*) AS count FROM clean GROUP BY label ORDER BY count DESC, label",
         "sample_exact_n": f"""WITH {CLEAN} SELECT review_id, label, text FROM clean
   ORDER BY md5(concat('42:', review_id)) LIMIT {SAMPLE_ROWS}""",
         "negative_reviews": f"WITH {CLEAN} SELECT {CLEAN_COLUMNS} FROM clean WHERE label = 0",
