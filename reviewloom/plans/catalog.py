@@ -42,6 +42,7 @@ SAMPLE_ROWS = 300
 CLUSTER_ROWS = 100
 TOPIC_ROWS = 50
 SLOTS = 256
+BUCKETS = 8
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,6 +127,16 @@ def index_build(spark, sf):
     return cells.select("review_id", F.col("pos").alias("dim"), F.round(F.col("col").cast("double"), 6).alias("value"))
 
 
+def index_bucketed(spark, sf):
+    """Corpus and index saved as bucketed tables and joined on their key without an exchange."""
+    tag = uuid.uuid4().hex[:12]
+    corpus = tables.write_bucketed(_corpus(spark, sf), f"corpus_{tag}", _folder(spark, "corpus"), BUCKETS)
+    vectors = tables.write_bucketed(stored_vectors(spark, sf), f"vectors_{tag}", _folder(spark, "vectors"), BUCKETS)
+    joined = corpus.select("review_id", "label").hint("merge").join(vectors, "review_id")
+    cells = joined.select("review_id", F.posexplode(unit(F.col("embedding"))))
+    return cells.select("review_id", F.col("pos").alias("dim"), F.round(F.col("col").cast("double"), 6).alias("value"))
+
+
 def index_missing(spark, sf):
     """Corpus reviews that have no stored vector and would be found by no search."""
     return embedding.without_vector(_corpus(spark, sf), stored_vectors(spark, sf))
@@ -425,6 +436,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
         reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected, search_batch_routed,
-        sentiment_saved, stream_distribution, run_stage_counts, word_pmi, words_alike, incremental_labels,
+        sentiment_saved, stream_distribution, run_stage_counts, word_pmi, words_alike, incremental_labels, index_bucketed,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

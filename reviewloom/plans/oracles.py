@@ -250,6 +250,8 @@ def naive_bayes(tail: str) -> str:
 
 
 def registered_sql() -> dict[str, str]:
+    cells = f"""WITH {INDEX} SELECT review_id, unnest(generate_series(0, len(embedding) - 1))::INTEGER AS dim,
+  round(unnest(embedding)::DOUBLE, 6) AS value FROM idx"""
     scores = naive_bayes("""SELECT review_id, label_name, confidence,
   CASE label_name WHEN 'POSITIVE' THEN 'Positive Review' ELSE 'Negative Review' END AS display,
   printf('%.4f', confidence) AS confidence_text, round_even(confidence * 100, 0)::INTEGER AS percent FROM scored""")
@@ -271,8 +273,8 @@ GROUP BY 1 ORDER BY count DESC, label_name""")
         "cluster_input": f"WITH {CLEAN} SELECT {CLEAN_COLUMNS} FROM clean WHERE label = 0",
         "cluster_input_sample": f"""WITH {CLEAN} SELECT {CLEAN_COLUMNS} FROM clean WHERE label = 0
   ORDER BY md5(concat('42:', review_id)) LIMIT {CLUSTER_ROWS}""",
-        "index_build": f"""WITH {INDEX} SELECT review_id, unnest(generate_series(0, len(embedding) - 1))::INTEGER AS dim,
-  round(unnest(embedding)::DOUBLE, 6) AS value FROM idx""",
+        "index_build": cells,
+        "index_bucketed": cells,
         "index_missing": f"""WITH {CORPUS} SELECT review_id FROM corpus
   WHERE review_id NOT IN (SELECT vec_id FROM embeddings)""",
         "index_shape": f"""WITH {INDEX} SELECT count(*) AS n_rows, min(len(embedding))::INTEGER AS min_dim,

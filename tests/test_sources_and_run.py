@@ -56,6 +56,19 @@ def test_write_overwrites_and_creates_parents(spark, tmp_path):
     assert tables.read_dataset(spark, path).count() == 100
 
 
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    left = spark.range(500).select(F.col("id").alias("review_id"), (F.col("id") * 2).alias("a"))
+    right = spark.range(100, 700).select(F.col("id").alias("review_id"), (F.col("id") * 3).alias("b"))
+    one = tables.write_bucketed(left, "bucketed_one", str(tmp_path / "one"), 4)
+    two = tables.write_bucketed(right, "bucketed_two", str(tmp_path / "two"), 4)
+    joined = one.hint("merge").join(two, "review_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 400 and joined.filter("b <> a * 3 / 2").isEmpty()
+    spark.sql("DROP TABLE bucketed_one")
+    spark.sql("DROP TABLE bucketed_two")
+
+
 def test_profile_and_preview(spark):
     df = spark.range(9)
     assert tuple(tables.source_profile(df).first()) == (9, 1, "id")
