@@ -15,6 +15,7 @@ from reviewloom.functions.display import class_id, class_name, safe_int
 from reviewloom.functions.text import is_blank, query_terms
 from reviewloom.functions.vectors import unit
 from reviewloom.operators import (
+    compressed,
     density,
     embedding,
     hierarchy,
@@ -171,6 +172,15 @@ def search_batch_topk(spark, sf):
     return search.nearest_batch(_index(spark, sf), asked, 10)
 
 
+def search_compressed(spark, sf):
+    """The batch search over compressed vectors, exact by its error bounds; every hundredth vector as a query."""
+    index = stored(_index(spark, sf))
+    books = compressed.fit_code_books(index, codes=32)
+    asked = stored_vectors(spark, sf).filter("review_id % 100 = 0").withColumnRenamed("review_id", "query_id")
+    codes = stored(compressed.compress(index, books))
+    return compressed.nearest_compressed(index, codes, books, asked, 10, exact=True)
+
+
 def search_batch_routed(spark, sf):
     """The batch search through cells: every stored vector as a query, over the indexed reviews."""
     index = stored(_index(spark, sf))
@@ -436,6 +446,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         themes_kmeans, split_80_10_10, token_window, metrics_binary, prediction_display, sentiment_train_eval,
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
         reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected, search_batch_routed,
-        sentiment_saved, stream_distribution, run_stage_counts, word_pmi, words_alike, incremental_labels, index_bucketed,
+        sentiment_saved, stream_distribution, run_stage_counts, word_pmi, words_alike, incremental_labels, index_bucketed, search_compressed,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

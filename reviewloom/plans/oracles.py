@@ -286,6 +286,7 @@ GROUP BY 1 ORDER BY count DESC, label_name""")
         "search_pruned": f"{top} SELECT review_id, score FROM best WHERE rank <= 10",
         "search_batch_topk": BATCH,
         "search_batch_routed": BATCH,
+        "search_compressed": BATCH.replace("FROM idx, embeddings e", "FROM idx, embeddings e WHERE e.vec_id % 100 = 0"),
         "search_text_tfidf": f"WITH {TFIDF} SELECT query_id, review_id, score, rank FROM ranked WHERE rank <= 10",
         "search_snippets": snippets("query_id, rank, review_id, snippet, summary_html", 500),
         "evidence_snippets": snippets("query_id, rank, review_id, snippet", 450),
