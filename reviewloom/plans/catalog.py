@@ -18,6 +18,7 @@ from reviewloom.operators import (
     compressed,
     density,
     embedding,
+    epochs,
     hierarchy,
     keywords,
     naive_bayes,
@@ -44,6 +45,7 @@ CLUSTER_ROWS = 100
 TOPIC_ROWS = 50
 SLOTS = 256
 BUCKETS = 8
+RECIPE = epochs.Recipe(epochs=3, steps=2)
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,6 +383,28 @@ def sentiment_saved(spark, sf):
     return sentiment.prediction_display(naive_bayes.score_words(texts, _saved_model(spark, sf)))
 
 
+def _epoch_model(spark: SparkSession, sf: str) -> epochs.EpochModel:
+    return epochs.train_epochs(labelled_texts(spark, sf), _folder(spark, "epochs"), RECIPE)
+
+
+def epoch_metrics(spark, sf):
+    """Validation metrics of every epoch and which one is kept."""
+    model = _epoch_model(spark, sf)
+    shown = [F.round(c, 9).alias(c) for c in ("accuracy", "f1", "majority_rate")]
+    return model.metrics.select("epoch", "n_rows", *shown, (F.col("epoch") == model.epoch).alias("kept"))
+
+
+def epoch_weights(spark, sf):
+    """Weights of the epoch that is kept."""
+    return _epoch_model(spark, sf).table(spark).select("slot", F.round("weight", 6).alias("weight"))
+
+
+def sentiment_epochs(spark, sf):
+    """All documents scored by the epoch that is kept."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    return epochs.score_epochs(texts, _epoch_model(spark, sf))
+
+
 def stream_distribution(spark, sf):
     """Label counts of all documents, arriving in two lots with repeats and a restart in between."""
     model, inbox, out, state = _saved_model(spark, sf), *(_folder(spark, n) for n in ("inbox", "counts", "state"))
@@ -447,5 +471,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sentiment_score, sentiment_distribution, dashboard_stats, cluster_input_sample, themes_assigned,
         reviews_csv_round_trip, evidence_snippets, token_windows, index_missing, themes_hierarchy, themes_selected, search_batch_routed,
         sentiment_saved, stream_distribution, run_stage_counts, word_pmi, words_alike, incremental_labels, index_bucketed, search_compressed,
+        epoch_metrics, epoch_weights, sentiment_epochs,
     ]
     return {f.__name__: f for f in listed} | {"query_terms": query_terms_table}

@@ -8,10 +8,11 @@ from reviewloom.functions.constants import (
     SUMMARY_SENTENCE,
     WHITESPACE_CODE_POINTS,
 )
+from reviewloom.operators.epochs import SCALE, rate_at
 from reviewloom.operators.hierarchy import MIN_SAMPLES
 from reviewloom.operators.naive_bayes import SMOOTHING
 from reviewloom.operators.word_vectors import MIN_COUNT, WINDOW
-from reviewloom.plans.catalog import CLUSTER_ROWS, HEIGHTS, K, SAMPLE_ROWS, SLOTS, TOPIC_ROWS
+from reviewloom.plans.catalog import CLUSTER_ROWS, HEIGHTS, K, RECIPE, SAMPLE_ROWS, SLOTS, TOPIC_ROWS
 from reviewloom.sources.testdata import SCORES
 
 WS = "(" + " || ".join(f"chr({int(p, 16)})" for p in WHITESPACE_CODE_POINTS.split()) + ")"
@@ -249,6 +250,54 @@ def naive_bayes(tail: str) -> str:
 {tail}"""
 
 
+def by_epochs(tail: str) -> str:
+    """All steps of the training by epochs, one after the other."""
+    slot = f"(('0x' || substr(md5(word), 1, 8))::BIGINT % {RECIPE.dims})::INTEGER"
+    labelled = f"""labelled AS (SELECT doc_id, text, quality AS label, md5(concat('42:', text)) AS h,
+  (('0x' || substr(md5(concat('42:', doc_id)), 1, 8))::BIGINT % {RECIPE.steps}) AS step
+  FROM documents JOIN labels USING (doc_id)), parts AS (SELECT *, {SPLIT} AS split FROM labelled)"""
+    counted = f"""tf AS MATERIALIZED (
+  SELECT doc_id, {slot} AS slot, count(*) AS tf
+  FROM (SELECT doc_id, unnest({words('text')}) AS word FROM documents) GROUP BY ALL), sizes AS (
+  SELECT doc_id, sqrt(sum(tf)::DOUBLE) AS root FROM tf GROUP BY doc_id), shares AS (
+  SELECT count(*)::DOUBLE / (2.0::DOUBLE * sum(label)) AS c1, count(*)::DOUBLE / (2.0::DOUBLE * (count(*) - sum(label))) AS c0
+  FROM parts WHERE split = 'train'), totals AS (
+  SELECT step, sum(label) * any_value(c1) + (count(*) - sum(label)) * any_value(c0) AS total
+  FROM parts, shares WHERE split = 'train' GROUP BY step)"""
+
+    def margin(weights: str) -> str:
+        return f"""coalesce((SELECT sum(tf * w) FROM tf JOIN {weights} USING (slot) WHERE tf.doc_id = d.doc_id), 0.0)
+  / coalesce(root, 1.0) + (SELECT w FROM {weights} WHERE slot = -1)"""
+
+    levels = [f"w0 AS (SELECT range::INTEGER AS slot, 0.0::DOUBLE AS w FROM range(-1, {RECIPE.dims}))"]
+    for i in range(RECIPE.epochs * RECIPE.steps):
+        rate = rate_at(RECIPE, i)
+        levels.append(f"""e{i} AS MATERIALIZED (
+  SELECT doc_id, coalesce(root, 1.0) AS root,
+  (1.0::DOUBLE / (1.0::DOUBLE + exp(-({margin(f'w{i}')}))) - label) * CASE label WHEN 1 THEN c1 ELSE c0 END AS e
+  FROM parts d LEFT JOIN sizes USING (doc_id) CROSS JOIN shares WHERE split = 'train' AND step = {i % RECIPE.steps}), g{i} AS (
+  SELECT slot, sum(floor(e / root * {SCALE} + 0.5::DOUBLE)::BIGINT * tf) AS g FROM e{i} JOIN tf USING (doc_id) GROUP BY slot UNION ALL
+  SELECT -1, sum(floor(e * {SCALE} + 0.5::DOUBLE)::BIGINT) FROM e{i}), w{i + 1} AS MATERIALIZED (
+  SELECT slot, w * CASE slot WHEN -1 THEN 1.0::DOUBLE ELSE {1.0 - rate * RECIPE.decay!r}::DOUBLE END
+    - {rate!r}::DOUBLE * (coalesce(g, 0)::DOUBLE / {SCALE} / total) AS w
+  FROM w{i} LEFT JOIN g{i} USING (slot) CROSS JOIN (SELECT total FROM totals WHERE step = {i % RECIPE.steps}))""")
+    tried = " UNION ALL ".join(
+        f"SELECT {n} AS epoch, label, (({margin(f'w{(n + 1) * RECIPE.steps}')}) > 0)::INTEGER AS prediction "
+        "FROM parts d LEFT JOIN sizes USING (doc_id) WHERE split = 'validation'"
+        for n in range(RECIPE.epochs)
+    )
+    every = " UNION ALL ".join(f"SELECT {n} AS epoch, slot, w FROM w{(n + 1) * RECIPE.steps}" for n in range(RECIPE.epochs))
+    return f"""WITH {labelled}, {counted}, {', '.join(levels)}, tried AS ({tried}), measured AS (
+  SELECT epoch, count(*) AS n_rows, round(avg((prediction = label)::INTEGER), 9) AS accuracy,
+  round(CASE WHEN sum(prediction) + sum(label) = 0 THEN 0.0
+        ELSE 2.0::DOUBLE * sum(prediction * label) / (sum(prediction) + sum(label)) END, 9) AS f1,
+  round(greatest(avg(label), 1.0::DOUBLE - avg(label)), 9) AS majority_rate FROM tried GROUP BY epoch), best AS (
+  SELECT epoch FROM measured ORDER BY f1 DESC, epoch LIMIT 1), chosen AS MATERIALIZED (
+  SELECT slot, w FROM ({every}) JOIN best USING (epoch)), margins AS (
+  SELECT doc_id, text, round({margin('chosen')}, 6) AS margin FROM documents d LEFT JOIN sizes USING (doc_id))
+{tail}"""
+
+
 def registered_sql() -> dict[str, str]:
     cells = f"""WITH {INDEX} SELECT review_id, unnest(generate_series(0, len(embedding) - 1))::INTEGER AS dim,
   round(unnest(embedding)::DOUBLE, 6) AS value FROM idx"""
@@ -297,6 +346,11 @@ FROM measured WHERE a = (SELECT a FROM chosen)"""),
         "sentiment_saved": scores,
         "sentiment_distribution": counted,
         "stream_distribution": counted,
+        "epoch_metrics": by_epochs("SELECT *, epoch = (SELECT epoch FROM best) AS kept FROM measured"),
+        "epoch_weights": by_epochs("SELECT slot, round(w, 6) AS weight FROM chosen WHERE w <> 0"),
+        "sentiment_epochs": by_epochs(f"""SELECT doc_id AS review_id,
+  CASE WHEN margin > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label_name, round(1 / (1 + exp(-abs(margin))), 6) AS confidence
+  FROM margins WHERE text IS NOT NULL AND length(trim(text, {WS})) > 0"""),
         "run_stage_counts": f"""WITH {CORPUS}, kept AS (SELECT count(*) AS n FROM corpus), bad AS (
   SELECT count(*) AS n FROM clean WHERE label = 0)
 SELECT 'clean' AS stage, count(*) AS n_rows FROM clean UNION ALL SELECT 'negative', n FROM bad
