@@ -7,21 +7,27 @@ relation to the number of nodes. The two ratios are smoothed along the order of
 in the page and fused by multiplication; paths that reach a share of the page's
 spread are content. Paths through boilerplate tags (menus, page headers and footers,
 sidebars, forms) get no score. Class, id and role names that hint at boilerplate lower
-the ratios of the paths through them; those of articles, main elements and elements with
+the ratios of the paths through them; those of articles (but for reader comments), main elements and elements with
 more than half of the page's text, if it is not beside an article, do not count. Links lower them by their share of the
 text, and an article or main element doubles them. Headings, paragraphs and other
 elements made for text are also content if a path beside them scores twice the bound,
 so that short ones stay; all others take nothing from their neighbours.
 
+Inside an article or main element a path that the ratios leave out is content all the same if at
+most half of it is links, no name speaks against it, and it is an element made for text or holds a
+punctuation mark. If an article has a sentence, paths that begin beside or behind it are not content, however long.
+Reader comments without a name inside the article cannot be told from it and stay.
+
 Pages are independent of each other; each is read once, in time that grows with its length.
+Repeated pages are extracted each by itself, an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +55,10 @@ BLOCKS = frozenset(
 BOILER = frozenset("nav footer aside form menu dialog button select option textarea fieldset datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TEXTUAL = HEADINGS | frozenset("p li dt dd blockquote pre figcaption caption td th".split())
-CONTAINERS = frozenset(("article", "main"))
+#: Elements around the main text; the greater number is nearer to it.
+CONTAINERS = {"main": 1, "article": 2}
 #: Elements whose own names say nothing about their text.
-UNNAMED = CONTAINERS | {"html", "body"}
+UNNAMED = frozenset(("article", "main", "html", "body"))
 #: Class, id and role names that hint at boilerplate; a name made of several has nothing but these parts.
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -59,6 +66,17 @@ CUES = frozenset(
     "pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget widgets".split()
 )
+#: Those of which one part is enough, inside and outside of an article.
+READERS = frozenset("comments disqus".split())
+TELLING = READERS | frozenset(
+    "advert adverts advertisement breadcrumb breadcrumbs consent cookie cookies gdpr navbar newsletter pagination sidebar "
+    "signup sponsored".split()
+)
+#: What makes such a part the state of a page: has-sidebar, comments-open.
+STATE_BEFORE = frozenset("has no with without is".split())
+STATE_BEHIND = frozenset("open closed enabled disabled allowed".split())
+#: Names of an article that is a comment.
+COMMENT_ARTICLE = frozenset("comment comments reply replies".split())
 #: An opening tag that ends open ones: tag -> (tags it ends, tags it cannot look past).
 P_ENDERS = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend"}
 NO_P = BLOCKS - {"p"}
@@ -84,23 +102,26 @@ NEIGHBOUR_SHARE = 0.5
 class Node:
     """An open element: its path, and what its ancestors make of its text."""
 
-    __slots__ = ("tag", "path", "hidden", "boiler", "inside", "textual", "link", "named")
+    __slots__ = ("tag", "path", "hidden", "boiler", "inside", "textual", "headline", "link", "named")
 
     def __init__(
-        self, tag: str, attributes: str, parent: Node | None, numbers: dict[tuple, int], outer_names: list[int]
+        self, tag: str, attributes: str, parent: Node | None, numbers: dict[tuple, int], outer_names: list[tuple[int, bool]]
     ) -> None:
-        """`outer_names` gets an entry for each element with a hint: the number of the one around it, or -1."""
+        """`outer_names` gets an entry for each element with a hint: the number of the one around it, or -1,
+        and whether it holds the comments of the article around it."""
         self.tag = tag
         above = parent.path if parent else -1
         self.path = numbers.setdefault((above, tag), len(numbers)) if tag in BLOCKS else above
         self.textual = tag in TEXTUAL if tag in BLOCKS else bool(parent and parent.textual)
         self.link = bool(parent and parent.link) or tag == "a"
-        hinted, hidden = _hints(attributes)
+        self.headline = bool(parent and parent.headline) or tag == "h1"
+        around = parent.inside if parent else 0
+        hinted, readers, hidden = _hints(attributes, tag, around)
         self.named = parent.named if parent else -1
-        if hinted and tag not in UNNAMED:
-            outer_names.append(self.named)
+        if hinted:
+            outer_names.append((self.named, readers))
             self.named = len(outer_names) - 1
-        self.inside = bool(parent and parent.inside) or tag in CONTAINERS
+        self.inside = max(around, CONTAINERS.get(tag, 0))
         self.hidden = bool(parent and parent.hidden) or tag in HIDDEN or hidden
         page_header = tag == "header"
         self.boiler = bool(parent and parent.boiler) or tag in BOILER or page_header
@@ -112,32 +133,39 @@ class Node:
             self.boiler = "header"
 
 
-def _hints(attributes: str) -> tuple[bool, bool]:
-    """Whether the element has a name of boilerplate, and whether it is hidden."""
-    named = hidden = False
+def _hints(attributes: str, tag: str, around: int) -> tuple[bool, bool, bool]:
+    """Whether the element has a name of boilerplate, one of comments inside an article, and whether it is hidden."""
+    named = readers = hidden = False
     if not attributes:
-        return named, hidden
+        return named, readers, hidden
     for found in ATTRIBUTE.finditer(attributes):
         name = found[1].lower()
         value = found[2] or found[3] or found[4] or ""
         if name in ("class", "id", "role"):
-            named = named or any(_is_cue(token) for token in value.split())
+            for token in value.split():
+                if tag in UNNAMED:
+                    named = named or (tag == "article" and token.lower() in COMMENT_ARTICLE)
+                    continue
+                parts = [x.lower() for x in CUE.findall(token) if not x.isdigit()]
+                named = named or _is_cue(token.lower(), parts, READERS if around else TELLING)
+                readers = readers or (around == 2 and _is_cue("", parts, READERS, every=False))
         elif name == "style":
             hidden = hidden or bool(NO_DISPLAY.search(value))
         elif name == "hidden":
             hidden = True
-    return named, hidden
+    return named, readers, hidden
 
 
-def _is_cue(token: str) -> bool:
-    """Whether a whole class token, or each of its parts but numbers, hints at boilerplate."""
-    if token.lower() in CUES:
+def _is_cue(token: str, parts: list[str], telling: frozenset, every: bool = True) -> bool:
+    """Whether a class token hints at boilerplate: as a whole, by all its parts, or by a telling one."""
+    if every and (token in CUES or (parts and all(x in CUES for x in parts))):
         return True
-    parts = [x.lower() for x in CUE.findall(token) if not x.isdigit()]
-    return bool(parts) and all(x in CUES for x in parts)
+    if not parts or parts[0] in STATE_BEFORE or parts[-1] in STATE_BEHIND:
+        return False
+    return not telling.isdisjoint(parts)
 
 
-def _named(runs: list[tuple[Node, str, bool]], outer_names: list[int]) -> list[bool]:
+def _named(runs: list[tuple[Node, str, bool]], outer_names: list[tuple[int, bool]]) -> list[bool]:
     """For each element with a hint, whether it or one around it is small enough for the hint to count."""
     size, within = [0] * len(outer_names), [0] * len(outer_names)
     total = article = 0
@@ -145,18 +173,20 @@ def _named(runs: list[tuple[Node, str, bool]], outer_names: list[int]) -> list[b
         if not node.boiler:
             n = _bare(text)
             total += n
-            article += n * node.inside
+            article += n * bool(node.inside)
             if node.named >= 0:
                 size[node.named] += n
-                within[node.named] += n * node.inside
+                within[node.named] += n * bool(node.inside)
     for i in range(len(size) - 1, -1, -1):  # inner elements have greater numbers
-        if outer_names[i] >= 0:
-            size[outer_names[i]] += size[i]
-            within[outer_names[i]] += within[i]
+        outer = outer_names[i][0]
+        if outer >= 0:
+            size[outer] += size[i]
+            within[outer] += within[i]
     named: list[bool] = []
-    for i, outer in enumerate(outer_names):
+    for i, (outer, readers) in enumerate(outer_names):
         beside_article = article > 0 and not within[i]
-        named.append(2 * size[i] <= total or beside_article or (outer >= 0 and named[outer]))
+        below_article = readers and within[i] < article
+        named.append(2 * size[i] <= total or beside_article or below_article or (outer >= 0 and named[outer]))
     return named
 
 
@@ -210,11 +240,11 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = low + 1
 
 
-def _runs(page: str, outer_names: list[int]) -> Iterator[tuple[Node, str, bool]]:
+def _runs(page: str, outer_names: list[tuple[int, bool]]) -> Iterator[tuple[Node, str, bool]]:
     """(node, text, new block) for each visible run of text, in page order; `outer_names` as in Node."""
     numbers: dict[tuple, int] = {}
     stack = [Node("html", "", None, numbers, outer_names)]
-    open_tags: Counter = Counter()  # so that an end tag without a start costs nothing
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag, so that nothing is searched for
     fresh = True
     for kind, value, attributes in _tokens(page):
         top = stack[-1]
@@ -235,40 +265,39 @@ def _runs(page: str, outer_names: list[int]) -> Iterator[tuple[Node, str, bool]]
             if value == "html":
                 continue
             if value in P_ENDERS:
-                _close(stack, open_tags, {"p"}, NO_P)
+                _close(stack, places, ("p",), NO_P)
             elif value in SIBLINGS:
-                _close(stack, open_tags, *SIBLINGS[value])
+                _close(stack, places, *SIBLINGS[value])
             if not (attributes.endswith("/") and value not in BLOCKS and value not in RAW):
+                places[value].append(len(stack))
                 stack.append(Node(value, attributes, stack[-1], numbers, outer_names))
-                open_tags[value] += 1
-        elif value not in ("html", "body") and open_tags[value]:
-            _close(stack, open_tags, {value}, set())
+        elif value not in ("html", "body"):
+            _close(stack, places, (value,), ())
 
 
-def _close(stack: list[Node], open_tags: Counter, tags: set[str], barriers: set[str]) -> None:
+def _close(stack: list[Node], places: dict[str, list[int]], tags: Iterable[str], barriers: Iterable[str]) -> None:
     """End the innermost open element of `tags`, and what it holds, unless a barrier is nearer."""
-    for at in range(len(stack) - 1, 0, -1):
-        if stack[at].tag in tags:
-            open_tags.subtract(n.tag for n in stack[at:])
-            del stack[at:]
-            return
-        if stack[at].tag in barriers:
-            return
+    at = max((places[t][-1] for t in tags if places.get(t)), default=0)
+    if not at or any(places[t][-1] > at for t in barriers if places.get(t)):
+        return
+    for node in reversed(stack[at:]):
+        places[node.tag].pop()
+    del stack[at:]
 
 
 class _Path:
     """Sums over all nodes of one root-to-leaf path."""
 
-    __slots__ = ("order", "nodes", "length", "marks", "linked", "boiler", "textual", "inside", "weight")
+    __slots__ = ("order", "nodes", "length", "marks", "linked", "boiler", "textual", "headline", "inside", "weight")
 
     def __init__(self, order: int, node: Node, named: bool) -> None:
         self.order, self.nodes, self.length, self.marks, self.linked = order, 0, 0, 0, 0
-        self.boiler, self.inside, self.textual = bool(node.boiler), node.inside, node.textual
+        self.boiler, self.inside, self.textual, self.headline = bool(node.boiler), node.inside, node.textual, node.headline
         self.weight = NAMED_WEIGHT if named else 1.0
 
 
 def _content_paths(paths: dict[tuple, _Path]) -> set[tuple]:
-    """Paths whose smoothed and fused ratios reach the threshold."""
+    """Paths whose smoothed and fused ratios reach the threshold, and those that an article keeps."""
     free = sorted(((k, p) for k, p in paths.items() if not p.boiler), key=lambda x: x[1].order)
     if not free:
         return set()
@@ -285,7 +314,27 @@ def _content_paths(paths: dict[tuple, _Path]) -> set[tuple]:
     bound = min(THRESHOLD * score.std(), score.max())
     beside = np.maximum(np.append(0, score[:-1]), np.append(score[1:], 0))
     score = np.maximum(score, NEIGHBOUR_SHARE * textual * weight * unlinked * beside)
-    return {k for (k, _), s in zip(free, score) if s >= bound}
+    by_ratio = score >= bound
+    held = np.array([p.inside > 0 for _, p in free]) & (weight == 1) & (unlinked >= 0.5) & (textual | (marks > 0))
+    kept = [(k, p, r) for (k, p), r, h in zip(free, by_ratio, held) if r or h]
+    nearest = _nearest(kept)
+    return {k for k, p, r in kept if not _outside(p, bool(r), nearest)}
+
+
+def _nearest(kept: list[tuple[tuple, _Path, bool]]) -> _Path | None:
+    """The first kept path in an article, or else in a main element, if one of its kind holds a sentence."""
+    for inside in (2, 1):
+        of_kind = [p for _, p, _ in kept if p.inside == inside]
+        if any(p.marks for p in of_kind):
+            return min(of_kind, key=lambda p: p.order)
+    return None
+
+
+def _outside(path: _Path, by_ratio: bool, nearest: _Path | None) -> bool:
+    """Whether a path is beside or behind the article; text of its main element and a headline may go before it."""
+    if nearest is None or path.inside >= nearest.inside:
+        return False
+    return path.order > nearest.order or not (path.inside or (path.headline and by_ratio))
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -298,7 +347,7 @@ def main_text(page: str) -> str:
     blocks: list[list[tuple[tuple, str]]] = []
     paths: dict[tuple, _Path] = {}
     current: list[tuple[tuple, str]] = []
-    outer_names: list[int] = []
+    outer_names: list[tuple[int, bool]] = []
     runs = list(_runs(page, outer_names))
     named = _named(runs, outer_names)
     for node, raw, fresh in runs:

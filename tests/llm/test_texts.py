@@ -1,12 +1,14 @@
 """Operators that treat each text on its own: private data, quality counts, pages, tokens."""
 
 import random
+import time
+from html.parser import HTMLParser
 
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from reviewloom.llm import html_text, pii, quality, token_counts
+from reviewloom.llm import html_text, pii, quality, queries, token_counts
 from tests.llm.brute import hard_docs, no_docs, personal, repeated, rows_of, words
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -147,6 +149,74 @@ def test_ratios_decide_inside_and_outside_of_articles(page, text):
     assert found == text or found == f"Teaser\n{text}"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Lists, tables, code and named or unnamed elements of an article stay, however short.
+        (f"<article>{STORY * 4}<section><h2>Steps</h2><ol><li>Mix</li><li>Bake</li></ol></section></article>",
+         "\n".join([STORY_TEXT] * 4 + ["Steps", "Mix", "Bake"])),
+        (f"<article>{STORY * 4}<div class='body-note'>A closing remark.</div></article>", "\n".join([STORY_TEXT] * 4 + ["A closing remark."])),
+        (f"<article>{STORY * 4}<pre>x = 1</pre><table><tr><th>a</th><td>1</td></tr></table></article>",
+         "\n".join([STORY_TEXT] * 4 + ["x = 1", "a", "1"])),
+        # Comments never win over a story, with or without a name, inside or behind it.
+        ("<article><h1>Head</h1><p>Short, but told.</p></article><section>" + "<p>A comment, with words and more words.</p>" * 8 + "</section>",
+         "Head\nShort, but told."),
+        (f"<article>{STORY}<div class='post-comments-list'>" + "<p>Nice, thanks a lot for all of this.</p>" * 9 + "</div></article>", STORY_TEXT),
+        (f"<article>{STORY}</article><article class='comment'><p>Nice, thanks.</p></article>", STORY_TEXT),
+        # A telling part of a name is enough outside of an article; the state of a page is no such part.
+        (f"<div>{STORY}</div><div class='gdpr-banner__text'><p>We use cookies, as all do.</p></div>", STORY_TEXT),
+        (f"<div class='has-sidebar'>{STORY}</div><div class='no-sidebar'>{STORY}</div>", f"{STORY_TEXT}\n{STORY_TEXT}"),
+    ],
+)
+def test_articles_lose_nothing_and_gain_nothing(page, text):
+    assert html_text.main_text(page) == text
+
+
+class PlainPage(HTMLParser):
+    """Second version for the given pages: the text of the article, block by block."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag == "br":
+            self.handle_data(" ")
+        elif tag in ("article", "h1", "p"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_every_given_page_equals_a_plain_version(spark, sf):
+    pages = rows_of(spark.read.parquet(f"{sf}/pages.parquet"), "page_id")
+    found = rows_of(queries.registered()["op3_main_text"](spark, sf), "page_id")
+    assert len(found) == len(pages) > 0
+    for page, row in zip(pages, found):
+        blocks = [" ".join(b.split()) for b in PlainPage(page["html"] or "").blocks]
+        assert row["text"] == "\n".join(b for b in blocks if b)
+        assert (row["page_id"], row["url"], row["n_chars"]) == (page["page_id"], page["url"], len(row["text"]))
+
+
+@pytest.mark.parametrize("piece", ["<b>{}<div></div>", "<div>{}<li>x", "<p>{}<b><p>", "<i>{}</b>", "<a '>{}<a \"", "<ul><li>{}</ul>"])
+def test_long_pages_of_unclosed_tags_take_linear_time(piece):
+    opened, rest = piece.split("{}")
+    n = 1_000_000 // len(piece)
+    start = time.perf_counter()
+    html_text.main_text(opened * n + rest * n)
+    assert time.perf_counter() - start < 10
+
+
 def test_pages_of_hard_rows(spark):
     pages = spark.createDataFrame(
         [(1, None, "u", 5), (2, "", None, None), (2, "", None, None), (None, PAGE, "u", 1)],
