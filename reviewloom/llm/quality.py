@@ -4,17 +4,27 @@ Every text gets whole-number metrics. For each metric and each group (language a
 source, language alone, everything) a quantile sketch is kept: counts of log-linear
 buckets, exact below 64 and within 1/32 above. Sketches of parts of the data merge
 by adding counts, so they are made by one combining aggregation, and the sketch of
-a language is the sum of its sources' sketches. A text is judged by the narrowest
-group that has at least `MIN_DOCS` texts; only texts that pass the base rules with
+a language is the sum of its sources' sketches. Only texts that pass the base rules with
 at least one word feed the sketches.
 
-A metric fails above median + `REACH` * max(median - lower quartile, floor): the
-lower half of a group describes its normal texts even if many others are junk. The
-word length also fails below median - the same distance.
+The sketch of a language is merged with the one of everything, scaled to `PRIOR` texts, and
+that of a source with the one of its language, scaled likewise. So a small group is judged
+mostly by the wider one and a large one by itself, without a size at which this changes. Only word lengths are
+not merged across languages. The merged sketches give each group a median and the distances of both quartiles
+for each metric, and the median number of words and lines.
+
+A share (of symbols, repeated lines, words said twice in a row) fails above its median + `REACH` times the
+distance of the upper quartile. That distance holds for a text of median size: a shorter one strays more, by the
+root of the ratio of sizes. To this comes what a group's sketch cannot see: the rate at which
+three quarters of the texts of median size show nothing (`UNSEEN` events a text), and `REACH` single events,
+for texts above the median size as many times more as the root of the ratio. The word length fails outside of
+its median +- `REACH` times the distance of the quartile on that side, which is at least one bucket of the sketch.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,10 +36,13 @@ from reviewloom.session import stored
 
 MIN_WORDS = 20
 WINDOW = 8
-MIN_DOCS = 50
-REACH = 6
-#: Metric -> least distance between median and lower quartile.
-FLOORS = {"word_length": 25, "symbol_share": 25, "dup_line_share": 100, "stutter_share": 25}
+#: Texts that the wider group's sketch counts for.
+PRIOR = 50
+REACH = 8.0  # quartile distances: over five standard deviations of normally spread texts
+UNSEEN = 0.29  # -ln(3/4)
+#: Metric -> the size of a text that it is a share of.
+METRICS = {"word_length": "n_words", "symbol_share": "n_words", "dup_line_share": "n_lines", "stutter_share": "n_words"}
+SIZES = ("n_words", "n_lines")
 TWO_SIDED = ("word_length",)
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -107,7 +120,7 @@ def bucket(value: Column) -> Column:
 def sketches(measured: DataFrame, lang: str, source: str) -> DataFrame:
     """(level, lang, source, metric, bucket, n) for all three levels of groups."""
     metrics = F.explode(
-        F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in FLOORS])
+        F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in (*METRICS, *SIZES)])
     )
     good = measured.filter("NOT base_failed AND n_words > 0").select(
         F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), metrics.alias("m")
@@ -125,60 +138,89 @@ def sketches(measured: DataFrame, lang: str, source: str) -> DataFrame:
     return merged.agg(F.sum("n").alias("n")).select("g.level", "g.lang", "g.source", "metric", "bucket", "n")
 
 
+#: A group's values: medians, distances of quartiles, median sizes.
+VALUES = tuple(f"{p}_{m}" for m in METRICS for p in ("mid", "up", "down")) + tuple(f"mid_{x}" for x in SIZES)
+
+
+def _merged(sketch: DataFrame, total: int) -> DataFrame:
+    """(lang, source, metric, bucket, n): sketches of sources merged with those of their wider groups.
+
+    Counts are scaled to whole numbers, so that quantiles do not depend on the order of sums.
+    """
+    whole = lambda c: c.cast("decimal(38,0)")
+    of = lambda level: sketch.filter(F.col("level") == level)
+    own = of(1).select("lang", "metric", "bucket", whole(whole(F.col("n")) * F.lit(total)).alias("n"))
+    groups = of(1).filter(~F.col("metric").isin(*TWO_SIDED)).select("lang", "metric").distinct()
+    all_texts = of(2).select("metric", "bucket", whole(F.col("n") * PRIOR).alias("n"))
+    both = own.unionByName(groups.join(all_texts, "metric")).groupBy("lang", "metric", "bucket")
+    langs = stored(both.agg(whole(F.sum("n")).alias("n")))
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric"))
+    named = [F.col("lang").alias("_lang"), F.col("metric").alias("_metric")]
+    wider = langs.select(*named, "bucket", whole(F.col("n") * PRIOR).alias("n"))
+    sources = of(0).select("lang", "source", "metric").distinct()
+    drawn = sources.join(wider, same).drop("_lang", "_metric")
+    sums = langs.groupBy(*named).agg(whole(F.sum("n")).alias("_sum"))
+    scaled = of(0).join(sums, same).select("lang", "source", "metric", "bucket", whole(whole(F.col("n")) * F.col("_sum")).alias("n"))
+    return scaled.unionByName(drawn).groupBy("lang", "source", "metric", "bucket").agg(whole(F.sum("n")).alias("n"))
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, low_<metric>, high_<metric>) of the groups that are large enough."""
-    group = Window.partitionBy("level", "lang", "source", "metric")
-    running = sketch.withColumns(
-        {"reached": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)}
-    ).filter(F.col("total") >= MIN_DOCS)
+    """(lang, source, mid_, up_ and down_<metric>, mid_<size>) of every language and source."""
+    total = sketch.filter("level = 2 AND metric = 'n_words'").agg(F.sum("n")).first()[0] or 0
+    group = Window.partitionBy("lang", "source", "metric")
+    running = _merged(sketch, total).withColumns({"reached": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
     quantile = lambda fourths: F.min(F.when(4 * F.col("reached") >= fourths * F.col("total"), F.col("bucket")))
-    quartiles = running.groupBy("level", "lang", "source", "metric").agg(quantile(2).alias("q2"), quantile(1).alias("q1"))
-    least = F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in FLOORS.items()])
-    far = REACH * F.greatest(F.col("q2") - F.col("q1"), least)
-    bounds = []
-    for m in FLOORS:
-        own = F.col("metric") == m
-        bounds.append(F.max(F.when(own, F.col("q2") + far)).alias(f"high_{m}"))
-        if m in TWO_SIDED:
-            bounds.append(F.max(F.when(own, F.col("q2") - far)).alias(f"low_{m}"))
-    return quartiles.groupBy("level", "lang", "source").agg(*bounds)
+    quartiles = running.groupBy("lang", "source", "metric").agg(*[quantile(i).cast("double").alias(f"q{i}") for i in (1, 2, 3)])
+    of = {"mid": F.col("q2"), "up": F.col("q3") - F.col("q2"), "down": F.col("q2") - F.col("q1")}
+    found = [F.max(F.when(F.col("metric") == v.split("_", 1)[1], of[v.split("_", 1)[0]])).alias(v) for v in VALUES]
+    return quartiles.groupBy("lang", "source").agg(*found)
+
+
+def failure() -> str:
+    """SQL condition of a text that fails a metric, over its metrics, its sizes and its group's values."""
+    found = []
+    for metric, size in METRICS.items():
+        n, m = f"greatest({size}, 1)", f"greatest(mid_{size}, 1.0D)"
+        strays = f"sqrt(greatest(1.0D, {m} / {n}))"
+        if metric in TWO_SIDED:
+            reach = lambda side: f"{REACH}D * greatest({side}_{metric}, mid_{metric} / 32) * {strays}"  # noqa: B023, E731
+            found += [f"b_{metric} > mid_{metric} + {reach('up')}", f"b_{metric} < mid_{metric} - {reach('down')}"]
+        else:
+            unseen = f"1000 * ({UNSEEN}D / {m} + {REACH}D * greatest(1.0D, sqrt({n} / {m})) / {n})"
+            found.append(f"b_{metric} > mid_{metric} + {REACH}D * up_{metric} * {strays} + {unseen}")
+    return " OR ".join(found)
 
 
 def _limits(measured: DataFrame, bounds: DataFrame, lang: str, source: str) -> tuple[DataFrame, Column]:
-    """`measured` joined with its groups' thresholds, and the verdict."""
-    names = [c for c in bounds.columns if c.startswith(("low_", "high_"))]
-    out = measured
-    for level in (0, 1):
-        own = bounds.filter(F.col("level") == level).select(
-            F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*names).alias(f"_limits{level}")
-        )
-        same = F.col(lang).cast("string").eqNullSafe(F.col("_lang"))
-        if level == 0:
-            same = same & F.col(source).cast("string").eqNullSafe(F.col("_source"))
-        out = out.join(own, same, "left").drop("_lang", "_source")
-    overall = bounds.filter(F.col("level") == 2).first()  # one row at most, for everything
-    widest = F.struct(*[F.lit(overall[n] if overall else None).cast("bigint").alias(n) for n in names])
-    limit = F.coalesce("_limits0", "_limits1", widest)
-    fails = F.lit(False)
-    for m in FLOORS:
-        fails = fails | F.coalesce(F.col(m) > limit[f"high_{m}"], F.lit(False))
-        if m in TWO_SIDED:
-            fails = fails | F.coalesce(F.col(m) < limit[f"low_{m}"], F.lit(False))
-    return out, ~(F.col("base_failed") | fails)
+    """`measured` joined with the values of its groups in `_limits`, and the verdict."""
+    own = bounds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*VALUES).alias("_limits"))
+    same = F.col(lang).cast("string").eqNullSafe(F.col("_lang")) & F.col(source).cast("string").eqNullSafe(F.col("_source"))
+    out = measured.join(own, same, "left").drop("_lang", "_source")
+    named = {v: f"_limits.{v}" for v in VALUES}
+    condition = failure()
+    for v in sorted(named, key=len, reverse=True):
+        condition = re.sub(rf"\b{v}\b", named[v], condition)
+    for metric in METRICS:
+        out = out.withColumn(f"_b_{metric}", bucket(F.col(metric)))
+        condition = condition.replace(f"b_{metric} ", f"_b_{metric} ")
+    return out, ~(F.col("base_failed") | F.coalesce(F.expr(condition), F.lit(False)))
+
+
+def _without_limits(judged: DataFrame) -> DataFrame:
+    return judged.drop("_limits", *[f"_b_{m}" for m in METRICS])
 
 
 def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """Add the counts, base_failed, the metrics and `kept` to `docs`; the text is dropped.
 
     NULL and empty texts have no words and fail the base rules. NULL languages and
-    sources are groups of their own. If no group is large enough (small or empty
-    tables), only the base rules apply. Repeated rows are judged alike; columns named
+    sources are groups of their own. An empty table gives an empty one. Repeated rows are judged alike; columns named
     like a result are replaced.
     """
     measured = stored(with_counts(docs, text).drop(text))
     bounds = stored(thresholds(sketches(measured, lang, source)))
     joined, kept = _limits(measured, bounds, lang, source)
-    return joined.withColumn("kept", kept).drop("_limits0", "_limits1")
+    return _without_limits(joined.withColumn("kept", kept))
 
 
 def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
@@ -193,7 +235,7 @@ def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text:
         F.col(source).cast("string").alias("source"),
         F.col(text).alias("text"),
     )
-    metrics = ["lang", "source", "base_failed", "n_words", *FLOORS]
+    metrics = ["lang", "source", "base_failed", *SIZES, *METRICS]
     measured = stored(with_counts(own.drop("_row")).select(*metrics))
     bounds = stored(thresholds(sketches(measured, "lang", "source")))
     joined, kept = _limits(with_counts(own), bounds, "lang", "source")
@@ -203,18 +245,14 @@ def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text:
 def _sql() -> str:
     """DuckDB SQL for judge() over the table documents, the ids being distinct."""
     words = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
-    per_metric = "\nUNION ALL\n".join(f"SELECT lang, source, '{m}' metric, {m} v FROM good" for m in FLOORS)
-    floors = " ".join(f"WHEN '{m}' THEN {v}" for m, v in FLOORS.items())
-    bounds = ", ".join(
-        f"max(q2 + far) FILTER (metric = '{m}') high_{m}"
-        + (f", max(q2 - far) FILTER (metric = '{m}') low_{m}" if m in TWO_SIDED else "")
-        for m in FLOORS
-    )
-    fails = " OR ".join(
-        f"coalesce({m} > coalesce(a.high_{m}, b.high_{m}, c.high_{m}), false)"
-        + (f" OR coalesce({m} < coalesce(a.low_{m}, b.low_{m}, c.low_{m}), false)" if m in TWO_SIDED else "")
-        for m in FLOORS
+    per_metric = "\nUNION ALL\n".join(f"SELECT lang, source, '{m}' metric, {m} v FROM good" for m in (*METRICS, *SIZES))
+    of = {"mid": "q2", "up": "q3 - q2", "down": "q2 - q1"}
+    found = ", ".join(f"max({of[v.split('_', 1)[0]]}) FILTER (metric = '{v.split('_', 1)[1]}') {v}" for v in VALUES)
+    across = ", ".join(f"'{m}'" for m in TWO_SIDED)
+    buckets = ", ".join(
+        f"CASE WHEN {m} < 64 THEN {m} ELSE ({m} >> (len(bin({m})) - 6)) << (len(bin({m})) - 6) END b_{m}" for m in METRICS
     )
+    fails = re.sub(r"(\d+\.\d+)D", r"\1::DOUBLE", failure())
     return rf"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') t FROM documents),
 split AS (SELECT *, {words} w,
@@ -240,18 +278,27 @@ sketch AS (
     SELECT 0 lvl, lang, source, metric, bucket, count(*) n FROM buckets GROUP BY ALL
     UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM buckets GROUP BY ALL
     UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM buckets GROUP BY ALL),
-running AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, metric ORDER BY bucket) reached,
-    sum(n) OVER (PARTITION BY lvl, lang, source, metric) total FROM sketch),
-quartiles AS (SELECT lvl, lang, source, metric, min(bucket) FILTER (4 * reached >= 2 * total) q2,
-    min(bucket) FILTER (4 * reached >= total) q1 FROM running WHERE total >= {MIN_DOCS} GROUP BY ALL),
-spread AS (SELECT *, {REACH} * greatest(q2 - q1, CASE metric {floors} END) far FROM quartiles),
-bounds AS (SELECT lvl, lang, source, {bounds} FROM spread GROUP BY lvl, lang, source)
+everything AS (SELECT sum(n) total FROM sketch WHERE lvl = 2 AND metric = 'n_words'),
+langs AS (SELECT lang, metric, bucket, sum(n)::HUGEINT n FROM (
+    SELECT lang, metric, bucket, n::HUGEINT * total n FROM sketch, everything WHERE lvl = 1
+    UNION ALL SELECT g.lang, metric, w.bucket, {PRIOR} * w.n FROM (SELECT DISTINCT lang, metric FROM sketch
+        WHERE lvl = 1 AND metric NOT IN ({across})) g JOIN (SELECT * FROM sketch WHERE lvl = 2) w USING (metric)) GROUP BY ALL),
+sums AS (SELECT lang, metric, sum(n)::HUGEINT total FROM langs GROUP BY ALL),
+merged AS (SELECT lang, source, metric, bucket, sum(n)::HUGEINT n FROM (
+    SELECT s.lang, s.source, s.metric, s.bucket, s.n::HUGEINT * t.total n
+    FROM sketch s JOIN sums t ON s.lang IS NOT DISTINCT FROM t.lang AND s.metric = t.metric WHERE lvl = 0
+    UNION ALL SELECT g.lang, g.source, g.metric, w.bucket, {PRIOR} * w.n FROM (SELECT DISTINCT lang, source, metric FROM sketch
+        WHERE lvl = 0) g JOIN langs w ON g.lang IS NOT DISTINCT FROM w.lang AND g.metric = w.metric) GROUP BY ALL),
+running AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) reached,
+    sum(n) OVER (PARTITION BY lang, source, metric) total FROM merged),
+quartiles AS (SELECT lang, source, metric, (min(bucket) FILTER (4 * reached >= total))::DOUBLE q1,
+    (min(bucket) FILTER (4 * reached >= 2 * total))::DOUBLE q2, (min(bucket) FILTER (4 * reached >= 3 * total))::DOUBLE q3
+    FROM running GROUP BY ALL),
+bounds AS (SELECT lang, source, {found} FROM quartiles GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT (base_failed OR {fails}) kept
-FROM measured m
-LEFT JOIN bounds a ON a.lvl = 0 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
-LEFT JOIN bounds b ON b.lvl = 1 AND b.lang IS NOT DISTINCT FROM m.lang
-LEFT JOIN bounds c ON c.lvl = 2
+    NOT (base_failed OR coalesce({fails}, false)) kept
+FROM (SELECT *, {buckets} FROM measured) m
+LEFT JOIN bounds a ON a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
 """
 
 

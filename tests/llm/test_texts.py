@@ -172,6 +172,23 @@ def test_articles_lose_nothing_and_gain_nothing(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_quality_limits_differ_between_groups_and_small_groups_lean_on_wider_ones(spark):
+    """Few junk texts of a source of their own are found; many texts of a kind are what a source is like."""
+    text = lambda i, share: " ".join(f"w{i:04}{j:03}" + ("#" if j % 100 < share else "") for j in range(200))
+    rows = [(i, text(i, i % 3), "en", "plain") for i in range(300)]
+    rows += [(1000 + i, text(1000 + i, 60 + i % 3), "en", "marked") for i in range(300)]
+    rows += [(2000 + i, text(2000 + i, 60), "en", "few") for i in range(3)]
+    rows += [(3000, text(3000, 60), "en", "plain"), (3001, text(3001, 1), "xx", "alone")]
+    docs = spark.createDataFrame([*rows, *rows[:1]], "doc_id bigint, text string, lang string, source string")
+    bounds = {r["source"]: r for r in rows_of(quality.thresholds(quality.sketches(quality.with_counts(docs), "lang", "source")), "source")}
+    assert bounds["plain"]["mid_symbol_share"] < 30 < 500 < bounds["marked"]["mid_symbol_share"]
+    dropped = {r["doc_id"] for r in rows_of(quality.judge(docs)) if not r["kept"]}
+    assert dropped == {3000}
+    mostly_plain = docs.filter("source <> 'marked'")
+    dropped = {r["doc_id"] for r in rows_of(quality.judge(mostly_plain)) if not r["kept"]}
+    assert dropped == {2000, 2001, 2002, 3000}
+
+
 class PlainPage(HTMLParser):
     """Second version for the given pages: the text of the article, block by block."""
 
