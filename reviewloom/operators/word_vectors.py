@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -33,19 +34,51 @@ WINDOW = 3
 MIN_COUNT = 20
 DIMS = 32
 ROUNDS = 12
+#: Vocabularies of more words are joined, not broadcast.
+MAX_BROADCAST_WORDS = 4_000_000
+#: Texts whose pairs are counted at once.
+TEXTS_AT_ONCE = 4_096
 
 
 def vocabulary(texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, n) of the words seen at least `min_count` times."""
-    counted = term_counts(texts, "review_id").groupBy("word").agg(F.sum("tf").cast("bigint").alias("n"))
+    counted = texts.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counted.filter(F.col("n") >= min_count)
 
 
-def pair_counts(texts: DataFrame, vocab: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(word, context, n): how often two words of the vocabulary stand at most `window` places apart, both ways.
+def _numbered_pairs(texts: DataFrame, known: pa.Array, window: int) -> DataFrame:
+    """(a, b, n), a <= b: counts of the pairs of known words, which are named by their places in `known`.
 
-    Pairs are made inside the rows and added up before the shuffle.
+    A batch of texts gives each of its pairs once.
     """
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+    schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+
+    def counted(lists: pa.Array) -> pa.RecordBatch:
+        encoded = lists.flatten().dictionary_encode()
+        number = pc.fill_null(pc.index_in(encoded.dictionary, value_set=shared.value), -1).to_numpy(zero_copy_only=False)
+        word = number[encoded.indices.to_numpy()].astype(np.int64)
+        text = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        found = []
+        for d in range(1, window + 1):
+            left, right = word[:-d], word[d:]
+            near = (text[:-d] == text[d:]) & (left >= 0) & (right >= 0)
+            left, right = left[near], right[near]
+            found.append((np.minimum(left, right) << 32) | np.maximum(left, right))
+        pair, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), pa.array((pair & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                yield counted(batch.column(0).slice(at, TEXTS_AT_ONCE))
+
+    made = texts.select(words(F.col("text")).alias("ws")).mapInArrow(run, "a int, b int, n bigint")
+    return made.repartition("a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _joined_pairs(texts: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
+    """(a, b, n), a <= b, of words, for a vocabulary too large to broadcast: all pairs are counted, then joined with it."""
     found = words(F.col("text"))
 
     def at_distance(ws, d: int):
@@ -60,22 +93,53 @@ def pair_counts(texts: DataFrame, vocab: DataFrame, window: int = WINDOW) -> Dat
         held = counted.groupBy(side).agg(F.count(F.lit(1)).alias("_rows"))
         known = vocab.select(F.col("word").alias(side)).join(held, side)
         counted = join_counted(counted, known, side, "_rows", total, spread="b" if side == "a" else "a").drop("_rows")
-    one = counted.select(F.col("a").alias("word"), F.col("b").alias("context"), "n")
-    other = counted.filter("a <> b").select(F.col("b").alias("word"), F.col("a").alias("context"), "n")
-    return one.unionByName(other)
+    return counted
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Sums of pairs of either order: (word, n, rows)."""
+    sides = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    return pairs.select(F.explode(sides).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("rows"))
+
+
+def pair_counts(texts: DataFrame, vocab: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(word, context, n, word_n, context_n, all_n): how often two words of the vocabulary stand at most `window` places apart, both ways.
+
+    `word_n` and `context_n` are the sums of `n` of a word and of a context over all pairs, `all_n` is the sum of all. Pairs are
+    counted inside the batches as numbers; the words come back last. A vocabulary of more than
+    `MAX_BROADCAST_WORDS` words is joined instead.
+    """
+    spark = texts.sparkSession
+    vocab = vocab.select("word").distinct()
+    few = vocab.count() <= MAX_BROADCAST_WORDS
+    if few:
+        known = vocab.toArrow().column("word").combine_chunks().cast(pa.string())
+        counted = stored(_numbered_pairs(texts, known, window))
+        names = pa.table({"id": pa.array(np.arange(len(known), dtype=np.int32)), "name": known})
+        sums = _both_ways(counted).join(F.broadcast(spark.createDataFrame(names)), F.col("word") == F.col("id"))
+        sums = stored(sums.select(F.col("word").alias("id"), "name", "sum", "rows"))
+    else:
+        counted = stored(_joined_pairs(texts, vocab, window))
+        sums = stored(_both_ways(counted).select(F.col("word").alias("id"), F.col("word").alias("name"), "sum", "rows"))
+    every = sums.agg(F.sum("sum")).first()[0] or 0
+    total = 0 if few else counted.count()
+    for side, other in (("a", "b"), ("b", "a")):
+        right = sums.select(F.col("id").alias(side), F.col("name").alias(f"_{side}"), F.col("sum").alias(f"_{side}_n"), F.col("rows").alias("_rows"))
+        if few:
+            counted = counted.join(F.broadcast(right.drop("_rows")), side)
+        else:
+            counted = join_counted(counted, right, side, "_rows", total, spread=other).drop("_rows")
+    one = F.struct(F.col("_a").alias("word"), F.col("_b").alias("context"), "n", F.col("_a_n").alias("word_n"), F.col("_b_n").alias("context_n"))
+    other = F.struct(F.col("_b").alias("word"), F.col("_a").alias("context"), "n", F.col("_b_n").alias("word_n"), F.col("_a_n").alias("context_n"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, other))
+    return counted.select(F.inline(ways)).withColumn("all_n", F.lit(every).cast("bigint"))
 
 
 def positive_pmi(pairs: DataFrame) -> DataFrame:
-    """(word, context, n, pmi) of the pairs that are seen more often than chance would have it."""
-    pairs = stored(pairs)
-    sums = stored(pairs.groupBy("word").agg(F.sum("n").alias("_sum"), F.count(F.lit(1)).alias("_rows")))
-    rows = sums.agg(F.sum("_rows"), F.sum("_sum")).first()
-    total, all_pairs = rows[0] or 0, float(rows[1] or 1)
-    left = join_counted(pairs, sums, "word", "_rows", total, spread="context").withColumnRenamed("_sum", "_a").drop("_rows")
-    contexts = sums.withColumnRenamed("word", "context")  # the table is symmetric
-    both = join_counted(left, contexts, "context", "_rows", total, spread="word")
-    pmi = F.round(F.log(F.col("n") * F.lit(all_pairs) / (F.col("_a") * F.col("_sum"))), SCORE_DIGITS)
-    return both.select("word", "context", "n", pmi.alias("pmi")).filter("pmi > 0")
+    """(word, context, n, pmi) of the `pair_counts` that are seen more often than chance would have it."""
+    chance = F.col("word_n").cast("double") * F.col("context_n")
+    pmi = F.round(F.log(F.col("n") * F.col("all_n").cast("double") / chance), SCORE_DIGITS)
+    return pairs.select("word", "context", "n", pmi.alias("pmi")).filter("pmi > 0")
 
 
 def _products(rows: DataFrame, columns: list[str], dims: int) -> list[np.ndarray]:
