@@ -4,8 +4,8 @@ A vector is cut into parts, and each part is replaced by the number of its neare
 the part's code book: one byte a part. A query is multiplied with all centres once; the
 approximate score of a row is then a sum of as many look-ups as there are parts. Each
 code also keeps how far its vector is from what the centres rebuild, which bounds the
-error of its score. With `exact`, all rows whose bound reaches the k-th certain score are
-re-ranked by their full vectors, and the result is that of comparing all rows; otherwise
+error of its score. With `exact`, all rows whose bound reaches the k-th score found so far are
+scored by their full vectors inside the task, and the result is that of comparing all rows; otherwise
 a given number of candidates for each query.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import SCORE_DIGITS
 from reviewloom.functions.vectors import dot
-from reviewloom.operators.batch import vector_matrix
+from reviewloom.operators.batch import best_per_query, vector_matrix
 from reviewloom.operators.ranking import best_first, check_k, rank_within
 from reviewloom.session import stored
 
@@ -79,37 +79,84 @@ def compress(index: DataFrame, books: list[np.ndarray]) -> DataFrame:
     return index.filter("embedding IS NOT NULL").select("review_id", "embedding").mapInArrow(run, schema)
 
 
-def _candidates(codes: DataFrame, queries: pa.Table, books: list[np.ndarray], k: int, keep: int | None) -> DataFrame:
-    """(query_id, review_id, low, high): rows of each task that may be among the best, with bounds of their scores.
+def _lookups(shared):
+    """Function that gives the query ids, the query vectors and, for rows of codes, the middle and half width of the bounds of all scores."""
+    asked, own = shared.value
+    vectors = vector_matrix(pa.concat_arrays(asked.column("embedding").chunks), sum(b.shape[1] for b in own))
+    lengths, ends = np.linalg.norm(vectors, axis=1), np.cumsum([0, *(b.shape[1] for b in own)])
+    tables = [vectors[:, a:b] @ book.T for a, b, book in zip(ends, ends[1:], own)]
 
-    With `keep`, the `keep` best by the middle of their bounds; without, all that the bounds do not rule out.
-    """
+    def bounds(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, len(own))
+        middle = sum(t[:, code[:, i]] for i, t in enumerate(tables))
+        return middle, lengths[:, None] * part.column("error").to_numpy()[None, :] + SLACK
+
+    return asked.column("query_id").to_numpy(), vectors, bounds
+
+
+def _candidates(codes: DataFrame, queries: pa.Table, books: list[np.ndarray], keep: int) -> DataFrame:
+    """(query_id, review_id, middle): for each query and task, rows that may be among the `keep` best by the middle of their bounds."""
     shared = codes.sparkSession.sparkContext.broadcast((queries, books))
     key = codes.schema["review_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, own = shared.value
-        vectors = vector_matrix(pa.concat_arrays(asked.column("embedding").chunks), sum(b.shape[1] for b in own))
-        ids, lengths = asked.column("query_id").to_numpy(), np.linalg.norm(vectors, axis=1)
-        ends = np.cumsum([0, *(b.shape[1] for b in own)])
-        tables = [vectors[:, a:b] @ book.T for a, b, book in zip(ends, ends[1:], own)]
-        floor = np.full(len(ids), -np.inf)  # the k-th certain score seen so far in this task
+        ids, _, bounds = _lookups(shared)
+        floor = np.full(len(ids), -np.inf)  # the last place seen so far in this task
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, len(own))
-                middle = sum(t[:, code[:, i]] for i, t in enumerate(tables))
-                width = lengths[:, None] * part.column("error").to_numpy()[None, :] + SLACK
-                bar = middle if keep else middle - width
-                n = keep or k
-                if bar.shape[1] >= n:
-                    floor = np.maximum(floor, np.partition(bar, bar.shape[1] - n, axis=1)[:, bar.shape[1] - n])
-                query, row = np.nonzero((bar if keep else middle + width) >= floor[:, None])
-                columns = [pa.array(ids[query]), part.column("review_id").take(pa.array(row))]
-                low, high = (middle - width)[query, row], (middle + width)[query, row]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(low), pa.array(high)], names=["query_id", "review_id", "low", "high"])
+                middle, _ = bounds(part)
+                if middle.shape[1] >= keep:
+                    floor = np.maximum(floor, np.partition(middle, middle.shape[1] - keep, axis=1)[:, middle.shape[1] - keep])
+                query, row = np.nonzero(middle >= floor[:, None])
+                columns = [pa.array(ids[query]), part.column("review_id").take(pa.array(row)), pa.array(middle[query, row])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "review_id", "middle"])
+
+    return codes.mapInArrow(run, f"query_id bigint, review_id {key}, middle double")
+
+
+def _certain(rows: DataFrame, queries: pa.Table, books: list[np.ndarray], k: int) -> DataFrame:
+    """(query_id, review_id, score): the `k` best rows of each query and task, of (review_id, code, error, embedding).
 
-    return codes.mapInArrow(run, f"query_id bigint, review_id {key}, low double, high double")
+    A row is scored by its full vector where its bound reaches the k-th score found so far, and at once: no
+    candidate leaves the task.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((queries, books))
+    key = rows.schema["review_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, vectors, bounds = _lookups(shared)
+        floor = np.full(len(numbers), -np.inf)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, place in `held`, score
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                middle, width = bounds(part)
+                reached = middle + width >= floor[:, None]
+                full, scores = vector_matrix(part.column("embedding"), vectors.shape[1]), np.full(reached.shape, -np.inf)
+                for q in np.flatnonzero(reached.any(axis=1)).tolist():
+                    scores[q, reached[q]] = np.round(full[reached[q]] @ vectors[q], SCORE_DIGITS)
+                query, row = np.nonzero(reached & (scores >= floor[:, None]))
+                if not len(query):
+                    continue
+                ids = part.column("review_id") if held is None else pa.concat_arrays([held, part.column("review_id")])
+                joined = [np.concatenate(pair) for pair in zip(best, (query, row + len(ids) - part.num_rows, scores[query, row]))]
+                by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")  # ties go by the id
+                position = np.empty(len(by_id), np.int64)
+                position[by_id] = np.arange(len(by_id))
+                at_query, at_position, score = best_per_query(joined[0], position[joined[1]], joined[2], k)
+                place, kept = np.unique(by_id[at_position], return_inverse=True)
+                held, best = ids.take(pa.array(place)), [at_query, kept, score]
+                full_up = np.bincount(at_query, minlength=len(numbers)) >= k
+                worst = np.full(len(numbers), np.inf)
+                np.minimum.at(worst, at_query, score)
+                floor = np.where(full_up, worst, -np.inf)
+        if held is not None:
+            columns = [pa.array(numbers[best[0]]), held.take(pa.array(best[1])), pa.array(best[2])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "review_id", "score"])
+
+    return rows.mapInArrow(run, f"query_id bigint, review_id {key}, score double")
 
 
 def nearest_compressed(
@@ -117,32 +164,28 @@ def nearest_compressed(
 ) -> DataFrame:
     """(query_id, review_id, score, rank) of the `k` best rows for each (query_id, embedding) row.
 
-    Full vectors are read for candidates only: `candidates` a query, or, with `exact`, as many
+    Full vectors are compared for candidates only: `candidates` a query, or, with `exact`, as many
     as the bounds ask for. Ties go to the smaller id; queries without a vector find nothing.
     """
     k = check_k(k)
     asked = stored(queries.filter("embedding IS NOT NULL").select(F.col("query_id").cast("bigint").alias("query_id"), "embedding"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     dealt = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    rows = stored(codes.join(index.select("review_id", "embedding"), "review_id")) if exact and k and books else codes
     found = None
     for block in range(blocks if k and books else 0):
         part = dealt.filter(F.col("_b") == block).drop("_b").toArrow()  # a block of bounded size
         if part.num_rows:
-            more = _candidates(codes, part, books, k, None if exact else max(candidates, k))
+            more = _certain(rows, part, books, k) if exact else _candidates(rows, part, books, max(candidates, k))
             found = more if found is None else found.unionByName(more)
     if found is None:
         empty = index.select(F.lit(0).cast("bigint").alias("query_id"), "review_id", F.lit(0.0).alias("score")).limit(0)
         return rank_within(empty, ["query_id"], best_first(), k)
     found = stored(found)
     if exact:
-        sure = rank_within(found, ["query_id"], [F.desc("low"), F.asc("review_id")], k)
-        floors = sure.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("low").alias("_floor"))
-        reached = (F.col("_n") < k) | (F.col("high") >= F.col("_floor"))
-        chosen = found.join(floors, "query_id").filter(reached)
-    else:
-        chosen = rank_within(found, ["query_id"], [F.desc(F.col("low") + F.col("high")), F.asc("review_id")], max(candidates, k))
-    pairs = chosen.select("query_id", "review_id")
-    full = pairs.join(index.select("review_id", "embedding"), "review_id")
+        return rank_within(found.join(asked.select("query_id"), "query_id"), ["query_id"], best_first(), k)
+    chosen = rank_within(found, ["query_id"], [F.desc("middle"), F.asc("review_id")], max(candidates, k))
+    full = chosen.select("query_id", "review_id").join(index.select("review_id", "embedding"), "review_id")
     met = full.join(asked.withColumnRenamed("embedding", "_q"), "query_id")
     score = F.round(dot(F.col("embedding"), F.col("_q")), SCORE_DIGITS)
     return rank_within(met.select("query_id", "review_id", score.alias("score")), ["query_id"], best_first(), k)

@@ -53,3 +53,13 @@ def test_nothing_to_search(spark):
     assert compressed.nearest_compressed(none, none, [], asked, 3).collect() == []
     with pytest.raises(ValueError):
         compressed.fit_code_books(frame(spark, clustered(40)), parts=40)
+
+
+def test_tasks_hand_on_the_best_rows_only(spark):
+    """Vectors without structure, which bounds rule out badly: `k` rows a query and task leave the tasks."""
+    m = RNG.normal(size=(300, 16)).astype(np.float32)
+    index, asked = frame(spark, m).coalesce(2), frame(spark, m[::30], "query_id")
+    books = compressed.fit_code_books(index, parts=2, codes=2)
+    rows = compressed.compress(index, books).join(index, "review_id").coalesce(2)
+    found = compressed._certain(rows, asked.toArrow(), books, 4)
+    assert found.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 2 * 4
