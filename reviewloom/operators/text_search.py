@@ -28,6 +28,8 @@ SLICE_POSTINGS = 200_000
 #: Blocks that hold so many postings for each wanted hit give the first bound.
 SEEDS = 8
 MAX_BROADCAST_ROWS = 500_000
+#: Lengths of texts, two numbers each.
+MAX_BROADCAST_LENGTHS = 4_000_000
 SLACK = 1e-8
 
 
@@ -58,30 +60,40 @@ def word_weights(counts: DataFrame, n_texts: Column) -> DataFrame:
     return df.withColumn("idf", F.log((n_texts + 1) / (F.col("df") + 1)))
 
 
+def _weighed(counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """`counts` with the df and idf of their words. The weights of the commonest words are broadcast; only rows of the others are shuffled."""
+    steps = [1 << i for i in range(0, 40, 2)]
+    held = weights.agg(*[F.count_if(F.col("df") >= n) for n in steps], F.sum("df")).first()
+    least = next((n for n, words_held in zip(steps, held) if words_held <= MAX_BROADCAST_ROWS), steps[-1] << 2)
+    common = weights.filter(F.col("df") >= least)
+    near = counts.join(F.broadcast(common), "word")
+    if least == 1:
+        return near
+    rest = counts.join(F.broadcast(common.select("word")), "word", "left_anti")
+    rare = weights.filter(F.col("df") < least)
+    return near.unionByName(join_counted(rest, rare, "word", "df", held[-1] or 0, spread="review_id"))
+
+
 def text_index(corpus: DataFrame) -> TextIndex:
-    """The inverted index of (review_id, text) rows. The texts are read once."""
+    """The inverted index of (review_id, text) rows. The texts are read once, and no text's words are brought together again."""
     listed = stored(listed_terms(corpus, "review_id"))
     n_texts = listed.agg(F.count_if(F.coalesce("pos", F.lit(0)) == 0)).scalar()
-    counts = listed.filter(F.col("word").isNotNull())
+    counts = listed.filter(F.col("word").isNotNull()).drop("pos")
     weights = stored(word_weights(counts, n_texts))
-    joined = join_counted(counts, weights, "word", "df", counts.count(), spread="review_id")
     slices = F.ceil(F.col("df") / SLICE_POSTINGS).cast("int")
-    rows = joined.select(
+    rows = _weighed(counts, weights).select(
         "review_id",
         "word",
-        (F.col("tf") * F.col("idf")).alias("weight"),
+        (F.col("tf") * F.col("idf")).alias("_w"),
         F.pmod(F.xxhash64("review_id"), slices).cast("int").alias("slice"),
-    ).filter("weight > 0")
-    # A text's words meet in one row; there are no more of them than the text has.
-    unit = rows.groupBy("review_id").agg(
-        F.collect_list(F.struct("word", "slice", "weight")).alias("_terms"),
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
-    )
-    flat = unit.select("review_id", "_norm", F.inline("_terms"))
-    weight = F.col("weight") / F.col("_norm")
-    layer = F.least(F.floor(-2 * F.log2(weight)), F.lit(MAX_LAYER)).cast("int")
-    layered = flat.select("word", "slice", F.greatest(layer, F.lit(0)).alias("layer"), "review_id", weight.alias("weight"))
-    postings = stored(layered.repartition("word", "slice").sortWithinPartitions("word", "layer"))
+    ).filter("_w > 0")
+    # The words of a text are neighbours, so a task hands on few rows a text.
+    lengths = stored(rows.groupBy("review_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm")))
+    lengths = F.broadcast(lengths) if lengths.count() <= MAX_BROADCAST_LENGTHS else lengths
+    weight = F.col("_w") / F.col("_norm")
+    flat = rows.join(lengths, "review_id").select("word", "slice", "review_id", weight.alias("weight"))
+    layer = F.greatest(F.least(F.floor(-2 * F.log2("weight")), F.lit(MAX_LAYER)).cast("int"), F.lit(0))
+    postings = stored(flat.select("word", "slice", layer.alias("layer"), "review_id", "weight"))
     blocks = postings.groupBy("word", "layer").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("n"))
     return TextIndex(postings, stored(blocks), weights.select("word", "idf"))
 
@@ -105,12 +117,16 @@ def _added(postings: DataFrame, blocks: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "review_id").agg(F.sum(F.col("weight") * F.col("wq")).alias("sum"))
 
 
+def _asked(index: TextIndex, terms: DataFrame) -> TextIndex:
+    """The part of an index that holds words of the queries."""
+    words_asked = stored(terms.select("word").distinct())
+    return index._replace(postings=index.postings.join(_small(words_asked), "word", "left_semi"))
+
+
 def _scored(index: TextIndex, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query_id, review_id, score) of stored (query_id, review_id) pairs, over all words of the query."""
-    # Postings of the queries' words that lie in one of the reviews, then the pairs themselves.
-    words_asked = stored(terms.select("word").distinct())
-    postings = index.postings.join(_small(words_asked), "word", "left_semi").select("word", "review_id", "weight")
-    met = postings.join(_small(pairs), "review_id").join(_small(terms), ["query_id", "word"])
+    # Postings that lie in one of the reviews, then the pairs themselves.
+    met = index.postings.select("word", "review_id", "weight").join(_small(pairs), "review_id").join(_small(terms), ["query_id", "word"])
     score = F.round(F.sum(F.col("weight") * F.col("wq")), SCORE_DIGITS)
     return met.groupBy("query_id", "review_id").agg(score.alias("score"))
 
@@ -150,6 +166,8 @@ def search_texts(index: TextIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     k = check_k(k)
     terms = stored(query_vectors(queries, index.idf))
+    part = _asked(index, terms)
+    index = index._replace(postings=stored(part.postings))  # read once for all the steps below
     choice = block_choice(index, terms, max(k, 1))
     limits = choice.select("query_id", "bound", "rest").distinct()
     found = _added(index.postings, choice.filter("kept")).join(limits, "query_id")

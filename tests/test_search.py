@@ -329,3 +329,26 @@ def test_join_counted_with_a_hot_key(spark, monkeypatch):
     inner = ranking.join_counted(left, right, "k", "n", total, spread="id")
     assert inner.select("k", "id", "n").exceptAll(left.join(right, "k").select("k", "id", "n")).count() == 0
     assert inner.count() == left.join(right, "k").count()
+
+
+def test_texts_are_not_regrouped_for_the_index(spark, monkeypatch):
+    """Words too rare to be broadcast are joined; the weights are the same, and only they and one row a text and task are shuffled."""
+    rows = [(i, " ".join(["tea"] * (i % 3 + 1) + [f"w{i % 7}", f"only{i}"])) for i in range(40)] + [(50, None), (51, "")]
+    corpus = spark.createDataFrame(rows, "review_id bigint, text string")
+
+    def postings():
+        found = text_search.text_index(corpus).postings.collect()
+        return {(r["word"], r["review_id"]): (r["layer"], round(r["weight"], 12)) for r in found}
+
+    whole = postings()
+    monkeypatch.setattr(text_search, "MAX_BROADCAST_ROWS", 9)
+    monkeypatch.setattr(text_search, "MAX_BROADCAST_LENGTHS", 0)
+    assert postings() == whole and ("only3", 3) in whole
+    lengths = {}
+    for (_, i), (_, w) in whole.items():
+        lengths[i] = lengths.get(i, 0.0) + w * w
+    assert len(lengths) == 40 and np.allclose(list(lengths.values()), 1.0)
+    counts = text_search.term_counts(corpus, "review_id")
+    weights = text_search.stored(text_search.word_weights(counts, F.lit(42)))
+    parts = text_search._weighed(counts, weights)
+    assert parts.count() == counts.count() and "LeftAnti" in parts._jdf.queryExecution().toString()
