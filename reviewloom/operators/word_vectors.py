@@ -3,7 +3,7 @@
 Words that stand near each other are counted, and a pair's weight is the log of how much
 more often it is seen than chance would have it, where that is positive. The table of
 weights is symmetric; its leading eigenvectors are found by power iteration on a whole block of
-vectors: every round joins the weights with the vectors and adds up, then makes the sums
+vectors: every round multiplies the weights, packed in tiles, with the vectors and adds up, then makes the sums
 orthonormal through their small product matrix. Words with like neighbours get like
 vectors. The weights and the vectors stay tables; only matrices of `dims` by `dims` numbers
 reach the driver.
@@ -11,6 +11,7 @@ reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import SCORE_DIGITS
@@ -38,6 +39,14 @@ ROUNDS = 12
 MAX_BROADCAST_WORDS = 4_000_000
 #: Texts whose pairs are counted at once.
 TEXTS_AT_ONCE = 4_096
+#: Words of a block and weights of a tile, at most and about.
+BLOCK_WORDS = 32_768
+TILE_ENTRIES = 1_000_000
+ENTRIES_AT_ONCE = 250_000
+#: Vectors with more numbers in all are joined with the tiles, not broadcast.
+MAX_BROADCAST_VALUES = 16_000_000
+BLOCK_SCHEMA = "block int, x binary"
+TILE_SCHEMA = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("size", pa.int32()), ("i", pa.binary()), ("j", pa.binary()), ("pmi", pa.binary())])
 
 
 def vocabulary(texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -142,80 +151,149 @@ def positive_pmi(pairs: DataFrame) -> DataFrame:
     return pairs.select("word", "context", "n", pmi.alias("pmi")).filter("pmi > 0")
 
 
-def _products(rows: DataFrame, columns: list[str], dims: int) -> list[np.ndarray]:
-    """For each pair of vector columns (the first with each one), the sum of outer products over all rows."""
-    size = dims * dims
-    schema = pa.schema([("which", pa.int32()), ("at", pa.int32()), ("x", pa.float64())])
+def _matrix(cell: pa.Scalar, dims: int) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.float64).reshape(-1, dims)
+
+
+def _products(left: DataFrame, right: DataFrame | None, dims: int) -> np.ndarray:
+    """The sum over all words of the outer products of their vectors in two tables of (block, x); of one with itself without `right`."""
+    alone = right is None
+    both = left if alone else left.join(right.withColumnRenamed("x", "y"), "block")
+    schema = pa.schema([("at", pa.int32()), ("sum", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(columns), size))
+        sums = np.zeros((dims, dims))
         for batch in batches:
-            if batch.num_rows:
-                first = vector_matrix(batch.column(columns[0]), dims)
-                for i, c in enumerate(columns):
-                    sums[i] += (first.T @ vector_matrix(batch.column(c), dims)).ravel()
-        which, at = np.divmod(np.arange(sums.size, dtype=np.int32), size)
-        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums.ravel())], schema=schema)
+            for i in range(batch.num_rows):
+                x = _matrix(batch.column("x")[i], dims)
+                sums += x.T @ (x if alone else _matrix(batch.column("y")[i], dims))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims, dtype=np.int32)), pa.array(sums.ravel())], schema=schema)
 
-    added = rows.select(*columns).mapInArrow(run, "which int, at int, x double").groupBy("which", "at").agg(F.sum("x").alias("x"))
-    out = np.zeros((len(columns), size))
-    for r in added.collect():  # dims x dims numbers for each column
-        out[r["which"], r["at"]] = r["x"]
-    return [m.reshape(dims, dims) for m in out]
+    out = np.zeros(dims * dims)
+    for r in both.mapInArrow(run, "at int, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect():  # dims x dims numbers
+        out[r["at"]] = r["sum"]
+    return out.reshape(dims, dims)
 
 
-def _turned(rows: DataFrame, column: str, matrix: np.ndarray) -> DataFrame:
-    """(word, vector): a vector column times a small matrix."""
-    shared = rows.sparkSession.sparkContext.broadcast(matrix)
-    schema = pa.schema([("word", pa.string()), ("vector", pa.list_(pa.float64()))])
+def _turned(blocks: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """(block, x): all vectors times a small matrix."""
+    shared = blocks.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                turned = vector_matrix(batch.column(column), shared.value.shape[0]) @ shared.value
-                offsets = pa.array(np.arange(len(turned) + 1, dtype=np.int32) * turned.shape[1])
-                lists = pa.ListArray.from_arrays(offsets, pa.array(turned.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("word"), lists], schema=schema)
+            for i in range(batch.num_rows):
+                turned = _matrix(batch.column("x")[i], len(shared.value)) @ shared.value
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([turned.tobytes()], pa.binary())], names=["block", "x"])
 
-    return rows.select("word", column).mapInArrow(run, "word string, vector array<double>")
+    return blocks.select("block", "x").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def _orthonormal(rows: DataFrame, column: str, dims: int) -> DataFrame:
+def _orthonormal(blocks: DataFrame, dims: int) -> DataFrame:
     """Vectors spanning the same columns, orthonormal; directions without any length become zero."""
-    lengths, axes = np.linalg.eigh(_products(rows, [column], dims)[0])
+    lengths, axes = np.linalg.eigh(_products(blocks, None, dims))
     scale = np.where(lengths > lengths.max(initial=0.0) * 1e-12, 1.0 / np.sqrt(np.maximum(lengths, 1e-300)), 0.0)
-    return stored(_turned(rows, column, axes * scale))
+    return stored(_turned(blocks, axes * scale))
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """Weights of a tile in one row: places of words and contexts in their blocks, in order of the words, and the weights."""
+    rows = rows.sort_by([("i", "ascending"), ("j", "ascending")])
+    cells = [rows.column(c).to_numpy().astype(t).tobytes() for c, t in (("i", np.int32), ("j", np.int32), ("pmi", np.float64))]
+    heads = [pa.array([rows.column(c)[0].as_py()], pa.int32()) for c in ("row", "block", "size")]
+    return pa.table([*heads, *(pa.array([c], pa.binary()) for c in cells)], schema=TILE_SCHEMA)
+
+
+def _multiplied(tiles: DataFrame, blocks: DataFrame, dims: int, few: bool) -> DataFrame:
+    """(block, x): the table of weights, in tiles, times the vectors.
+
+    The tiles of a block of words lie in one part, so that a task adds up what they give.
+    """
+    schema = pa.schema([("block", pa.int32()), ("x", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row, size = batch.column("row")[n].as_py(), batch.column("size")[n].as_py()
+                if row != at and sums is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary())], schema=schema)
+                    sums = None
+                at, sums = row, np.zeros((size, dims)) if sums is None else sums
+                i, j = (np.frombuffer(batch.column(c)[n].as_buffer(), np.int32) for c in ("i", "j"))
+                pmi, x = np.frombuffer(batch.column("pmi")[n].as_buffer(), np.float64), _matrix(batch.column("x")[n], dims)
+                for begin in range(0, len(i), ENTRIES_AT_ONCE):
+                    part = slice(begin, begin + ENTRIES_AT_ONCE)
+                    starts = np.flatnonzero(np.append(True, np.diff(i[part]) > 0))  # i is sorted
+                    sums[i[part][starts]] += np.add.reduceat(x[j[part]] * pmi[part, None], starts, axis=0)
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary())], schema=schema)
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = sum(_matrix(c, dims) for c in rows.column("x"))
+        return pa.table([rows.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    met = tiles.join(F.broadcast(blocks) if few else blocks, "block")
+    return stored(met.mapInArrow(run, BLOCK_SCHEMA).groupBy("block").applyInArrow(added, BLOCK_SCHEMA))
 
 
 def factorise(weights: DataFrame, dims: int = DIMS, rounds: int = ROUNDS) -> tuple[DataFrame, list[float]]:
     """(word, vector) of the symmetric (word, context, pmi) table, and its leading eigenvalues.
 
     A vector holds a word's places in the leading eigenvectors, largest eigenvalue first,
-    each times the root of the eigenvalue's size.
+    each times the root of the eigenvalue's size. Words are dealt to blocks and the weights to tiles
+    of two blocks; a tile is one row, and a round multiplies it with the vectors of a block.
     """
     weights = stored(weights.select("word", "context", "pmi"))
     held = stored(weights.groupBy("word").agg(F.count(F.lit(1)).alias("_rows")))
-    total = weights.count()
+    sums = held.agg(F.sum("_rows"), F.count(F.lit(1))).first()
+    total, n_words = sums[0] or 0, sums[1]
     if not total:
         return held.select("word", F.array().cast("array<double>").alias("vector")), []
+    n_blocks = max(math.ceil(n_words / BLOCK_WORDS), math.ceil(math.sqrt(total / TILE_ENTRIES)))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(n_blocks)).cast("int"))
+    in_block = Window.partitionBy("block")
+    places = (F.row_number().over(in_block.orderBy("word")) - 1).alias("place")
+    placed = stored(dealt.select("word", "_rows", "block", places, F.count(F.lit(1)).over(in_block).cast("int").alias("size")))
+    # The table is symmetric, so a context has as many rows as it has as a word.
+    of_word = placed.select("word", "_rows", F.col("block").alias("row"), F.col("place").alias("i"), "size")
+    of_context = placed.select(F.col("word").alias("context"), "_rows", "block", F.col("place").alias("j"))
+    met = weights
+    for right, key, other in ((of_word, "word", "context"), (of_context, "context", "word")):
+        if n_words <= MAX_BROADCAST_WORDS:
+            met = met.join(F.broadcast(right.drop("_rows")), key)
+        else:
+            met = join_counted(met, right, key, "_rows", total, spread=other).drop("_rows")
+    packed = met.select("row", "block", "size", "i", "j", "pmi").groupBy("row", "block").applyInArrow(
+        _packed, "row int, block int, size int, i binary, j binary, pmi binary"
+    )
+    tiles = stored(packed.repartition(n_blocks, "row").sortWithinPartitions("row"))
+    few = n_words * dims <= MAX_BROADCAST_VALUES
     # Start from numbers that only depend on the word.
     start = F.array(*[F.xxhash64(F.lit(i), "word") / float(2**63) for i in range(dims)])
-    vectors = _orthonormal(held.select("word", start.alias("v")), "v", dims)
 
-    def multiplied(current: DataFrame) -> DataFrame:
-        # The table is symmetric, so a context has as many rows as it has as a word.
-        right = current.join(held, "word").select(F.col("word").alias("context"), array_to_vector("vector").alias("_v"), "_rows")
-        met = join_counted(weights, right, "context", "_rows", total, spread="word")
-        return stored(met.groupBy("word").agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col("pmi"))).alias("v")))
+    def gathered(rows: pa.Table) -> pa.Table:
+        matrix = vector_matrix(pa.concat_arrays(rows.sort_by("place").column("v").chunks), dims)
+        return pa.table([rows.column("block").slice(0, 1), pa.array([matrix.tobytes()], pa.binary())], names=["block", "x"])
 
+    first = placed.select("block", "place", start.alias("v")).groupBy("block").applyInArrow(gathered, BLOCK_SCHEMA)
+    vectors = _orthonormal(stored(first), dims)
     for _ in range(rounds):
-        vectors = _orthonormal(multiplied(vectors), "v", dims)
-    last = stored(vectors.join(multiplied(vectors), "word"))
-    small = _products(last, ["vector", "v"], dims)[1]
+        vectors = _orthonormal(_multiplied(tiles, vectors, dims, few), dims)
+    small = _products(vectors, _multiplied(tiles, vectors, dims, few), dims)
     values, axes = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-np.abs(values), kind="stable")
     values, axes = values[order], axes[:, order]
-    return stored(_turned(last, "vector", axes * np.sqrt(np.abs(values)))), values.tolist()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                x = _matrix(batch.column("x")[n], dims)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dims), pa.array(x.ravel()))
+                block = np.full(len(x), batch.column("block")[n].as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.arange(len(x), dtype=np.int32)), lists], names=["block", "place", "vector"])
+
+    found = _turned(vectors, axes * np.sqrt(np.abs(values))).mapInArrow(listed, "block int, place int, vector array<double>")
+    return stored(placed.join(found, ["block", "place"]).select("word", "vector")), values.tolist()
 
 
 def learn_words(

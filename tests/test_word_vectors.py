@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewloom.operators import word_vectors as wv
@@ -86,3 +87,28 @@ def test_words_of_a_topic_are_alike(spark, learned):
 def test_no_texts(spark):
     none = spark.createDataFrame([], "review_id bigint, text string")
     assert wv.learn_words(none).collect() == []
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_small_tiles_and_joins_give_the_same(spark, learned, monkeypatch, broadcast):
+    """Many blocks and tiles; a vocabulary that may not be broadcast is joined."""
+    df, weights, want = learned
+    whole = {r["word"]: r["vector"] for r in wv.factorise(weights, dims=2, rounds=3)[0].collect()}
+    monkeypatch.setattr(wv, "BLOCK_WORDS", 4)
+    monkeypatch.setattr(wv, "ENTRIES_AT_ONCE", 3)
+    monkeypatch.setattr(wv, "MAX_BROADCAST_WORDS", 1000 if broadcast else 0)
+    monkeypatch.setattr(wv, "MAX_BROADCAST_VALUES", 1000 if broadcast else 0)
+    again = wv.positive_pmi(wv.pair_counts(df, wv.vocabulary(df, 3), 3))
+    assert {(r["word"], r["context"]): r["pmi"] for r in again.collect()} == want
+    found = {r["word"]: r["vector"] for r in wv.factorise(weights, dims=2, rounds=3)[0].collect()}
+    words = sorted(whole)
+    a, b = np.array([whole[w] for w in words]), np.array([found[w] for w in words])
+    assert sorted(found) == words and np.allclose(a @ a.T, b @ b.T, atol=1e-9)
+
+
+def test_pairs_are_shuffled_as_numbers_of_known_words(spark):
+    """A pair with a rare word is never made, and no word is shuffled with the pairs."""
+    df = spark.createDataFrame([(0, "tea box"), (1, "tea rare box tea"), (2, None)], "review_id bigint, text string")
+    pairs = wv._numbered_pairs(df, pa.array(["box", "tea"]), 2)
+    assert {tuple(r) for r in pairs.collect()} == {(0, 1, 3)}
+    assert pairs.schema.simpleString() == "struct<a:int,b:int,n:bigint>"
