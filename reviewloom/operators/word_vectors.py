@@ -5,8 +5,9 @@ more often it is seen than chance would have it, where that is positive. The tab
 weights is symmetric; its leading eigenvectors are found by power iteration on a whole block of
 vectors: every round multiplies the weights, packed in tiles, with the vectors and adds up, then makes the sums
 orthonormal through their small product matrix. Words with like neighbours get like
-vectors. The weights and the vectors stay tables; only matrices of `dims` by `dims` numbers
-reach the driver.
+vectors. The weights and the vectors stay tables. The driver gets matrices of `dims` by
+`dims` numbers and, for the broadcasts, a vocabulary and vectors of a stated size at most;
+larger ones are joined.
 """
 
 from __future__ import annotations
