@@ -1,8 +1,8 @@
 """Complaint themes by density: rows with enough near neighbours, linked up.
 
 Vectors are compared block by block as matrix products, and only blocks that can hold a
-near pair are compared (`metric_join`). A pair of blocks gives counts and a spanning set of
-links, never the pairs themselves, and copies of a vector are folded into one point
+near pair are compared (`metric_join`). Blocks travel in a few tiles, and a pair of tiles gives counts
+and a spanning set of links, never the pairs themselves, and copies of a vector are folded into one point
 first, so a crowd of equal or near rows stays small. The result is exact. Vectors
 without structure leave no blocks to skip, and the work is then quadratic in the
 distinct vectors; `kmeans_themes` is the linear way.
@@ -10,6 +10,8 @@ distinct vectors; `kmeans_themes` is the linear way.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,12 +20,13 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import MIN_TOPIC_SIZE, SCORE_DIGITS
 from reviewloom.operators.batch import vector_matrix
-from reviewloom.operators.metric_join import Blocks
+from reviewloom.operators.metric_join import MAX_PIVOTS, Blocks, compared, lowest_reaching
 from reviewloom.operators.ranking import join_counted
 from reviewloom.operators.themes import assign_topics
 from reviewloom.session import stored
 
 TILE_ROWS = 2_048
+LEAST_BLOCK_ROWS = 64
 MAX_ROUNDS = 60
 
 
@@ -72,82 +75,100 @@ def _cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
     return np.round(a @ b.T, SCORE_DIGITS)
 
 
+def _vectors(rows: pa.Table) -> np.ndarray:
+    if not rows.num_rows:
+        return np.zeros((0, 0))
+    column = pa.concat_arrays(rows.column("embedding").chunks)
+    return vector_matrix(column, len(column[0]))
+
+
 def neighbour_counts(points: DataFrame, threshold: float, blocks: Blocks) -> DataFrame:
     """(point, neighbours): rows within the threshold, the row itself not counted."""
     schema = "point bigint, neighbours bigint"
     arrow = pa.schema([("point", pa.int64()), ("neighbours", pa.int64())])
+    least = lowest_reaching(threshold)
+
+    def run(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        vectors, weight = _vectors(rows), _column(rows, "weight").astype(np.float64)
+        found = np.zeros(len(vectors))  # whole numbers
+        for left, right, same in compared(rows, pairs):
+            near = (vectors[left] @ vectors[right].T >= least).astype(np.float64)
+            found[left] += near @ weight[right]
+            if not same:
+                found[right] += weight[left] @ near
+        return pa.table([_column(rows, "point"), found.astype(np.int64)], schema=arrow)
+
+    counted = blocks.applied(points, run, schema)
+    return counted.groupBy("point").agg((F.sum("neighbours") - 1).alias("neighbours"))
 
-    def run(rows: pa.Table) -> pa.Table:
-        same, left, right = _sides(rows)
-        near = (_cosines(left, right) >= threshold).astype(np.int64)
-        ids, counts = [_column(left, "point")], [near @ _column(right, "weight")]
-        if not same:
-            ids.append(_column(right, "point"))
-            counts.append(_column(left, "weight") @ near)
-        return pa.table([np.concatenate(ids), np.concatenate(counts)], schema=arrow)
 
-    counted = blocks.paired(points).applyInArrow(run, schema)
-    return counted.groupBy("point").agg((F.sum("neighbours") - 1).alias("neighbours"))
+def linked_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after linking a with b; a label is the smallest position of its component."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
 
 
-def _spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
-    """(root, member) links that connect what a symmetric near-matrix connects."""
-    links, unseen = [], np.ones(len(near), dtype=bool)
-    for root in range(len(near)):
-        if not unseen[root]:
-            continue
-        unseen[root] = False
-        frontier = np.array([root])
-        while len(frontier):
-            frontier = np.flatnonzero(near[frontier].any(axis=0) & unseen)
-            unseen[frontier] = False
-            links.extend((root, int(m)) for m in frontier)
-    return links
+def _link_near(label: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels after linking left and right positions that are near: a link per row and column at a time."""
+    while True:
+        apart = near & (label[left][:, None] != label[right][None, :])
+        rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+        if not len(rows):
+            return label
+        a = np.concatenate([left[rows], left[apart[:, columns].argmax(axis=0)]])
+        b = np.concatenate([right[apart[rows].argmax(axis=1)], right[columns]])
+        label = linked_up(label, a, b)
 
 
 def core_links(points: DataFrame, threshold: float, blocks: Blocks) -> DataFrame:
     """Links between points that have an `is_core` column.
 
     Rows with a NULL score link two core points; other rows offer a core point
-    to a border point, with their cosine.
+    to a border point, with their cosine. A pair of tiles gives one row per point at most.
     """
     schema = "a bigint, b bigint, score double"
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
-
-    def offers(score: np.ndarray, border: pa.Table, core: pa.Table):
-        """Nearest core point of each border row; rows are sorted, so ties give the smaller."""
-        if not score.shape[0] or not score.shape[1]:
-            return
-        best = score.argmax(axis=1)
-        value = score[np.arange(len(best)), best]
-        hit = value >= threshold
-        yield _column(border, "point")[hit], _column(core, "point")[best[hit]], value[hit]
-
-    def run(rows: pa.Table) -> pa.Table:
-        same, left, right = _sides(rows)
-        cosines = _cosines(left, right)
-        left_core, right_core = _column(left, "is_core"), _column(right, "is_core")
-        core = cosines[np.ix_(left_core, right_core)] >= threshold
-        left_ids, right_ids = _column(left, "point")[left_core], _column(right, "point")[right_core]
-        if same:
-            ids, near = left_ids, core
-        else:
-            ids = np.concatenate([left_ids, right_ids])
-            near = np.zeros((len(ids), len(ids)), dtype=bool)
-            near[: len(left_ids), len(left_ids) :] = core
-            near[len(left_ids) :, : len(left_ids)] = core.T
-        links = np.array(_spanning_links(near), dtype=np.int64).reshape(-1, 2)
-        parts = [(ids[links[:, 0]], ids[links[:, 1]], np.full(len(links), np.nan))] if len(links) else []
-        left_t, right_t = left.filter(pa.array(left_core)), right.filter(pa.array(right_core))
-        parts += offers(cosines[np.ix_(~left_core, right_core)], left.filter(pa.array(~left_core)), right_t)
-        if not same:
-            parts += offers(cosines[np.ix_(left_core, ~right_core)].T, right.filter(pa.array(~right_core)), left_t)
-        if not parts:
-            return arrow.empty_table()
-        a, b, score = (np.concatenate(c) for c in zip(*parts))
-        return pa.table([a, b, pa.array(score, from_pandas=True)], schema=arrow)
-
-    return blocks.paired(points).applyInArrow(run, schema)
+    least = lowest_reaching(threshold)
+
+    def run(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        vectors, ids, core = _vectors(rows), _column(rows, "point"), _column(rows, "is_core")
+        label = np.arange(len(ids))
+        score, nearest = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64)
+
+        def offer(border: np.ndarray, cores: np.ndarray) -> None:
+            """Nearest core point of each border row; positions go up, so ties give the smaller."""
+            if not len(border) or not len(cores):
+                return
+            cosines = np.round(vectors[border] @ vectors[cores].T, SCORE_DIGITS)
+            best = cosines.argmax(axis=1)
+            value, core_at = cosines[np.arange(len(best)), best], cores[best]
+            nearer = (value > score[border]) | ((value == score[border]) & (core_at < nearest[border]))
+            score[border[nearer]], nearest[border[nearer]] = value[nearer], core_at[nearer]
+
+        for left, right, same in compared(rows, pairs):
+            left_core, right_core = left[core[left]], right[core[right]]
+            both = label[np.concatenate([left_core, right_core])]
+            # What is linked already needs no more links.
+            if len(left_core) and len(right_core) and (both != both[0]).any():
+                near = vectors[left_core] @ vectors[right_core].T >= least
+                label = _link_near(label, near, left_core, right_core)
+            offer(left[~core[left]], right_core)
+            if not same:
+                offer(right[~core[right]], left_core)
+        linked = np.flatnonzero(label != np.arange(len(ids)))
+        offered = np.flatnonzero(score >= threshold)
+        a, b = np.concatenate([ids[label[linked]], ids[offered]]), np.concatenate([ids[linked], ids[nearest[offered]]])
+        scores = np.concatenate([np.full(len(linked), np.nan), score[offered]])
+        return pa.table([a, b, pa.array(scores, from_pandas=True)], schema=arrow)
+
+    return blocks.applied(points, run, schema)
 
 
 def connected_components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -222,7 +243,8 @@ def density_themes(
     missing = vectors.filter("embedding IS NULL").select("review_id", F.lit(None).cast("bigint").alias("cluster"))
     vectors = vectors.filter("embedding IS NOT NULL")
     points = stored(fold_copies(vectors.select("review_id", "embedding")))
-    blocks = Blocks(points, threshold, tile_rows)
+    # Enough blocks to fill the tiles, of a bounded size.
+    blocks = Blocks(points, threshold, min(tile_rows, max(LEAST_BLOCK_ROWS, math.ceil(points.count() / MAX_PIVOTS))))
     counts = neighbour_counts(points, threshold, blocks)
     is_core = (F.col("neighbours") >= min_neighbours).alias("is_core")
     marked = stored(points.join(counts, "point").select("point", "embedding", is_core))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from reviewloom.operators import density
-from reviewloom.operators.metric_join import Blocks, widest_angle
+from reviewloom.operators.metric_join import MAX_TILE_ROWS, TILES, Blocks, lowest_reaching, tile_count, widest_angle
 
 
 def frame(spark, matrix):
@@ -55,3 +55,30 @@ def test_widest_angle():
     assert widest_angle(-0.2, 1.0) == np.pi
     assert abs(widest_angle(0.5, 1.0) - np.pi / 3) < 1e-5
     assert widest_angle(0.5, 2.0) > widest_angle(0.5, 1.0)
+
+
+def test_points_without_structure_travel_once_per_tile(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(900, 6))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    points = frame(spark, m)
+    blocks = Blocks(points, 0.1, 20)
+    assert blocks.n_blocks > 2 * TILES
+    copies = blocks.paired(points).count().agg({"count": "sum"}).first()[0]
+    assert copies <= 900 * TILES
+    counted = density.neighbour_counts(points, 0.1, blocks)
+    near = (np.round(m.astype(np.float64) @ m.astype(np.float64).T, 9) >= 0.1).sum(axis=1) - 1
+    assert {r["point"]: r["neighbours"] for r in counted.collect()} == dict(enumerate(near.tolist()))
+    cores = counted.selectExpr("point", "neighbours >= 200 AS is_core")
+    links = density.core_links(points.select("point", "embedding").join(cores, "point"), 0.1, blocks)
+    assert links.count() <= 900 * TILES
+
+
+def test_lowest_number_that_reaches_a_threshold():
+    for threshold in (0.3, 0.98, 0.0, -0.25):
+        least = lowest_reaching(threshold)
+        assert np.round(least, 9) >= threshold > np.round(np.nextafter(least, -1.0), 9)
+
+
+def test_points_per_tile_stay_bounded():
+    assert [tile_count(n) for n in (0, 500, 10_000, 600_000, TILES * MAX_TILE_ROWS + 1)] == [1, 1, TILES, TILES, TILES + 1]
