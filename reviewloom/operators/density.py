@@ -62,19 +62,6 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def _cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
-    def matrix(table: pa.Table) -> np.ndarray:
-        if not table.num_rows:
-            return np.zeros((0, 0))
-        column = pa.concat_arrays(table.column("embedding").chunks)
-        return vector_matrix(column, len(column[0]))
-
-    a, b = matrix(left), matrix(right)
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b)))
-    return np.round(a @ b.T, SCORE_DIGITS)
-
-
 def _vectors(rows: pa.Table) -> np.ndarray:
     if not rows.num_rows:
         return np.zeros((0, 0))
@@ -82,6 +69,13 @@ def _vectors(rows: pa.Table) -> np.ndarray:
     return vector_matrix(column, len(column[0]))
 
 
+def _cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
+    a, b = _vectors(left), _vectors(right)
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)))
+    return np.round(a @ b.T, SCORE_DIGITS)
+
+
 def neighbour_counts(points: DataFrame, threshold: float, blocks: Blocks) -> DataFrame:
     """(point, neighbours): rows within the threshold, the row itself not counted."""
     schema = "point bigint, neighbours bigint"

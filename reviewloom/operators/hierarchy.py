@@ -3,8 +3,9 @@
 The distance of two rows is the largest of their cosine distance and of both rows'
 core distances, the core distance being that of the `min_samples`-th nearest other
 row. The minimum spanning tree over these distances holds the components at
-every height. A tile pair gives the spanning tree of its own rows, the union of which holds
-the tree of all rows; Boruvka rounds on Spark pick it out. Heights are the distinct
+every height. Pairs of tiles give the nearest points of each point; Boruvka rounds on Spark pick
+the tree out of these links, as long as the distances listed prove that no other link is shorter. Where
+they do not, the tiles are searched for the links in doubt, so the tree is exact. Heights are the distinct
 lengths of its links, or as many quantiles of them as `levels` allows.
 
 A component with `min_topic_size` rows is a cluster. Clusters that grow without
@@ -13,8 +14,8 @@ over which they belong to it. A theme is kept if it is more stable than the them
 it together. The theme of all rows is never kept, as in the usual definition of the method.
 
 Copies of a vector are one point with a weight. All tables but the tiles are joined and
-aggregated by Spark; a tile pair is compared as a matrix, so the work is quadratic in
-the distinct vectors: meant for the sample of complaints that themes are fitted to.
+aggregated by Spark; a point is shuffled once for each of a few tiles, whose pairs are compared as matrices, so the
+comparisons are quadratic in the distinct vectors: meant for the sample of complaints that themes are fitted to.
 """
 
 from __future__ import annotations
@@ -25,15 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from reviewloom.functions.constants import MIN_TOPIC_SIZE, SCORE_DIGITS
-from reviewloom.operators.density import _column, _cosines, _sides, _tile_pairs, connected_components, fold_copies
+from reviewloom.operators.density import _column, _cosines, _sides, _tile_pairs, _vectors, connected_components, fold_copies
+from reviewloom.operators.metric_join import LEAST_TILE_ROWS, STRIP, tile_count
 from reviewloom.operators.themes import assign_topics
 from reviewloom.session import stored
 
 MIN_SAMPLES = 5
-TILE_ROWS = 1_024
+#: Points of a tile at least, where there are fewer than `TILES` tiles.
+TILE_ROWS = LEAST_TILE_ROWS
+#: Nearest points listed for each point, and points whose lists are merged at a time.
+NEAREST = 32
+MERGED_ROWS = 4_096
 LEVELS = 64
 #: Components of several heights are found at once: a node's number leaves room for its level.
 NODE_BITS = 49
@@ -44,41 +49,138 @@ def _distances(left: pa.Table, right: pa.Table) -> np.ndarray:
     return np.round(1.0 - _cosines(left, right), SCORE_DIGITS)
 
 
-def core_distances(points: DataFrame, min_samples: int, n_tiles: int) -> DataFrame:
-    """(point, core): distance to the `min_samples`-th nearest other row, copies counted.
-
-    With fewer other rows it is the distance to the furthest. A tile pair offers the
-    nearest points of each row only, so a point has a few rows per tile.
+class Nearest:
+    """The `k` nearest of the points shown, for each of `n` rows: (row, at, cosine) in three lists."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.least = np.full(n, -np.inf)  # a row has k points at this cosine already
+        self.row, self.at, self.cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.fresh, self.held = [], 0
+
+    def show(self, cosines: np.ndarray, rows: int, at: int) -> None:
+        """`cosines` of the rows from `rows` on with the points from `at` on; -inf is no pair."""
+        least = self.least[rows : rows + len(cosines)]
+        if cosines.shape[1] > self.k and np.isneginf(least).any():
+            least[:] = np.maximum(least, np.partition(cosines, -self.k, axis=1)[:, -self.k])
+        row, column = np.divmod(np.flatnonzero(cosines >= least[:, None]), cosines.shape[1])
+        self.fresh.append((row + rows, column + at, cosines[row, column]))
+        self.held += len(row)
+        if self.held > 3 * self.k * len(self.least):
+            self.trim()
+
+    def trim(self) -> None:
+        old = (self.row, self.at, self.cosine)
+        row, at, cosine = (np.concatenate(c) for c in zip(old, *self.fresh))
+        order = np.lexsort((at, -cosine, row))
+        order = order[cosine[order] > -np.inf]
+        row, at, cosine = row[order], at[order], cosine[order]
+        place = _places(row)
+        last = place == self.k - 1
+        self.least[row[last]] = cosine[last]
+        kept = place < self.k
+        self.row, self.at, self.cosine = row[kept], at[kept], cosine[kept]
+        self.fresh, self.held = [], 0
+
+
+def _places(sorted_keys: np.ndarray) -> np.ndarray:
+    """Place of each element among its equals, from 0."""
+    starts = np.flatnonzero(np.append(True, np.diff(sorted_keys) != 0)) if len(sorted_keys) else np.zeros(0, np.int64)
+    return np.arange(len(sorted_keys)) - np.repeat(starts, np.diff(np.append(starts, len(sorted_keys))))
+
+
+def _strips(n: int) -> list[slice]:
+    return [slice(start, min(start + STRIP, n)) for start in range(0, n, STRIP)]
+
+
+def nearest_points(points: DataFrame, min_samples: int, k: int, n_tiles: int, n_points: int) -> DataFrame:
+    """(point, core, reach, others, fars): the k nearest other points of each point, and what follows from them.
+
+    `core` is the distance to the `min_samples`-th nearest other row, copies counted; with fewer other rows it is the
+    distance to the furthest. Every point nearer than `reach` is listed. A pair of tiles offers k points at most
+    for each of its points, so what is shuffled grows with points and tiles, not with pairs of points.
     """
-    arrow = pa.schema([("point", pa.int64()), ("far", pa.float64()), ("weight", pa.int64())])
-
-    def offers(far: np.ndarray, ids: np.ndarray, weights: np.ndarray, own: np.ndarray | None):
-        if not far.shape[1]:
-            return
-        k = min(min_samples + 1, far.shape[1])
-        near = np.argpartition(far, k - 1, axis=1)[:, :k] if k < far.shape[1] else np.tile(np.arange(k), (len(far), 1))
-        row = np.repeat(np.arange(len(far)), k)
-        column = near.ravel()
-        weight = weights[column]
-        if own is not None:
-            weight = weight - (own[row] == column)  # a row is no neighbour of itself, its copies are
-        yield ids[row], far[row, column], weight
+    schema = "point bigint, others array<bigint>, fars array<double>, weights array<int>, copies int"
+    merged = "point bigint, core double, reach double, others array<bigint>, fars array<double>"
+    # More copies than are counted make no difference.
+    points = points.withColumn("_w", F.least("weight", F.lit(min_samples + 1)).cast("int"))
+
+    def lists(found: Nearest, own: pa.Table, other: pa.Table, copies: np.ndarray) -> pa.Table:
+        found.trim()
+        offsets = pa.array(np.searchsorted(found.row, np.arange(own.num_rows + 1)).astype(np.int32))
+        fars = np.round(1.0 - np.round(found.cosine, SCORE_DIGITS), SCORE_DIGITS)
+        flat = (_column(other, "point")[found.at], fars, _column(other, "_w")[found.at])
+        listed = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat]
+        return pa.table([_column(own, "point"), *listed, copies], names=["point", "others", "fars", "weights", "copies"])
 
     def run(rows: pa.Table) -> pa.Table:
         same, left, right = _sides(rows)
-        far = _distances(left, right)
-        if same:
-            np.fill_diagonal(far, 0.0)
-        parts = list(offers(far, _column(left, "point"), _column(right, "weight"), np.arange(len(far)) if same else None))
+        a = _vectors(left)
+        b = a if same else _vectors(right)
+        of_left, of_right = Nearest(len(a), k), Nearest(len(b), k)
+        numbers = np.isfinite(a).all() and np.isfinite(b).all()
+        for x in _strips(len(a)):
+            for y in _strips(len(b)):
+                if same and y.start < x.start:
+                    continue
+                cosines = a[x] @ b[y].T
+                if not numbers:
+                    cosines[np.isnan(cosines)] = -np.inf
+                if same and x == y:
+                    np.fill_diagonal(cosines, -np.inf)
+                of_left.show(cosines, x.start, y.start)
+                if not same:
+                    of_right.show(cosines.T, y.start, x.start)
+                elif x != y:
+                    of_left.show(cosines.T, y.start, x.start)
+        # A row is no neighbour of itself, its copies are.
+        copies = _column(left, "_w") - 1 if same else np.zeros(len(a), np.int32)
+        tables = [lists(of_left, left, right, copies.astype(np.int32))]
         if not same:
-            parts += offers(far.T, _column(right, "point"), _column(left, "weight"), None)
-        return pa.table([np.concatenate(c) for c in zip(*parts)], schema=arrow) if parts else arrow.empty_table()
-
-    offered = _tile_pairs(points, n_tiles).applyInArrow(run, "point bigint, far double, weight bigint").filter("weight > 0")
-    upto = F.sum("weight").over(Window.partitionBy("point").orderBy("far"))
-    reached = offered.withColumn("upto", upto)
-    nth = F.min(F.when(F.col("upto") >= min_samples, F.col("far")))
-    return reached.groupBy("point").agg(F.coalesce(nth, F.max("far")).alias("core"))
+            tables.append(lists(of_right, right, left, np.zeros(len(b), np.int32)))
+        return pa.concat_tables(tables)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        ids, row = np.unique(_column(rows, "point"), return_inverse=True)
+        others, fars, weights = (pa.concat_arrays(rows.column(x).chunks) for x in ("others", "fars", "weights"))
+        row_of = np.repeat(row, others.value_lengths().to_numpy())
+        other, far, weight = (x.flatten().to_numpy() for x in (others, fars, weights))
+        order = np.lexsort((other, far, row_of))
+        order = order[_places(row_of[order]) < k]
+        row_of, other, far, weight = row_of[order], other[order], far[order], weight[order]
+        listed = np.bincount(row_of, minlength=len(ids))
+        offsets = np.append(0, np.cumsum(listed))
+        # All other points are listed, or the last one bounds those that are not.
+        reach = np.full(len(ids), np.inf)
+        full = np.flatnonzero((listed == k) & (listed < n_points - 1))
+        reach[full] = far[offsets[full + 1] - 1]
+        copies = np.zeros(len(ids), np.int64)
+        np.add.at(copies, row, _column(rows, "copies"))
+        core = _core(row_of, far, weight, copies, min_samples)
+        columns = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in (other, far)]
+        cores = pa.array(core, from_pandas=True)
+        return pa.table([ids, cores, reach, *columns], names=["point", "core", "reach", "others", "fars"])
+
+    offered = _tile_pairs(points.drop("weight"), n_tiles).applyInArrow(run, schema)
+    bucket = F.pmod(F.xxhash64("point", F.lit(1)), F.lit(math.ceil(n_points / MERGED_ROWS) or 1))
+    return offered.groupBy(bucket.alias("_bucket")).applyInArrow(lambda rows: merge(rows), merged)
+
+
+def _core(row: np.ndarray, far: np.ndarray, weight: np.ndarray, copies: np.ndarray, min_samples: int) -> np.ndarray:
+    """Distance at which the weights of a row's points and of its copies at 0 reach `min_samples`, else the furthest; NaN without any."""
+    own = np.flatnonzero(copies > 0)
+    row, far = np.append(row, own), np.append(far, np.zeros(len(own)))
+    weight = np.append(weight, copies[own])
+    order = np.lexsort((far, row))
+    row, far, weight = row[order], far[order], weight[order]
+    upto = np.cumsum(weight)
+    first = np.flatnonzero(_places(row) == 0)
+    upto = upto - np.repeat(upto[first] - weight[first], np.diff(np.append(first, len(row))))
+    furthest, reached = np.full(len(copies), np.nan), np.full(len(copies), np.inf)
+    np.fmax.at(furthest, row, far)
+    enough = upto >= min_samples
+    np.minimum.at(reached, row[enough], far[enough])
+    return np.where(np.isinf(reached), furthest, reached)
 
 
 def spanning_tree(lengths: np.ndarray) -> list[tuple[int, int]]:
@@ -101,55 +203,137 @@ def spanning_tree(lengths: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def tile_links(points: DataFrame, n_tiles: int) -> DataFrame:
-    """(a, b, length), a < b: the spanning trees of all tile pairs of (point, embedding, weight, core)."""
+def tile_links(points: DataFrame) -> DataFrame:
+    """(a, b, length), a < b: the spanning tree of the (point, embedding, core) of a single tile."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("length", pa.float64())])
 
     def run(rows: pa.Table) -> pa.Table:
-        same, left, right = _sides(rows)
-        if same and n_tiles > 1:
-            return arrow.empty_table()  # part of every pair with another tile
-        both = left if same else pa.concat_tables([left, right]).sort_by("point")
-        ids, core = _column(both, "point"), _column(both, "core")
-        lengths = np.maximum(np.maximum(_distances(both, both), core[:, None]), core[None, :])
+        rows = rows.sort_by("point")
+        ids, core = _column(rows, "point"), _column(rows, "core")
+        lengths = np.maximum(np.maximum(_distances(rows, rows), core[:, None]), core[None, :])
         links = np.array(spanning_tree(lengths), dtype=np.int64).reshape(-1, 2)
         return pa.table([ids[links[:, 0]], ids[links[:, 1]], lengths[links[:, 0], links[:, 1]]], schema=arrow)
 
-    return _tile_pairs(points, n_tiles).applyInArrow(run, "a bigint, b bigint, length double")
+    return points.groupBy(F.lit(0).alias("_tile")).applyInArrow(run, "a bigint, b bigint, length double")
+
+
+def near_links(near: DataFrame) -> DataFrame:
+    """(a, b, length), a < b: links of all points with those in their lists."""
+    listed = near.select("point", "core", F.inline(F.arrays_zip("others", "fars")))
+    cores = near.select(F.col("point").alias("others"), F.col("core").alias("_core"))
+    length = F.greatest("fars", "core", "_core")
+    pairs = listed.join(cores, "others").select(
+        F.least("point", "others").alias("a"), F.greatest("point", "others").alias("b"), length.alias("length")
+    )
+    return pairs.groupBy("a", "b").agg(F.min("length").alias("length"))
+
+
+def outgoing_links(points: DataFrame, n_tiles: int) -> DataFrame:
+    """(c, length, a, b, ca, cb): for each component in a tile pair, the shortest link of an asking point to another component.
+
+    `points` is (point, embedding, core, c, asks).
+    """
+    names = ["c", "length", "a", "b", "ca", "cb"]
+    arrow = pa.schema([(x, pa.float64() if x == "length" else pa.int64()) for x in names])
+
+    def shortest(asking: pa.Table, others: pa.Table) -> pa.Table:
+        found = []
+        a, b = _vectors(asking), _vectors(others)
+        core_a, core_b = _column(asking, "core"), _column(others, "core")
+        of_a, of_b = _column(asking, "c"), _column(others, "c")
+        id_a, id_b = _column(asking, "point"), _column(others, "point")
+        for x in _strips(len(a)):
+            for y in _strips(len(b)):
+                far = np.round(1.0 - np.round(a[x] @ b[y].T, SCORE_DIGITS), SCORE_DIGITS)
+                length = np.maximum(np.maximum(far, core_a[x, None]), core_b[None, y])
+                length[(of_a[x, None] == of_b[None, y]) | np.isnan(length)] = np.inf
+                at = length.argmin(axis=1)  # rows are sorted by point: the first link among equal ones
+                best = length[np.arange(len(at)), at]
+                own, other, rows = id_a[x], id_b[y][at], np.flatnonzero(best < np.inf)
+                low = own < other
+                ca, cb = np.where(low, of_a[x], of_b[y][at]), np.where(low, of_b[y][at], of_a[x])
+                columns = (of_a[x], best, np.minimum(own, other), np.maximum(own, other), ca, cb)
+                found.append([column[rows] for column in columns])
+        if not found:
+            return arrow.empty_table()
+        columns = [np.concatenate(column) for column in zip(*found)]
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        order = order[_places(columns[0][order]) == 0]
+        return pa.table([column[order] for column in columns], schema=arrow)
+
+    def run(rows: pa.Table) -> pa.Table:
+        same, left, right = _sides(rows)
+        tables = [shortest(left.filter(left.column("asks")), right)]
+        if not same:
+            tables.append(shortest(right.filter(right.column("asks")), left))
+        return pa.concat_tables(tables)
+
+    schema = "c bigint, length double, a bigint, b bigint, ca bigint, cb bigint"
+    return _tile_pairs(points, n_tiles).applyInArrow(run, schema)
 
 
-def minimum_spanning_links(links: DataFrame, n_points: int) -> DataFrame:
-    """(a, b, length): the minimum spanning tree of connected (a, b, length) links.
+def minimum_spanning_links(points: DataFrame, links: DataFrame, n_tiles: int) -> DataFrame:
+    """(a, b, length): the minimum spanning tree of (point, embedding, core, reach), given links as short as `reach`.
 
-    Boruvka rounds: every component takes its first outgoing link in the order of (length, a, b),
-    the components so linked become one, and links inside a component are dropped.
+    Boruvka rounds: every component takes its shortest outgoing link, the components so linked become one. A link that is
+    not given is at least as long as the reach of both its ends, so a component may take its shortest given link
+    if that is no longer than its least reach, or than the least reach of all others. If no
+    component may, the tiles are searched for the shortest links of all but the largest one.
     """
-    rest = stored(links.distinct().withColumns({"ca": F.col("a"), "cb": F.col("b")}))
-    if rest.count() == max(n_points - 1, 0):
-        return rest.select("a", "b", "length")  # one tile: a tree already
-    taken = None
-    while not rest.isEmpty():
-        order = F.struct("length", "a", "b", "ca", "cb")
+    rest = stored(links.withColumns({"ca": F.col("a"), "cb": F.col("b")}))
+    where = stored(points.select("point", "reach", F.col("point").alias("c")))
+    taken = links.select("a", "b", "length").limit(0)
+    while True:
+        sizes = stored(where.groupBy("c").agg(F.min("reach").alias("reach"), F.count(F.lit(1)).alias("size")))
+        least = sizes.orderBy("reach", "c").limit(2).collect()
+        if len(least) < 2:
+            return taken
+        order = F.struct("length", F.lit(False).alias("searched"), "a", "b", "ca", "cb")
         both = rest.select(F.col("ca").alias("c"), order.alias("link")).unionByName(rest.select(F.col("cb").alias("c"), order.alias("link")))
-        chosen = stored(both.groupBy("c").agg(F.min("link").alias("link")).select("link.*").distinct())
-        taken = chosen if taken is None else taken.unionByName(chosen)
+        known = stored(sizes.join(both.groupBy("c").agg(F.min("link").alias("link")), "c", "left"))
+        bound = F.when(F.col("c") == least[0]["c"], least[1]["reach"]).otherwise(F.col("reach"))
+        sure = known.filter(F.col("link.length") <= bound)
+        if sure.isEmpty():
+            sure = _searched(points, where, known, n_tiles)
+        chosen = stored(sure.select("link.*").select("a", "b", "length", "ca", "cb").distinct())
+        if chosen.isEmpty():
+            return taken  # vectors that hold no numbers
+        taken = taken.unionByName(chosen.select("a", "b", "length"))
         moved = stored(connected_components(chosen.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-        for side in ("ca", "cb"):
+
+        def renamed(rows: DataFrame, side: str) -> DataFrame:
             to = moved.select(F.col("node").alias(side), F.col("component").alias("_to"))
-            rest = rest.join(to, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
-        rest = stored(rest.filter("ca <> cb"))
-    return links.limit(0) if taken is None else taken.select("a", "b", "length")
+            return rows.join(to, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+
+        where = stored(renamed(where, "c"))
+        rest = stored(renamed(renamed(rest, "ca"), "cb").filter("ca <> cb"))
+
+
+def _searched(points: DataFrame, where: DataFrame, known: DataFrame, n_tiles: int) -> DataFrame:
+    """(c, link): the shortest links of all components of `known` but the largest, searched in the tiles."""
+    largest = known.orderBy(F.desc("size"), "c").first()["c"]
+    # Only a point with a reach below the component's shortest given link can have a shorter one.
+    asks = (F.col("c") != largest) & (F.col("link").isNull() | (F.col("reach") < F.col("link.length")))
+    places = where.join(known.select("c", "link"), "c").select("point", "c", asks.alias("asks"))
+    found = outgoing_links(points.select("point", "embedding", "core").join(places, "point"), n_tiles)
+    link = F.struct("length", F.lit(True).alias("searched"), "a", "b", "ca", "cb").alias("link")
+    given = known.filter(F.col("link").isNotNull() & (F.col("c") != largest)).select("c", "link")
+    return found.select("c", link).unionByName(given).groupBy("c").agg(F.min("link").alias("link"))
 
 
 def mutual_tree(vectors: DataFrame, min_samples: int = MIN_SAMPLES, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Points (point, embedding, weight, core) of (review_id, embedding) rows and their spanning tree."""
     folded = stored(fold_copies(vectors.filter("embedding IS NOT NULL").select("review_id", "embedding")))
     count = folded.count()
-    n_tiles = math.ceil(count / tile_rows) or 1
-    cores = core_distances(folded, min_samples, n_tiles)
-    points = stored(folded.join(cores, "point", "left").withColumn("core", F.coalesce("core", F.lit(0.0))))
-    tree = minimum_spanning_links(tile_links(points, n_tiles), count)
-    return points, stored(tree)
+    n_tiles = tile_count(count, tile_rows)
+    near = stored(
+        nearest_points(folded, min_samples, max(NEAREST, 2 * min_samples), n_tiles, count).withColumn(
+            "core", F.coalesce("core", F.lit(0.0))
+        )
+    )
+    points = stored(folded.join(near.select("point", "core", "reach"), "point"))
+    tree = tile_links(points) if n_tiles == 1 else minimum_spanning_links(points, near_links(near), n_tiles)
+    return points.drop("reach"), stored(tree)
 
 
 def tree_heights(tree: DataFrame, levels: int = LEVELS) -> list[float]:

@@ -132,3 +132,35 @@ def test_registered_components_are_nested(spark, sf):
         by_level.setdefault(r["level"], {})[r["review_id"]] = r["component"]
     for lower, upper in zip(sorted(by_level), sorted(by_level)[1:]):
         assert all(by_level[upper][i] == by_level[upper][c] for i, c in by_level[lower].items())
+
+
+def test_tree_is_exact_where_the_lists_leave_components_apart(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "NEAREST", 1)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 5))
+    rows = np.concatenate([c / np.linalg.norm(c) + rng.normal(size=(25, 5)) * 0.03 for c in centres])
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "review_id bigint, embedding array<float>")
+    searches, search = [], hierarchy._searched
+    monkeypatch.setattr(hierarchy, "_searched", lambda *given: searches.append(1) or search(*given))
+    points, tree = hierarchy.mutual_tree(df, 2, tile_rows=20)
+    m = rows.astype(np.float64)
+    far = np.round(1 - np.round(m @ m.T, 9), 9)
+    np.fill_diagonal(far, np.inf)
+    core = np.sort(far, axis=1)[:, 1]
+    reach = np.maximum(np.maximum(far, core[:, None]), core[None, :])
+    assert {r["point"]: r["core"] for r in points.collect()} == dict(enumerate(core.tolist()))
+    assert searches
+    assert sorted(r["length"] for r in tree.collect()) == sorted(reach[a, b] for a, b in hierarchy.spanning_tree(reach))
+
+
+def test_tiles_offer_few_rows_per_point(spark):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(1200, 5))
+    rows = [(i, [float(x) for x in v / np.linalg.norm(v)], 1) for i, v in enumerate(m)]
+    points = spark.createDataFrame(rows, "point bigint, embedding array<double>, weight bigint")
+    n_tiles = hierarchy.tile_count(1200, 20)
+    assert n_tiles == 16
+    near = hierarchy.nearest_points(points, 5, 10, n_tiles, 1200)
+    assert {len(r["others"]) for r in near.collect()} == {10}
+    assert hierarchy.near_links(near).count() <= 1200 * 10
