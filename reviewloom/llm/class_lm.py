@@ -1,21 +1,27 @@
 """Language-model scores from a Brown class-based bigram model.
 
-Words are put into classes by exchange clustering: starting from classes by
-frequency, every element moves to the class that raises the mutual information of
-neighbouring classes most. The elements are the most frequent words (each at least
-1 / `ELEMENTS` of all tokens, so there are at most `ELEMENTS`) and groups of the
-other words by their last two bytes; a word of a group is in the group's class, and
-so is a word never seen. Rounds run on Spark over the bigram table of the elements;
-half of the elements, in turns, may move in a round, because moves decided side by
-side can spoil each other. The best round is kept.
+The class of every training word is found by exchange clustering: a word moves to the
+class that raises the mutual information of neighbouring classes most.
+
+1. The most frequent words (each at least 1 / `ELEMENTS` of all tokens, so there are at
+   most `ELEMENTS`) move in rounds over their bigram table. The others only take part as
+   groups by their last two bytes, whose classes are where the words of a group start.
+   Half of the elements, in turns, may move in a round, because moves decided side by
+   side can spoil each other. The best round is kept.
+2. The other head words move, each by its own neighbours in all training texts: to the
+   class under which the smoothed model gives the texts the most probability.
+3. All words outside the head move likewise, the head words having their classes.
+
+A word never seen has the class its group has after the first step.
 
 P(word | previous) = P(class | previous class) * P(word | class): transitions are
 smoothed with the class frequencies, emissions with a small count for every word of
 the class and one unseen word.
 
-Word counts and bigram counts cover all training texts. Counts of the words that
-make up at least 1 / `HEAD_WORDS` of all tokens (so at most `HEAD_WORDS` of them) are
-broadcast; those of all other words are joined by word.
+Word counts and class bigrams cover all training texts. The head, at most `HEAD_WORDS`
+of the most frequent words and the end, is broadcast (a vocabulary of at most
+`SMALL_VOCABULARY` words as a whole); counts and classes of all other words are joined
+by word. Which words are in the head decides who moves first, and nothing else.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +41,7 @@ from reviewloom.llm.rows import bytes_of, loaded, remainder_of_id, share, struct
 from reviewloom.session import stored
 
 HEAD_WORDS = 131_072
+SMALL_VOCABULARY = 65_536
 ELEMENTS = 2_048
 TAIL_GROUPS = 128
 CLASSES = 48
@@ -44,6 +52,8 @@ TRANSITION_WEIGHT = 50.0
 FLUSH_WORDS = 200_000
 #: Texts that are split into words at a time.
 TEXTS_AT_ONCE = 256
+#: Words whose gains are computed at a time.
+WORDS_AT_ONCE = 512
 END = b"\n"  # no word holds white space
 
 
@@ -77,11 +87,23 @@ def _parts(texts: pa.Array) -> Iterator[list[bytes]]:
         yield texts.slice(start, TEXTS_AT_ONCE).to_pylist()
 
 
+def _stream(texts: list[bytes]) -> list[bytes]:
+    """Texts follow each other, each ending in END, which also begins the next one."""
+    words = [END]
+    for text in texts:
+        words += tokens_of(text)
+    return words
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over all rows of a one-column table of bytes, ends included."""
     return texts.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _group(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % TAIL_GROUPS
+
+
 class Vocabulary:
     """Counts of the head words and the element of every possible word."""
 
@@ -95,7 +117,7 @@ class Vocabulary:
         self.element = np.array([*range(n_elements), *groups], dtype=np.int64)
 
     def group(self, word: bytes) -> int:
-        return self.own + zlib.crc32(word[-2:]) % TAIL_GROUPS
+        return self.own + _group(word)
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of head words or -1, elements) of a token list."""
@@ -106,18 +128,6 @@ class Vocabulary:
         return number, element
 
 
-def element_column(vocabulary: Vocabulary, elements: DataFrame) -> callable:
-    """Function that adds `element` to a table with a `word` column of bytes."""
-    group = F.crc32(F.expr("CASE WHEN length(word) > 2 THEN substring(word, -2, 2) ELSE word END")) % TAIL_GROUPS
-
-    def add(words: DataFrame) -> DataFrame:
-        own = F.col("own")
-        joined = words.join(F.broadcast(elements), "word", "left")
-        return joined.withColumn("element", F.coalesce(own, vocabulary.own + group)).drop("own")
-
-    return add
-
-
 def _pair_counter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = loaded(shared)
@@ -125,13 +135,8 @@ def _pair_counter(shared):
         table = np.zeros(size * size, dtype=np.int64)
         for batch in batches:
             for texts in _parts(batch.column(0)):
-                # Texts follow each other, each ending in END, which also begins the next one.
-                words = [END]
-                for text in texts:
-                    words += tokens_of(text)
-                _, element = vocabulary.find(words)
-                cell, n = np.unique(element[:-1] * size + element[1:], return_counts=True)
-                table[cell] += n
+                _, element = vocabulary.find(_stream(texts))
+                np.add.at(table, element[:-1] * size + element[1:], 1)
         used = np.flatnonzero(table)
         rows = pa.table({"a": (used // size).astype(np.int32), "b": (used % size).astype(np.int32), "n": table[used]})
         yield from rows.to_batches(100_000)
@@ -237,6 +242,237 @@ def exchange_classes(pairs: DataFrame, elements: int, classes: int = CLASSES, ro
     return best
 
 
+def _transitions(matrix: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """P(class | previous class) from class bigrams, smoothed with the class frequencies."""
+    return (matrix + TRANSITION_WEIGHT * chance) / (matrix.sum(axis=1, keepdims=True) + TRANSITION_WEIGHT)
+
+
+def _best_classes(matrix: np.ndarray, home: np.ndarray, out: np.ndarray, into: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Class of each of many words under which the model gives the texts the most probability.
+
+    That probability and the mutual information of the classes differ by a constant.
+    out, into: each word's counts with the classes that follow and precede it, without
+    the `same` times that it follows itself. Transitions are the smoothed ones: without
+    that all rare words would move at once to small classes, whose few bigrams look certain.
+    """
+    tokens = matrix.sum(axis=0)
+    step = np.log(_transitions(matrix, (tokens + 1) / (tokens.sum() + len(matrix))))
+    n = into.sum(axis=1) + same
+    # Tokens of each class once the word is in it; it is in its home class so far.
+    room = tokens + n[:, None]
+    each = np.arange(len(home))
+    room[each, home] -= n
+    fit = into @ step + out @ step.T + same[:, None] * step.diagonal() - n[:, None] * np.log(np.maximum(room, 1))
+    to = fit.argmax(axis=1)
+    return np.where(fit[each, to] > fit[each, home] + 1e-6, to, home)
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches sorted by their first column, no key in two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0)
+        cut = pc.index(key, key[-1]).as_py()
+        if not cut and held and held[-1].column(0)[-1] == key[-1]:
+            held.append(batch)
+            continue
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _head_contexts(shared, own: int, classes: int):
+    """(number, counts) of the head words from `own` on: following and preceding classes, and itself."""
+    width = 2 * classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, class_of = loaded(shared)
+        table = np.zeros((len(vocabulary.counts) - own) * width, dtype=np.int32)
+        for batch in batches:
+            for texts in _parts(batch.column(0)):
+                number, element = vocabulary.find(_stream(texts))
+                cls = class_of[element]
+                for moving, cells in ((number[:-1], cls[1:]), (number[1:], classes + cls[:-1])):
+                    used = moving >= own
+                    np.add.at(table, (moving[used] - own) * width + cells[used], 1)
+                twice = number[:-1][(number[:-1] == number[1:]) & (number[1:] >= own)]
+                np.add.at(table, (twice - own) * width + 2 * classes, 1)
+        rows = table.reshape(-1, width)
+        most = rows.max(axis=1, initial=0)
+        for some, kind in ((np.flatnonzero((most > 0) & (most < 256)), np.uint8), (np.flatnonzero(most > 255), np.int32)):
+            for start in range(0, len(some), 10_000):
+                at = some[start : start + 10_000]
+                counts = [r.tobytes() for r in rows[at].astype(kind)]
+                yield pa.record_batch({"number": pa.array(at + own, pa.int32()), "counts": pa.array(counts, pa.binary())})
+
+    return run
+
+
+def _head_mover(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, class_of = loaded(shared)
+        classes = len(matrix)
+        for rows in _whole_keys(batches):
+            numbers, word = np.unique(rows["number"].to_numpy(), return_inverse=True)
+            counts = np.zeros((len(numbers), 2 * classes + 1), dtype=np.int64)
+            packed = rows["counts"].to_pylist()
+            for i, p in zip(word.tolist(), packed):
+                counts[i] += np.frombuffer(p, np.uint8 if len(p) == counts.shape[1] else np.int32)
+            for start in range(0, len(numbers), WORDS_AT_ONCE):
+                at = numbers[start : start + WORDS_AT_ONCE]
+                some, home = counts[start : start + WORDS_AT_ONCE], class_of[at]
+                out, into, same = some[:, :classes].copy(), some[:, classes:-1].copy(), some[:, -1]
+                out[np.arange(len(at)), home] -= same
+                into[np.arange(len(at)), home] -= same
+                to = _best_classes(matrix, home, out, into, same)
+                yield pa.record_batch({"number": pa.array(at, pa.int32()), "to": pa.array(to, pa.int32())})
+
+    return run
+
+
+def _tail_contexts(shared, classes: int):
+    """Rows of three kinds.
+
+    word and code: an occurrence of a word outside the head; code tells the classes
+    before and after it, above `classes` where the neighbour is outside the head as
+    well, 2 * `classes` where it is the word itself.
+    word and next: such a word followed by another one.
+    code and n: class bigrams of all tokens, then those inside the head.
+    """
+    wide, square = 2 * classes + 1, classes * classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, class_of = loaded(shared)
+        cells = np.zeros(2 * square, dtype=np.int64)
+        for batch in batches:
+            for texts in _parts(batch.column(0)):
+                words = _stream(texts)
+                number, element = vocabulary.find(words)
+                cls, far = class_of[element], number < 0
+                pair = cls[:-1] * classes + cls[1:]
+                cells[:square] += np.bincount(pair, minlength=square)
+                cells[square:] += np.bincount(pair[~(far[:-1] | far[1:])], minlength=square)
+                at = np.flatnonzero(far)  # the end is in the head, so each has two neighbours
+                linked = at[far[at + 1]].tolist()
+                twice = np.array([i for i in linked if words[i] == words[i + 1]], dtype=np.int64)
+                near = np.where(far, classes + cls, cls)
+                before, after = np.append(0, near[:-1]), np.append(near[1:], 0)
+                after[twice] = before[twice + 1] = 2 * classes
+                one, two = [words[i] for i in at.tolist()], [words[i] for i in linked]
+                code = np.append(before[at] * wide + after[at], np.full(len(two), -1))
+                yield pa.record_batch(
+                    {
+                        "word": pa.array(one + two, pa.binary()),
+                        "next": pa.array([None] * len(one) + [words[i + 1] for i in linked], pa.binary()),
+                        "code": pa.array(code, pa.int32()),
+                        "n": np.ones(len(code), dtype=np.int64),
+                    }
+                )
+        used = np.flatnonzero(cells)
+        empty = pa.nulls(len(used), pa.binary())
+        yield pa.record_batch({"word": empty, "next": empty, "code": pa.array(used, pa.int32()), "n": cells[used]})
+
+    return run
+
+
+def _tail_mover(shared):
+    """(word, n, class) of the words outside the head; without a word, class bigrams with the head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, groups = loaded(shared)
+        classes = len(matrix)
+        cells = np.zeros(classes * classes, dtype=np.int64)
+        for rows in _whole_keys(batches):
+            words = rows["word"].combine_chunks().dictionary_encode()
+            word, words = words.indices.to_numpy(), words.dictionary
+            before, after = np.divmod(rows["code"].to_numpy(), 2 * classes + 1)
+            home = groups[[_group(w) for w in words.to_pylist()]]
+            to = []
+            bounds = np.append(np.searchsorted(word, np.arange(0, len(words), WORDS_AT_ONCE)), len(word))
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                first = len(to) * WORDS_AT_ONCE
+                homes = home[first : first + WORDS_AT_ONCE]
+                size = len(homes) * classes
+
+                def counted(side):
+                    used = side[low:high] < 2 * classes
+                    at = (word[low:high] - first)[used] * classes + side[low:high][used] % classes
+                    return np.bincount(at, minlength=size).reshape(-1, classes)
+
+                same = np.bincount((word[low:high] - first)[after[low:high] == 2 * classes], minlength=len(homes))
+                to.append(_best_classes(matrix, homes, counted(after), counted(before), same))
+            to = np.concatenate(to)
+            placed = to[word]
+            np.add.at(cells, (before * classes + placed)[before < classes], 1)
+            np.add.at(cells, (placed * classes + after)[after < classes], 1)
+            n = np.bincount(word, minlength=len(words))
+            yield pa.record_batch({"word": words, "n": n, "class": pa.array(to, pa.int32())})
+        used = np.flatnonzero(cells)
+        yield pa.record_batch(
+            {"word": pa.nulls(len(used), pa.binary()), "n": cells[used], "class": pa.array(used, pa.int32())}
+        )
+
+    return run
+
+
+def _collected(cells: DataFrame, classes: int) -> np.ndarray:
+    """Matrix of a (class, n) table whose classes are numbers of cells."""
+    matrix = np.zeros(classes * classes, dtype=np.int64)
+    for r in cells.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        matrix[r["class"]] = r["n"]
+    return matrix.reshape(classes, classes)
+
+
+def move_head(texts: DataFrame, vocabulary: Vocabulary, own: int, class_of: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Classes after every head word from `own` on has moved."""
+    spark = texts.sparkSession
+    contexts = texts.mapInArrow(
+        _head_contexts(share(spark, (vocabulary, class_of)), own, len(matrix)), "number int, counts binary"
+    )
+    moves = (
+        contexts.repartition("number")
+        .sortWithinPartitions("number")
+        .mapInArrow(_head_mover(share(spark, (matrix, class_of))), "number int, to int")
+        .toArrow()
+    )
+    class_of = class_of.copy()
+    class_of[moves["number"].to_numpy()] = moves["to"].to_numpy()
+    return class_of
+
+
+def move_tail(texts: DataFrame, vocabulary: Vocabulary, class_of: np.ndarray, classes: int = CLASSES) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, class) of the words outside the head, and the class bigrams of all tokens."""
+    spark, square = texts.sparkSession, classes * classes
+    rows = stored(
+        texts.mapInArrow(
+            _tail_contexts(share(spark, (vocabulary, class_of)), classes), "word binary, next binary, code int, n bigint"
+        )
+    )
+    cells = rows.filter("word IS NULL").select(F.col("code").alias("class"), "n")
+    matrix = _collected(cells.filter(F.col("class") < square), classes)
+    moved = stored(
+        rows.filter("word IS NOT NULL AND next IS NULL")
+        .select("word", "code")
+        .repartition("word")
+        .sortWithinPartitions("word")
+        .mapInArrow(_tail_mover(share(spark, (matrix, class_of[vocabulary.own :]))), "word binary, n bigint, class int")
+    )
+    tail = moved.filter("word IS NOT NULL")
+    named = lambda word, name: tail.select(F.col("word").alias(word), F.col("class").alias(name))
+    links = rows.filter("next IS NOT NULL").select("word", "next", "n")
+    links = links.join(named("word", "a"), "word").join(named("next", "b"), "next")
+    parts = [
+        cells.filter(F.col("class") >= square).select((F.col("class") - square).alias("class"), "n"),
+        moved.filter("word IS NULL").select("class", "n"),
+        links.select((F.col("a") * classes + F.col("b")).alias("class"), "n"),
+    ]
+    return tail, sum(_collected(p, classes) for p in parts)
+
+
 class ClassModel:
     """What the scoring of texts needs, of bounded size."""
 
@@ -245,45 +481,59 @@ class ClassModel:
         self.tokens, self.words = tokens, words
         self.class_of = class_of
         chance = (class_tokens + 1) / (class_tokens.sum() + len(class_tokens))
-        seen = matrix.sum(axis=1, keepdims=True)
-        self.step = np.log10((matrix + TRANSITION_WEIGHT * chance) / (seen + TRANSITION_WEIGHT))
+        self.step = np.log10(_transitions(matrix, chance))
         self.emission_total = np.log10(class_tokens + EMISSION_COUNT * (class_words + 1))
         self.base_total = float(np.log10(tokens + BASE_COUNT * (words + 1)))
         head = vocabulary.counts
-        self.base = np.log10(head + BASE_COUNT) - self.base_total
-        self.emission = np.log10(head + EMISSION_COUNT) - self.emission_total[class_of[vocabulary.element]]
+        # The last place is that of words outside the head, which the scorer hands on.
+        self.base = np.append(np.log10(head + BASE_COUNT) - self.base_total, 0.0)
+        emission = np.log10(head + EMISSION_COUNT) - self.emission_total[class_of[vocabulary.element]]
+        self.emission = np.append(emission, 0.0)
 
 
-SCORED = "n_tokens bigint, known bigint, base double, score double, tail array<struct<word: binary, class: int, k: int>>"
+SCORED = (
+    "n_tokens bigint, known bigint, base double, score double, "
+    "tail array<struct<word: binary, before: int, after: int, unseen: int>>, "
+    "links array<struct<word: binary, next: binary, unseen: int, next_unseen: int>>"
+)
 
 
 def _scorer(shared):
-    """Scores of head words and transitions; other words are handed on with their class."""
+    """Scores of head words and their transitions; what involves other words is handed on.
+
+    Those come with the classes of their neighbours in the head (-1: outside), and with
+    the class they have if they were never seen.
+    """
 
     def score(model: ClassModel, texts: list[bytes]) -> pa.StructArray:
-        n_tokens, known, base, score, tails, many = [], [], [], [], [], []
-        end = model.class_of[model.vocabulary.find([END])[1]]
-        for text in texts:
-            words = tokens_of(text)
-            number, element = model.vocabulary.find(words)
-            classes = model.class_of[element]
-            before = np.append(end, classes[:-1])
-            in_head = number >= 0
-            n_tokens.append(len(words))
-            known.append(int(in_head.sum()))
-            base.append(float(model.base[number[in_head]].sum()))
-            score.append(float(model.step[before, classes].sum() + model.emission[number[in_head]].sum()))
-            rest = Counter((words[i], int(classes[i])) for i in np.flatnonzero(~in_head).tolist())
-            tails += [(w, c, k) for (w, c), k in rest.items()]
-            many.append(len(rest))
-        word, cls, k = zip(*tails) if tails else ((), (), ())
-        items = pa.StructArray.from_arrays(
-            [pa.array(word, pa.binary()), pa.array(cls, pa.int32()), pa.array(k, pa.int32())], ["word", "class", "k"]
-        )
-        offsets = pa.array(np.append(0, np.cumsum(many)), pa.int32())
+        words = _stream(texts)
+        number, element = model.vocabulary.find(words)
+        cls, far = model.class_of[element], number < 0
+        # Position i of the arrays below is the token words[i + 1].
+        ends = np.flatnonzero(np.fromiter((w == END for w in words), bool, len(words))[1:])
+        starts = np.append(0, ends[:-1] + 1)
+        total = lambda x: np.add.reduceat(x, starts)
+        outside = far[:-1] | far[1:]
+        step = np.where(outside, 0.0, model.step[cls[:-1], cls[1:]])
+        near = np.append(np.where(far, -1, cls), -1)
+        at, linked = np.flatnonzero(far[1:]) + 1, np.flatnonzero(far[:-1] & far[1:]) + 1
+        named = lambda where: pa.array([words[i] for i in where.tolist()], pa.binary())
+
+        def lists(where: np.ndarray, names: str, columns: list) -> pa.ListArray:
+            columns = [c if isinstance(c, pa.Array) else pa.array(c, pa.int32()) for c in columns]
+            offsets = pa.array(np.searchsorted(where - 1, np.append(starts, len(words))), pa.int32())
+            return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names.split()))
+
         return structs(
-            ("n_tokens", "known", "base", "score", "tail"),
-            (n_tokens, known, base, score, pa.ListArray.from_arrays(offsets, items)),
+            ("n_tokens", "known", "base", "score", "tail", "links"),
+            (
+                ends + 1 - starts,
+                total((~far[1:]).astype(np.int64)),
+                total(model.base[number[1:]]),
+                total(step + model.emission[number[1:]]),
+                lists(at, "word before after unseen", [named(at), near[at - 1], near[at + 1], cls[at]]),
+                lists(linked, "word next unseen next_unseen", [named(linked - 1), named(linked), cls[linked - 1], cls[linked]]),
+            ),
         )
 
     def run(texts: pa.Array) -> pa.Array:
@@ -292,42 +542,67 @@ def _scorer(shared):
     return struct_udf(run, f"struct<{SCORED}>")
 
 
+def _head(counts: DataFrame, tokens: int, words: int) -> DataFrame:
+    """At most HEAD_WORDS of the most frequent words, and the end; all words of a small vocabulary."""
+    if words <= SMALL_VOCABULARY:
+        return counts
+    # The least power of two whose share of all tokens the word reaches.
+    rank = F.ceil(F.log2(F.lit(tokens) / F.col("n")))
+    last, held = -1, 0
+    for r in sorted(counts.groupBy(rank.alias("rank")).count().collect()):
+        held += r["count"]
+        if held > HEAD_WORDS:
+            break
+        last = r["rank"]
+    return counts.filter((rank <= last) | (F.col("word") == F.lit(END)))
+
+
 def train(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """Model of a one-column table of bytes, and the (word, n) table of all its words."""
+    """Model of a one-column table of bytes, and the (word, n, class, held) table of all its words.
+
+    held: in the head, which the model holds.
+    """
     spark = texts.sparkSession
     counts = stored(word_counts(texts))
     row = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, words = row[0] or 0, row[1]
-    head_rows = counts.filter(F.col("n") * HEAD_WORDS >= tokens).orderBy(F.desc("n"), "word").toArrow()
+    head_rows = _head(counts, tokens, words).orderBy(F.desc("n"), "word").toArrow()
     head = list(zip(head_rows["word"].to_pylist(), head_rows["n"].to_pylist()))
-    vocabulary = Vocabulary(head, sum(n * ELEMENTS >= tokens for _, n in head))
-    shared = share(spark, vocabulary)
-    pairs = texts.mapInArrow(_pair_counter(shared), "a int, b int, n bigint")
+    own = sum(n * ELEMENTS >= tokens for _, n in head)
+    start = Vocabulary(head, own)
+    pairs = texts.mapInArrow(_pair_counter(share(spark, start)), "a int, b int, n bigint")
     pairs = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
-    class_of = exchange_classes(pairs, vocabulary.elements)
-    named = spark.createDataFrame(
-        pa.table(
-            {
-                "word": pa.array([w for w, _ in head[: vocabulary.own]], pa.binary()),
-                "own": np.arange(vocabulary.own, dtype=np.int64),
-            }
-        )
-    )
-    by_element = element_column(vocabulary, named)(counts).groupBy("element")
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_element.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
-        class_tokens[class_of[r["element"]]] += r["n"]
-        class_words[class_of[r["element"]]] += r["words"]
-    matrix = np.zeros((CLASSES, CLASSES))
+    class_of = exchange_classes(pairs, start.elements)
     # One row per pair of elements at most meets the driver as one per pair of classes.
     table = spark.createDataFrame(
-        pa.table({"element": np.arange(vocabulary.elements, dtype=np.int32), "class": class_of.astype(np.int32)})
+        pa.table({"element": np.arange(start.elements, dtype=np.int32), "class": class_of.astype(np.int32)})
     )
     left = F.broadcast(table.select(F.col("element").alias("a"), F.col("class").alias("ca")))
     right = F.broadcast(table.select(F.col("element").alias("b"), F.col("class").alias("cb")))
-    for r in pairs.join(left, "a").join(right, "b").groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-        matrix[r["ca"], r["cb"]] = r["n"]
-    return ClassModel(vocabulary, class_of, matrix, class_tokens, class_words, tokens, words), counts
+    both = pairs.join(left, "a").join(right, "b")
+    matrix = _collected(both.select((F.col("ca") * CLASSES + F.col("cb")).alias("class"), "n"), CLASSES)
+    # From here on every head word is an element.
+    vocabulary = Vocabulary(head, len(head))
+    class_of = np.append(class_of[start.element], class_of[own:]).astype(np.int64)
+    if own < len(head):
+        class_of = move_head(texts, vocabulary, own, class_of, matrix)
+    tail, matrix = move_tail(texts, vocabulary, class_of)
+    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
+    np.add.at(class_tokens, class_of[: len(head)], vocabulary.counts)
+    np.add.at(class_words, class_of[: len(head)], 1)
+    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        class_tokens[r["class"]] += r["n"]
+        class_words[r["class"]] += r["words"]
+    model = ClassModel(vocabulary, class_of, matrix, class_tokens, class_words, tokens, words)
+    named = pa.table(
+        {
+            "word": head_rows["word"].cast(pa.binary()),
+            "n": vocabulary.counts,
+            "class": pa.array(class_of[: len(head)], pa.int32()),
+        }
+    )
+    held = spark.createDataFrame(named).withColumn("held", F.lit(True))
+    return model, held.unionByName(tail.withColumn("held", F.lit(False)))
 
 
 def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, text: str = "text") -> DataFrame:
@@ -341,17 +616,30 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, text: str
     partial = stored(
         docs.withColumn("_scored", result).drop(text).withColumn("_row", F.monotonically_increasing_id())
     )
-    tail = partial.select("_row", F.explode("_scored.tail").alias("t")).select("_row", "t.*")
-    n, k = F.coalesce(F.col("n"), F.lit(0)), F.col("k")
-    totals = F.array(*[F.lit(float(x)) for x in model.emission_total])
+    handed = lambda name: partial.select("_row", F.explode(f"_scored.{name}").alias("t")).select("_row", "t.*")
+    known = counts.filter(~F.col("held")).select("word", "n", "class")
+    classes = len(model.step)
+    steps, totals = F.lit(model.step.ravel()), F.lit(model.emission_total)
+    step = lambda a, b: F.get(steps, a * classes + b)
+    n, cls = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("class"), F.col("unseen"))
+    before = F.when(F.col("before") >= 0, step(F.col("before"), cls)).otherwise(0.0)
+    after = F.when(F.col("after") >= 0, step(cls, F.col("after"))).otherwise(0.0)
+    words = handed("tail").join(known, "word", "left").select(
+        "_row",
+        F.when(n > 0, 1).otherwise(0).cast("bigint").alias("known"),
+        (F.log10(n + BASE_COUNT) - model.base_total).alias("base"),
+        (F.log10(n + EMISSION_COUNT) - F.get(totals, cls) + before + after).alias("score"),
+    )
+    following = known.select(F.col("word").alias("next"), F.col("class").alias("next_class"))
+    links = handed("links").join(known.drop("n"), "word", "left").join(following, "next", "left")
+    links = links.select(
+        "_row",
+        F.lit(0).cast("bigint").alias("known"),
+        F.lit(0.0).alias("base"),
+        step(cls, F.coalesce(F.col("next_class"), F.col("next_unseen"))).alias("score"),
+    )
     added = (
-        tail.join(counts.filter(F.col("n") * HEAD_WORDS < model.tokens), "word", "left")
-        .select(
-            "_row",
-            F.when(n > 0, k).otherwise(0).alias("known"),
-            (k * (F.log10(n + BASE_COUNT) - model.base_total)).alias("base"),
-            (k * (F.log10(n + EMISSION_COUNT) - F.get(totals, F.col("class")))).alias("score"),
-        )
+        words.unionByName(links)
         .groupBy("_row")
         .agg(F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("score").alias("_score"))
     )

@@ -179,6 +179,83 @@ def test_class_model_sums_to_one(spark, documents, monkeypatch):
     assert np.allclose(total, 1) and np.allclose((10**model.step).sum(axis=1), 1)
 
 
+def test_rare_words_with_one_ending_have_classes_of_their_own(spark, monkeypatch):
+    """Both kinds end alike and none is frequent; one is used like `xa`, the other like `ya`."""
+    monkeypatch.setattr(class_lm, "ELEMENTS", 16)
+    texts = [b" ".join(b"red xa up blue ya down red x%dqq up blue y%dqq down" % (i, i) for i in range(k, k + 30)) for k in range(40)]
+    for head_words, small in ((131_072, 65_536), (4, 0)):
+        monkeypatch.setattr(class_lm, "HEAD_WORDS", head_words)
+        monkeypatch.setattr(class_lm, "SMALL_VOCABULARY", small)
+        _, counts = class_lm.train(spark.createDataFrame([(t,) for t in texts], "text binary"))
+        classes = {bytes(r["word"]): r["class"] for r in counts.collect()}
+        kinds = [{c for w, c in classes.items() if w.startswith(k) and w.endswith(b"qq")} for k in (b"x", b"y")]
+        assert kinds[0] and kinds[1] and not kinds[0] & kinds[1]
+
+
+@pytest.mark.parametrize("head_words", [8, 512])
+def test_joined_words_are_scored_by_their_own_classes(spark, documents, monkeypatch, head_words):
+    monkeypatch.setattr(class_lm, "HEAD_WORDS", head_words)
+    monkeypatch.setattr(class_lm, "SMALL_VOCABULARY", 0)
+    monkeypatch.setattr(class_lm, "ELEMENTS", 64)
+    docs = documents.orderBy("doc_id").limit(40).select("doc_id", "text")
+    trained = docs.filter("doc_id % 4 <> 0").select(bytes_of("text").alias("text"))
+    model, counts = class_lm.train(trained)
+    rows = {bytes(r["word"]): r for r in counts.collect()}
+    assert len(rows) == counts.count() == model.words and sum(r["n"] for r in rows.values()) == model.tokens
+    assert {w for w, r in rows.items() if r["held"]} == set(model.vocabulary.number)
+    assert len(model.vocabulary.number) <= head_words + 1
+
+    def class_of(word):
+        return rows[word]["class"] if word in rows else model.class_of[model.vocabulary.find([word])[1][0]]
+
+    cells = np.zeros(model.step.shape)
+    for r in trained.collect():
+        words = [class_lm.END, *class_lm.tokens_of(bytes(r["text"]))]
+        for a, b in zip(words, words[1:]):
+            cells[class_of(a), class_of(b)] += 1
+    tokens, kinds = np.zeros(len(cells)), np.zeros(len(cells))
+    for r in rows.values():
+        tokens[r["class"]] += r["n"]
+        kinds[r["class"]] += 1
+    brute_model = class_lm.ClassModel(model.vocabulary, model.class_of, cells, tokens, kinds, model.tokens, model.words)
+    assert np.allclose(brute_model.step, model.step) and np.allclose(brute_model.emission_total, model.emission_total)
+    found = rows_of(class_lm.score_texts(docs, model, counts))
+    for row, (_, text) in zip(found, sorted((r["doc_id"], r["text"]) for r in docs.collect())):
+        words = [class_lm.END, *class_lm.tokens_of((text or "").encode())]
+        score = 0.0
+        for a, b in zip(words, words[1:]):
+            n = rows[b]["n"] if b in rows else 0
+            score += model.step[class_of(a), class_of(b)]
+            score += math.log10(n + class_lm.EMISSION_COUNT) - model.emission_total[class_of(b)]
+        assert row["n_known"] == sum(w in rows for w in words[1:])
+        assert math.isclose(row["score"], score, rel_tol=1e-9)
+
+
+def test_best_classes_equal_brute_force():
+    rng = np.random.default_rng(2)
+    cells, home = rng.integers(0, 200, (5, 5)) + 60, rng.integers(0, 5, 30)
+    out, into, same = rng.integers(0, 3, (30, 5)), rng.integers(0, 3, (30, 5)), rng.integers(0, 2, 30)
+    found = class_lm._best_classes(cells, home, out, into, same)
+    tokens = cells.sum(axis=0)
+    step = class_lm._transitions(cells, (tokens + 1) / (tokens.sum() + 5))
+    assert np.allclose(step.sum(axis=1), 1)
+    for w in range(30):
+        n = int(into[w].sum() + same[w])
+        fits = []
+        for k in range(5):
+            size = tokens[k] + (0 if k == home[w] else n)
+            fit = sum(into[w, j] * math.log(step[j, k]) + out[w, j] * math.log(step[k, j]) for j in range(5))
+            fits.append(fit + same[w] * math.log(step[k, k]) - n * math.log(size))
+        assert fits[found[w]] == pytest.approx(max(fits))
+
+
+def test_whole_keys_cross_batches():
+    keys = [[1, 1], [1], [], [1, 2, 3], [4], [4, 4], [5]]
+    tables = class_lm._whole_keys(iter([pa.record_batch({"k": pa.array(k, pa.int32())}) for k in keys]))
+    found = [t["k"].to_pylist() for t in tables]
+    assert sum(found, []) == sum(keys, []) and not any(set(a) & set(b) for a, b in zip(found, found[1:]))
+
+
 def _information(counts, class_of, classes):
     cells = np.zeros((classes, classes), dtype=np.int64)
     for (a, b), n in np.ndenumerate(counts):
