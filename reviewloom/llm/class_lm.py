@@ -29,7 +29,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +123,8 @@ class Vocabulary:
         """(numbers of head words or -1, elements) of a token list."""
         number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         element = self.element[number] if len(self.element) else np.zeros(len(words), dtype=np.int64)
-        for i in np.flatnonzero(number < 0).tolist():
-            element[i] = self.group(words[i])
+        far = np.flatnonzero(number < 0)
+        element[far] = [self.group(words[i]) for i in far.tolist()]
         return number, element
 
 
@@ -506,12 +506,13 @@ def _scorer(shared):
     """
 
     def score(model: ClassModel, texts: list[bytes]) -> pa.StructArray:
-        words = _stream(texts)
+        tokens = [tokens_of(text) for text in texts]
+        words = [END, *chain.from_iterable(tokens)]
         number, element = model.vocabulary.find(words)
         cls, far = model.class_of[element], number < 0
         # Position i of the arrays below is the token words[i + 1].
-        ends = np.flatnonzero(np.fromiter((w == END for w in words), bool, len(words))[1:])
-        starts = np.append(0, ends[:-1] + 1)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        starts = np.cumsum(sizes) - sizes
         total = lambda x: np.add.reduceat(x, starts)
         outside = far[:-1] | far[1:]
         step = np.where(outside, 0.0, model.step[cls[:-1], cls[1:]])
@@ -527,7 +528,7 @@ def _scorer(shared):
         return structs(
             ("n_tokens", "known", "base", "score", "tail", "links"),
             (
-                ends + 1 - starts,
+                sizes,
                 total((~far[1:]).astype(np.int64)),
                 total(model.base[number[1:]]),
                 total(step + model.emission[number[1:]]),
