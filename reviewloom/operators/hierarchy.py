@@ -5,13 +5,15 @@ core distances, the core distance being that of the `min_samples`-th nearest oth
 row. The minimum spanning tree over these distances holds the components at
 every height. Pairs of tiles give the nearest points of each point; Boruvka rounds on Spark pick
 the tree out of these links, as long as the distances listed prove that no other link is shorter. Where
-they do not, the tiles are searched for the links in doubt, so the tree is exact. Heights are the distinct
-lengths of its links, or as many quantiles of them as `levels` allows.
+they do not, the tiles are searched for the links in doubt, so the tree is exact. Heights are all
+lengths of its links, and all core distances of copies.
 
 A component with `min_topic_size` rows is a cluster. Clusters that grow without
 meeting another one are one theme; its stability adds up rows times the span of densities
 over which they belong to it. A theme is kept if it is more stable than the themes inside
 it together. The theme of all rows is never kept, as in the usual definition of the method.
+The tree is cut at a few heights into bands of about `BAND_LINKS` links. The components of a band's
+upper height are grouped on their own, height by height; their themes go on in the band above, so the cuts change no result.
 
 Copies of a vector are one point with a weight. All tables but the tiles are joined and
 aggregated by Spark; a point is shuffled once for each of a few tiles, whose pairs are compared as matrices, so the
@@ -24,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.constants import MIN_TOPIC_SIZE, SCORE_DIGITS
@@ -39,7 +41,8 @@ TILE_ROWS = LEAST_TILE_ROWS
 #: Nearest points listed for each point, and points whose lists are merged at a time.
 NEAREST = 32
 MERGED_ROWS = 4_096
-LEVELS = 64
+#: Links of the tree that a band of heights holds, about.
+BAND_LINKS = 131_072
 #: Components of several heights are found at once: a node's number leaves room for its level.
 NODE_BITS = 49
 NO_DISTANCE = 1e-9
@@ -336,15 +339,19 @@ def mutual_tree(vectors: DataFrame, min_samples: int = MIN_SAMPLES, tile_rows: i
     return points.drop("reach"), stored(tree)
 
 
-def tree_heights(tree: DataFrame, levels: int = LEVELS) -> list[float]:
-    """Heights of the hierarchy: all lengths of links if they are few, else their quantiles."""
-    distinct = tree.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    if distinct.count() <= levels:
+def tree_heights(tree: DataFrame, levels: int | None = None) -> list[float]:
+    """Heights that end the bands: `levels` quantiles of the lengths of links, or all lengths if they are fewer.
+
+    Without `levels` a band holds about `BAND_LINKS` links. The last height is the length of the longest link.
+    """
+    distinct = stored(tree.groupBy("length").agg(F.count(F.lit(1)).alias("n")))
+    count, links, longest = distinct.agg(F.count(F.lit(1)), F.sum("n"), F.max("length")).first()
+    levels = math.ceil((links or 0) / BAND_LINKS) if levels is None else levels
+    if count <= levels:
         return [r["length"] for r in distinct.orderBy("length").collect()]
-    shares = [F.lit((i + 1) / levels) for i in range(levels)]
-    row = distinct.agg(F.percentile("length", F.array(*shares), F.col("n")).alias("q")).first()
-    # A quantile between two lengths cuts like the lower one.
-    return sorted({round(x, SCORE_DIGITS) for x in row["q"]})
+    shares = [F.lit((i + 1) / levels) for i in range(levels - 1)]
+    inner = distinct.agg(F.percentile("length", F.array(*shares), F.col("n")).alias("q")).first()["q"] if shares else []
+    return [*sorted({x for x in inner if x < longest}), longest]
 
 
 def components_at(points: DataFrame, tree: DataFrame, heights: list[float]) -> DataFrame:
@@ -352,7 +359,8 @@ def components_at(points: DataFrame, tree: DataFrame, heights: list[float]) -> D
 
     A point is in a component of its own rows once the height reaches its core distance, else in none.
     """
-    spark = points.sparkSession
+    if not heights:
+        return points.sparkSession.createDataFrame([], "level int, point bigint, component bigint, weight bigint")
     numbered = stored(points.select("point", "weight", "core", F.monotonically_increasing_id().alias("node")))
     steps = F.array(*[F.lit(float(h)) for h in heights])
     level = F.posexplode(steps).alias("level", "height")
@@ -369,97 +377,230 @@ def components_at(points: DataFrame, tree: DataFrame, heights: list[float]) -> D
     keyed = rows.select("level", "point", "weight", (F.col("level") * shift + F.col("node")).alias("node"))
     placed = stored(keyed.join(found, "node", "left").select("level", "point", "weight", F.coalesce("component", "node").alias("_c")))
     names = placed.groupBy("_c").agg(F.min("point").alias("component"))
-    return placed.join(names, "_c").select("level", "point", "component", "weight") if heights else spark.createDataFrame(
-        [], "level int, point bigint, component bigint, weight bigint"
-    )
+    return placed.join(names, "_c").select("level", "point", "component", "weight")
 
 
-def _density(height: Column) -> Column:
-    return F.lit(1.0) / F.greatest(height, F.lit(NO_DISTANCE))
+def _density(height: float) -> float:
+    return 1.0 / max(height, NO_DISTANCE)
 
 
-def condensed(placed: DataFrame, heights: list[float], min_size: int) -> DataFrame:
-    """(theme, top, parent, stability): clusters that grow without meeting another are one theme.
+def band_nodes(points: DataFrame, placed: DataFrame, n_bands: int) -> DataFrame:
+    """(band, point, part, node, started, weight, core): the points that take part in a band.
 
-    A theme is named by (level, component) of its largest extent, `top`; `parent` is the theme it merges into.
+    `placed` has the components at the inner heights. A part is a component at the upper height of a band, a node one at
+    its lower height or a point that is in none there. All that is left is one part of the last band.
     """
-    named = F.struct("level", "component")
-    sized = placed.groupBy("level", "component").agg(F.sum("weight").alias("size"), F.min("point").alias("point"))
-    clusters = stored(sized.filter(F.col("size") >= min_size))
-    above = placed.select((F.col("level") - 1).alias("level"), "point", F.struct("level", "component").alias("up"))
-    linked = stored(clusters.join(above, ["level", "point"], "left").select(named.alias("c"), "level", "size", "up"))
-    inside = linked.groupBy("up").agg(F.count(F.lit(1)).alias("n_inside")).filter("up IS NOT NULL")
-    # A cluster goes on in the next one up if it is the only cluster inside.
-    onward = linked.join(inside, "up", "left").select("c", F.when(F.col("n_inside") == 1, F.col("up")).alias("to"))
-    jumps = stored(onward)
-    for _ in range(max(len(heights), 2).bit_length()):
-        ahead = jumps.select(F.col("c").alias("to"), F.col("to").alias("_next"), F.lit(1).alias("_known"))
-        stepped = jumps.join(ahead, "to", "left")
-        jumps = stored(stepped.select("c", F.when(F.col("_next").isNotNull(), F.col("_next")).otherwise(F.col("to")).alias("to")))
-    tops = jumps.select("c", F.coalesce("to", "c").alias("top"))
-    steps = F.array(*[F.lit(float(h)) for h in heights])
-    here, wider = F.element_at(steps, F.col("level") + 1), F.try_element_at(steps, F.col("level") + 2)
-    span = _density(here) - F.coalesce(_density(wider), F.lit(0.0))
-    span = F.when(wider.isNull(), _density(here)).otherwise(span)
-    parts = linked.join(tops, "c").withColumn("part", F.col("size") * span)
-    themes = parts.groupBy("top").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("stability"))
-    ups = linked.select(F.col("c").alias("top"), "up")
-    merged = tops.select(F.col("c").alias("up"), F.col("top").alias("parent"))
-    return stored(themes.join(ups, "top").join(merged, "up", "left").select("top", "parent", "stability"))
+    low = placed.select((F.col("level") + 1).alias("band"), "point", F.col("component").alias("_low"))
+    high = placed.select(F.col("level").alias("band"), "point", F.col("component").alias("_high"))
+    bands = F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))).alias("band")
+    every = points.select(bands, "point", "weight", "core").join(low, ["band", "point"], "left").join(high, ["band", "point"], "left")
+    part = F.when(F.col("band") == n_bands - 1, F.lit(0).cast("bigint")).otherwise(F.col("_high"))
+    node, started = F.coalesce("_low", "point"), F.col("_low").isNotNull()
+    return every.select("band", "point", part.alias("part"), node.alias("node"), started.alias("started"), "weight", "core").filter("part IS NOT NULL")
 
 
-def selected(themes: DataFrame) -> DataFrame:
-    """(top): the themes that are more stable than the themes inside them together; never the topmost.
+class _Themes:
+    """The themes of one part of a band, height by height.
+
+    A theme is named (band, part, place): (band, part, 0) goes on in the band above, where its part is the node. `rows` has
+    (name, up, same, share): `up` is the theme it merges into, or with `same` the name it has in the band above, and `share`
+    what the band adds to its stability. `homes` are the (node, name) of nodes that get into their first cluster.
+    """
 
-    Rounds go up the tree, then down: as many as themes are nested.
+    def __init__(self, weights: list[int], min_size: int) -> None:
+        self.min_size, self.size = min_size, weights
+        self.root = list(range(len(weights)))
+        self.theme: list[list[int]] = [[] for _ in weights]  # open themes inside a component, one between heights
+        self.homeless: list[list[int]] = [[] for _ in weights]
+        self.home = [-1] * len(weights)
+        self.incoming: list[int | None] = []  # node of a theme from the band below
+        self.since, self.held, self.share, self.up = [], [], [], []
+
+    def start(self, at: int, height: float, incoming: int | None = None) -> int:
+        self.incoming.append(incoming)
+        self.since.append(_density(height))
+        self.held.append(self.size[at])
+        self.share.append(0.0)
+        self.up.append(-1)
+        return len(self.up) - 1
+
+    def find(self, at: int) -> int:
+        while self.root[at] != at:
+            self.root[at] = at = self.root[self.root[at]]
+        return at
+
+    def link(self, a: int, b: int) -> int:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return a
+        if len(self.homeless[a]) + len(self.theme[a]) < len(self.homeless[b]) + len(self.theme[b]):
+            a, b = b, a
+        self.root[b] = a
+        self.size[a] += self.size[b]
+        self.theme[a] += self.theme[b]
+        self.homeless[a] += self.homeless[b]
+        self.theme[b], self.homeless[b] = [], []
+        return a
+
+    def spend(self, theme: int, density: float, size: int = 0) -> None:
+        self.share[theme] += self.held[theme] * (self.since[theme] - density)
+        self.since[theme], self.held[theme] = density, size
+
+    def settle(self, at: int, height: float) -> None:
+        """What a component is after all links of a height."""
+        if self.size[at] < self.min_size:
+            return
+        inside = self.theme[at]
+        for theme in inside:
+            self.spend(theme, _density(height), self.size[at])
+        if len(inside) != 1:
+            self.theme[at] = [self.start(at, height)]
+            for theme in inside:
+                self.up[theme] = self.theme[at][0]
+        for node in self.homeless[at]:
+            self.home[node] = self.theme[at][0]
+        self.homeless[at] = []
+
+
+THEME_SCHEMA = pa.schema(
+    [*((x, pa.int64()) for x in ("band", "part", "place", "up_band", "up_part", "up_place", "node")), ("same", pa.bool_()), ("share", pa.float64())]
+)
+
+
+def _themes_of_part(nodes: pa.Table, links: pa.Table, heights: list[float], min_size: int) -> pa.Table:
+    """Rows of the themes of a part, without a node, and of the homes of its nodes, with the band as `up_band`."""
+    nodes = nodes.sort_by("node")
+    band, part = nodes.column("band")[0].as_py(), nodes.column("part")[0].as_py()
+    ids, weight, core = _column(nodes, "node"), _column(nodes, "weight").tolist(), _column(nodes, "core").tolist()
+    found, last = _Themes(weight, min_size), band == len(heights) - 1
+    heavy = []
+    for at, started in enumerate(nodes.column("started").to_pylist()):
+        if weight[at] < min_size:
+            found.homeless[at].append(at)
+        elif started:
+            found.theme[at].append(found.start(at, heights[band - 1], int(ids[at])))
+        else:
+            found.homeless[at].append(at)
+            heavy.append((core[at], at, at))  # copies are a cluster from their core distance on
+    a, b = (np.searchsorted(ids, _column(links, x)).tolist() for x in ("a", "b"))
+    events = sorted([*zip(_column(links, "length").tolist(), a, b), *heavy])
+    first = 0
+    while first < len(events):
+        height, end = events[first][0], first
+        while end < len(events) and events[end][0] == height:
+            found.link(events[end][1], events[end][2])
+            end += 1
+        for at in {found.find(x) for _, x, _ in events[first:end]}:
+            found.settle(at, height)
+        first = end
+    going = {}
+    for at in {found.find(x) for x in range(len(ids))}:
+        for theme in found.theme[at]:
+            found.spend(theme, 0.0 if last else _density(heights[band]))
+            going[theme] = (band, part, 0)
+    if last:
+        going = {}
+    name = [(band - 1, node, 0) if node is not None else going.get(t, (band, part, t + 1)) for t, node in enumerate(found.incoming)]
+    none, rows = (None, None, None), []
+    for t, up in enumerate(found.up):
+        same = up < 0 and not last and found.incoming[t] is not None
+        above = name[up] if up >= 0 else going[t] if same else none
+        rows.append((*name[t], *above, None, same, found.share[t]))
+    rows += [(*name[t], band, None, None, int(ids[at]), False, 0.0) for at, t in enumerate(found.home) if t >= 0]
+    columns = list(zip(*rows)) or [()] * len(THEME_SCHEMA)
+    return pa.table([pa.array(column, kind.type) for column, kind in zip(columns, THEME_SCHEMA)], schema=THEME_SCHEMA)
+
+
+def condensed(points: DataFrame, tree: DataFrame, placed: DataFrame, heights: list[float], min_size: int) -> tuple[DataFrame, DataFrame]:
+    """Themes (band, part, place, up_band, up_part, up_place, same, share), as in `_Themes`, and the (point, band, part, place) of the first theme of each point.
+
+    Clusters that grow without meeting another are one theme. `placed` has the components at all `heights` but the last.
     """
-    open_ = themes.select("top", "parent", "stability")
-    done = None
-    while not open_.isEmpty():
-        waiting = open_.filter("parent IS NOT NULL").select(F.col("parent").alias("top")).distinct()
-        ready = open_.join(waiting, "top", "left_anti")
-        if done is not None:
-            inner = done.groupBy(F.col("parent").alias("top")).agg(F.round(F.sum("best"), SCORE_DIGITS).alias("inner"))
-            ready = ready.join(inner, "top", "left")
+    nodes = stored(band_nodes(points, placed, len(heights)))
+    lower = F.array(*[F.lit(float(h)) for h in heights[:-1]]).cast("array<double>")
+    linked = tree.withColumn("band", F.size(F.filter(lower, lambda h: h < F.col("length"))))
+    of_a = nodes.select("band", F.col("point").alias("a"), "part", F.col("node").alias("_a"))
+    of_b = nodes.select("band", F.col("point").alias("b"), F.col("node").alias("_b"))
+    met = linked.join(of_a, ["band", "a"]).join(of_b, ["band", "b"])
+    met = stored(met.select("band", "part", F.col("_a").alias("a"), F.col("_b").alias("b"), "length"))
+    # A point that starts on its own has a core distance, a component does not need one.
+    summed = nodes.groupBy("band", "part", "node", "started").agg(F.sum("weight").alias("weight"), F.min("core").alias("core"))
+    schema = "band bigint, part bigint, place bigint, up_band bigint, up_part bigint, up_place bigint, node bigint, same boolean, share double"
+    found = stored(
+        summed.groupBy("band", "part").cogroup(met.groupBy("band", "part")).applyInArrow(
+            lambda own, links: _themes_of_part(own, links, heights, min_size), schema
+        )
+    )
+    homes = found.filter("node IS NOT NULL").select("band", "part", "place", F.col("up_band").alias("_band"), "node")
+    members = nodes.select("point", F.col("band").alias("_band"), "node")
+    return found.filter("node IS NULL").drop("node"), homes.join(members, ["_band", "node"]).select("point", "band", "part", "place")
+
+
+def _chosen(themes: pa.Table) -> pa.Table:
+    """(band, part, place, cluster): for each name of a theme that is kept or inside a kept one, the number of that."""
+    of = {}
+    names = list(zip(*(themes.column(x).to_pylist() for x in ("band", "part", "place"))))
+    above = list(zip(*(themes.column(x).to_pylist() for x in ("up_band", "up_part", "up_place"))))
+    at = [of.setdefault(name, len(of)) for name in names]
+    up, same, waits = [-1] * len(of), [False] * len(of), [0] * len(of)
+    stability, inside = [0.0] * len(of), [0.0] * len(of)
+    for x, name, goes_on, share in zip(at, above, themes.column("same").to_pylist(), themes.column("share").to_pylist()):
+        stability[x] += share
+        if name[0] is not None:
+            up[x], same[x] = of[name], goes_on
+            waits[up[x]] += 1
+    order, wins = [x for x, n in enumerate(waits) if not n], [False] * len(of)
+    for x in order:  # grows: a theme comes after all that are inside it
+        if same[x]:
+            stability[up[x]] += stability[x]
+            inside[up[x]] += inside[x]
         else:
-            ready = ready.withColumn("inner", F.lit(0.0))
-        total = F.coalesce("inner", F.lit(0.0))
-        wins = (F.col("stability") >= total) & F.col("parent").isNotNull()
-        ready = stored(ready.select("top", "parent", F.greatest("stability", total).alias("best"), wins.alias("wins")))
-        done = ready if done is None else stored(done.unionByName(ready))
-        open_ = stored(open_.join(ready, "top", "left_anti"))
-    if done is None:
-        return themes.select("top")
-    free = done.filter("parent IS NULL").select("top", "wins")
-    kept = None
-    while not free.isEmpty():
-        won = free.filter("wins").select("top")
-        kept = won if kept is None else kept.unionByName(won)
-        lost = free.filter("NOT wins").select(F.col("top").alias("parent"))
-        free = stored(done.join(lost, "parent").select("top", "wins"))
-    return stored(kept)
+            own, total = round(stability[x], SCORE_DIGITS), round(inside[x], SCORE_DIGITS)
+            wins[x] = own >= total and up[x] >= 0
+            if up[x] >= 0:
+                inside[up[x]] += max(own, total)
+        if up[x] >= 0:
+            waits[up[x]] -= 1
+            if not waits[up[x]]:
+                order.append(up[x])
+    cluster = [-1] * len(of)
+    for x in reversed(order):
+        cluster[x] = cluster[up[x]] if up[x] >= 0 and cluster[up[x]] >= 0 else x if wins[x] else -1
+    rows = [(*name, cluster[x]) for name, x in of.items() if cluster[x] >= 0]
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.table([pa.array(x, pa.int64()) for x in columns], names=["band", "part", "place", "cluster"])
+
+
+def selected(themes: DataFrame) -> DataFrame:
+    """(band, part, place, cluster): the themes that are more stable than the themes inside them together; never the topmost.
+
+    Names of kept themes and of all themes inside them. Themes may be nested as deep as they are many, so one task goes up the
+    tree of themes, then down. It gets no points: a theme has `min_topic_size` rows at least, and one more row for each band it spans.
+    """
+    return stored(themes.groupBy(F.lit(0).alias("_all")).applyInArrow(lambda rows: _chosen(rows), "band bigint, part bigint, place bigint, cluster bigint"))
 
 
 def hierarchy_themes(
     vectors: DataFrame,
     min_topic_size: int = MIN_TOPIC_SIZE,
     min_samples: int = MIN_SAMPLES,
-    levels: int = LEVELS,
+    levels: int | None = None,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """(review_id, topic) of (review_id, embedding) rows with unit vectors.
 
     Rows that belong to no kept theme, and rows without a vector, are outliers. Where all rows form
-    one theme only, all are outliers: nothing tells them apart.
+    one theme only, all are outliers: nothing tells them apart. `levels` is the number of bands that
+    the tree is worked on in; the result does not depend on it.
     """
     points, tree = mutual_tree(vectors, min_samples, tile_rows)
     heights = tree_heights(tree, levels)
     if not heights:
         return assign_topics(vectors.select("review_id", F.lit(None).cast("bigint").alias("cluster")), "cluster", min_topic_size)
-    placed = stored(components_at(points, tree, heights))
-    kept = selected(condensed(placed, heights, min_topic_size)).select("top.level", "top.component")
+    placed = stored(components_at(points, tree, heights[:-1]))
+    nested, homes = condensed(points, tree, placed, heights, min_topic_size)
     # A point is in one kept theme at most: kept themes are not nested.
-    members = placed.join(kept, ["level", "component"]).select("point", F.col("component").alias("cluster"))
+    members = homes.join(selected(nested), ["band", "part", "place"]).select("point", "cluster")
     copies = points.join(members, "point").select("embedding", "cluster")
     rows = vectors.select("review_id", "embedding").join(copies, "embedding", "left").select("review_id", "cluster")
     return assign_topics(rows, "cluster", min_topic_size)

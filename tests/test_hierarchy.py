@@ -164,3 +164,23 @@ def test_tiles_offer_few_rows_per_point(spark):
     near = hierarchy.nearest_points(points, 5, 10, n_tiles, 1200)
     assert {len(r["others"]) for r in near.collect()} == {10}
     assert hierarchy.near_links(near).count() <= 1200 * 10
+
+
+@pytest.mark.parametrize(("seed", "size", "band_links"), [(10, 5, 131_072), (2, 3, 40)])
+def test_every_height_counts(spark, monkeypatch, seed, size, band_links):
+    """More lengths of links than any number of quantiles would keep, in one band and in several."""
+    monkeypatch.setattr(hierarchy, "BAND_LINKS", band_links)
+    rows = crowded(seed)
+    df = spark.createDataFrame(rows, "review_id bigint, embedding array<float>")
+    found = hierarchy.hierarchy_themes(df, size, 4)
+    assert {r["review_id"]: r["topic"] for r in found.collect()} == plain(rows, 4, size)
+
+
+def test_deeply_nested_themes():
+    """A pair of rows is met by another pair at each height: as many themes inside each other as heights."""
+    n = 3000
+    rows = [(0, 0, t, 0, 0, t + 1, None, False, 1.0) for t in range(1, n)] + [(0, 0, n, None, None, None, None, False, 9.0)]
+    themes = hierarchy.pa.table([list(x) for x in zip(*rows)], schema=hierarchy.THEME_SCHEMA)
+    # Each is as stable as the one inside it, so the outermost below the top is kept, with all inside it.
+    chosen = hierarchy._chosen(themes.drop_columns("node"))
+    assert chosen.num_rows == n - 1 and len(set(chosen.column("cluster").to_pylist())) == 1
