@@ -3,17 +3,18 @@
 Words that stand near each other are counted, and a pair's weight is the log of how much
 more often it is seen than chance would have it, where that is positive. The table of
 weights is symmetric; its leading eigenvectors are found by power iteration on a whole block of
-vectors: every round multiplies the weights, packed in tiles, with the vectors and adds up, then makes the sums
+vectors: every round multiplies the weights, packed in small pieces, with the vectors and adds up, then makes the sums
 orthonormal through their small product matrix. Words with like neighbours get like
 vectors. The weights and the vectors stay tables. The driver gets matrices of `dims` by
 `dims` numbers and, for the broadcasts, a vocabulary and vectors of a stated size at most;
-larger ones are joined.
+a larger vocabulary is joined, more vectors are broadcast one slice after another.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +39,19 @@ DIMS = 32
 ROUNDS = 12
 #: Vocabularies of more words are joined, not broadcast.
 MAX_BROADCAST_WORDS = 4_000_000
-#: Texts whose pairs are counted at once.
-TEXTS_AT_ONCE = 4_096
-#: Words of a block and weights of a tile, at most and about.
-BLOCK_WORDS = 32_768
-TILE_ENTRIES = 1_000_000
-ENTRIES_AT_ONCE = 250_000
-#: Vectors with more numbers in all are joined with the tiles, not broadcast.
-MAX_BROADCAST_VALUES = 16_000_000
+#: Words whose pairs are counted at once, if a text has no more, and pairs that a task holds to add up.
+WORDS_AT_ONCE = 250_000
+PAIRS_HELD = 2_000_000
+#: Words of a block at most, and weights of all its words, about: memory of a task.
+BLOCK_WORDS = 8_192
+BLOCK_ENTRIES = 2_000_000
+#: Weights of a piece, which is one row: Arrow sends 10,000 rows at once. Weights multiplied at a time.
+PIECE_ENTRIES = 256
+ENTRIES_AT_ONCE = 100_000
+#: Numbers of the vectors that are broadcast at once; more go in slices.
+MAX_BROADCAST_VALUES = 4_000_000
 BLOCK_SCHEMA = "block int, x binary"
-TILE_SCHEMA = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("size", pa.int32()), ("i", pa.binary()), ("j", pa.binary()), ("pmi", pa.binary())])
+PIECE_SCHEMA = pa.schema([("row", pa.int32()), ("i", pa.binary()), ("j", pa.binary()), ("pmi", pa.binary())])
 
 
 def vocabulary(texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -56,15 +60,37 @@ def vocabulary(texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return counted.filter(F.col("n") >= min_count)
 
 
+def _cut(lists: pa.Array, n_words: int) -> Iterator[pa.Array]:
+    """Runs of lists with `n_words` words at most, or of one list."""
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(lists):
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + n_words, "right")))
+        yield lists.slice(start, end - start)
+        start = end
+
+
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same pairs added up."""
+    if len(counts) == 1:
+        return counts[0]
+    pair, n = (np.concatenate(x) for x in zip(*counts))
+    order = np.argsort(pair)
+    pair, n = pair[order], n[order]
+    starts = np.flatnonzero(np.append(True, np.diff(pair) != 0)) if len(pair) else np.zeros(0, np.int64)
+    return pair[starts], np.add.reduceat(n, starts) if len(pair) else n
+
+
 def _numbered_pairs(texts: DataFrame, known: pa.Array, window: int) -> DataFrame:
     """(a, b, n), a <= b: counts of the pairs of known words, which are named by their places in `known`.
 
-    A batch of texts gives each of its pairs once.
+    A task gives a pair once for about `PAIRS_HELD` pairs.
     """
     shared = texts.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
-    def counted(lists: pa.Array) -> pa.RecordBatch:
+    def counted(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         encoded = lists.flatten().dictionary_encode()
         number = pc.fill_null(pc.index_in(encoded.dictionary, value_set=shared.value), -1).to_numpy(zero_copy_only=False)
         word = number[encoded.indices.to_numpy()].astype(np.int64)
@@ -75,13 +101,22 @@ def _numbered_pairs(texts: DataFrame, known: pa.Array, window: int) -> DataFrame
             near = (text[:-d] == text[d:]) & (left >= 0) & (right >= 0)
             left, right = left[near], right[near]
             found.append((np.minimum(left, right) << 32) | np.maximum(left, right))
-        pair, n = np.unique(np.concatenate(found), return_counts=True)
+        return np.unique(np.concatenate(found), return_counts=True)
+
+    def listed(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), pa.array((pair & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                yield counted(batch.column(0).slice(at, TEXTS_AT_ONCE))
+            for lists in _cut(batch.column(0), WORDS_AT_ONCE):
+                held.append(counted(lists))
+                if sum(len(pair) for pair, _ in held) > PAIRS_HELD:
+                    held = [_added(held)]
+                    if len(held[0][0]) > PAIRS_HELD // 2:
+                        yield listed(*held.pop())
+        if held:
+            yield listed(*_added(held))
 
     made = texts.select(words(F.col("text")).alias("ws")).mapInArrow(run, "a int, b int, n bigint")
     return made.repartition("a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -196,79 +231,121 @@ def _orthonormal(blocks: DataFrame, dims: int) -> DataFrame:
     return stored(_turned(blocks, axes * scale))
 
 
-def _packed(rows: pa.Table) -> pa.Table:
-    """Weights of a tile in one row: places of words and contexts in their blocks, in order of the words, and the weights."""
-    rows = rows.sort_by([("i", "ascending"), ("j", "ascending")])
-    cells = [rows.column(c).to_numpy().astype(t).tobytes() for c, t in (("i", np.int32), ("j", np.int32), ("pmi", np.float64))]
-    heads = [pa.array([rows.column(c)[0].as_py()], pa.int32()) for c in ("row", "block", "size")]
-    return pa.table([*heads, *(pa.array([c], pa.binary()) for c in cells)], schema=TILE_SCHEMA)
-
-
-def _multiplied(tiles: DataFrame, blocks: DataFrame, dims: int, few: bool) -> DataFrame:
-    """(block, x): the table of weights, in tiles, times the vectors.
-
-    The tiles of a block of words lie in one part, so that a task adds up what they give.
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights (row, i, j, pmi) that are sorted by row and i, packed: runs of one row, `PIECE_ENTRIES` at most."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row, i, j, pmi = (batch.column(c).to_numpy().astype(t) for c, t in (("row", np.int32), ("i", np.int32), ("j", np.int32), ("pmi", np.float64)))
+        edges = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
+        starts = [x for a, b in zip(edges, edges[1:]) for x in range(a, b, PIECE_ENTRIES)]
+        parts = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(row)])]
+        cells = [pa.array([c[part].tobytes() for part in parts], pa.binary()) for c in (i, j, pmi)]
+        yield pa.RecordBatch.from_arrays([pa.array(row[starts]), *cells], schema=PIECE_SCHEMA)
+
+
+def _slices(sizes: list[int], dims: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of blocks whose vectors may be broadcast together; one block at least."""
+    first = 0
+    while first < len(sizes):
+        end, n = first + 1, sizes[first]
+        while end < len(sizes) and (n + sizes[end]) * dims <= MAX_BROADCAST_VALUES:
+            n += sizes[end]
+            end += 1
+        yield first, end
+        first = end
+
+
+def _multiplied(pieces: DataFrame, blocks: DataFrame, sizes: list[int], dims: int) -> DataFrame:
+    """(block, x): the table of weights, in pieces, times the vectors.
+
+    The pieces of a block of words lie in one part, so that a task adds up what they give. `sizes` are those of the blocks,
+    whose words are numbered one block after another. The vectors pass the driver, a slice at a time.
     """
     schema = pa.schema([("block", pa.int32()), ("x", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sums = None, None
-        for batch in batches:
-            for n in range(batch.num_rows):
-                row, size = batch.column("row")[n].as_py(), batch.column("size")[n].as_py()
-                if row != at and sums is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary())], schema=schema)
-                    sums = None
-                at, sums = row, np.zeros((size, dims)) if sums is None else sums
-                i, j = (np.frombuffer(batch.column(c)[n].as_buffer(), np.int32) for c in ("i", "j"))
-                pmi, x = np.frombuffer(batch.column("pmi")[n].as_buffer(), np.float64), _matrix(batch.column("x")[n], dims)
-                for begin in range(0, len(i), ENTRIES_AT_ONCE):
-                    part = slice(begin, begin + ENTRIES_AT_ONCE)
-                    starts = np.flatnonzero(np.append(True, np.diff(i[part]) > 0))  # i is sorted
-                    sums[i[part][starts]] += np.add.reduceat(x[j[part]] * pmi[part, None], starts, axis=0)
-        if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary())], schema=schema)
+    starts = np.append(0, np.cumsum(sizes)).tolist()
+
+    def one(at: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary())], schema=schema)
+
+    def times(first: int, end: int) -> DataFrame:
+        x = np.zeros((starts[end] - starts[first], dims))
+        for block, cell in blocks.filter(F.col("block").between(first, end - 1)).collect():
+            x[starts[block] - starts[first] : starts[block + 1] - starts[first]] = np.frombuffer(cell, np.float64).reshape(-1, dims)
+        shared = blocks.sparkSession.sparkContext.broadcast(x)
+        low, high, whole = starts[first], starts[end], end - first == len(sizes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, sums = None, None
+            for batch in batches:
+                row = batch.column("row").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)] if len(row) else [0]
+                for a, b in zip(edges, edges[1:]):
+                    if row[a] != at:
+                        if sums is not None:
+                            yield one(at, sums)
+                        at = int(row[a])
+                        sums = np.zeros((sizes[at], dims))
+                    i, j, pmi = (np.frombuffer(b"".join(batch.column(c).slice(a, b - a).to_pylist()), t) for c, t in (("i", np.int32), ("j", np.int32), ("pmi", np.float64)))
+                    if not whole:
+                        met = (j >= low) & (j < high)
+                        i, j, pmi = i[met], j[met], pmi[met]
+                    for begin in range(0, len(i), ENTRIES_AT_ONCE):
+                        part = slice(begin, begin + ENTRIES_AT_ONCE)
+                        heads = np.flatnonzero(np.append(True, np.diff(i[part]) != 0))
+                        # A word may come again where two files meet.
+                        np.add.at(sums, i[part][heads], np.add.reduceat(shared.value[j[part] - low] * pmi[part, None], heads, axis=0))
+            if sums is not None:
+                yield one(at, sums)
+
+        made = stored(pieces.mapInArrow(run, BLOCK_SCHEMA))
+        shared.destroy()
+        return made
 
     def added(rows: pa.Table) -> pa.Table:
         total = sum(_matrix(c, dims) for c in rows.column("x"))
         return pa.table([rows.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
-    met = tiles.join(F.broadcast(blocks) if few else blocks, "block")
-    return stored(met.mapInArrow(run, BLOCK_SCHEMA).groupBy("block").applyInArrow(added, BLOCK_SCHEMA))
+    parts = [times(first, end) for first, end in _slices(sizes, dims)]
+    return stored(reduce(DataFrame.unionByName, parts).groupBy("block").applyInArrow(added, BLOCK_SCHEMA))
 
 
 def factorise(weights: DataFrame, dims: int = DIMS, rounds: int = ROUNDS) -> tuple[DataFrame, list[float]]:
     """(word, vector) of the symmetric (word, context, pmi) table, and its leading eigenvalues.
 
     A vector holds a word's places in the leading eigenvectors, largest eigenvalue first,
-    each times the root of the eigenvalue's size. Words are dealt to blocks and the weights to tiles
-    of two blocks; a tile is one row, and a round multiplies it with the vectors of a block.
+    each times the root of the eigenvalue's size. Words are dealt to blocks and the weights of a block's words are
+    packed in small pieces, which a round multiplies with the vectors. The weights are read twice and not written as words.
     """
-    weights = stored(weights.select("word", "context", "pmi"))
+    weights = weights.select("word", "context", "pmi")
     held = stored(weights.groupBy("word").agg(F.count(F.lit(1)).alias("_rows")))
     sums = held.agg(F.sum("_rows"), F.count(F.lit(1))).first()
     total, n_words = sums[0] or 0, sums[1]
     if not total:
         return held.select("word", F.array().cast("array<double>").alias("vector")), []
-    n_blocks = max(math.ceil(n_words / BLOCK_WORDS), math.ceil(math.sqrt(total / TILE_ENTRIES)))
+    n_blocks = max(math.ceil(n_words / BLOCK_WORDS), math.ceil(total / BLOCK_ENTRIES))
     dealt = held.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(n_blocks)).cast("int"))
     in_block = Window.partitionBy("block")
     places = (F.row_number().over(in_block.orderBy("word")) - 1).alias("place")
-    placed = stored(dealt.select("word", "_rows", "block", places, F.count(F.lit(1)).over(in_block).cast("int").alias("size")))
+    placed = stored(dealt.select("word", "_rows", "block", places))
+    sizes = [0] * n_blocks
+    for r in placed.groupBy("block").count().collect():  # one row per block
+        sizes[r["block"]] = r["count"]
+    begins = F.array(*[F.lit(x) for x in np.append(0, np.cumsum(sizes))[:-1].tolist()])
     # The table is symmetric, so a context has as many rows as it has as a word.
-    of_word = placed.select("word", "_rows", F.col("block").alias("row"), F.col("place").alias("i"), "size")
-    of_context = placed.select(F.col("word").alias("context"), "_rows", "block", F.col("place").alias("j"))
+    of_word = placed.select("word", "_rows", F.col("block").alias("row"), F.col("place").alias("i"))
+    of_context = placed.select(F.col("word").alias("context"), "_rows", (F.col("place") + begins[F.col("block")]).cast("int").alias("j"))
     met = weights
     for right, key, other in ((of_word, "word", "context"), (of_context, "context", "word")):
         if n_words <= MAX_BROADCAST_WORDS:
             met = met.join(F.broadcast(right.drop("_rows")), key)
         else:
             met = join_counted(met, right, key, "_rows", total, spread=other).drop("_rows")
-    packed = met.select("row", "block", "size", "i", "j", "pmi").groupBy("row", "block").applyInArrow(
-        _packed, "row int, block int, size int, i binary, j binary, pmi binary"
-    )
-    tiles = stored(packed.repartition(n_blocks, "row").sortWithinPartitions("row"))
-    few = n_words * dims <= MAX_BROADCAST_VALUES
+    # Few and small columns in the shuffle: i and j are one number.
+    dealt = met.select("row", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("j")).alias("_at"), "pmi")
+    dealt = dealt.repartition(n_blocks, "row").sortWithinPartitions("row", "_at")
+    unpacked = dealt.select("row", F.shiftright("_at", 32).cast("int").alias("i"), F.col("_at").bitwiseAND(0xFFFFFFFF).cast("int").alias("j"), "pmi")
+    pieces = stored(unpacked.mapInArrow(_pieces, "row int, i binary, j binary, pmi binary"))
     # Start from numbers that only depend on the word.
     start = F.array(*[F.xxhash64(F.lit(i), "word") / float(2**63) for i in range(dims)])
 
@@ -279,8 +356,8 @@ def factorise(weights: DataFrame, dims: int = DIMS, rounds: int = ROUNDS) -> tup
     first = placed.select("block", "place", start.alias("v")).groupBy("block").applyInArrow(gathered, BLOCK_SCHEMA)
     vectors = _orthonormal(stored(first), dims)
     for _ in range(rounds):
-        vectors = _orthonormal(_multiplied(tiles, vectors, dims, few), dims)
-    small = _products(vectors, _multiplied(tiles, vectors, dims, few), dims)
+        vectors = _orthonormal(_multiplied(pieces, vectors, sizes, dims), dims)
+    small = _products(vectors, _multiplied(pieces, vectors, sizes, dims), dims)
     values, axes = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-np.abs(values), kind="stable")
     values, axes = values[order], axes[:, order]

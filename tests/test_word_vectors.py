@@ -112,3 +112,28 @@ def test_pairs_are_shuffled_as_numbers_of_known_words(spark):
     pairs = wv._numbered_pairs(df, pa.array(["box", "tea"]), 2)
     assert {tuple(r) for r in pairs.collect()} == {(0, 1, 3)}
     assert pairs.schema.simpleString() == "struct<a:int,b:int,n:bigint>"
+
+
+def test_weights_travel_in_small_rows(spark, learned, monkeypatch):
+    """No row that is sent to Python or written holds more weights than a piece, however many a block has."""
+    _, weights, _ = learned
+    seen, stored = [], wv.stored
+    monkeypatch.setattr(wv, "PIECE_ENTRIES", 5)
+    monkeypatch.setattr(wv, "stored", lambda df: seen.append(stored(df)) or seen[-1])
+    wv.factorise(weights, dims=2, rounds=1)
+    packed = [df for df in seen if "pmi" in df.columns]
+    assert packed and all(dict(df.dtypes)["pmi"] == "binary" for df in packed)
+    assert max(r["n"] for df in packed for r in df.selectExpr("length(pmi) div 8 AS n").collect()) <= 5
+    assert sum(r["n"] for df in packed for r in df.selectExpr("length(pmi) div 8 AS n").collect()) == weights.count()
+
+
+def test_pairs_are_counted_in_bounded_batches(spark, monkeypatch):
+    rows = [(i, " ".join(["tea box cup"] * (i % 5))) for i in range(40)] + [(40, None)]
+    df = spark.createDataFrame(rows, "review_id bigint, text string").coalesce(1)
+    known = pa.array(["box", "cup", "tea"])
+    whole = {tuple(r) for r in wv._numbered_pairs(df, known, 3).collect()}
+    lists = pa.array([["a"] * n for n in (3, 0, 9, 1, 1)] + [None])
+    assert [len(x.flatten()) for x in wv._cut(lists, 4)] == [3, 9, 2]
+    monkeypatch.setattr(wv, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(wv, "PAIRS_HELD", 4)
+    assert {tuple(r) for r in wv._numbered_pairs(df, known, 3).collect()} == whole
