@@ -44,7 +44,7 @@ WORDS_AT_ONCE = 250_000
 PAIRS_HELD = 2_000_000
 #: Words of a block at most, and weights of all its words, about: memory of a task.
 BLOCK_WORDS = 8_192
-BLOCK_ENTRIES = 2_000_000
+BLOCK_ENTRIES = 500_000
 #: Weights of a piece, which is one row: Arrow sends 10,000 rows at once. Weights multiplied at a time.
 PIECE_ENTRIES = 256
 ENTRIES_AT_ONCE = 100_000
